@@ -1,8 +1,8 @@
 """Operators for preparing training data; nothing else in the library imports this subpackage."""
 
-from . import byte_bpe, packing, token_files, url_filters
+from . import byte_bpe, packing, token_files, toxicity, url_filters
 
-_MODULES = (packing, token_files, byte_bpe, url_filters)
+_MODULES = (packing, token_files, byte_bpe, url_filters, toxicity)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
