@@ -158,7 +158,8 @@ def write_shards(
         attempt = TaskContext.get().taskAttemptId()
         fs, root = _fs(folder)
         name = f"{root}/shard-{part:06d}"
-        enc, end = encoder(kind, path), np.array([end_id], dtype=dtype).tobytes()
+        enc, end = encoder(kind, path, dtype), np.array([end_id], dtype=dtype).tobytes()
+        narrow = kind == "byte" and id_bytes < 4  # the byte encoder's ids are 32 bits wide
         keys, lengths, nulls, out = [], [], 0, None
         for batch in batches:
             if not batch.num_rows:
@@ -171,8 +172,10 @@ def write_shards(
             keys.append(ids.drop_null().to_numpy(zero_copy_only=False))
             for lo in range(0, batch.num_rows, 500):
                 for raw in enc.encode(texts[lo : lo + 500].to_pylist()):
-                    out.write(np.frombuffer(raw, "<u4").astype(dtype).tobytes() + end)
-                    lengths.append(len(raw) // 4 + 1)
+                    if narrow:
+                        raw = np.frombuffer(raw, "<u4").astype(dtype).tobytes()
+                    out.write(raw + end)
+                    lengths.append(len(raw) // id_bytes + 1)
         if out is None:
             return
         out.close()

@@ -1,7 +1,7 @@
 """Token ids of whole texts as little-endian unsigned 32-bit bytes, on executors.
 
-Encoders are built once per Python worker and kept between tasks. The memo tables hold at
-most ``MEMO`` entries and are emptied beyond that, so memory does not grow with the corpus.
+Encoders are built once per Python worker and kept between tasks. The memo tables hold a
+bounded number of entries, so memory does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries a memo table of words may hold.
-MEMO = 400_000
+#: Entries a generation of a memo table may hold; a table has two.
+MEMO = 150_000
 
 
 def byte_decoder() -> dict[str, int]:
@@ -59,20 +59,38 @@ class ByteBpe:
         return [self.enc.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes() for t in texts]
 
 
+class _Memo(dict):
+    """Word -> ids, by ``learn`` where it is missing. ``turn`` lets go of what was not asked for lately."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.old[word] if word in self.old else self.learn(word)
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > MEMO:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordBpe:
     """Ids of a lower-casing word BPE of the tokenizers library, with a memo of words.
 
     Its normalizer and pre-tokenizer never look across white space, so a text's ids are those
-    of its words in turn. Words of letters with trailing punctuation fall into two pieces the
-    pre-tokenizer separates anyway. Texts with characters beyond Latin Extended-B, where case
-    rules depend on the neighbours or composition matters, go to the library whole.
+    of its words in turn. A word of letters with trailing punctuation is two pre-tokens, which
+    the library's model merges by themselves; other words go through the pre-tokenizer. Texts
+    with characters beyond Latin Extended-B, where case rules depend on the neighbours or
+    composition matters, go to the library whole.
     """
 
     _word = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
-    _simple = re.compile("[^\u0000-ɏ]").search
+    _simple = re.compile("[^\u0000-\u024f]").search
     _odd = re.compile("[\x1c-\x1f]").search
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, dtype: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,64 +99,39 @@ class WordBpe:
         self.full = Tokenizer.from_str(json.dumps(spec))
         self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
         self.full.encode_special_tokens = self.bare.encode_special_tokens = True
-        vocab = spec["model"]["vocab"]
-        self.ends = np.zeros(max(vocab.values()) + 3, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def _ids(self, tok, texts: list[str]) -> list[bytes]:
-        found = tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _learn(self, need: set[str]) -> None:
-        for memo in (self.words, self.cores, self.tails):
-            if len(memo) > MEMO:
-                memo.clear()
-        need.difference_update(self.words)
-        parts, other, cores = [], [], set()
-        for w in need:
-            if m := self._word(w):
-                parts.append((w, *m.groups()))
-                cores.add(m[1])
-            else:
-                other.append(w)
-        cores = list(cores.difference(self.cores))
-        if cores:
-            ids = np.array(self.bare.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(at) == len(cores):
-                raw, start = ids.tobytes(), 0
-                for c, end in zip(cores, at, strict=True):
-                    self.cores[c] = raw[4 * start : 4 * end]
-                    start = end
-            else:  # a vocabulary without word ends
-                self.cores.update(zip(cores, self._ids(self.bare, cores), strict=True))
-        tails = [t for t in {t for _, _, t in parts} if t not in self.tails]
-        self.tails.update(zip(tails, self._ids(self.bare, tails), strict=True))
-        self.words.update(zip(other, self._ids(self.bare, other), strict=True))
-        for w, core, tail in parts:
-            self.words[w] = self.cores[core] + self.tails[tail]
+        self.model = self.bare.model
+        self.table = {b: ord(c) for c, b in byte_decoder().items()}
+        self.dtype = dtype
+        self.words, self.parts = _Memo(self._learn), _Memo(self._merge)
+
+    def _raw(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def _merge(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        if not piece:
+            return b""
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
+        return self._raw([t.id for t in self.model.tokenize(mapped)])
+
+    def _learn(self, word: str) -> bytes:
+        m = self._word(word)
+        if m and m[1].isalpha():
+            return self.parts[m[1]] + self.parts[m[2]]
+        return self._raw(self.bare.encode(word, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        for lo in range(0, len(texts), 500):
-            split, need = [], set()
-            for k in range(lo, min(lo + 500, len(texts))):
-                t = texts[k]
-                if not t.isascii() and self._simple(t) or self._odd(t):
-                    out[k] = self._ids(self.full, [t])[0]
-                else:
-                    ws = t.lower().replace("\n", " ").split(" ")
-                    split.append((k, ws))
-                    need.update(ws)
-            self._learn(need)
-            for k, ws in split:
-                out[k] = b"".join(map(self.words.__getitem__, ws))
+        out = []
+        for t in texts:
+            if not t.isascii() and self._simple(t) or self._odd(t):
+                out.append(self._raw(self.full.encode(t, add_special_tokens=False).ids))
+                continue
+            for memo in (self.words, self.parts):
+                memo.turn()
+            out.append(b"".join(map(self.words.__getitem__, t.lower().replace("\n", " ").split(" "))))
         return out
 
 
 @lru_cache(maxsize=4)
-def encoder(kind: str, path: str):
-    return {"byte": ByteBpe, "word": WordBpe}[kind](path)
+def encoder(kind: str, path: str, dtype: str = "<u4"):
+    return ByteBpe(path) if kind == "byte" else WordBpe(path, dtype)
