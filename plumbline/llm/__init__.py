@@ -1,8 +1,8 @@
 """Operators for preparing training data; nothing else in the library imports this subpackage."""
 
-from . import byte_bpe, packing, pii, secret_scans, token_files, toxicity, url_filters
+from . import byte_bpe, order_minhash, packing, pii, secret_scans, token_files, toxicity, url_filters
 
-_MODULES = (packing, token_files, byte_bpe, pii, url_filters, toxicity, secret_scans)
+_MODULES = (packing, token_files, byte_bpe, pii, order_minhash, url_filters, toxicity, secret_scans)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
