@@ -97,11 +97,15 @@ class Sketcher:
             starts = np.flatnonzero(first)
             occurrence = np.empty(n, np.uint64)
             occurrence[by] = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-            element = _mix(kmers + occurrence * np.uint64(0x9E3779B97F4A7C15))
+            again = occurrence > 0
+            element = kmers.copy()
+            element[again] = _mix(kmers[again] + occurrence[again] * np.uint64(0x9E3779B97F4A7C15))
         u = (element >> np.uint64(32)).astype(np.uint32)
         found, rows = [], np.arange(SKETCHES)
         for lo in range(0, n, COLUMNS):
             v = (u[None, lo : lo + COLUMNS] ^ _xor) * _mul
+            v ^= v >> np.uint32(15)
+            v *= np.uint32(0x846CA68B)
             for _ in range(min(LENGTH, v.shape[1])):
                 at = v.argmin(axis=1)
                 found.append((v[rows, at], at + lo))
