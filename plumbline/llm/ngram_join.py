@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_and_text, shared_dir, shuffle_parts, stored, table
 from .components import connected_components
@@ -407,14 +408,10 @@ def verified(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     return stored(sums.join(pairs, ["x", "y"]).where(7 * F.col("shared") >= 3 * (F.col("nx") + F.col("ny"))).select("x", "y"), path)
 
 
-def link_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (``doc_id``, ``text``).
+def link_rows(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, key, component for every row of ``docs``; see link_documents.
 
-    Two documents link when their sets' Jaccard similarity is at least 3/4, compared in integers.
-    Null and empty texts and texts of white space have no set and link with nothing: their
-    component is their own id. Rows with the same id and repeated rows are rows of their own; of
-    a component with null ids the smallest other id counts (null if there is none). An empty
-    table gives no rows.
+    key: of the row's set; component: a name of its group, null for a row without a set.
     """
     spark = docs.sparkSession
     work = shared_dir(spark, "ngrams")
@@ -492,11 +489,74 @@ def link_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
         f"{work}/classes",
     )
     lowest = stored(own.groupBy("component").agg(F.min("low").alias("component_id")), f"{work}/lowest")
-    info = stored(own.join(lowest, "component").select("key", "component_id"), f"{work}/info")
-    return (
-        members.where("n > 0").join(info, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        .unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    info = stored(own.join(lowest, "component").select("key", "component_id", "component"), f"{work}/info")
+    names = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "key", "component"]
+    alone = members.where("n = 0").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("string")})
+    return members.where("n > 0").join(info, "key").select(names).unionByName(alone.select(names))
+
+
+def link_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (``doc_id``, ``text``).
+
+    Two documents link when their sets' Jaccard similarity is at least 3/4, compared in integers.
+    Null and empty texts and texts of white space have no set and link with nothing: their
+    component is their own id. Rows with the same id and repeated rows are rows of their own; of
+    a component with null ids the smallest other id counts (null if there is none). An empty
+    table gives no rows.
+    """
+    return link_rows(docs, parts).select("doc_id", "n_shingles", "component_id")
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``row`` with the key of each row's set, null for an empty set."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            found = [shingles(x.as_buffer().to_pybytes()) for x in batch.column(1)]
+            keys = pa.array([set_key(s).hex() if len(s) else None for s in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys], names=["row", "key"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("key", T.StringType())]))
+
+
+def keep_one(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """The rows of ``docs`` with one document of each group: the one with the smallest doc_id.
+
+    Rows without a set all stay. Texts are not shuffled where the ids to drop are few enough to
+    broadcast. Rows whose id is null or not theirs alone are told apart by their sets: of such
+    rows in one group one stays.
+    """
+    spark = docs.sparkSession
+    work = shared_dir(spark, "keep")
+    rows = stored(link_rows(docs, parts), f"{work}/rows")
+    per_id = rows.groupBy("doc_id").agg(F.count("*").alias("k"), F.max("n_shingles").alias("n"))
+    shared = stored(per_id.where("doc_id is null or k > 1").select("doc_id"), f"{work}/shared")
+    drop = rows.where("doc_id != component_id").select("doc_id").distinct()
+    n_shared = shared.count()
+    if n_shared:
+        drop = drop.unionByName(shared.where("doc_id is not null")).distinct()
+    drop = stored(drop.withColumnRenamed("doc_id", "dropped"), f"{work}/drop")
+    gone = F.broadcast(drop) if drop.count() <= SMALL else drop.hint("shuffle_hash")
+    kept = docs.join(gone, docs["doc_id"] == gone["dropped"], "left_anti")
+    if not n_shared:
+        return kept
+    kept = kept.where(kept["doc_id"].isNotNull())
+    ids = shared.withColumnRenamed("doc_id", "dropped")
+    odd = docs.join(ids, docs["doc_id"].eqNullSafe(ids["dropped"]), "left_semi")
+    keyed = stored(_with_key(odd), f"{work}/odd").withColumn("at", F.monotonically_increasing_id())
+    # a group's document is among these rows if its smallest id is, or if all its ids are null
+    best = rows.where("component is not null").groupBy("component", "component_id").agg(
+        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("key"))).alias("key")
     )
+    best = best.join(ids, best["component_id"].eqNullSafe(ids["dropped"]), "left_semi").select("component_id", "key")
+    mine = keyed.join(best, (keyed["key"] == best["key"]) & keyed["row.doc_id"].eqNullSafe(best["component_id"])).groupBy(
+        best["component_id"], best["key"]
+    ).agg(F.min_by("row", "at").alias("row"))
+    chosen = mine.select("row").unionByName(keyed.where("key is null").select("row"))
+    return kept.unionByName(chosen.select("row.*"))
+
+
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

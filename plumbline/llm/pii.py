@@ -291,6 +291,32 @@ def mask_text(text: str, accepted: set[tuple[str, int]]) -> str:
     return "".join([*out, text[end:]]) if end else text
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by its kind, and ``n_chars``, where there, set to the new length.
+
+    Null texts stay null. Rows without a span are returned as they are.
+    """
+    found = stored(extract(docs), shared_dir(docs.sparkSession, "pii"))
+    accepted = fit(found)
+    names = docs.columns
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for batch in batches:
+            old = batch.column(at).to_pylist()
+            new = [t and mask_text(t, accepted) for t in old]
+            if new != old:
+                cols = list(batch.columns)
+                cols[at] = pa.array(new, cols[at].type)
+                if size is not None:
+                    lengths = zip(old, new, cols[size].to_pylist(), strict=True)
+                    cols[size] = pa.array([n if a == b else len(b) for a, b, n in lengths], cols[size].type)
+                batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2("base", 256).alias("base_sha256"), "spans")
