@@ -104,10 +104,17 @@ def fixed(c: Column, digits: int) -> Column:
 
 
 def usd(c: Column) -> Column:
-    """Dollars with six decimals; amounts that would read as zero in exponent form."""
+    """Dollars with six decimals; amounts that would read as zero in exponent form with two decimals."""
     six = fixed(c, 6)
-    tiny = F.regexp_replace(F.format_string("%.2e", c), r"e([+-])0(\d)", "e$1$2")
-    return F.concat(F.lit("$"), F.when((c != 0) & (six == "0.000000"), tiny).otherwise(six))
+    power = F.floor(F.log10(F.abs(c))).cast("int")
+    # as many decimals as show three digits, rounded from the exact value; a carry makes them four
+    digits = F.regexp_replace(F.call_function("format_number", F.abs(c), 2 - power), "^[0.,]+", "")
+    carried = F.length(digits) > 3
+    shown = F.concat(
+        F.when(c < 0, "-").otherwise(""), F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 2), F.lit("e"),
+        (power + carried.cast("int")).cast("string"),
+    )
+    return F.concat(F.lit("$"), F.when((c != 0) & six.isin("0.000000", "-0.000000"), shown).otherwise(six))
 
 
 def pad_right(c: Column, width: Column) -> Column:

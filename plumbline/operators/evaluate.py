@@ -33,7 +33,7 @@ def validate_question_sets(sets: DataFrame) -> DataFrame:
 
     def strings_ok(q: Column, k: str) -> Column:
         a = get(q, k, "variant")
-        return get(q, k, "variant").isNull() | ((kind(a) == "ARRAY") & F.coalesce(F.forall(get(q, k, "array<variant>"), lambda s: kind(s) == "STRING"), F.lit(False)))
+        return get(q, k, "variant").isNull() | ((kind(a) == "ARRAY") & F.coalesce(F.forall(get(q, k, "array<variant>"), lambda s: (kind(s) == "STRING") & ~is_blank(s.cast("string"))), F.lit(False)))
 
     def problem(q: Column, i: Column) -> Column:
         ids = F.transform(F.slice("entries", 1, i), lambda o: get(o, "id"))

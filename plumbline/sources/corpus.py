@@ -34,9 +34,18 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
         raise ChunkError("non-markdown-entry", bad[0])
     if not names:
         return spark.createDataFrame([], "name string, source string")
-    # each file by its name: a folder scan would pass over names that begin with _ or .
-    texts = spark.read.text([str(s.getPath()) for s in listing], wholetext=True)
-    return texts.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("value").alias("source"))
+    plain = [str(s.getPath()) for s in listing if s.getPath().getName()[0] not in "_."]
+    schema = "name string, source string"
+    rows = spark.createDataFrame([], schema)
+    if plain:
+        texts = spark.read.text(plain, wholetext=True)
+        name = F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1))
+        rows = texts.select(name.alias("name"), F.col("value").alias("source"))
+    # Spark's readers pass over these even when they are named
+    hidden = [s.getPath() for s in listing if s.getPath().getName()[0] in "_."]
+    fs, io = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.commons.io.IOUtils
+    found = [(p.getName(), io.toString(fs.open(p), "UTF-8")) for p in hidden]
+    return rows.unionByName(spark.createDataFrame(found, schema)) if found else rows
 
 
 def with_lines(docs: DataFrame) -> DataFrame:

@@ -1,0 +1 @@
+"""The engine answers questions in batches and keeps no state between them: there are no stream operators."""
