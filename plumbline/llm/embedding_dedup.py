@@ -108,6 +108,10 @@ def _pack(group: pa.Table) -> pa.Table:
 def _tile(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["block"])
+        if len(rows) == 1 and rows[0]["i"] != rows[0]["j"]:  # the other block is empty
+            rows = []
+        if not rows:
+            return pa.table({"key": pa.array([], pa.string()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.string())})
         dim = rows[0]["dim"]
         own = [np.frombuffer(r["vectors"], "<f8").reshape(-1, dim) for r in rows]
         size = np.concatenate([np.frombuffer(r["sizes"], "<i8") for r in rows])
