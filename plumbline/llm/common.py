@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session names none (tests on one machine), a temporary folder is set.
+    Where the session names none (tests on one machine), a temporary folder is used. A path
+    without a scheme is one of the default file system.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_plumbline_shared", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = sc._plumbline_shared = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/plumbline-{tag}-{uuid.uuid4().hex[:12]}"
 
 
@@ -41,3 +45,15 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Arrow batches of so many rows at most while texts are read, which bounds the memory of both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(was)) if int(was) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)

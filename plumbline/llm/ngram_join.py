@@ -12,10 +12,11 @@ fragments are summed:
 2. *Frequencies.* The remaining classes' shingles are counted exactly per fragment; by the order
    (frequency, hash) the prefix of a set is so long that two sets that link share a shingle of
    their prefixes. Frequent shingles come last, so they seldom are in a prefix.
-3. *Candidates*, without all pairs of a group: first every class with the smallest class of each
-   of its prefix shingles. The links found make components; then, only for shingles whose classes
-   are in several components, the pairs across components. A link between two classes is thus
-   found, or both are in one component by other links already.
+3. *Candidates*, without all pairs of a group: in two rounds, every class with a few hubs of its
+   prefix shingles. The links found make components; then, only for shingles whose classes are in
+   several components, all pairs across components that share as many prefix shingles as sets that
+   link must. A link between two classes is thus found, or both are in one component by other
+   links already.
 4. *Overlaps.* The candidates' segments are intersected per fragment, and the partial overlaps
    are summed per pair and compared with the threshold in integers.
 
@@ -28,11 +29,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, shared_dir, shuffle_parts, stored, table
+from .common import id_and_text, shared_dir, shuffle_parts, small_batches, stored, table
 from .components import connected_components
 
 WORDS = 5
@@ -42,6 +43,10 @@ SMALL = 200_000
 BATCH = 1_000_000
 #: Fragments in which candidate pairs are verified.
 FRAGMENTS = 8
+#: Rounds of joining classes by hubs, and the hubs of a shingle in each. The round after them is exact.
+ROUNDS, HUBS = 2, 6
+#: Classes of one shingle that meet in one task at most.
+CROWD = 20_000
 MEMO = 200_000
 _odd = np.random.Generator(np.random.PCG64(20240313)).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NOBODY = 0xFFFF
@@ -269,99 +274,137 @@ def _segments(parts: int):
     return run
 
 
-def _frequencies(batches):
-    """One fragment: per class its shingles that other classes hold, too, with their frequencies."""
-    heads, hashes, owners, base = [], [], [], 0
+def _frequencies(parts: int):
+    """One fragment: its shingles that several classes hold, with their frequencies, as blocks by class."""
+
+    def run(batches):
+        heads, hashes, owners, base = [], [], [], 0
+        for batch in batches:
+            for a, b, c in zip(*(batch.column(k) for k in (2, 3, 4)), strict=True):
+                heads.append(np.frombuffer(a.as_py(), "<i8").reshape(2, -1))
+                hashes.append(np.frombuffer(b.as_py(), "<u8"))
+                owners.append(np.frombuffer(c.as_py(), "<u4").astype(np.int64) + base)
+                base += heads[-1].shape[1]
+        if not hashes:
+            return
+        head, value, owner = np.concatenate(heads, axis=1), np.concatenate(hashes), np.concatenate(owners)
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        at = _runs(value)
+        length = np.diff(np.append(at, len(value)))
+        df = np.repeat(length, length)
+        keep = df > 1
+        value, owner, df = value[keep], owner[keep], df[keep].astype("<u4")
+        to = head[0, owner] % parts
+        order = np.argsort(to, kind="stable")
+        value, owner, df, to = value[order], owner[order], df[order], to[order]
+        at = _runs(to)
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(to)], strict=True):
+            used, local = np.unique(owner[a:b], return_inverse=True)
+            who = local.astype("<u4").tobytes() + df[a:b].tobytes()
+            yield _blocks([(int(to[a]), 0, head[:, used].tobytes(), value[a:b].tobytes(), who)])
+
+    return run
+
+
+def _prefixes(batches):
+    """Blocks of some classes, from all fragments -> (h, cid, n) for the shared shingles of their prefixes."""
+    heads, hashes, whos, base = [], [], [], 0
     for batch in batches:
         for a, b, c in zip(*(batch.column(k) for k in (2, 3, 4)), strict=True):
             heads.append(np.frombuffer(a.as_py(), "<i8").reshape(2, -1))
             hashes.append(np.frombuffer(b.as_py(), "<u8"))
-            owners.append(np.frombuffer(c.as_py(), "<u4").astype(np.int64) + base)
+            who = np.frombuffer(c.as_py(), "<u4").reshape(2, -1).astype(np.int64)
+            whos.append(np.stack([who[0] + base, who[1]]))
             base += heads[-1].shape[1]
     if not hashes:
         return
-    head, value, owner = np.concatenate(heads, axis=1), np.concatenate(hashes), np.concatenate(owners)
-    order = np.argsort(value, kind="stable")
+    (cids, sizes), value, (owner, df) = np.concatenate(heads, axis=1), np.concatenate(hashes), np.concatenate(whos, axis=1)
+    cid, first, dense = np.unique(cids, return_index=True, return_inverse=True)
+    n, owner = sizes[first], dense[owner]
+    # shingles that no other class holds come first and need not be sent
+    left = n - (3 * n + 3) // 4 + 1 - (n - np.bincount(owner, minlength=len(cid)))
+    order = np.lexsort((value, df, owner))
     value, owner = value[order], owner[order]
-    at = _runs(value)
-    length = np.diff(np.append(at, len(value)))
-    df = np.repeat(length, length)
-    keep = df > 1
-    value, owner, df = value[keep], owner[keep], df[keep].astype("<u4")
-    order = np.argsort(owner, kind="stable")
-    value, owner, df = value[order], owner[order], df[order]
     at = _runs(owner)
-    ends = [*at[1:].tolist(), len(owner)]
-    for lo in range(0, len(at), 20_000):
-        own = list(zip(at[lo : lo + 20_000].tolist(), ends[lo : lo + 20_000], strict=True))
-        who = owner[at[lo : lo + 20_000]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(head[0, who]),
-                pa.array(head[1, who]),
-                pa.array([value[a:b].tobytes() for a, b in own], pa.binary()),
-                pa.array([df[a:b].tobytes() for a, b in own], pa.binary()),
-            ],
-            names=["cid", "n", "hashes", "df"],
-        )
+    rank = np.arange(len(owner)) - np.repeat(at, np.diff(np.append(at, len(owner))))
+    keep = rank < left[owner]
+    value, owner = value[keep], owner[keep]
+    for lo in range(0, len(value), 200_000):
+        own = owner[lo : lo + 200_000]
+        cols = [value[lo : lo + 200_000].view("<i8"), cid[own], n[own]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "cid", "n"])
 
 
-def _prefixes(batches):
-    """Rows of a class next to each other -> (h, cid, n) for the shared shingles of its prefix."""
+#: A class and those it may link with: their ids, sizes and components.
+PAIRS = "x long, nx long, ys array<long>, ns array<long>, cs array<long>"
+CELL = f"cell long, {PAIRS}, cids binary, sizes binary, hashes binary"
+_LONGS = pa.list_(pa.int64())
+_PAIRS = [("x", pa.int64()), ("nx", pa.int64()), ("ys", _LONGS), ("ns", _LONGS), ("cs", _LONGS)]
 
-    def prefix(cid, n, parts):
-        value = np.concatenate([np.frombuffer(v, "<u8") for v, _ in parts])
-        df = np.concatenate([np.frombuffer(d, "<u4") for _, d in parts])
-        left = n - (3 * n + 3) // 4 + 1 - (n - len(value))  # shingles no other class holds come first
-        if left <= 0:
-            return None
-        own = value[np.lexsort((value, df))[:left]]
-        return own.view("<i8"), np.full(len(own), cid), np.full(len(own), n)
 
-    def batch_of(found):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["h", "cid", "n"])
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Consecutive slices of values that end at ``ends``."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values, pa.int64()))
+
+
+def _flat(column) -> np.ndarray:
+    """All values of a column of lists, one after the other."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False)
 
-    now, parts, out = None, [], []
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if now != row[:2]:
-                if parts and (p := prefix(*now, parts)):
-                    out.append(p)
-                now, parts = row[:2], []
-                if len(out) >= 1000:
-                    yield batch_of(out)
-                    out = []
-            parts.append(row[2:])
-    if parts and (p := prefix(*now, parts)):
-        out.append(p)
-    if out:
-        yield batch_of(out)
+
+def _unpack(rows) -> tuple[np.ndarray, ...]:
+    """(row number, y, ny, component) of every pair of rows with the PAIRS columns."""
+    n = pa.compute.list_value_length(rows.column("ys")).to_numpy(zero_copy_only=False).astype(np.int64)
+    return (np.repeat(np.arange(rows.num_rows), n), *(_flat(rows.column(k)) for k in ("ys", "ns", "cs")))
+
+
+def _by_class(x, nx, columns) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """Pairs in order of x -> one row for each x with lists of the other columns."""
+    at = _runs(x)
+    ends = np.append(at[1:], len(x)) if len(x) else np.zeros(0, np.int64)
+    return x[at], nx[at], [_lists(c, ends) for c in columns]
 
 
 def _cells(batches):
-    """Step 4: (cid, bucket, hashes) batches to segments, a row for each class, bucket and fragment."""
-    for batch in batches:
+    """Step 4: (cid, bucket, hashes) batches to blocks of segments, a row for each batch and cell."""
+
+    def send(cells):
         cols = [[], [], [], []]
+        for cell, own in sorted(cells.items()):
+            cids, sizes = (np.array(c, "<i8").tobytes() for c in zip(*((c, len(h)) for c, h in own), strict=True))
+            for col, v in zip(cols, (cell, cids, sizes, np.concatenate([h for _, h in own]).tobytes()), strict=True):
+                col.append(v)
+        n = len(cols[0])
+        arrays = [pa.array(cols[0], pa.int64()), *(pa.nulls(n, t) for _, t in _PAIRS), *(pa.array(c, pa.binary()) for c in cols[1:])]
+        return pa.RecordBatch.from_arrays(arrays, names=["cell", *(k for k, _ in _PAIRS), "cids", "sizes", "hashes"])
+
+    cells, size = {}, 0
+    for batch in batches:
         for cid, bucket, raw in zip(*(batch.column(k) for k in range(3)), strict=True):
             hashes = np.frombuffer(raw.as_buffer(), "<u8")
             for f, a, b in _slices(hashes, FRAGMENTS):
-                for c, v in zip(cols, (bucket.as_py() * FRAGMENTS + f, cid.as_py(), None, hashes[a:b].tobytes()), strict=True):
-                    c.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["cell", "x", "y", "hashes"])
+                cells.setdefault(bucket.as_py() * FRAGMENTS + f, []).append((cid.as_py(), hashes[a:b]))
+            size += len(hashes)
+            if size >= BATCH:
+                yield send(cells)
+                cells, size = {}, 0
+    if cells:
+        yield send(cells)
 
 
 def _overlaps(group: pa.Table) -> pa.Table:
-    """Partial overlaps of a cell's pairs (rows without hashes) from its segments (rows with)."""
+    """Partial overlaps of a cell's pairs (rows without blocks) from its segments (rows with)."""
     is_pair = group.column("hashes").is_null()
-    pairs, segments = group.filter(is_pair), group.filter(pa.compute.invert(is_pair))
-    x, y = (pairs.column(k).to_numpy() for k in ("x", "y"))
+    pairs, blocks = group.filter(is_pair), group.filter(pa.compute.invert(is_pair))
+    row, y, ny, comp = _unpack(pairs)
+    x, nx = (pairs.column(k).to_numpy()[row] for k in ("x", "nx"))
     total = np.zeros(len(x), np.int64)
-    if segments.num_rows and len(x):
-        cid = segments.column("x").to_numpy()
-        raws = [r.as_buffer() for r in segments.column("hashes")]
-        length = np.array([r.size // 8 for r in raws])
-        _, token = np.unique(np.concatenate([np.frombuffer(r, "<u8") for r in raws]), return_inverse=True)
+    if blocks.num_rows and len(x):
+        read = lambda k, t: np.concatenate([np.frombuffer(r.as_buffer(), t) for r in blocks.column(k)])
+        cid, length = read("cids", "<i8"), read("sizes", "<i8")
+        _, token = np.unique(read("hashes", "<u8"), return_inverse=True)
         width = int(token.max()) + 1
         order = np.argsort(cid, kind="stable")
         cid_sorted = cid[order]
@@ -376,7 +419,7 @@ def _overlaps(group: pa.Table) -> pa.Table:
         both = np.flatnonzero((a >= 0) & (b >= 0))
         swap = length[a[both]] > length[b[both]]
         a, b = np.where(swap, b[both], a[both]), np.where(swap, a[both], b[both])
-        steps = np.cumsum(length[a]) // 2_000_000
+        steps = np.cumsum(length[a]) // 1_000_000
         for k in np.unique(steps):
             own = np.flatnonzero(steps == k)
             n = length[a[own]]
@@ -384,28 +427,170 @@ def _overlaps(group: pa.Table) -> pa.Table:
             want = np.repeat(b[own], n) * width + token[np.repeat(start[a[own]], n) + inside]
             at = np.minimum(np.searchsorted(pool, want), len(pool) - 1)
             total[both[own]] = np.bincount(np.repeat(np.arange(len(own)), n), pool[at] == want, len(own)).astype(np.int64)
-    keep = total > 0
-    return pa.table({"x": x[keep], "y": y[keep], "part": total[keep]})
-
-
-def verified(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
-    """(x, y) of the ``pairs`` whose sets link. ``pairs``: x, y, nx, ny; ``sets``: cid, n, hashes."""
-    spark = pairs.sparkSession
-    buckets = max(1, -(-shuffle_parts(spark) // FRAGMENTS))
-    # the pairs of a small class y, the hub of its shingles, stay together
-    dealt = pairs.withColumn("bucket", F.pmod(F.xxhash64("y"), F.lit(buckets)))
-    need = dealt.select(F.col("x").alias("cid"), "bucket").unionByName(dealt.select(F.col("y").alias("cid"), "bucket")).distinct()
-    segments = (
-        sets.select("cid", "hashes").join(need, "cid").select("cid", "bucket", "hashes")
-        .mapInArrow(_cells, "cell long, x long, y long, hashes binary")
-    )
-    asked = dealt.select(
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: F.col("bucket") * FRAGMENTS + f)).alias("cell"),
-        "x", "y", F.lit(None).cast("binary").alias("hashes"),
+    keep = np.flatnonzero(total > 0)
+    keep = keep[np.argsort(x[keep], kind="stable")]
+    xs, nxs, lists = _by_class(x[keep], nx[keep], (y[keep], ny[keep], comp[keep], total[keep]))
+    return pa.table({"x": xs, "nx": nxs, **dict(zip(("ys", "ns", "cs", "parts"), lists, strict=True))})
+
+
+def _summed(batches):
+    """Partial overlaps, all of a class in one partition -> (x, y) of the links; one for each component of y."""
+    found = [b for b in batches if b.num_rows]
+    if not found:
+        return
+    rows = pa.Table.from_batches(found)
+    row, y, ny, comp = _unpack(rows)
+    x, nx, part = rows.column("x").to_numpy()[row], rows.column("nx").to_numpy()[row], _flat(rows.column("parts"))
+    order = np.lexsort((y, x))
+    x, y, nx, ny, comp, part = (c[order] for c in (x, y, nx, ny, comp, part))
+    at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+    shared = np.add.reduceat(part, at)
+    at = at[7 * shared >= 3 * (nx[at] + ny[at])]
+    x, y, comp = x[at], y[at], comp[at]
+    order = np.lexsort((y, comp, x))
+    x, y, comp = x[order], y[order], comp[order]
+    first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (comp[1:] != comp[:-1])))) if len(x) else np.zeros(0, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first])], names=["x", "y"])
+
+
+def _needed(buckets: int):
+    """The classes each bucket needs the segments of, once for each batch."""
+
+    def run(batches):
+        for batch in batches:
+            row, y, _, _ = _unpack(batch)
+            x, bucket = batch.column("x").to_numpy(), batch.column("bucket").to_numpy()
+            pairs = np.unique(np.stack([np.concatenate([x, y]), np.concatenate([bucket, bucket[row]])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["cid", "bucket"])
+
+    return run
+
+
+def verified(pairs: DataFrame, sets: DataFrame, parts: int, path: str) -> DataFrame:
+    """(x, y) of links among the ``pairs`` (PAIRS): of a class with each component, one of those there are.
+
+    sets: cid, n, hashes.
+    """
+    tokens = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-tokens // (FRAGMENTS * BATCH)))
+    dealt = pairs.withColumn("bucket", F.pmod(F.xxhash64("x"), F.lit(buckets)))
+    need = dealt.mapInArrow(_needed(buckets), "cid long, bucket long").distinct()
+    segments = sets.select("cid", "hashes").join(need, "cid").select("cid", "bucket", "hashes").mapInArrow(_cells, CELL)
+    cells = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: F.col("bucket") * FRAGMENTS + f)
+    none = [F.lit(None).cast("binary").alias(k) for k in ("cids", "sizes", "hashes")]
+    asked = dealt.select(F.explode(cells).alias("cell"), *(k for k, _ in _PAIRS), *none)
+    sums = segments.unionByName(asked).groupBy("cell").applyInArrow(_overlaps, f"{PAIRS}, parts array<long>")
+    return stored(sums.repartition(parts, "x").mapInArrow(_summed, "x long, y long"), path)
+
+
+def _inside(nx, ny):
+    """How many shared shingles of two sets that link are in both their prefixes at least.
+
+    Sets that link share at least o = ceil(3/7 (nx + ny)) shingles, so each has at most n - o others.
+    The c-th shared shingle is then at place c - 1 + n - o at the latest, which is inside the prefix
+    of length p for c <= p - (n - o).
+    """
+    need = -(-3 * (nx + ny) // 7)
+    return np.minimum(nx - (3 * nx + 3) // 4 + 1 - (nx - need), ny - (3 * ny + 3) // 4 + 1 - (ny - need))
+
+
+def _hub_pairs(named: DataFrame, r: int, path: str) -> DataFrame:
+    """PAIRS: each class with HUBS others that it shares most prefix shingles with, among the hubs of these.
+
+    named: h, cid, n, component and its number of members. The hubs of a shingle are the classes
+    that come first in HUBS orders by a hash, other ones each round r, so those of a group of
+    copies are the same for most of its shingles. The pairs grow with the classes.
+    """
+    firsts = [F.min(F.struct(F.xxhash64("cid", F.lit(HUBS * r + k)).alias("o"), "cid", "n", "component", "members")) for k in range(HUBS)]
+    hubs = named.groupBy("h").agg(F.count("*").alias("k"), *[f.alias(f"h{k}") for k, f in enumerate(firsts)]).where("k > 1")
+    ids = F.array_distinct(F.array(*[F.struct(f"h{k}.cid", f"h{k}.n", f"h{k}.component", f"h{k}.members") for k in range(HUBS)]))
+    hubs = hubs.select("h", F.explode(ids).alias("hub")).select(
+        "h", F.col("hub.cid").alias("y"), F.col("hub.n").alias("ny"), F.col("hub.component").alias("other"), F.col("hub.members").alias("others")
     )
-    parts = segments.unionByName(asked).groupBy("cell").applyInArrow(_overlaps, "x long, y long, part long")
-    sums = parts.groupBy("x", "y").agg(F.sum("part").alias("shared"))
-    return stored(sums.join(pairs, ["x", "y"]).where(7 * F.col("shared") >= 3 * (F.col("nx") + F.col("ny"))).select("x", "y"), path)
+    fits = 4 * F.least("n", "ny") >= 3 * F.greatest("n", "ny")
+    # a class of the smaller component looks for one of the larger
+    apart = F.expr("members < others or members = others and component < other")
+    pairs = named.join(stored(hubs, path), "h").where(apart & fits).groupBy(F.col("cid").alias("x"), F.col("n").alias("nx"), "y", "ny", "other").agg(F.count("*").alias("m"))
+    best = Window.partitionBy("x").orderBy(F.desc("m"), "y")
+    pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
+    lists = pairs.groupBy("x", "nx").agg(F.collect_list(F.struct("y", "ny", "other")).alias("all"))
+    return lists.select("x", "nx", *[F.col(f"all.{k}").alias(to) for k, to in (("y", "ys"), ("ny", "ns"), ("other", "cs"))])
+
+
+def _match(batches):
+    """(h, a, b, side, cid, n, component, members) of whole cells -> PAIRS and the shared prefix shingles ``ms``.
+
+    In a cell every x of a smaller component meets every y of a larger one; counts are summed
+    before they are sent.
+    """
+
+    def send(found):
+        x, nx, y, ny, comp = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((y, x))
+        x, nx, y, ny, comp = (c[order] for c in (x, nx, y, ny, comp))
+        at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        m = np.diff(np.append(at, len(x)))
+        xs, nxs, lists = _by_class(x[at], nx[at], (y[at], ny[at], comp[at], m))
+        return pa.RecordBatch.from_arrays([pa.array(xs), pa.array(nxs), *lists], names=["x", "nx", "ys", "ns", "cs", "ms"])
+
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    table = pa.Table.from_batches(rows)
+    h, a, b, side, cid, n, comp, members = (table.column(k).to_numpy() for k in range(8))
+    order = np.lexsort((cid, side, b, a, h))
+    h, a, b, side, cid, n, comp, members = (c[order] for c in (h, a, b, side, cid, n, comp, members))
+    new = (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(np.concatenate(([True], new)))
+    found, size = [], 0
+    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(h)], strict=True):
+        mid = lo + int(np.searchsorted(side[lo:hi], 1))
+        for start in range(lo, mid, 1000):
+            xs, ys = slice(start, min(start + 1000, mid)), slice(mid, hi)
+            less = members[xs, None] < members[None, ys]
+            less |= (members[xs, None] == members[None, ys]) & (comp[xs, None] < comp[None, ys])
+            less &= 4 * np.minimum(n[xs, None], n[None, ys]) >= 3 * np.maximum(n[xs, None], n[None, ys])
+            i, j = np.nonzero(less)
+            i, j = i + start, j + mid
+            found.append((cid[i], n[i], cid[j], n[j], comp[j]))
+            size += len(i)
+            if size >= BATCH:
+                yield send(found)
+                found, size = [], 0
+    if size:
+        yield send(found)
+
+
+def _chosen(batches):
+    """All counts of a class in one partition -> PAIRS with enough shared prefix shingles."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    table = pa.Table.from_batches(rows)
+    row, y, ny, comp = _unpack(table)
+    x, nx, m = table.column("x").to_numpy()[row], table.column("nx").to_numpy()[row], _flat(table.column("ms"))
+    order = np.lexsort((y, x))
+    x, nx, y, ny, comp, m = (c[order] for c in (x, nx, y, ny, comp, m))
+    at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+    m = np.add.reduceat(m, at)
+    at = at[m >= _inside(nx[at], ny[at])]
+    xs, nxs, lists = _by_class(x[at], nx[at], (y[at], ny[at], comp[at]))
+    yield pa.RecordBatch.from_arrays([pa.array(xs), pa.array(nxs), *lists], names=[k for k, _ in _PAIRS])
+
+
+def _across(named: DataFrame, parts: int) -> DataFrame:
+    """PAIRS: every pair of classes of different components that shares as many prefix shingles as links do.
+
+    named: h, cid, n, component, members, k (the classes with that shingle). The classes of a
+    shingle are cut into groups of at most CROWD by a hash, and every two groups are one cell.
+    """
+    named = named.withColumn("s", F.ceil(F.col("k") / CROWD))
+    salt, each = F.pmod(F.xxhash64("cid"), F.col("s")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1))
+    rest = ["cid", "n", "component", "members"]
+    x = named.select("h", salt.alias("a"), each.alias("b"), F.lit(0).alias("side"), *rest)
+    y = named.select("h", each.alias("a"), salt.alias("b"), F.lit(1).alias("side"), *rest)
+    matched = x.unionByName(y.select(*x.columns)).repartition(parts, "h", "a", "b").mapInArrow(_match, f"{PAIRS}, ms array<long>")
+    return matched.repartition(parts, "x").mapInArrow(_chosen, PAIRS)
 
 
 def link_rows(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -413,6 +598,11 @@ def link_rows(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     key: of the row's set; component: a name of its group, null for a row without a set.
     """
+    with small_batches(docs.sparkSession):
+        return _link_rows(docs, parts)
+
+
+def _link_rows(docs: DataFrame, parts: int | None) -> DataFrame:
     spark = docs.sparkSession
     work = shared_dir(spark, "ngrams")
     parts = parts or shuffle_parts(spark)
@@ -441,42 +631,28 @@ def link_rows(docs: DataFrame, parts: int | None = None) -> DataFrame:
         sets.select("cid", "n", "hashes")
         .mapInArrow(_segments(parts), BLOCK)
         .repartitionById(parts, F.col("dst"))
-        .mapInArrow(_frequencies, "cid long, n long, hashes binary, df binary")
-        .repartition(parts, "cid")
-        .sortWithinPartitions("cid")
+        .mapInArrow(_frequencies(parts), BLOCK)
+        .repartitionById(parts, F.col("dst"))
         .mapInArrow(_prefixes, "h long, cid long, n long"),
         f"{work}/prefixes",
     )
-    fits = 4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny")
-    hubs = stored(
-        prefixes.groupBy("h").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1")
-        .select("h", F.col("hub.cid").alias("y"), F.col("hub.n").alias("ny")),
-        f"{work}/hubs",
-    )
-    near = prefixes.join(hubs, "h").where("cid != y").select(F.col("cid").alias("x"), "y", F.col("n").alias("nx"), "ny")
-    near = stored(near.where(fits).distinct(), f"{work}/near")
-    links = verified(near, sets, f"{work}/links")
-    comps = stored(connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), f"{work}/near_components")
-
-    named = stored(
-        prefixes.join(comps.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn(
-            "component", F.coalesce("component", "cid")
-        ),
-        f"{work}/named",
-    )
-    mixed = stored(
-        named.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("h"), f"{work}/mixed"
-    )
-    left = stored(named.join(mixed, "h", "left_semi"), f"{work}/left")
-    right = left.select("h", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("component").alias("other"))
-    across = (
-        left.join(right, "h").where("component < other")
-        .select(F.col("cid").alias("x"), "y", F.col("n").alias("nx"), "ny").where(fits)
-        .distinct()
-    )
-    done = near.select("x", "y").unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    across = stored(across.join(done, ["x", "y"], "left_anti"), f"{work}/across")
-    more = verified(across, sets, f"{work}/more_links")
+    links, named = None, prefixes.withColumns({"component": F.col("cid"), "members": F.lit(1).cast("long")})
+    for r in range(ROUNDS):
+        near = stored(_hub_pairs(named, r, f"{work}/hubs{r}"), f"{work}/near{r}")
+        good = verified(near, sets, parts, f"{work}/links{r}")
+        links = good if r == 0 else links.unionByName(good)
+        comps = stored(connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), f"{work}/components{r}")
+        sized = stored(comps.join(comps.groupBy("component").agg(F.count("*").alias("members")), "component"), f"{work}/sized{r}")
+        # only shingles whose classes are in several components can join any
+        own = prefixes if r == 0 else named.select("h", "cid", "n")
+        own = own.join(sized.select(F.col("node").alias("cid"), "component", "members"), "cid", "left")
+        own = stored(
+            own.withColumns({"component": F.coalesce("component", "cid"), "members": F.coalesce("members", F.lit(1))}), f"{work}/named{r}"
+        )
+        mixed = own.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("k")).where("a < b").select("h", "k")
+        named = stored(own.join(stored(mixed, f"{work}/mixed{r}"), "h"), f"{work}/left{r}")
+    across = stored(_across(named, parts), f"{work}/across")
+    more = verified(across, sets, parts, f"{work}/more_links")
     comps = connected_components(
         links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v"))
     )
