@@ -71,11 +71,14 @@ def kind_of(v: Column) -> Column:
 def parse_claims(responses: DataFrame) -> DataFrame:
     """question_id, problem, claims (array of variants, unchecked) of (question_id, raw); null raw counts as empty."""
     raw = F.coalesce("raw", F.lit(""))
-    rows = responses.withColumn("source", strip_fence(raw)).withColumn("parsed", strict_json(F.col("source")))
     claims = F.when(
         (kind_of(F.col("parsed")) == "OBJECT") & (kind_of(F.try_variant_get("parsed", "$.claims", "variant")) == "ARRAY"),
         F.try_variant_get("parsed", "$.claims", "array<variant>"),
     )
+    # unnested from arrays: a filter on the result, moved below, must not repeat the parse for each use
+    rows = responses.select("question_id", "raw", F.explode(F.array(strip_fence(raw))).alias("source"))
+    rows = rows.select("*", F.explode(F.array(strict_json(F.col("source")))).alias("parsed"))
+    rows = rows.select("*", F.explode(F.array(claims)).alias("claims"))
     told = F.concat(F.lit("; raw response: "), snippet(raw, 200))
     problem = (
         F.when(F.col("source") == "", "the generator returned nothing")
@@ -83,12 +86,12 @@ def parse_claims(responses: DataFrame) -> DataFrame:
         .when(kind_of(F.col("parsed")) != "OBJECT", F.concat(F.lit("the response is no object"), told))
         .when(F.col("claims").isNull(), F.concat(F.lit("the response has no list of claims"), told))
     )
-    return rows.withColumn("claims", claims).select("question_id", problem.alias("problem"), "claims")
+    return rows.select("question_id", problem.alias("problem"), "claims")
 
 
 def claim_rows(parsed: DataFrame) -> DataFrame:
     """One row for each claim of the parsed responses: question_id, pos and the typed claim columns."""
-    rows = parsed.where("problem is null").select("question_id", F.posexplode("claims").alias("pos", "claim"))
+    rows = parsed.where("claims is not null").select("question_id", F.posexplode("claims").alias("pos", "claim"))
     return typed_claims(rows)
 
 
@@ -110,14 +113,15 @@ def typed_claims(rows: DataFrame) -> DataFrame:
             & is_string(F.try_variant_get(q, "$.quote", "variant")),
         )
     )
-    good = F.coalesce(good, F.lit(False))
     quote = lambda q: F.struct(F.try_variant_get(q, "$.chunkId", "string").alias("chunkId"), F.try_variant_get(q, "$.quote", "string").alias("quote"))
-    return rows.withColumn("well_formed", good).select(
-        "question_id",
-        "pos",
-        "well_formed",
-        F.when(F.col("well_formed"), get("$.text", "string")).alias("text"),
-        F.when(F.col("well_formed"), get("$.status", "string")).alias("status"),
-        F.when(F.col("well_formed"), get("$.citations", "array<string>")).alias("citations"),
-        F.when(F.col("well_formed"), F.transform(quotes, quote)).alias("quotes"),
-    )
+    fields = {
+        "well_formed": (F.lit(True), "boolean"),
+        "text": (get("$.text", "string"), "string"),
+        "status": (get("$.status", "string"), "string"),
+        "citations": (get("$.citations", "array<string>"), "array<string>"),
+        "quotes": (F.transform(quotes, quote), "array<struct<chunkId:string,quote:string>>"),
+    }
+    right = F.struct(*[c.cast(t).alias(k) for k, (c, t) in fields.items()])
+    wrong = F.struct(*[F.lit(None if k != "well_formed" else False).cast(t).alias(k) for k, (_, t) in fields.items()])
+    # unnested from an array, so that later uses of a field don't repeat the checks
+    return rows.select("question_id", "pos", F.inline(F.array(F.when(good, right).otherwise(wrong))))
