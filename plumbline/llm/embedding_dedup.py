@@ -92,7 +92,10 @@ def _pack(group: pa.Table) -> pa.Table:
     vectors = group.column("vector").combine_chunks()
     vectors = pa.concat_arrays(vectors.chunks) if isinstance(vectors, pa.ChunkedArray) else vectors
     keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
-    raw = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+    exact = vectors.flatten().to_numpy(zero_copy_only=False)
+    single = exact.astype("<f4")
+    # half the bytes where nothing is lost, as with vectors that were given in single precision
+    raw = (single if (single == exact).all() else exact.astype("<f8")).tobytes()
     size = group.column("size").to_numpy().astype("<i8").tobytes()
     return pa.table(
         {
@@ -113,7 +116,8 @@ def _tile(threshold: float):
         if not rows:
             return pa.table({"key": pa.array([], pa.string()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.string())})
         dim = rows[0]["dim"]
-        own = [np.frombuffer(r["vectors"], "<f8").reshape(-1, dim) for r in rows]
+        kinds = [f"<f{len(r['vectors']) // (dim * len(r['keys']))}" for r in rows]
+        own = [np.frombuffer(r["vectors"], k).astype(np.float64).reshape(-1, dim) for r, k in zip(rows, kinds, strict=True)]
         size = np.concatenate([np.frombuffer(r["sizes"], "<i8") for r in rows])
         keys = [k for r in rows for k in r["keys"]]
         i, j = links_of_tile(own[0], own[1] if len(own) > 1 else None, threshold)
