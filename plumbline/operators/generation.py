@@ -32,10 +32,10 @@ def render_prompts(shown: DataFrame) -> DataFrame:
         ).alias("body"),
     )
     rows = shown.groupBy("question_id", "question").agg(F.array_sort(F.collect_list(line)).alias("all"))
-    block = lambda x, i: F.concat(F.lit("--- chunk "), (i + 1).cast("string"), F.lit(" of "), F.size("all").cast("string"), F.lit(" ---\n"), x["body"])
+    block = lambda x, i: F.concat(F.lit("[passage "), (i + 1).cast("string"), F.lit("/"), F.size("all").cast("string"), F.lit("]\n"), x["body"])
     user = F.concat(
-        F.lit("Question: "), "question", F.lit("\n\nRetrieved chunks ("), F.size("all").cast("string"),
-        F.lit("). Cite by the exact chunkId shown.\n\n"), F.array_join(F.transform("all", block), "\n\n"),
+        F.lit("Question: "), "question", F.lit("\n\nPassages, "), F.size("all").cast("string"),
+        F.lit(" in all, each cited by its chunkId:\n\n"), F.array_join(F.transform("all", block), "\n\n"),
     )
     return rows.select("question_id", F.lit(SYSTEM_PROMPT).alias("system"), user.alias("user"))
 

@@ -37,9 +37,9 @@ def usd(x: float) -> str:
 def usage_report(steps: list[dict], total: dict) -> str:
     """steps: dicts with label, the counters and cost_usd; the first is the index build."""
     cells = lambda r: [r["label"], *(str(r[k]) for k in ("embedding_tokens", "input_tokens", "output_tokens", "latency_ms")), usd(r["cost_usd"])]
-    head = ["QUESTION", "EMBED TOK", "GEN IN", "GEN OUT", "LATENCY MS", "COST"]
+    head = ["QUESTION", "EMBEDDED", "PROMPTED", "GENERATED", "MS", "USD"]
     rows = _table(head, [*map(cells, steps), cells(total | {"label": "TOTAL"})], {0})
-    return "\n".join(["USAGE AND COST", "", *rows[:-1], rows[1], rows[-1], "", f"  prices as of {PRICES_AS_OF}"])
+    return "\n".join(["USAGE", "", *rows[:-1], rows[1], rows[-1], "", f"  prices as of {PRICES_AS_OF}"])
 
 
 def gate_report(scores: DataFrame, categories: DataFrame, usage: str | None = None) -> str:
@@ -52,7 +52,7 @@ def gate_report(scores: DataFrame, categories: DataFrame, usage: str | None = No
     if heads:
         out.append("\n".join([f"HEADLINE FAILURES: {len(heads)}", "", *(f"  {i}. [{r['failure']}] {r['id']}: {r['note']}" for i, r in enumerate(heads, 1))]))
     lines = [[("PASS" if r["passed"] else "HEADLINE" if r["headline"] else "FAIL"), r["id"], GATE[r["category"]][0], r["note"]] for r in rows]
-    out.append("\n".join(_table(["STATUS", "QUESTION", "CATEGORY", "WHAT HAPPENED"], lines, {0, 1, 2, 3})))
+    out.append("\n".join(_table(["STATUS", "QUESTION", "CATEGORY", "NOTE"], lines, {0, 1, 2, 3})))
     out.append("\n".join(["GATE", "", *(f"  {g['label']:<26} {g['passed']}/{g['total']}  {g['rate']:.1%} of {g['threshold']:.1%} required: {'MET' if g['met'] else 'NOT MET'}" for g in gates)]))
     if failed:
         out.append("\n".join([f"VIOLATIONS: {len(failed)}", "", *(f"  {i}. {r['id']} [{r['failure']}] {r['note']}" for i, r in enumerate(failed, 1))]))
@@ -66,7 +66,7 @@ def gate_report(scores: DataFrame, categories: DataFrame, usage: str | None = No
 def calibration_report(sides: list, separation, lowest: list, highest: list, refused: list, floor: float) -> str:
     """sides: rows of ``distribution``; separation: its row; the others: rows of samples."""
     show = lambda x: "n/a" if x is None or x != x else f"{x:.4f}"
-    out = ["SIMILARITY CALIBRATION", ""]
+    out = ["CALIBRATION OF THE FLOOR", ""]
     for r in sorted(sides, key=lambda r: not r["correct"]):
         stats = "  ".join(f"{k} {show(r[k])}" for k in ("min", "p05", "median", "p95", "max", "mean"))
         out.append(f"  {'correct' if r['correct'] else 'wrong':<8} n={r['n']:<6} {stats}")

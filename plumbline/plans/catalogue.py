@@ -286,8 +286,8 @@ def _shown(spark, d, floor) -> DataFrame:
 @_query(f"""
 WITH {_SCORES},
 b AS (SELECT question_id, rank, count(*) OVER (PARTITION BY question_id) AS n, vec_id, label, chunk_id, score FROM h WHERE score >= 0.3)
-SELECT question_id, md5('Question: What is like vector ' || question_id || '?' || chr(10) || chr(10) || 'Retrieved chunks (' || max(n) || '). Cite by the exact chunkId shown.'
-  || chr(10) || chr(10) || string_agg('--- chunk ' || rank || ' of ' || n || ' ---' || chr(10) || 'chunkId: ' || chunk_id || chr(10) || 'document: Vector ' || vec_id
+SELECT question_id, md5('Question: What is like vector ' || question_id || '?' || chr(10) || chr(10) || 'Passages, ' || max(n) || ' in all, each cited by its chunkId:'
+  || chr(10) || chr(10) || string_agg('[passage ' || rank || '/' || n || ']' || chr(10) || 'chunkId: ' || chunk_id || chr(10) || 'document: Vector ' || vec_id
   || ' (vector, version 1.0, effective 2024-01-01)' || chr(10) || 'section: Label ' || label || chr(10) || 'similarity: ' || printf('%.4f', score) || chr(10) || 'text:' || chr(10)
   || 'The group of the store holds ' || vec_id || ' items.', chr(10) || chr(10) ORDER BY rank)) AS digest
 FROM b GROUP BY question_id

@@ -279,7 +279,7 @@ def test_command_line(spark, folder, tmp_path, generator, code):
     assert (results / "eval-latest.json").exists() == (code < 2)
     if code == 0:
         assert json.loads((results / "eval-latest.json").read_text())["verdict"] == "PASS"
-        assert cli.main(cli.Options(["--calibrate"], **options)) == 0 and "SIMILARITY CALIBRATION" in out[-1]
+        assert cli.main(cli.Options(["--calibrate"], **options)) == 0 and "CALIBRATION" in out[-1]
     assert cli.main(cli.Options(["--what"], **options)) == 2
     assert cli.main(cli.Options([], **options)) == 2  # no generator is named
     assert cli.main(cli.Options(["--help"], **options)) == 0
