@@ -15,7 +15,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import answer, calibrate, evaluate, report, retrieve
+from plumbline.operators import answer, calibrate, evaluate, report, retrieve, usage
 from plumbline.policy import DEFAULT_K, SIMILARITY_FLOOR
 from plumbline.sources import corpus, environment, models
 
@@ -58,7 +58,7 @@ def _load(name: str):
 
 
 def _index(chunks: DataFrame, embedder: models.Embed) -> DataFrame:
-    rows = models.embed(chunks, "text", embedder, "document").withColumn("chunk_id", F.col("chunkId")).persist()
+    rows = models.embed_with_usage(chunks, "text", embedder, "document").withColumn("chunk_id", F.col("chunkId")).persist()
     retrieve.check_dimension(rows)
     return rows
 
@@ -84,16 +84,23 @@ def main(o: Options) -> int:
         questions = evaluate.load_question_set(spark, o.questions).persist()
         chunks = corpus.load_corpus(spark, o.corpus or os.path.join(os.path.dirname(o.questions) or ".", "corpus")).drop("pos")
         index = _index(chunks, embedder)
-        asked = models.embed(questions.withColumn("question_id", F.col("pos").cast("long")), "question", embedder, "query").withColumnRenamed("vector", "query").persist()
+        asked = models.embed_with_usage(questions.withColumn("question_id", F.col("pos").cast("long")), "question", embedder, "query").withColumnRenamed("vector", "query").persist()
         if calibrating:
             return _calibrate(o, asked, index)
-        results = answer.answer_questions(asked.select("question_id", "question", "query"), index, generator, o.k, o.floor).persist()
+        results = answer.answer_questions(asked.select("question_id", "question", "query"), index.drop("embedding_tokens", "embedding_ms"), generator, o.k, o.floor).persist()
         scores = evaluate.score(asked, results).persist()
         categories = evaluate.gate(scores).persist()
-        text = report.gate_report(scores, categories)
+        steps, told = None, None
+        if hasattr(embedder, "with_usage") or hasattr(generator, "with_usage"):
+            found = usage.of_run(index, asked, results).persist()
+            names = {r["question_id"]: r["id"] for r in asked.select("question_id", "id").collect()}
+            steps = [r.asDict() | {"label": names.get(r["question_id"], "(index build)")} for r in found.orderBy("pos").collect()]
+            steps = {"steps": steps, "totals": usage.totals(found.drop("cost_usd")).first().asDict()}
+            told = report.usage_report(steps["steps"], steps["totals"])
+        text = report.gate_report(scores, categories, told)
         moment = o.now()
         run = {"generatedAt": moment, "chunkCount": index.count(), "k": o.k, "threshold": o.floor}
-        artifact = report.gate_artifact(scores, categories, run)
+        artifact = report.gate_artifact(scores, categories, run, steps)
     except Exception as e:  # a partial run reports nothing and writes nothing
         o.out(f"the run failed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
         return SETUP_ERROR

@@ -24,7 +24,7 @@ def decide(n_above: Column, problem: Column, n_claims: Column, n_verified: Colum
 def answer_questions(
     questions: DataFrame, index: DataFrame, generator: Generate, k: int = DEFAULT_K, floor: float = SIMILARITY_FLOOR, store=None
 ) -> DataFrame:
-    """One row for each question: kind, reason, detail, claims, rejected, retrieved, near_misses.
+    """One row for each question: kind, reason, detail, claims, rejected, retrieved, near_misses, tokens and ms used.
 
     questions: question_id, question, query. index: the chunk columns, chunk_id and vector. Only
     questions with a chunk above the floor reach the generator, and each of them once: ``store``
@@ -54,8 +54,9 @@ def answer_questions(
         F.count_if(F.col("reason").isNull()).alias("n_verified"),
         F.array_sort(F.collect_list(claim), lambda a, b: a["pos"] - b["pos"]).alias("all"),
     )
+    used = raw.drop("raw")
     rows = (
-        questions.select("question_id", "question").join(sides, "question_id", "left").join(parsed.select("question_id", "problem"), "question_id", "left")
+        questions.select("question_id", "question").join(used, "question_id", "left").join(sides, "question_id", "left").join(parsed.select("question_id", "problem"), "question_id", "left")
         .join(told, "question_id", "left").join(clash, "question_id", "left")
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -96,5 +97,6 @@ def answer_questions(
             F.when(answered, rejected).alias("rejected"),
             F.when(answered, F.col("retrieved")).alias("retrieved"),
             F.when(~answered, F.col("near_misses")).alias("near_misses"),
+            *[zero(F.col(c)).alias(c) for c in ("input_tokens", "output_tokens", "generation_ms")],
         )
     )

@@ -33,3 +33,21 @@ def deltas(snapshots: DataFrame, key: str = "run_id") -> DataFrame:
 def totals(usage: DataFrame, key: str = "run_id") -> DataFrame:
     """Summed counters, and the cost of the sums."""
     return with_cost(usage.groupBy(key).agg(*[F.sum(c).alias(c) for c in COUNTERS]))
+
+
+def of_run(indexing: DataFrame, asked: DataFrame, results: DataFrame) -> DataFrame:
+    """run_id, pos, question_id, COUNTERS and cost of the index build (pos -1) and of each question.
+
+    indexing and asked: of embed_with_usage; asked has pos and question_id. results: of
+    answer_questions.
+    """
+    zero = F.lit(0).cast("long")
+    build = indexing.agg(
+        F.coalesce(F.sum("embedding_tokens"), zero).alias("embedding_tokens"), zero.alias("input_tokens"), zero.alias("output_tokens"),
+        F.coalesce(F.sum("embedding_ms"), zero).alias("latency_ms"),
+    ).select(F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("long").alias("question_id"), *COUNTERS)
+    each = asked.select(F.col("pos").cast("long").alias("pos"), "question_id", "embedding_tokens", "embedding_ms").join(
+        results.select("question_id", "input_tokens", "output_tokens", "generation_ms"), "question_id"
+    )
+    each = each.withColumn("latency_ms", F.col("embedding_ms") + F.col("generation_ms")).select("pos", "question_id", *COUNTERS)
+    return with_cost(build.unionByName(each)).withColumn("run_id", F.lit("run"))

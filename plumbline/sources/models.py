@@ -123,16 +123,44 @@ def embed(rows: DataFrame, text: str, embedder: Embed, kind: str) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
+def embed_with_usage(rows: DataFrame, text: str, embedder: Embed, kind: str) -> DataFrame:
+    """``embed`` with the tokens and ms of each call on its first row, 0 on the others.
+
+    An embedder without ``with_usage`` counts as using nothing.
+    """
+    import pyspark.sql.types as T
+
+    more = [T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("embedding_tokens", T.LongType()), T.StructField("embedding_ms", T.LongType())]
+    schema = T.StructType([*rows.schema.fields, *more])
+
+    def run(batches):
+        for pdf in batches:
+            texts = pdf[text].tolist()
+            told = getattr(embedder, "with_usage", None)
+            vectors, row = told(texts, kind) if told else (embedder(texts, kind) if texts else [], {})
+            if len(vectors) != len(texts):
+                raise EmbeddingError(f"expected {len(texts)} embeddings, got {len(vectors)}")
+            first = [1] + [0] * (len(texts) - 1) if texts else []
+            used = {f"embedding_{k}": [row.get(k, 0) * f for f in first] for k in ("tokens", "ms")}
+            yield pdf.assign(vector=[list(map(float, v)) for v in vectors], **used)
+
+    return rows.mapInPandas(run, schema)
+
+
 def generate(prompts: DataFrame, generator: Generate) -> DataFrame:
-    """question_id and ``raw`` of each prompt (question_id, system, user); store it before use."""
+    """question_id, raw and what was used for each prompt (question_id, system, user); store it before use.
+
+    A generator without ``with_usage`` counts as using nothing.
+    """
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame(
-                {"question_id": pdf["question_id"], "raw": [generator(s, u) for s, u in zip(pdf["system"], pdf["user"], strict=True)]}
-            )
+            told = getattr(generator, "with_usage", None)
+            found = [told(s, u) if told else (generator(s, u), {}) for s, u in zip(pdf["system"], pdf["user"], strict=True)]
+            used = {f"{to}": [row.get(k, 0) for _, row in found] for k, to in (("input", "input_tokens"), ("output", "output_tokens"), ("ms", "generation_ms"))}
+            yield pd.DataFrame({"question_id": pdf["question_id"], "raw": [raw for raw, _ in found], **used})
 
-    return prompts.mapInPandas(run, "question_id long, raw string")
+    return prompts.mapInPandas(run, "question_id long, raw string, input_tokens long, output_tokens long, generation_ms long")
 
 
 def hash_embedding(rows: DataFrame, key: str, text: str) -> DataFrame:

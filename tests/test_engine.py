@@ -256,6 +256,32 @@ def test_environment():
     assert environment.resolve_model("B", env, "m") == "m"
 
 
+class Metered:
+    """A generator and an embedder that tell what they use."""
+
+    def __call__(self, system, user):
+        return grounded(system, user)
+
+    def with_usage(self, a, b):
+        if isinstance(a, list):
+            return models.hash_embedder(a, b), {"tokens": 10 * len(a), "ms": 3}
+        return grounded(a, b), {"input": 100, "output": 20, "ms": 7}
+
+
+def test_metered_run_scores_like_a_plain_one(spark, folder, tmp_path):
+    path = tmp_path.parent / f"{tmp_path.name}-m.json"
+    path.write_text(json.dumps(QUESTIONS))
+    found = {}
+    for name, embedder, generator in (("plain", None, grounded), ("metered", Metered(), Metered())):
+        to, out = tmp_path.parent / f"{tmp_path.name}-{name}", []
+        o = cli.Options([], str(path), folder, str(to), str(tmp_path / "none"), {}, embedder, generator, spark, out.append, floor=0.3)
+        assert cli.main(o) == 0
+        found[name] = json.loads((to / "eval-latest.json").read_text())
+    assert found["plain"]["usage"] is None and found["plain"]["questions"] == found["metered"]["questions"]
+    total = found["metered"]["usage"]["totals"]
+    assert (total["embedding_tokens"], total["input_tokens"], total["output_tokens"]) == (80, 200, 40)  # one question is below the floor
+
+
 QUESTIONS = {
     "corpusDir": "corpus",
     "questions": [
