@@ -135,11 +135,22 @@ def sections(parsed: DataFrame) -> DataFrame:
     )
 
 
-def load_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """The sections of a whole folder; one bad document fails it, the first by name."""
-    parsed = parse(read_files(spark, folder)).persist()
+def _checked(parsed: DataFrame) -> DataFrame:
+    parsed = parsed.persist()
     bad = parsed.where("error is not null").orderBy("name").select("name", "error").first()
     if bad:
         parsed.unpersist()
         raise ChunkError(bad["error"], bad["name"])
     return sections(parsed)
+
+
+def load_document(spark: SparkSession, path: str) -> DataFrame:
+    """The sections of one file."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    text = spark.read.text(path, wholetext=True).select(F.lit(name).alias("name"), F.col("value").alias("source"))
+    return _checked(parse(text))
+
+
+def load_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The sections of a whole folder; one bad document fails it, the first by name."""
+    return _checked(parse(read_files(spark, folder)))

@@ -44,6 +44,10 @@ def test_scan(spark, folder, tmp_path, name):
     assert e.value.kind == ("non-markdown-entry" if name.endswith("txt") else "missing-frontmatter")
 
 
+def test_one_document(spark, folder):
+    assert [r["chunkId"] for r in corpus.load_document(spark, f"{folder}/wire-care.md").collect()] == ["wire-care#cleaning"]
+
+
 def test_empty_folder(spark, tmp_path):
     assert corpus.load_corpus(spark, str(tmp_path)).count() == 0
 
