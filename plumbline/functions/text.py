@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.policy import STOPWORDS
@@ -11,6 +11,15 @@ from plumbline.policy import STOPWORDS
 SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with more columns, unnested from an array of one struct.
+
+    The optimizer copies an expression into every later use of its column and into filters it
+    moves below; it doesn't do so across an unnesting. For expressions with many uses.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+
+
 def slugify(c: Column) -> Column:
     """Lower case; runs of anything but a-z and 0-9 become one hyphen; none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), r"\A-+|-+\z", "")
@@ -50,9 +59,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two double vectors: 0 if either has no length, an error if their sizes differ."""
-    na, nb = dot(a, a), dot(b, b)
+def cosine(a: Column, b: Column, a2: Column | None = None, b2: Column | None = None) -> Column:
+    """Cosine of two double vectors: 0 if either has no length, an error if their sizes differ.
+
+    a2, b2: their squared lengths, where they are known already.
+    """
+    na, nb = dot(a, a) if a2 is None else a2, dot(b, b) if b2 is None else b2
     return (
         F.when(F.size(a) != F.size(b), F.raise_error(F.concat_ws(" ", F.lit("vectors of sizes"), F.size(a), F.size(b))).cast("double"))
         .when((na == 0) | (nb == 0), F.lit(0.0))

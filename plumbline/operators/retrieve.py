@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import cosine
+from plumbline.functions.text import cosine, dot
 from plumbline.policy import DEFAULT_K, SIMILARITY_FLOOR
 
 #: Query rows that may be broadcast; more are searched block by block.
@@ -31,8 +31,10 @@ def pair_scores(questions: DataFrame, index: DataFrame) -> DataFrame:
     n = questions.count()
     if n > BROADCAST_QUERIES:
         raise ValueError(f"{n} questions: use search_blocks beyond {BROADCAST_QUERIES}")
-    rows = index.select("chunk_id", "vector").crossJoin(F.broadcast(questions.select("question_id", "query")))
-    return rows.select("question_id", "chunk_id", cosine(F.col("query"), F.col("vector")).alias("score"))
+    square = lambda c: dot(F.col(c), F.col(c))
+    asked = questions.select("question_id", "query", square("query").alias("q2"))
+    rows = index.select("chunk_id", "vector", square("vector").alias("v2")).crossJoin(F.broadcast(asked))
+    return rows.select("question_id", "chunk_id", cosine(F.col("query"), F.col("vector"), F.col("q2"), F.col("v2")).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int = DEFAULT_K) -> DataFrame:

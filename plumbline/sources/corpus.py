@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import is_blank, slugify, trim, trim_end
+from plumbline.functions.text import is_blank, once, slugify, trim, trim_end
 from plumbline.policy import FRONTMATTER_KEYS
 
 CHUNK = ("chunkId", "docId", "docTitle", "docType", "effectiveDate", "version", "sectionHeading", "text")
@@ -68,12 +68,13 @@ def parse(docs: DataFrame) -> DataFrame:
     error: the kind of the first problem in reading order, or null.
     """
     lines = F.transform(F.split("source", "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
-    docs = docs.withColumn("lines", lines)
+    docs = once(docs, lines=lines)
     close = F.array_position(F.slice("lines", 2, F.size("lines")), "---")  # 0: never closed
-    docs = docs.withColumns({"close": close, "block": F.slice("lines", 2, F.greatest(close - 1, F.lit(0)).cast("int"))})
+    docs = once(docs, close=close)
+    docs = once(docs, block=F.slice("lines", 2, F.greatest(F.col("close") - 1, F.lit(0)).cast("int")))
     pattern = r"\A([A-Za-z][A-Za-z0-9_-]*):[ \t]*(\S.*)\z"
     key = lambda x: F.regexp_extract(x, pattern, 1)
-    docs = docs.withColumn("keys", F.transform("block", key))
+    docs = once(docs, keys=F.transform("block", key))
     problem = F.transform(
         "block",
         lambda x, i: F.when(~x.rlike(pattern), "malformed-frontmatter-line")
@@ -85,27 +86,30 @@ def parse(docs: DataFrame) -> DataFrame:
         .when(F.col("close") == 0, "unterminated-frontmatter")
         .otherwise(F.coalesce(_first(problem), F.when(~F.forall(F.array(*map(F.lit, FRONTMATTER_KEYS)), lambda k: F.array_contains(F.col("keys"), k)), "missing-key")))
     )
-    docs = docs.withColumn("front_error", front_error)
+    docs = once(docs, front_error=front_error)
     values = F.transform("block", lambda x: trim_end(F.regexp_extract(x, pattern, 2)))
     front = F.when(F.col("front_error").isNull(), F.map_from_arrays("keys", values))
     # the text after the frontmatter, with its line ends
     used = F.aggregate(F.slice(F.split("source", "\n", -1), 1, F.col("close").cast("int") + 1), F.lit(0), lambda n, x: n + F.length(x) + 1)
     body = F.when(F.col("front_error").isNull(), F.col("source").substr(used + 1, F.length("source")))
-    docs = docs.withColumns({"front": front, "body": F.concat(F.lit("\n"), body)})
+    docs = once(docs, front=front, body=F.concat(F.lit("\n"), body))
     pieces = F.split("body", r"(?<=\n)(?=## )", -1)
-    section = F.transform(
+    docs = once(docs, pieces=pieces)
+    cut = F.transform(
         F.slice("pieces", 2, F.size("pieces")),
         lambda p: F.struct(
             trim(F.substring(F.substring_index(p, "\n", 1), 4, 2147483647)).alias("heading"),
-            slugify(trim(F.substring(F.substring_index(p, "\n", 1), 4, 2147483647))).alias("slug"),
             trim(F.when(F.contains(p, F.lit("\n")), p.substr(F.locate("\n", p) + 1, F.length(p))).otherwise("")).alias("text"),
         ),
     )
-    docs = docs.withColumn("pieces", pieces).withColumn("sections", section)
+    docs = once(docs, cut=cut)
+    section = F.transform("cut", lambda s: F.struct(s["heading"].alias("heading"), slugify(s["heading"]).alias("slug"), s["text"].alias("text")))
+    docs = once(docs, sections=section)
+    docs = once(docs, slugs=F.transform("sections", lambda s: s["slug"]))
     per_section = F.transform(
         "sections",
         lambda s, i: F.when(s["slug"] == "", "empty-slug")
-        .when(F.exists(F.slice("sections", 1, i), lambda o: o["slug"] == s["slug"]), "slug-collision")
+        .when(F.array_position("slugs", s["slug"]) <= i, "slug-collision")
         .when(s["text"] == "", "empty-section"),
     )
     error = (
@@ -115,7 +119,7 @@ def parse(docs: DataFrame) -> DataFrame:
         .when(F.size("sections") == 0, "no-sections")
         .otherwise(_first(per_section))
     )
-    return docs.select("name", error.alias("error"), "front", "sections")
+    return once(docs, error=error).select("name", "error", "front", "sections")
 
 
 def sections(parsed: DataFrame) -> DataFrame:
