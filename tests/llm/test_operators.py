@@ -560,7 +560,10 @@ def brute_components(rows):
     return sorted(((str(i), len(s), str(low.get(find(k)) if s else i)) for k, (i, s) in enumerate(sets)))
 
 
-def test_ngram_join_against_brute_force(spark):
+@pytest.mark.parametrize(("rounds", "hubs", "crowd", "small"), [(ngram_join.ROUNDS, ngram_join.HUBS, ngram_join.CROWD, ngram_join.SMALL), (1, 1, 2, 0)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, rounds, hubs, crowd, small):
+    for name, value in (("ROUNDS", rounds), ("HUBS", hubs), ("CROWD", crowd), ("SMALL", small)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(8)
     passage = [f"p{i}" for i in range(40)]
     rows = [(i, t) for i, t, _ in EDGE]
