@@ -740,4 +740,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_ngram_join": op10_ngram_join}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_ngram_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM p WHERE 100 * c >= 75 * (nx + ny - c)),
+reach(id, to_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT id, y FROM reach JOIN link ON x = to_id),
+comp AS (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id FROM s JOIN comp ON id = doc_id
+"""
+}

@@ -617,7 +617,7 @@ def test_registry():
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["op4_int8_links", "op7_url_cascade"])
+@pytest.mark.parametrize("name", ["op4_int8_links", "op7_url_cascade", "op10_ngram_join"])
 def test_queries_with_sql(spark, name):
     import duckdb
 
