@@ -22,17 +22,17 @@ def decide(n_above: Column, problem: Column, n_claims: Column, n_verified: Colum
 
 
 def answer_questions(
-    questions: DataFrame, index: DataFrame, generator: Generate, k: int = DEFAULT_K, floor: float = SIMILARITY_FLOOR, store=None
+    questions: DataFrame, index: DataFrame, generator: Generate, k: int = DEFAULT_K, floor: float = SIMILARITY_FLOOR, store=None, allowed: Column | None = None
 ) -> DataFrame:
     """One row for each question: kind, reason, detail, claims, rejected, retrieved, near_misses, tokens and ms used.
 
     questions: question_id, question, query. index: the chunk columns, chunk_id and vector. Only
     questions with a chunk above the floor reach the generator, and each of them once: ``store``
     keeps a DataFrame and returns it (default: persist), so that later steps read its answers.
-    A failing generator fails the run; it is never a refusal.
+    ``allowed`` says which pairs of question_id and chunk_id may be hits (default: all). A failing generator fails the run; it is never a refusal.
     """
     store = store or (lambda df: df.persist())
-    hits = store(retrieve.partition_by_floor(retrieve.search(questions, index, k), floor))
+    hits = store(retrieve.partition_by_floor(retrieve.search(questions, index, k, allowed), floor))
     chunks = index.drop("vector")
     full = hits.join(chunks, "chunk_id").join(questions.select("question_id", "question"), "question_id")
     shown = store(retrieve.shown_chunks(full))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import cosine, dot
@@ -48,9 +48,10 @@ def top_k(scores: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(questions: DataFrame, index: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """question_id, chunk_id, score, rank."""
-    return top_k(pair_scores(questions, index), k)
+def search(questions: DataFrame, index: DataFrame, k: int = DEFAULT_K, allowed: Column | None = None) -> DataFrame:
+    """question_id, chunk_id, score, rank. ``allowed``: which pairs of question_id and chunk_id may be hits (default: all)."""
+    scores = pair_scores(questions, index)
+    return top_k(scores if allowed is None else scores.where(allowed), k)
 
 
 def search_blocks(questions: DataFrame, index: DataFrame, k: int = DEFAULT_K, block: int = 4096) -> DataFrame:

@@ -222,10 +222,14 @@ def _questions(spark, d) -> DataFrame:
     )
 
 
+def _not_own() -> Column:
+    """Pairs of a question with another vector than its own."""
+    return F.col("question_id") != _long(F.regexp_extract("chunk_id", "^v([0-9]+)#", 1))
+
+
 def _hits(spark, d, k=6) -> DataFrame:
     """Top hits of each question; a question's own vector would be its best hit, so it is left out first."""
-    scores = retrieve.pair_scores(_questions(spark, d), _index(spark, d))
-    return retrieve.top_k(scores.where(F.col("question_id") != _long(F.regexp_extract("chunk_id", "^v([0-9]+)#", 1))), k)
+    return retrieve.search(_questions(spark, d), _index(spark, d), k, _not_own())
 
 
 _SCORES = """
@@ -481,9 +485,9 @@ def stand_in_generator(system: str, user: str) -> str:
 
 
 def _answers(spark, d, floor) -> DataFrame:
-    # an own vector as the best hit would make every question answerable: the index lacks the questions
-    index = _index(spark, d).where("vec_id % 20 != 0").drop("vec_id", "label")
-    return answer.answer_questions(_questions(spark, d).drop("label"), index, stand_in_generator, floor=floor)
+    # an own vector as the best hit would make every question answerable
+    index = _index(spark, d).drop("vec_id", "label")
+    return answer.answer_questions(_questions(spark, d).drop("label"), index, stand_in_generator, floor=floor, allowed=_not_own())
 
 
 def _decision_sql(floor: float, select: str) -> str:
@@ -515,10 +519,7 @@ def answer_decision_low_floor(spark, d):
 
 @_query(_decision_sql(0.35, "SELECT question_id FROM x WHERE n > 0"))
 def generator_gate(spark, d):
-    index = _index(spark, d).where("vec_id % 20 != 0")
-    hits = retrieve.partition_by_floor(retrieve.search(_questions(spark, d), index), 0.35)
-    shown = retrieve.shown_chunks(hits.join(index.drop("vector"), "chunk_id").join(_questions(spark, d).select("question_id", "question"), "question_id"))
-    return models.generate(generation.render_prompts(shown), stand_in_generator).select("question_id")
+    return models.generate(generation.render_prompts(_shown(spark, d, 0.35)), stand_in_generator).select("question_id")
 
 
 # Scoring

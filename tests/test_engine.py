@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline import cli
 from plumbline.functions import text as fn
 from plumbline.operators import answer, contradict, evaluate, generation, report, retrieve, usage, verify
+from plumbline.plans import catalogue
 from plumbline.sources import corpus, environment, models
 
 DOC = "---\nid: {0}\ntitle: {1}\ndocType: policy\neffectiveDate: 2024-01-01\nversion: 1.0\n---\n"
@@ -236,6 +237,16 @@ def test_search_edges(spark):
         retrieve.check_dimension(i.unionByName(spark.createDataFrame([("d", [1.0])], i.schema)))
 
 
+def test_questions_are_searched_among_questions(spark, tmp_path):
+    """Vectors 0 and 20 are questions and near each other; the own vector is no hit."""
+    rows = [(0, [1.0, 0.0, 0.0], 1), (20, [1.0, 0.1, 0.0], 1), (40, [0.0, 0.0, 1.0], 2), (3, [0.0, 1.0, 0.0], 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r["question_id"] for r in catalogue.generator_gate(spark, str(tmp_path)).collect()} == {0, 20}
+    for query in (catalogue.answer_decision, catalogue.answer_decision_low_floor):
+        got = {r["question_id"]: r["reason"] for r in query(spark, str(tmp_path)).collect()}
+        assert got == {0: "no-claims-produced", 20: "no-claims-produced", 40: "no-relevant-documents"}
+
+
 def test_gate_of_nothing_passes(spark):
     scores = spark.createDataFrame([], "category string, passed boolean")
     assert evaluate.verdict(evaluate.gate(scores)).first()["passed"]
