@@ -421,7 +421,7 @@ SELECT doc_id, array_to_string(ids, ',') AS chunk_ids, array_to_string(list_sort
 """)
 def evidence_ids(spark, d):
     doc = _text("doc_id")
-    detail = F.concat(F.lit("see d"), doc, F.lit("#part-one, d"), _text(F.col("doc_id") % 7), F.lit("#b; d"), doc, F.lit("#part-one. "), F.substring(F.coalesce("text", F.lit("")), 1, 200))
+    detail = F.concat(F.lit("see d"), doc, F.lit("#part-one, d"), _text(F.col("doc_id") % 7), F.lit("#b; d"), doc, F.lit("#part-one. "), F.coalesce("text", F.lit("")))
     rows = _table(spark, d, "documents").select("doc_id", detail.alias("detail"), F.lit(None).cast("array<struct<citations:array<string>>>").alias("claims"))
     chunks, docs = evaluate.evidence(F.col("claims"), F.col("detail"))
     return rows.withColumn("c", chunks).withColumn("d", docs).select("doc_id", F.array_join("c", ",").alias("chunk_ids"), F.array_join("d", ",").alias("doc_ids"))

@@ -247,6 +247,13 @@ def test_questions_are_searched_among_questions(spark, tmp_path):
         assert got == {0: "no-claims-produced", 20: "no-claims-produced", 40: "no-relevant-documents"}
 
 
+def test_evidence_late_in_a_text(spark, tmp_path):
+    rows = [(1, "x " * 500 + "as late-doc#last-part says"), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["chunk_ids"], r["doc_ids"]) for r in catalogue.evidence_ids(spark, str(tmp_path)).collect()}
+    assert got == {1: ("d1#b,d1#part-one,late-doc#last-part", "d1,late-doc"), 2: ("d2#b,d2#part-one", "d2")}
+
+
 def test_gate_of_nothing_passes(spark):
     scores = spark.createDataFrame([], "category string, passed boolean")
     assert evaluate.verdict(evaluate.gate(scores)).first()["passed"]
