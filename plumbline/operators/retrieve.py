@@ -10,10 +10,22 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import cosine, dot
 from plumbline.policy import DEFAULT_K, SIMILARITY_FLOOR
 
-#: Query rows that may be broadcast; more are searched block by block.
+#: Query rows that may be broadcast; more are met block by block.
 BROADCAST_QUERIES = 10_000
 
 
+def for_every_row(few: DataFrame) -> DataFrame:
+    """``few`` as the side of a join without keys that all rows of the other side meet.
+
+    It is broadcast while it has at most BROADCAST_QUERIES rows, which are counted first. More are
+    dealt into blocks of about that many, and each block meets each partition of the other side.
+    """
+    n = few.count()
+    if n <= BROADCAST_QUERIES:
+        return F.broadcast(few)
+    return few.repartition(-(-n // BROADCAST_QUERIES)).hint("shuffle_replicate_nl")
+
+
 def check_dimension(index: DataFrame) -> int:
     """The one length of the index's vectors, 0 for an empty index; an error if they differ."""
     low, high = index.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
@@ -23,17 +35,14 @@ def check_dimension(index: DataFrame) -> int:
 
 
 def pair_scores(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """Every (question_id, chunk_id) with its cosine; the questions are broadcast, the index is streamed.
+    """Every (question_id, chunk_id) with its cosine; the index is streamed past the questions, or past blocks of them.
 
     questions: question_id, query. index: chunk_id, vector. This is the definition: sums run in
-    index order inside the JVM. The number of questions is checked before they are broadcast.
+    index order inside the JVM, for any number of questions.
     """
-    n = questions.count()
-    if n > BROADCAST_QUERIES:
-        raise ValueError(f"{n} questions: use search_blocks beyond {BROADCAST_QUERIES}")
     square = lambda c: dot(F.col(c), F.col(c))
     asked = questions.select("question_id", "query", square("query").alias("q2"))
-    rows = index.select("chunk_id", "vector", square("vector").alias("v2")).crossJoin(F.broadcast(asked))
+    rows = index.select("chunk_id", "vector", square("vector").alias("v2")).crossJoin(for_every_row(asked))
     return rows.select("question_id", "chunk_id", cosine(F.col("query"), F.col("vector"), F.col("q2"), F.col("v2")).alias("score"))
 
 

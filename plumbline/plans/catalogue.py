@@ -386,10 +386,7 @@ def citations_not_retrieved(spark, d):
 def quote_containment(spark, d):
     quotes = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
     docs = _table(spark, d, "documents").select("doc_id", "text")
-    # quotes are a fixed benchmark; its size is checked before it is sent to every task
-    if quotes.count() > 10_000:
-        raise ValueError("too many quotes to broadcast")
-    found = docs.join(F.broadcast(quotes), F.contains("text", "quote")).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    found = docs.join(retrieve.for_every_row(quotes), F.contains("text", "quote")).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     return quotes.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first_doc", F.lit(-1)).alias("first_doc"))
 
 

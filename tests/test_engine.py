@@ -254,6 +254,25 @@ def test_evidence_late_in_a_text(spark, tmp_path):
     assert got == {1: ("d1#b,d1#part-one,late-doc#last-part", "d1,late-doc"), 2: ("d2#b,d2#part-one", "d2")}
 
 
+def test_more_questions_than_a_broadcast_holds(spark, monkeypatch):
+    q = spark.range(50).select(F.col("id").alias("question_id"), F.array(F.cos("id"), F.sin("id")).alias("query"))
+    i = spark.range(30).select(F.concat(F.lit("c"), F.col("id")).alias("chunk_id"), F.array(F.sin("id"), F.cos("id")).alias("vector"))
+    want, best = sorted(retrieve.pair_scores(q, i).collect()), sorted(retrieve.search(q, i, 3).collect())
+    monkeypatch.setattr(retrieve, "BROADCAST_QUERIES", 20)
+    pairs = retrieve.pair_scores(q, i)
+    assert "CartesianProduct" in pairs._jdf.queryExecution().toString()
+    assert len(want) == 1500 and sorted(pairs.collect()) == want
+    assert sorted(retrieve.search(q, i, 3).collect()) == best
+
+
+def test_more_quotes_than_a_broadcast_holds(spark, tmp_path):
+    spark.createDataFrame([(1, "says quote 7. and quote 10001."), (2, "quote 7."), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    quotes = spark.range(10_003).select(F.col("id").alias("item_id"), F.concat(F.lit("quote "), F.col("id"), F.lit(".")).alias("text"))
+    quotes.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: (r["n"], r["first_doc"]) for r in catalogue.quote_containment(spark, str(tmp_path)).collect()}
+    assert len(got) == 10_003 and {k: v for k, v in got.items() if v[0]} == {7: (2, 1), 10001: (1, 1)}
+
+
 def test_gate_of_nothing_passes(spark):
     scores = spark.createDataFrame([], "category string, passed boolean")
     assert evaluate.verdict(evaluate.gate(scores)).first()["passed"]
