@@ -99,8 +99,7 @@ def _wide_spans(text: str) -> list[tuple[int, str, int]]:
     if _digit(text):
         for kind, find in (("phone_plain", _phone_plain), ("id_number", _id_number), ("iban", _iban)):
             out += [(m.start(), kind, m.end()) for m in find(text)]
-    low = text.lower()
-    if " dot " in low or "[dot]" in low or "(dot)" in low:
+    if "dot" in text.lower():
         out += [(m.start(), "email_words", m.end()) for m in _email_words(text)]
     return out
 
@@ -146,6 +145,11 @@ def votes_and_features(text: str, start: int, kind: str, stop: int) -> tuple[int
     return sum(v * 3**i for i, v in enumerate(votes)), sum(1 << i for i, b in enumerate(bits) if b)
 
 
+def _may_hold(text: str) -> bool:
+    """False only if no pattern can match: each asks for an @, a digit or the word dot in any case."""
+    return "@" in text or bool(_digit(text)) or "dot" in text.lower()
+
+
 def candidates(text: str) -> tuple[list, list]:
     """(base spans, all candidates with votes and features); wide ones that touch a base span are left out."""
     base = base_spans(text)
@@ -180,7 +184,7 @@ def extract(docs: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 1000):
                 rows = []
                 for doc_id, text in zip(ids[lo : lo + 1000].to_pylist(), texts[lo : lo + 1000].to_pylist(), strict=True):
-                    base, found = candidates(text) if "@" in text or _digit(text) or "dot" in text else ([], [])
+                    base, found = candidates(text) if _may_hold(text) else ([], [])
                     row = {f"n_{k}": sum(s[1] == k for s in base) for k in BASE}
                     names = ("kind", "start", "stop", "votes", "mask")
                     row |= {"doc_id": doc_id, "base": joined(base), "candidates": [dict(zip(names, c, strict=True)) for c in found]}
@@ -279,7 +283,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def mask_text(text: str, accepted: set[tuple[str, int]]) -> str:
     """The text with every span replaced by its kind in brackets; of overlapping spans the first counts."""
-    if not ("@" in text or _digit(text) or "dot" in text):
+    if not _may_hold(text):
         return text
     out, end = [], 0
     for a, kind, b in _accepted(candidates(text)[1], accepted):

@@ -391,6 +391,17 @@ def test_pii_edges(spark, edge, empty):
     assert pii.redact(edge).columns == edge.columns and pii.redact(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text", ["Write to JOHN AT EXAMPLE DOT COM now", "write to john at example Dot com now", "write to john at example\ndot com now", "write to john at example dot\tcom now"]
+)
+def test_spelled_out_addresses(spark, text):
+    want = ("email_words", 9, len(text) - 4)
+    assert [c[:3] for c in pii.candidates(text)[1]] == [want]
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(c["kind"], c["start"], c["stop"]) for c in pii.extract(rows).first()["candidates"]] == [want]
+    assert pii.mask_text(text, {(want[0], pii.candidates(text)[1][0][4])}) == text[:9] + "[EMAIL_WORDS]" + text[-4:]
+
+
 @needs_data
 def test_op5_over_its_table(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
