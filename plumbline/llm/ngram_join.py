@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -356,7 +357,7 @@ def _flat(column) -> np.ndarray:
 
 def _unpack(rows) -> tuple[np.ndarray, ...]:
     """(row number, y, ny, component) of every pair of rows with the PAIRS columns."""
-    n = pa.compute.list_value_length(rows.column("ys")).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = pc.list_value_length(rows.column("ys")).to_numpy(zero_copy_only=False).astype(np.int64)
     return (np.repeat(np.arange(rows.num_rows), n), *(_flat(rows.column(k)) for k in ("ys", "ns", "cs")))
 
 
@@ -397,7 +398,7 @@ def _cells(batches):
 def _overlaps(group: pa.Table) -> pa.Table:
     """Partial overlaps of a cell's pairs (rows without blocks) from its segments (rows with)."""
     is_pair = group.column("hashes").is_null()
-    pairs, blocks = group.filter(is_pair), group.filter(pa.compute.invert(is_pair))
+    pairs, blocks = group.filter(is_pair), group.filter(pc.invert(is_pair))
     row, y, ny, comp = _unpack(pairs)
     x, nx = (pairs.column(k).to_numpy()[row] for k in ("x", "nx"))
     total = np.zeros(len(x), np.int64)

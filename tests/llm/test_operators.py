@@ -5,6 +5,8 @@ import itertools
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -682,3 +684,17 @@ def test_pipeline_of_nothing(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_list_lengths_in_a_fresh_interpreter():
+    """A worker that only unpickled a function has loaded no more of pyarrow than the module asks for."""
+    code = (
+        "import pyarrow as pa; from plumbline.llm.ngram_join import _needed, _overlaps; "
+        "rows = pa.RecordBatch.from_pydict({'x': [1], 'nx': [5], 'ys': [[2, 3]], 'ns': [[5, 5]], 'cs': [[2, 3]], 'bucket': [0]}); "
+        "print(next(_needed(1)([rows])).column(0).to_pylist()); "
+        "none = pa.array([None], pa.binary()); "
+        "print(_overlaps(pa.table({'cell': [0], 'x': [1], 'nx': [5], 'ys': [[2]], 'ns': [[5]], 'cs': [[2]], 'cids': none, 'sizes': none, 'hashes': none})).num_rows)"
+    )
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    assert said.stdout.split("\n")[:2] == ["[1, 2, 3]", "0"]
