@@ -272,15 +272,31 @@ def brute_links(x, threshold=0.9):
     return {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if x[i] @ x[j] / (n[i] * n[j]) >= threshold}
 
 
+def coded(x):
+    return embedding_dedup.quantise(embedding_dedup.unit(x))
+
+
 @pytest.mark.parametrize("near", [0.05, 0.3])
-def test_tiles_find_all_links(near):
+def test_the_screen_is_sure_of_links_only_and_leaves_none_out(near):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(20, 16))
     x = centers[rng.integers(0, 20, 700)] + near * rng.normal(size=(700, 16))
-    i, j = embedding_dedup.links_of_tile(x, None)
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == brute_links(x)
-    i, j = embedding_dedup.links_of_tile(x[:300], x[300:])
-    assert {(a, b + 300) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == {(a, b) for a, b in brute_links(x) if a < 300 <= b}
+    for left, right, want in (
+        (coded(x), None, brute_links(x)),
+        (coded(x[:300]), coded(x[300:]), {(a, b - 300) for a, b in brute_links(x) if a < 300 <= b}),
+    ):
+        sure, unsure = set(), set()
+        for lo, (i, j), (a, b) in embedding_dedup.screen(left, right):
+            sure |= set(zip(i.tolist(), j.tolist(), strict=True))
+            unsure |= set(zip((a + lo).tolist(), b.tolist(), strict=True))
+        assert sure <= want <= sure | unsure
+
+
+def test_the_screen_passes_few_pairs():
+    x = np.random.default_rng(3).normal(size=(3000, 64))
+    x[1000:2000] = x[:1000] + 0.01 * x[2000:]
+    passed = sum(len(a) + len(i) for _, (i, _), (a, _) in embedding_dedup.screen(coded(x), None))
+    assert 1000 <= passed <= 1200
 
 
 def test_quantisation_bound_holds():
@@ -288,19 +304,64 @@ def test_quantisation_bound_holds():
     x = rng.standard_cauchy(size=(400, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q, s, e = embedding_dedup.quantise(x)
+    s, e = s.astype(float), e.astype(float)
     approx = (q.astype(float) * s[:, None]) @ (q.astype(float) * s[:, None]).T
     assert (np.abs(x @ x.T - approx) <= e[:, None] + (1 + e[:, None]) * e[None, :]).all()
 
 
+def test_forest():
+    rng = np.random.default_rng(4)
+    f, parent = embedding_dedup.Forest(200), list(range(200))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for _ in range(6):
+        i, j = rng.integers(0, 200, (2, 25))
+        f.add(i, j)
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    assert f.label.tolist() == [find(a) for a in range(200)]
+
+
+@pytest.mark.parametrize("tile", [7, 1000])
+def test_links_against_brute_force(spark, tile):
+    """Links near the threshold, a crowd of near copies, and lengths from 1e-170 to 1e200."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 8))
+    x = np.concatenate([base[rng.integers(0, 12, 60)] + 0.35 * rng.normal(size=(60, 8)), base[:1] + 0.02 * rng.normal(size=(20, 8))])
+    want = brute_links(x)
+    scale = np.where(np.arange(80) % 3 == 0, 1e200, np.where(np.arange(80) % 3 == 1, 1e-170, 1.0))
+    rows = [(i, (v * c).tolist()) for i, (v, c) in enumerate(zip(x, scale, strict=True))]
+    got = embedding_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=tile).collect()
+    parent = list(range(80))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in sorted(want):
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    assert len(want) > 200
+    for r in got:
+        i = r["vec_id"]
+        assert (r["n_links"], r["component_id"], r["kept"]) == (sum(i in p for p in want), find(i), find(i) == i)
+
+
 def test_embedding_edges(spark):
     nan, inf = float("nan"), float("inf")
     data = [
         (5, [1.0, 0.0]), (3, [1.0, 0.0]), (9, [2.0, 0.1]), (1, [0.0, 0.0]), (2, None), (4, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []),
-        (10, [1.0, 0.0, 0.0]), (11, [-1.0, 0.0]), (None, [1.0, 0.01]), (12, [0.0, -1.0]), (12, [0.0, -1.0]),
+        (10, [1.0, 0.0, 0.0]), (11, [-1.0, 0.0]), (13, [-1e200, 1e-170]), (14, [5e-324, 2e-323]), (None, [1.0, 0.01]), (12, [0.0, -1.0]), (12, [0.0, -1.0]),
     ]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").selectExpr("*", "'a' AS key", "1 AS size")
     got = sorted(((r["vec_id"] if r["vec_id"] is not None else -1, r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.link_embeddings(df, tile=2).collect()))
-    want = {5: (3, 3), 3: (3, 3), 9: (3, 3), -1: (3, 3), 12: (1, 12)}
+    want = {5: (3, 3), 3: (3, 3), 9: (3, 3), -1: (3, 3), 12: (1, 12), 11: (1, 11), 13: (1, 11)}
     for i, n, c, kept in got:
         assert (n, c) == want.get(i, (0, i))
         assert kept == (i == c) or i == -1
