@@ -1,6 +1,8 @@
 """Vector bin packing of token sequences under several limits at once.
 
 A bin (one training sequence) has three capacities: tokens, segments and loss-bearing tokens.
+The loss-bearing tokens of a document are those after its prompt, its first line; a model reads a
+prompt but doesn't learn it, so sequences of prompts waste training steps as padding does.
 The dot-product heuristic fills the open bin with the item whose demand vector has the largest
 dot product with the bin's remaining capacity, both in shares of the limits, among those that
 fit in every dimension; when none fits the next bin is opened.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, table
 from .tokenization import encoder
 
-MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS, WINDOW = 1024, 128, 1024, 16_384
+MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS, WINDOW = 1024, 16, 1000, 4096
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -67,14 +69,14 @@ def pack_vectors(items: np.ndarray, limits: np.ndarray) -> list[list[int]]:
 
 
 class _Packer:
-    """Packs pieces as they come; ``emit`` rows are (piece, sequence number, offset)."""
+    """Packs pieces as they come, to rows of (piece, sequence number, offset, loss-bearing tokens)."""
 
     def __init__(self, limits: tuple[int, int, int], window: int):
         self.limits, self.window, self.waiting, self.bins = np.array(limits), window, [], 0
 
     def add(self, piece: tuple, loss: int) -> Iterator[tuple]:
-        """piece[2] is its length. A piece of the full length is a sequence of its own."""
-        if piece[2] == self.limits[0]:
+        """piece[2] is its length. A piece that fills the tokens or the loss-bearing ones is a sequence of its own."""
+        if piece[2] == self.limits[0] or loss == self.limits[2] > 0:
             yield (*piece, self.bins, 0, loss)
             self.bins += 1
             return
@@ -96,6 +98,20 @@ class _Packer:
         self.waiting = [self.waiting[i] for i in kept]
 
 
+def cuts(n: int, prompt: int, max_tokens: int, max_loss: int) -> Iterator[tuple[int, int, int]]:
+    """(start, length, loss-bearing tokens) of the pieces of a document of n tokens, each as long as the limits allow.
+
+    The first ``prompt`` tokens bear no loss, nor does the first token of a piece, which has
+    nothing before it.
+    """
+    start = 0
+    while start < n:
+        masked = max(prompt - start, 1)
+        length = min(n - start, max_tokens, max_loss + masked)
+        yield start, length, length - min(masked, length)
+        start += length
+
+
 def pack_documents(
     docs: DataFrame,
     path: str,
@@ -104,24 +120,25 @@ def pack_documents(
     max_segments: int = MAX_SEGMENTS,
     max_loss: int = MAX_LOSS,
     window: int = WINDOW,
+    specials: bool = False,
 ) -> DataFrame:
     """One row per piece of each document (``doc_id``, ``text``) with its place in a sequence.
 
-    A document is its ids by the byte-level file at ``path`` and then ``end_id``. It is cut into
-    pieces of ``max_tokens`` and a rest; full pieces are sequences, rests are packed. The
-    loss-bearing tokens of a piece are all but its first, which has nothing before it.
+    A document is its ids by the byte-level file at ``path`` and then ``end_id``. Its prompt is
+    the tokens inside its first line; a text without a line break has none. It is cut into pieces
+    that keep the limits on tokens and loss-bearing tokens, and pieces are packed under all three.
+    ``specials``: whether strings of special tokens in a text give their ids, see ``tokenization``.
     Null text counts as empty (one piece holding the end id), null ids and repeated rows stay
-    rows of their own, and an empty table gives an empty result.
+    rows of their own, a text of any length is cut into as many pieces as it takes, other columns
+    are not looked at, and an empty table gives an empty result.
     """
     limits = (max_tokens, max_segments, max_loss)
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, packer = encoder("byte", path), _Packer(limits, window)
+        enc, packer = encoder("byte", path, specials=specials), _Packer(limits, window)
         base, end = (TaskContext.get().partitionId() << 36), np.array([end_id], dtype="<u4").tobytes()
-        # beyond this a piece has more loss-bearing tokens than a sequence may hold
-        step = min(max_tokens, max_loss + 1)
 
         def rows(found):
             cols = list(zip(*found, strict=True))
@@ -130,17 +147,21 @@ def pack_documents(
                 [pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in PIECES.split(", ")]
             )
 
+        def prompt(text, raw):
+            line = text.find("\n")
+            return enc.inside(raw, len(text[:line].encode())) if line > 0 else 0
+
         for batch in batches:
             out = []
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo in range(0, len(ids), 500):
-                for doc_id, raw in zip(ids[lo : lo + 500], enc.encode(texts[lo : lo + 500].to_pylist()), strict=True):
+                own = texts[lo : lo + 500].to_pylist()
+                for doc_id, text, raw in zip(ids[lo : lo + 500], own, enc.encode(own), strict=True):
+                    first = prompt(text, raw)
                     raw += end
                     n = len(raw) // 4
-                    for start in range(0, n, step):
-                        cut = raw[4 * start : 4 * (start + step)]
-                        length = len(cut) // 4
-                        out += packer.add((doc_id, start, length, zlib.crc32(cut), n), length - 1)
+                    for start, length, loss in cuts(n, first, max_tokens, max_loss):
+                        out += packer.add((doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n), loss)
             if out:
                 yield rows(out)
         if out := list(packer.flush(True)):

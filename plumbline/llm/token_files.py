@@ -140,13 +140,15 @@ def _fs(uri: str):
 
 
 def write_shards(
-    docs: DataFrame, folder: str, kind: str, path: str, end_id: int, shards: int | None = None, id_bytes: int = 2
+    docs: DataFrame, folder: str, kind: str, path: str, end_id: int, shards: int | None = None, id_bytes: int = 2, specials: bool = False
 ) -> dict:
     """Encode ``docs`` (``doc_id``, ``text``) and write shards below ``folder``; returns the manifest.
 
     Rows go to shards by ranges of doc_id, nulls first; rows with the same doc_id are ordered by
     a hash of their text, which also splits a doc_id that many rows share. Null text is empty: a
-    record of the end id alone. An empty table gives a manifest without shards.
+    record of the end id alone. An empty table gives a manifest without shards; texts of any
+    length are written whole, and other columns are not looked at. ``specials``: whether strings
+    of special tokens in a text give their ids, see ``tokenization``.
     """
     spark = docs.sparkSession
     dtype = f"<u{id_bytes}"
@@ -158,7 +160,7 @@ def write_shards(
         attempt = TaskContext.get().taskAttemptId()
         fs, root = _fs(folder)
         name = f"{root}/shard-{part:06d}"
-        enc, end = encoder(kind, path, dtype), np.array([end_id], dtype=dtype).tobytes()
+        enc, end = encoder(kind, path, dtype, specials), np.array([end_id], dtype=dtype).tobytes()
         narrow = kind == "byte" and id_bytes < 4  # the byte encoder's ids are 32 bits wide
         keys, lengths, nulls, out = [], [], 0, None
         for batch in batches:

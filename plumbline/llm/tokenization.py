@@ -1,5 +1,9 @@
 """Token ids of whole texts as little-endian unsigned 32-bit bytes, on executors.
 
+A tokenizer file may add special tokens. Their strings in a text are ordinary text here, as the
+files' description uses the library (``encode_special_tokens = True``), so that a document can't
+end another one. With ``specials`` they give the special ids, as by the library's default.
+
 Encoders are built once per Python worker and kept between tasks. The memo tables hold a
 bounded number of entries, so memory does not grow with the corpus.
 """
@@ -31,32 +35,41 @@ class ByteBpe:
     both), so merging by lowest id gives the library's ids several times faster.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = False):
         import public_tokenizers
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            spec = json.load(f)
+        model, self.specials = spec["model"], specials
         dec = byte_decoder()
         ranks = {}
         for token, i in model["vocab"].items():
             if all(c in dec for c in token):
                 ranks[bytes(dec[c] for c in token)] = i
-        self.special = {t: i for t, i in model["vocab"].items() if i >= len(ranks)}
-        self.model, self.ranks = model, ranks
-        for t in self.special:  # "<|endoftext|>" as ordinary text is spelled by other pieces
+        self.model = model
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        for t in added:  # as ordinary text it is spelled by other pieces
             ranks.pop(t.encode(), None)
-        self.enc = tiktoken.Encoding(
-            os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
+        self.ranks = ranks
+        self.lengths = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)
+        for raw, i in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
+            self.lengths[i] = len(raw)
+        self.enc = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added if specials else {})
 
     def check(self) -> bool:
         vocab = self.model["vocab"]
         joined = [m if isinstance(m, list) else m.split(" ") for m in self.model["merges"]]
         return [vocab[a + b] for a, b in joined] == list(range(256, 256 + len(joined)))
 
+    def inside(self, raw: bytes, size: int) -> int:
+        """How many ids at the beginning of a text's lie wholly inside its first ``size`` bytes."""
+        ids = np.frombuffer(raw, "<u4", min(size, len(raw) // 4))
+        return int(np.searchsorted(np.cumsum(self.lengths[ids]), size, "right"))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.enc.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes() for t in texts]
+        allowed = "all" if self.specials else set()
+        return [self.enc.encode_to_numpy(t, allowed_special=allowed, disallowed_special=()).astype("<u4", copy=False).tobytes() for t in texts]
 
 
 class _Memo(dict):
@@ -89,7 +102,7 @@ class WordBpe:
     _word = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
     _far = re.compile("[^\u0000-\u024f]").search
 
-    def __init__(self, path: str, dtype: str = "<u4"):
+    def __init__(self, path: str, dtype: str = "<u4", specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,7 +110,8 @@ class WordBpe:
             spec = json.load(f)
         self.full = Tokenizer.from_str(json.dumps(spec))
         self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
-        self.full.encode_special_tokens = self.bare.encode_special_tokens = True
+        self.full.encode_special_tokens, self.bare.encode_special_tokens = not specials, True
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search if specials else None
         self.model = self.bare.model
         self.table = {b: ord(c) for c, b in byte_decoder().items()}
         self.dtype = dtype
@@ -121,6 +135,8 @@ class WordBpe:
 
     def _beyond(self, t: str) -> bool:
         """Whether a text must go to the library whole."""
+        if self.added and self.added(t):
+            return True
         if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:  # white space for Python, not for the library
             return True
         try:
@@ -142,5 +158,5 @@ class WordBpe:
 
 
 @lru_cache(maxsize=4)
-def encoder(kind: str, path: str, dtype: str = "<u4"):
-    return ByteBpe(path) if kind == "byte" else WordBpe(path, dtype)
+def encoder(kind: str, path: str, dtype: str = "<u4", specials: bool = False):
+    return ByteBpe(path, specials) if kind == "byte" else WordBpe(path, dtype, specials)

@@ -60,19 +60,22 @@ def empty(edge):
 
 
 def texts():
-    part = st.sampled_from(["the ", "Don't", " 's", "\n", "  ", "é²", "漢", "Σ", "\t", "12", "%%%", "<|endoftext|>", "a_b", "\x1c", "ǅ", "x" * 40, " K", "😀"])
+    part = st.sampled_from(["the ", "Don't", " 's", "\n", "  ", "é²", "漢", "Σ", "\t", "12", "%%%", "<|endoftext|>", "<|startoftext|>", "a_b", "\x1c", "ǅ", "x" * 40, " K", "😀"])
     return st.lists(st.one_of(part, st.text(max_size=5)), max_size=12).map("".join).filter(lambda t: "\ud800" > max(t, default="a") or not any(0xD800 <= ord(c) < 0xE000 for c in t))
 
 
-def library(name):
+def library(name, specials=False):
+    """specials: the file as it is loaded; else with the switch that the files' description sets."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
+    if not specials:
+        t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
 BYTE, WORD = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
+BYTE_SPECIALS, WORD_SPECIALS = library("byte_bpe_50k.json", True), library("word_bpe_49k.json", True)
 
 
 def test_byte_merges_are_in_id_order():
@@ -96,9 +99,18 @@ def _utf8(raw):
 @settings(max_examples=150, deadline=None)
 @given(texts())
 def test_encoders_equal_the_library(text):
-    for kind, name, want in (("byte", "byte_bpe_50k.json", BYTE), ("word", "word_bpe_49k.json", WORD)):
-        got = tokenization.encoder(kind, P.path(name)).encode([text])[0]
-        assert np.frombuffer(got, "<u4").tolist() == want(text)
+    for kind, name, want, loaded in (("byte", "byte_bpe_50k.json", BYTE, BYTE_SPECIALS), ("word", "word_bpe_49k.json", WORD, WORD_SPECIALS)):
+        for specials, ids in ((False, want), (True, loaded)):
+            got = tokenization.encoder(kind, P.path(name), specials=specials).encode([text])[0]
+            assert np.frombuffer(got, "<u4").tolist() == ids(text)
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", " <|startoftext|> a<|endoftext|>", "Don't <|endoftext|> 's", "x  <|endoftext|>  y", "漢<|startoftext|>é"])
+def test_special_tokens_in_texts(text):
+    for kind, name, plain, loaded in (("byte", "byte_bpe_50k.json", BYTE, BYTE_SPECIALS), ("word", "word_bpe_49k.json", WORD, WORD_SPECIALS)):
+        ids = [np.frombuffer(tokenization.encoder(kind, P.path(name), specials=s).encode([text])[0], "<u4").tolist() for s in (False, True)]
+        assert ids == [plain(text), loaded(text)]
+        assert kind == "byte" and "<|endoftext|>" not in text or ids[0] != ids[1]
 
 
 @settings(max_examples=150, deadline=None)
@@ -137,25 +149,60 @@ def test_bins_keep_every_limit(items):
         assert not any((rows[j] <= room).all() for later in bins[i + 1 :] for j in later)
 
 
-def check_packing(rows, texts_by_row, limit=1024):
-    pieces = {}
-    for r in rows:
-        pieces.setdefault(r["doc_id"], []).append(r)
+def check_packing(rows, limits=(packing.MAX_TOKENS, packing.MAX_SEGMENTS, packing.MAX_LOSS)):
+    """Gapless sequences within all limits; returns what each holds of tokens, segments and loss-bearing tokens."""
     per_sequence = {}
     for r in rows:
-        per_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        per_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["loss_tokens"]))
+    held = []
     for own in per_sequence.values():
         at = 0
-        for offset, length in sorted(own):
-            assert offset == at
+        for offset, length, loss in sorted(own):
+            assert offset == at and 0 <= loss < length
             at += length
-        assert at <= limit
+        held.append((at, len(own), sum(p[2] for p in own)))
+        assert all(a <= b for a, b in zip(held[-1], limits, strict=True))
+    return held
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 300), st.integers(0, 320), st.integers(1, 40), st.integers(0, 40))
+def test_cuts_are_as_long_as_the_limits_allow(n, prompt, max_tokens, max_loss):
+    at = 0
+    for start, length, loss in packing.cuts(n, prompt, max_tokens, max_loss):
+        bears = lambda k: sum(i >= prompt and i > start for i in range(start, start + k))  # noqa: B023, E731
+        assert start == at and loss == bears(length) <= max_loss and 0 < length <= max_tokens
+        assert start + length == n or length == max_tokens or bears(length + 1) > max_loss
+        at += length
+    assert at == n
+
+
+def test_each_limit_closes_sequences(spark):
+    """With the query's own limits: a sequence is full of tokens, of segments or of loss-bearing tokens, with room in the others."""
+    path = P.path("byte_bpe_50k.json")
+    line = lambda n: " ".join(["word"] * n)
+    # 341 tokens of which 42 bear loss; 5 with 3; 335 with 334
+    for text, closed in ((line(299) + "\n" + line(40), 0), ("a\nb c", 1), (line(334), 2)):
+        rows = packing.pack_documents(spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string").coalesce(1), path).collect()
+        (item,) = {(r["length"], 1, r["loss_tokens"]) for r in rows}
+        held = sorted(check_packing(rows))
+        limits = (packing.MAX_TOKENS, packing.MAX_SEGMENTS, packing.MAX_LOSS)
+        fits = [h + i <= m for h, i, m in zip(held[-1], item, limits, strict=True)]
+        assert fits == [k != closed for k in range(3)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the test tables are not here")
+def test_little_padding(spark):
+    held = check_packing(packing.op1_pack_sequences(spark, "/root/testdata/sf0.1").collect())
+    padding = 1 - sum(t for t, _, _ in held) / (packing.MAX_TOKENS * len(held))
+    print(f"padding {padding:.4f}, full of segments {sum(n == packing.MAX_SEGMENTS for _, n, _ in held)}, of loss {sum(s == packing.MAX_LOSS for _, _, s in held)}, of {len(held)}")
+    assert padding < 0.03
 
 
 def test_packing_edges(spark, edge, empty):
     path = P.path("byte_bpe_50k.json")
     rows = packing.pack_documents(edge, path).collect()
-    check_packing(rows, None)
+    check_packing(rows)
     want = sorted((str(i), len(BYTE(t or "")) + 1) for i, t, _ in EDGE)
     got = {}
     for r in rows:
@@ -189,7 +236,7 @@ def test_packing_of_conversations(spark):
 def test_op1_over_its_table(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = packing.op1_pack_sequences(spark, DATA).collect()
-    check_packing(rows, docs)
+    check_packing(rows)
     own = {}
     for r in rows:
         ids = BYTE(docs[r["doc_id"]]) + [0]
@@ -732,7 +779,7 @@ def test_pipeline(spark):
                 if not pii.candidates(before[i]["text"])[1]:
                     assert r == before[i]
         else:
-            check_packing(out.collect(), None)
+            check_packing(out.collect())
             assert {r["doc_id"] for r in out.collect()} == set(before)
         seen[name], docs = out.count(), out
     assert c.run(spark, DATA).count() == seen["packing"]
