@@ -2,18 +2,23 @@
 weighs the labelers, and a span classifier learned from the weighed votes decides.
 
 Four kinds of base spans are given by patterns and always stay: email, ip, card, phone. Wider
-patterns propose further candidates. Regex, gazetteer, checksum and context labelers vote on
-every candidate (1 personal, 2 not, 0 no vote). Over the whole corpus, the votes are counted by
-pattern of votes and features: a table bounded by the number of labelers and features, not by
-the corpus. EM over that table estimates, without any labels, how often each labeler is right,
-and gives every pattern a probability; a logistic model of the features is fitted to those
-probabilities, and a candidate it puts at 0.5 or more is a span.
+patterns propose further candidates: spelled-out addresses, plain phone numbers, id and account
+numbers, names of persons and streets. Regex, checksum, gazetteer, context and shape labelers vote
+on every candidate (1 personal, 2 not, 0 no vote). Over the whole corpus the votes are counted by
+pattern: a table bounded by kinds and labelers, not by the corpus. EM over that table estimates,
+without any labels, how often each labeler is right, and gives every pattern a probability.
+
+The classifier sees other things than the labelers vote by: the span's length and digits, what
+stands right before and after it, the shape of the word before, and other candidates nearby. It is
+a logistic model of these and the kind, fitted to the mean probability of all candidates that look
+alike, again a bounded table; a candidate it puts at 0.5 or more is a span.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, shared_dir, stored, table
 
 BASE = ("email", "ip", "card", "phone")
-WIDE = ("email_words", "phone_plain", "id_number", "iban")
+WIDE = ("email_words", "phone_plain", "id_number", "iban", "name", "street")
 ORDER = {k: i for i, k in enumerate(BASE + WIDE)}
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,19 +46,69 @@ _phone_plain = re.compile(r"(?<![\w+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}
 _id_number = re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", re.A).finditer
 _iban = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", re.A).finditer
 
-MAIL_ENDS = frozenset("com org net edu gov io de fr es it uk eu co us info".split())
+_W = "[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{1,20}(?:[-'’][A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{1,20})?"
+_words = f"{_W}(?: {_W}){{0,2}}(?![\\w'’-])"
+_titled = re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Sr|Sra|Señor|Señora)\b\.? ({_words})").finditer
+_introduced = re.compile(
+    rf"\b(?:[Mm]y name is|[Nn]ame:|[Dd]ear|[Ss]igned,?|[Rr]egards,?|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es)\s({_words})"
+).finditer
+_capitals = re.compile(rf"(?<![\w'’-]){_W}(?: {_W}){{1,2}}(?![\w'’-])").finditer
+_street = re.compile(
+    rf"\b[0-9]{{1,5}}[A-Za-z]? (?:{_W} ){{1,3}}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Boulevard|Blvd|Court|Square|Terrace)\b"
+    rf"|\b[A-ZÄÖÜ][a-zäöüß-]{{1,24}}(?:straße|strasse|str\.|weg|platz|allee|gasse) [0-9]{{1,4}}[a-z]?\b"
+    rf"|\b[0-9]{{1,4}}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai) (?:(?:de|du|des|la|le|les) |[ld]['’]){{0,3}}{_W}(?: {_W}){{0,2}}"
+    rf"|\b(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino) (?:(?:de|del|la|las|los|el) ){{0,3}}{_W}(?: {_W}){{0,2}},? (?:n[.º°]{{0,2}} ?)?[0-9]{{1,4}}\b"
+).finditer
+_may_street = re.compile(
+    "Street|St\\b|R(?:oa)?d\\b|Ave|Lane|Ln\\b|Drive|B(?:ou)?le?va?r?d|Court|Square|Terrace|stra(?:ß|ss)e|str\\.|weg |platz |allee |gasse "
+    "| (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai) |Calle |Avenida |Avda\\.|Plaza |Paseo |Camino "
+).search
+
 CARD_STARTS = ("4", "51", "52", "53", "54", "55", "34", "37", "36", "38", "6011", "65", "35", "22", "23", "24", "25", "26", "27")
-IBAN_LANDS = frozenset("AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IT LI LT LU LV MT NL NO PL PT RO SE SI SK".split())
+
+
+@dataclass(frozen=True)
+class Gazetteers:
+    """Lists the gazetteer labeler looks things up in; a program with larger ones passes its own."""
+
+    mail_ends: frozenset = frozenset("com org net edu gov io de fr es it uk eu co us info".split())
+    iban_lands: frozenset = frozenset("AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IT LI LT LU LV MT NL NO PL PT RO SE SI SK".split())
+    given_names: frozenset = frozenset(
+        "Adam Agnes Alan Alberto Alejandro Alice Amelie Amy Ana Andrea Andreas Angela Anna Anne Antoine Antonio Barbara Beatriz Ben Bernd Brian Camille "
+        "Carlos Carmen Caroline Catherine Charles Charlotte Christian Christine Claire Claudia Daniel David Diego Dieter Elena Elizabeth Emily Emma Eric Eva "
+        "Fernando Florian Francisco Frank François Friedrich Gabriel George Gerhard Hans Heike Helen Henri Hugo Inge Isabel Jack Jacques James Jane Javier Jean "
+        "Jennifer Jessica Johann John Jorge Joseph José Juan Julia Julien Jürgen Karen Karl Katharina Klaus Laura Léa Linda Louis Lucas Lucía Luis Manuel Marc "
+        "Margaret María Marie Mark Markus Martin Mary Mathieu Michael Michel Miguel Monika Nathalie Nicolas Olivier Pablo Patricia Paul Pedro Peter Petra Philippe "
+        "Pierre Rachel Ramón Richard Robert Rosa Sabine Sarah Sebastian Sophie Stefan Steven Susan Sylvie Teresa Thomas Ursula Uwe Walter William Wolfgang".split()
+    )
+    places: frozenset = frozenset(
+        "London|Manchester|Birmingham|Leeds|Glasgow|Edinburgh|Dublin|New York|Los Angeles|Chicago|Houston|Boston|Seattle|San Francisco|San Diego|Toronto|"
+        "Sydney|Berlin|Hamburg|München|Köln|Frankfurt|Stuttgart|Düsseldorf|Leipzig|Dresden|Wien|Zürich|Paris|Lyon|Marseille|Toulouse|Bordeaux|Lille|Nantes|"
+        "Strasbourg|Bruxelles|Genève|Madrid|Barcelona|Valencia|Sevilla|Zaragoza|Málaga|Bilbao|Buenos Aires|Santiago|Lima|Bogotá".split("|")
+    )
+
+
+GAZETTEERS = Gazetteers()
+#: Capitalised words that are no part of a name.
+NO_NAMES = frozenset(
+    "The This That These Those And But For From With January February March April May June July August September October November December Monday Tuesday "
+    "Wednesday Thursday Friday Saturday Sunday University Company Street Road License Public General Der Die Das Und Les Des Une Los Las Una".split()
+)
 POSITIVE = re.compile(
     r"mail|e-mail|contact|call|phone|tel|fax|mobile|ssn|social|account|iban|card|visa|address|reach|write to|kontakt|telefon|anruf|"
     r"appel|courriel|carte|compte|llam|correo|tarjeta|cuenta|konto",
     re.I,
 ).search
 NEGATIVE = re.compile(r"version|order|isbn|issn|invoice|sku|model|serial|build|chapter|page|§|no\.|nr\.|hash|commit|token|\bid\b", re.I).search
-
-LABELERS = ("strict", "check", "gazetteer", "context", "shape")
-FEATURES = ("base", "check", "known", "good_context", "bad_context", "clean_edges", "separated", "varied")
-CANDIDATE = "struct<kind:string,start:int,stop:int,votes:int,mask:int>"
+POSITIVE_NAME = re.compile(r"name|dear|signed|regards|sincerely|heiße|appelle|llamo|nombre|born|married|Mrs?\b|Dr\b|Herr|Frau|Mme|Señora?", re.I).search
+NEGATIVE_NAME = re.compile(r"university|company|\binc\b|\bltd\b|gmbh|license|version|street|avenue|city|team|chapter", re.I).search
+POSITIVE_STREET = re.compile(r"address|lives?\b|living|resid|ship to|wohn|adresse|anschrift|habite|domicil|direcci|vive\b", re.I).search
+_postcode = re.compile(r"(?<![0-9])[0-9]{5}(?![0-9])").search
+
+LABELERS = ("pattern", "check", "gazetteer", "context", "shape")
+#: What the classifier sees, with the number of values each feature has.
+FEATURES = {"size": 4, "digits": 4, "before": 4, "after": 4, "prior": 4, "company": 2, "check": 2, "listed": 2}
+CANDIDATE = "struct<kind:string,start:int,stop:int,votes:int,look:int>"
 FOUND = f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, candidates array<{CANDIDATE}>"
 
 
@@ -94,11 +149,24 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(out, key=lambda s: (s[0], ORDER[s[1]]))
 
 
-def _wide_spans(text: str) -> list[tuple[int, str, int]]:
-    out = []
+def _names(text: str, gazetteers: Gazetteers) -> list[tuple[int, int]]:
+    """Words after a title or an introduction, and capitalised words of which the first is a given name."""
+    found = [m.span(1) for find in (_titled, _introduced) for m in find(text)]
+    found += [m.span() for m in _capitals(text) if m[0].split(" ", 1)[0] in gazetteers.given_names]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
+def _wide_spans(text: str, gazetteers: Gazetteers) -> list[tuple[int, str, int]]:
+    out = [(a, "name", b) for a, b in _names(text, gazetteers)]
     if _digit(text):
         for kind, find in (("phone_plain", _phone_plain), ("id_number", _id_number), ("iban", _iban)):
             out += [(m.start(), kind, m.end()) for m in find(text)]
+        if _may_street(text):
+            out += [(m.start(), "street", m.end()) for m in _street(text)]
     if "dot" in text.lower():
         out += [(m.start(), "email_words", m.end()) for m in _email_words(text)]
     return out
@@ -109,59 +177,91 @@ def _iban_ok(raw: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def votes_and_features(text: str, start: int, kind: str, stop: int) -> tuple[int, int]:
-    """Votes (base-3 digits by LABELERS) and features (bits by FEATURES) of one candidate."""
-    raw = text[start:stop]
-    digits = re.sub("[^0-9]", "", raw)
-    around = text[max(0, start - 40) : start] + " " + text[stop : stop + 20]
-    good, bad = bool(POSITIVE(around)), bool(NEGATIVE(around))
+def _judged(kind: str, raw: str, digits: str, around: str, gazetteers: Gazetteers) -> tuple[bool, bool]:
+    """(check, listed): whether the span is valid by its kind's own rules, and whether a gazetteer has its part."""
     if kind.startswith("email"):
         end = re.split(r"[.\s]", raw.lower().rstrip(")]"))[-1]
-        check, known = len(raw) <= 254 and ".." not in raw, end in MAIL_ENDS
-    elif kind == "ip":
+        return len(raw) <= 254 and ".." not in raw, end in gazetteers.mail_ends
+    if kind == "ip":
         parts = raw.split(".")
-        check, known = not any(len(p) > 1 and p[0] == "0" for p in parts), parts[0] not in ("0", "255")
-    elif kind == "card":
-        check, known = luhn(digits), digits.startswith(CARD_STARTS) and len(digits) in (13, 14, 15, 16, 19)
-    elif kind == "iban":
-        check, known = _iban_ok(raw), raw[:2] in IBAN_LANDS
-    elif kind == "id_number":
-        check, known = digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000", digits[0] != "9"
-    else:
-        national = digits[-10:]
-        check, known = len(national) == 10, national[:1] not in ("0", "1") and national[3:6] != "000"
-    before, after = text[start - 1 : start], text[stop : stop + 1]
-    edges = not (before.isalnum() or after.isalnum())
-    separated, varied = bool(re.search(r"[ ().@-]", raw)), len(set(digits or raw)) >= 4
-    strict = kind in BASE
-    votes = [
-        1 if strict else 0,
+        return not any(len(p) > 1 and p[0] == "0" for p in parts), parts[0] not in ("0", "255")
+    if kind == "card":
+        return luhn(digits), digits.startswith(CARD_STARTS) and len(digits) in (13, 14, 15, 16, 19)
+    if kind == "iban":
+        return _iban_ok(raw), raw[:2] in gazetteers.iban_lands
+    if kind == "id_number":
+        return digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000", digits[0] != "9"
+    if kind == "name":
+        words = raw.split(" ")
+        return len(set(words)) == len(words) and not NO_NAMES & {*words}, words[0] in gazetteers.given_names and raw not in gazetteers.places
+    if kind == "street":
+        return digits.strip("0") != "", any(p in around for p in gazetteers.places) or bool(_postcode(around))
+    national = digits[-10:]
+    return len(national) == 10, national[:1] not in ("0", "1") and national[3:6] != "000"
+
+
+def votes(kind: str, raw: str, digits: str, around: str, edges: bool, check: bool, listed: bool) -> int:
+    """Votes of the LABELERS on a candidate as base-3 digits."""
+    positive, negative = {"name": (POSITIVE_NAME, NEGATIVE_NAME), "street": (POSITIVE_STREET, NEGATIVE)}.get(kind, (POSITIVE, NEGATIVE))
+    good, bad = bool(positive(around)), bool(negative(around))
+    varied = len(set(digits)) >= 4 if kind not in ("name", "street") and digits else len(set(raw)) >= 4
+    all_votes = (
+        1 if kind in BASE or kind == "street" else 0,
         1 if check else 2,
-        1 if known else 0,
+        1 if listed else 0,
         1 if good and not bad else 2 if bad and not good else 0,
-        2 if not edges or not varied else 1 if separated else 0,
-    ]
-    bits = (strict, check, known, good, bad, edges, separated, varied)
-    return sum(v * 3**i for i, v in enumerate(votes)), sum(1 << i for i, b in enumerate(bits) if b)
+        2 if not edges or not varied else 1 if re.search("[ ().@-]", raw) else 0,
+    )
+    return sum(v * 3**i for i, v in enumerate(all_votes))
+
+
+def look(text: str, start: int, stop: int, digits: str, company: bool, check: bool, listed: bool) -> int:
+    """The FEATURES of a candidate as one number."""
+    before, after, size = text[start - 1 : start], text[stop : stop + 1], stop - start
+    side = lambda c, marks: 0 if not c or c in "\n\r" else 1 if c.isspace() else 2 if c in marks else 3
+    prior = text[max(0, start - 30) : start].split()[-1:]
+    word = prior[0].strip("()[]{}<>\"'.,:;!?") if prior else ""
+    values = (
+        (size > 10) + (size > 15) + (size > 25),
+        (len(digits) > 0) + (len(digits) > 6) + (len(set(digits)) > 6),
+        side(before, "([{<\"'«“„:=,;"),
+        side(after, ")]}>\"'»”“.,:;!?"),
+        0 if not word else 1 if word.islower() else 2 if word[0].isupper() else 3,
+        company, check, listed,
+    )
+    out = 0
+    for v, n in zip(values, FEATURES.values(), strict=True):
+        out = out * n + int(v)
+    return out
 
 
 def _may_hold(text: str) -> bool:
-    """False only if no pattern can match: each asks for an @, a digit or the word dot in any case."""
+    """False only if no pattern of numbers and addresses can match: each asks for an @, a digit or the word dot in any case."""
     return "@" in text or bool(_digit(text)) or "dot" in text.lower()
 
 
-def candidates(text: str) -> tuple[list, list]:
-    """(base spans, all candidates with votes and features); wide ones that touch a base span are left out."""
-    base = base_spans(text)
-    out = [(kind, a, b, *votes_and_features(text, a, kind, b)) for a, kind, b in base]
-    wide = sorted(_wide_spans(text), key=lambda s: (s[0], ORDER[s[1]]))
+def candidates(text: str, gazetteers: Gazetteers = GAZETTEERS) -> tuple[list, list]:
+    """(base spans, all candidates as CANDIDATE); wide ones that touch a base span are left out."""
+    base = base_spans(text) if _may_hold(text) else []
+    spans = list(base)
+    wide = sorted(_wide_spans(text, gazetteers), key=lambda s: (s[0], ORDER[s[1]]))
     if wide:
         ends = np.maximum.accumulate([b for _, _, b in base]).tolist() if base else []
         starts = [a for a, _, _ in base]
         for a, kind, b in wide:
             k = bisect_right(starts, b - 1)
             if not k or ends[k - 1] <= a:
-                out.append((kind, a, b, *votes_and_features(text, a, kind, b)))
+                spans.append((a, kind, b))
+    places = sorted(a for a, _, _ in spans)
+    out = []
+    for a, kind, b in spans:
+        raw = text[a:b]
+        digits = re.sub("[^0-9]", "", raw)
+        around = text[max(0, a - 40) : a] + " " + text[b : b + 20]
+        edges = not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum())
+        company = bisect_left(places, b + 100) - bisect_left(places, a - 100) > 1
+        check, listed = _judged(kind, raw, digits, text[max(0, a - 40) : a] + " " + text[b : b + 40], gazetteers)
+        out.append((kind, a, b, votes(kind, raw, digits, around, edges, check, listed), look(text, a, b, digits, company, check, listed)))
     return base, out
 
 
@@ -169,7 +269,7 @@ def joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
 
 
-def extract(docs: DataFrame) -> DataFrame:
+def extract(docs: DataFrame, gazetteers: Gazetteers = GAZETTEERS) -> DataFrame:
     """FOUND: base counts, base spans as text, and the candidates of every row of ``docs``."""
     import pyspark.sql.types as T
 
@@ -184,9 +284,9 @@ def extract(docs: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 1000):
                 rows = []
                 for doc_id, text in zip(ids[lo : lo + 1000].to_pylist(), texts[lo : lo + 1000].to_pylist(), strict=True):
-                    base, found = candidates(text) if _may_hold(text) else ([], [])
+                    base, found = candidates(text, gazetteers)
                     row = {f"n_{k}": sum(s[1] == k for s in base) for k in BASE}
-                    names = ("kind", "start", "stop", "votes", "mask")
+                    names = ("kind", "start", "stop", "votes", "look")
                     row |= {"doc_id": doc_id, "base": joined(base), "candidates": [dict(zip(names, c, strict=True)) for c in found]}
                     rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -231,49 +331,73 @@ def fit_logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: f
     return beta
 
 
-def _design(kind: list[str], mask: np.ndarray) -> np.ndarray:
-    kinds = np.array([ORDER[k] for k in kind], dtype=int)
-    bits = (mask[:, None] >> np.arange(len(FEATURES))) & 1
-    return np.hstack([np.eye(len(ORDER))[kinds], bits]).astype(float)
+#: Products of the numbers of values of the features after each one: what a feature's value is multiplied by in a look.
+RADIX = {f: int(np.prod(list(FEATURES.values())[i + 1 :], dtype=int)) for i, f in enumerate(FEATURES)}
+
+
+def _design(kind: list[str], looks: np.ndarray) -> np.ndarray:
+    """One column for each kind and each value of each feature."""
+    parts = [np.eye(len(ORDER))[[ORDER[k] for k in kind]]]
+    parts += [np.eye(n)[looks // RADIX[f] % n] for f, n in FEATURES.items()]
+    return np.hstack(parts)
 
 
-def fit(found: DataFrame) -> set[tuple[str, int]]:
-    """The (kind, features) the span classifier accepts, learned from all candidates.
+@dataclass(frozen=True)
+class Classifier:
+    """Weights of the logistic model: a constant, one for each kind, one for each value of each feature."""
 
-    What comes to the driver has a row for each pattern of votes and features, at most
-    len(ORDER) * 3**len(LABELERS) * 2**len(FEATURES) whatever the corpus.
+    constant: float
+    kinds: tuple[float, ...]
+    features: tuple[tuple[float, ...], ...]
+
+    def accepts(self, kind: str, look: int) -> bool:
+        own = (w[look // RADIX[f] % len(w)] for f, w in zip(FEATURES, self.features, strict=True))
+        return kind in BASE or self.constant + self.kinds[ORDER[kind]] + sum(own) >= 0
+
+    def column(self, c):
+        """The same of a candidate column."""
+        numbers = lambda w: F.array(*[F.lit(float(x)) for x in w])
+        score = F.lit(self.constant) + F.get(numbers(self.kinds), F.array_position(F.array(*map(F.lit, ORDER)), c["kind"]).cast("int") - 1)
+        for f, w in zip(FEATURES, self.features, strict=True):
+            score = score + F.get(numbers(w), (F.floor(c["look"] / RADIX[f]) % len(w)).cast("int"))
+        return c["kind"].isin(*BASE) | (score >= 0)
+
+
+def fit(found: DataFrame) -> Classifier:
+    """The span classifier, learned from all candidates; without candidates it accepts base spans only.
+
+    What comes to the driver are two tables whose sizes don't depend on the corpus: at most
+    len(ORDER) * 3**len(LABELERS) patterns of votes, and as many kinds of candidates as the
+    features tell apart, len(ORDER) times the product of their numbers of values.
     """
-    c = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.mask").count()
-    rows = sorted(c.collect())
+    spark = found.sparkSession
+    c = found.select(F.explode("candidates").alias("c")).select("c.kind", "c.votes", "c.look")
+    rows = sorted(c.groupBy("kind", "votes").count().collect())
     if not rows:
-        return set()
-    kind = [r["kind"] for r in rows]
-    votes, mask, n = (np.array([r[k] for r in rows]) for k in ("votes", "mask", "count"))
-    patterns = (votes[:, None] // 3 ** np.arange(len(LABELERS))) % 3
-    p = estimate(patterns, n.astype(float))
+        return Classifier(-1.0, (0.0,) * len(ORDER), tuple((0.0,) * n for n in FEATURES.values()))
+    votes = np.array([r["votes"] for r in rows])
+    p = estimate((votes[:, None] // 3 ** np.arange(len(LABELERS))) % 3, np.array([r["count"] for r in rows], dtype=float))
+    weighed = spark.createDataFrame([(r["kind"], r["votes"], float(x)) for r, x in zip(rows, p, strict=True)], "kind string, votes int, p double")
+    alike = c.join(F.broadcast(weighed), ["kind", "votes"]).groupBy("kind", "look").agg(F.count("*").alias("n"), F.avg("p").alias("p"))
+    seen = sorted(alike.collect())
+    kind = [r["kind"] for r in seen]
+    looks, n, target = (np.array([r[k] for r in seen]) for k in ("look", "n", "p"))
     # kinds weigh alike by order of magnitude, so a frequent kind doesn't drown the others
-    x, weight = _design(kind, mask), np.log1p(n)
-    beta = fit_logistic(x, p, weight)
-    score = beta[0] + x @ beta[1:]
-    return {(k, int(m)) for k, m, s in zip(kind, mask, score, strict=True) if s >= 0}
-
-
-def _accepted(cands, accepted) -> list[tuple[int, str, int]]:
-    """Base spans and accepted others, (start, kind, end) by start and then kind."""
-    own = [(a, k, b) for k, a, b, _, mask in cands if k in BASE or (k, mask) in accepted]
-    return sorted(own, key=lambda s: (s[0], ORDER[s[1]], s[2]))
+    beta = fit_logistic(_design(kind, looks), target, np.log1p(n)).tolist()
+    ends = np.cumsum([1, len(ORDER), *FEATURES.values()])
+    return Classifier(beta[0], tuple(beta[1 : ends[1]]), tuple(tuple(beta[a:b]) for a, b in zip(ends[1:], ends[2:], strict=False)))
 
 
-def detect(docs: DataFrame) -> DataFrame:
+def detect(docs: DataFrame, gazetteers: Gazetteers = GAZETTEERS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base, spans for every row of ``docs`` (``doc_id``, ``text``).
 
     Null text counts as empty and has no spans; null ids and repeated rows stay rows of their
-    own (and count in the statistics); an empty table gives no rows.
+    own (and count in the statistics); texts of any length are searched whole; other columns are
+    not looked at; an empty table gives no rows.
     """
-    found = stored(extract(docs), shared_dir(docs.sparkSession, "pii"))
-    accepted = sorted(fit(found))
-    own = F.array(*[F.lit(f"{k}:{m}") for k, m in accepted]) if accepted else F.array().cast("array<string>")
-    keep = F.filter("candidates", lambda c: c["kind"].isin(*BASE) | F.array_contains(own, F.concat_ws(":", c["kind"], c["mask"])))
+    found = stored(extract(docs, gazetteers), shared_dir(docs.sparkSession, "pii"))
+    learned = fit(found)
+    keep = F.filter("candidates", learned.column)
     ordered = F.array_sort(
         F.transform(keep, lambda c: F.struct(c["start"].alias("a"), F.array_position(F.array(*map(F.lit, ORDER)), c["kind"]).alias("o"), c["stop"].alias("b"), c["kind"].alias("k")))
     )
@@ -281,12 +405,11 @@ def detect(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in BASE], "base", spans.alias("spans"))
 
 
-def mask_text(text: str, accepted: set[tuple[str, int]]) -> str:
+def mask_text(text: str, learned: Classifier, gazetteers: Gazetteers = GAZETTEERS) -> str:
     """The text with every span replaced by its kind in brackets; of overlapping spans the first counts."""
-    if not _may_hold(text):
-        return text
     out, end = [], 0
-    for a, kind, b in _accepted(candidates(text)[1], accepted):
+    own = [(a, kind, b) for kind, a, b, _, look in candidates(text, gazetteers)[1] if learned.accepts(kind, look)]
+    for a, kind, b in sorted(own, key=lambda s: (s[0], ORDER[s[1]], s[2])):
         if a >= end:
             out += [text[end:a], f"[{kind.upper()}]"]
             end = b
@@ -295,20 +418,23 @@ def mask_text(text: str, accepted: set[tuple[str, int]]) -> str:
     return "".join([*out, text[end:]]) if end else text
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, gazetteers: Gazetteers = GAZETTEERS) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind, and ``n_chars``, where there, set to the new length.
 
-    Null texts stay null. Rows without a span are returned as they are.
+    Null texts stay null; empty texts, and texts of any length without a span, are returned as
+    they are. Null ids, repeated rows and all other columns stay; an empty table gives no rows.
+    Candidates are looked for twice, first to learn from all of them, then to replace: storing
+    them with the texts in between would cost a copy of the corpus to save a small part of the time.
     """
-    found = stored(extract(docs), shared_dir(docs.sparkSession, "pii"))
-    accepted = fit(found)
+    found = stored(extract(docs, gazetteers), shared_dir(docs.sparkSession, "pii"))
+    learned = fit(found)
     names = docs.columns
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for batch in batches:
             old = batch.column(at).to_pylist()
-            new = [t and mask_text(t, accepted) for t in old]
+            new = [t and mask_text(t, learned, gazetteers) for t in old]
             if new != old:
                 cols = list(batch.columns)
                 cols[at] = pa.array(new, cols[at].type)

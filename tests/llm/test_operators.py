@@ -474,7 +474,9 @@ def test_base_secrets(text):
 
 
 def test_very_long_runs_are_read_once():
-    for text in ("1" * 300_000, "1." * 150_000, "a" * 300_000 + "@", "+1" + " " * 300_000, "a@" * 100_000, "1 " * 150_000):
+    runs = ["1" * 300_000, "1." * 150_000, "a" * 300_000 + "@", "+1" + " " * 300_000, "a@" * 100_000, "1 " * 150_000]
+    runs += ["Anna " * 60_000, "A" * 300_000, "Ab-" * 100_000, "1 Ab Cd Ef " * 30_000, "Mr. " * 60_000, "dot at " * 40_000]
+    for text in runs:
         pii.candidates(text)
         secret_scans.find_secrets(text)
 
@@ -489,6 +491,111 @@ def test_estimation_recovers_the_labelers():
     assert ((p[inverse.ravel()] > 0.5) == truth).mean() > 0.94
 
 
+def naive_em(votes, rounds=200):
+    """The same two-class model over single candidates, with loops and dictionaries."""
+    p = [(sum(v == 1 for v in row) + 1) / (sum(v > 0 for v in row) + 2) for row in votes]
+    for _ in range(rounds):
+        prior = (sum(p) + 1) / (len(p) + 2)
+        table = {}
+        for j in range(len(votes[0])):
+            for y in (0, 1):
+                mass = [1.0, 1.0, 1.0]
+                for row, q in zip(votes, p, strict=True):
+                    mass[row[j]] += q if y else 1 - q
+                for v in range(3):
+                    table[j, y, v] = mass[v] / sum(mass)
+        new = []
+        for row in votes:
+            like = [1 - prior, prior]
+            for j, v in enumerate(row):
+                like = [like[y] * table[j, y, v] for y in (0, 1)]
+            new.append(like[1] / sum(like))
+        done = max(abs(x - y) for x, y in zip(new, p, strict=True)) < 1e-9
+        p = new if not done else p
+        if done:
+            break
+    return p
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(0, 2)] * 4), min_size=1, max_size=40))
+def test_estimation_against_a_naive_one(votes):
+    patterns, inverse, counts = np.unique(np.array(votes), axis=0, return_inverse=True, return_counts=True)
+    got = pii.estimate(patterns, counts.astype(float))[inverse.ravel()]
+    assert np.allclose(got, naive_em(votes), atol=1e-6)
+
+
+def test_the_logistic_fit_is_the_optimum():
+    rng = np.random.default_rng(9)
+    x, target, weight = rng.integers(0, 2, (300, 7)).astype(float), rng.random(300), rng.random(300) * 5
+    beta = pii.fit_logistic(x, target, weight, ridge=0.5)
+    z = np.hstack([np.ones((300, 1)), x])
+    p = 1 / (1 + np.exp(-z @ beta))
+    assert np.abs(z.T @ (weight * (target - p)) - 0.5 * beta).max() < 1e-6
+
+
+ALL = pii.Classifier(99.0, (0.0,) * len(pii.ORDER), tuple((0.0,) * n for n in pii.FEATURES.values()))
+PERSONAL = [
+    "Dear John Smith, your new address is 12 Baker Street, London. Regards, Mary Jones",
+    "Frau Müller wohnt in der Hauptstraße 5, 10115 Berlin, und Herr Hans Peter Klein in Hamburg",
+    "Je m'appelle Claire Dubois, 14 rue de la Paix, 75002 Paris, contact: call (212) 555-0101",
+    "Me llamo María García. Dirección: Calle de Alcalá 45, Madrid, cuenta ES91 2100 0418 4502 0005 1332",
+    "order no. 555-123-4567 of version 3, chapter 078-05-1120, Thomas Jefferson University, Martin Martin Martin",
+    "The Apache License. General Public License. SSN 078-05-1120, write to jane at example dot com",
+]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (PERSONAL[0], [("name", "John Smith"), ("street", "12 Baker Street"), ("name", "Mary Jones")]),
+        (PERSONAL[1], [("name", "Müller"), ("street", "Hauptstraße 5"), ("name", "Hans Peter Klein")]),
+        (PERSONAL[2], [("name", "Claire Dubois"), ("street", "14 rue de la Paix"), ("phone_plain", "(212) 555-0101")]),
+        (PERSONAL[3], [("name", "María García"), ("street", "Calle de Alcalá 45"), ("iban", "ES91 2100 0418 4502 0005 1332")]),
+        ("The Apache License. General Public License. Der Der Der Und", []),
+    ],
+)
+def test_wide_candidates(text, want):
+    assert sorted((a, k, text[a:b]) for k, a, b, *_ in pii.candidates(text)[1]) == sorted((text.index(x), k, x) for k, x in want)
+
+
+def test_labelers_look_things_up_in_the_given_lists():
+    own = pii.Gazetteers(given_names=frozenset(["Zyx"]))
+    assert not pii.candidates("then Zyx Wvu came")[1] and [c[0] for c in pii.candidates("then Zyx Wvu came", own)[1]] == ["name"]
+
+
+def test_all_spans_against_a_plain_computation(spark):
+    """Votes, weighing, classifier and spans of whole texts, computed one candidate at a time."""
+    texts = [t for k, t in enumerate(PERSONAL) for _ in range(k + 1)] + [t for _, t, _ in EDGE] + ["mail x.y@z.org or +49 (30) 1234567 from 10.0.0.1"] * 3
+    found = [pii.candidates(t or "")[1] for t in texts]
+    flat = [c for own in found for c in own]
+    p = naive_em([[c[3] // 3**i % 3 for i in range(len(pii.LABELERS))] for c in flat])
+    mean = {}
+    for c, q in zip(flat, p, strict=True):
+        mean.setdefault((c[0], c[4]), []).append(q)
+    keys = sorted(mean)
+    rows = []
+    for kind, look in keys:
+        row = [float(kind == k) for k in pii.ORDER]
+        rest, digits = look, []
+        for n in reversed(pii.FEATURES.values()):
+            rest, v = divmod(rest, n)
+            digits.insert(0, [float(v == i) for i in range(n)])
+        rows.append(row + [x for d in digits for x in d])
+    beta = pii.fit_logistic(np.array(rows), np.array([np.mean(mean[k]) for k in keys]), np.array([np.log1p(len(mean[k])) for k in keys]))
+    score = dict(zip(keys, (beta[0] + np.array(rows) @ beta[1:]).tolist(), strict=True))
+    assert min(abs(v) for v in score.values()) > 1e-6
+    order = list(pii.ORDER)
+    want = sorted(
+        ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted((a, order.index(k), b, k) for k, a, b, _, look in own if k in pii.BASE or score[k, look] >= 0)) for own in found
+    )
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["spans"] for r in pii.detect(df).collect()) == want
+    learned = pii.fit(pii.extract(df))
+    assert all(learned.accepts(k, look) == (k in pii.BASE or score[k, look] >= 0) for k, look in keys)
+    assert sorted(r["text"] or "" for r in pii.redact(df).collect()) == sorted(pii.mask_text(t or "", learned) for t in texts)
+
+
 def test_pii_edges(spark, edge, empty):
     rows = pii.detect(edge).collect()
     assert len(rows) == len(EDGE)
@@ -509,7 +616,7 @@ def test_spelled_out_addresses(spark, text):
     assert [c[:3] for c in pii.candidates(text)[1]] == [want]
     rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert [(c["kind"], c["start"], c["stop"]) for c in pii.extract(rows).first()["candidates"]] == [want]
-    assert pii.mask_text(text, {(want[0], pii.candidates(text)[1][0][4])}) == text[:9] + "[EMAIL_WORDS]" + text[-4:]
+    assert pii.mask_text(text, ALL) == text[:9] + "[EMAIL_WORDS]" + text[-4:]
 
 
 @needs_data
