@@ -23,6 +23,13 @@ fragments are summed:
 Segments travel as packed binary blocks, a row for each batch and fragment, so rows and their
 cost don't grow with single shingles. In a batch a shingle is sent once, however many of its
 documents hold it.
+
+How many fragments there are follows from the counted bytes of the texts, so a fragment does not
+grow with the corpus. Beyond MAX_PARTS partitions several fragments go to one partition, sorted,
+and are worked on one after the other. Pairs are put into buckets by a hub they share, the
+members of large groups by a hash as well, so that a bucket holds a bounded number of shingles,
+few of them sent to several buckets. The steps on pairs read sorted rows and hold those of one
+class or one cell.
 """
 
 from __future__ import annotations
@@ -40,10 +47,12 @@ from .components import connected_components
 WORDS = 5
 #: Classes fetched by a broadcast list of ids; more are fetched by a shuffled join.
 SMALL = 200_000
-#: Shingles a batch may hold before it is sent.
+#: Shingles a batch may hold before it is sent, and pairs that are held at once.
 BATCH = 1_000_000
-#: Fragments in which candidate pairs are verified.
-FRAGMENTS = 8
+#: Bytes of text whose shingles make up one fragment, and partitions the fragments are dealt to at most.
+FRAGMENT_BYTES, MAX_PARTS = 2**26, 2**16
+#: Fragments in which candidate pairs are verified, and shingles of a bucket of pairs that meet in each.
+FRAGMENTS, BUCKET = 4, 250_000
 #: Rounds of joining classes by hubs, and the hubs of a shingle in each. The round after them is exact.
 ROUNDS, HUBS = 2, 6
 #: Classes of one shingle that meet in one task at most.
@@ -108,8 +117,8 @@ def _slices(hashes: np.ndarray, n: int):
         yield int(f[a]), a, b
 
 
-BLOCK = "dst int, kind int, a binary, b binary, c binary"
-_BLOCK = pa.schema([("dst", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+BLOCK = "dst int, sub int, kind int, a binary, b binary, c binary"
+_BLOCK = pa.schema([("dst", pa.int32()), ("sub", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 MARKS = "doc_id long, n long, key string, id long, shared long"
 _MARKS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("id", pa.int64()), ("shared", pa.int64())])
 
@@ -124,7 +133,35 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
 
-def _mark(parts: int):
+def _size(parts: int, subs: int) -> int:
+    """Shingles of a batch: so many that a fragment's block has some of them."""
+    return min(8 * BATCH, max(BATCH, 16 * parts * subs))
+
+
+def _in_turn(batches):
+    """The rows of sorted batches (dst, sub, ...), all rows of a fragment at a time."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
+        for a, b in zip(at := _runs(key), [*at[1:].tolist(), len(key)], strict=True):
+            if held and key[a] != now:
+                yield held
+                held = []
+            now = key[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
+def _dealt(blocks: DataFrame, parts: int, subs: int) -> DataFrame:
+    """Blocks in the partitions of their fragments; sorted if a partition has several."""
+    out = blocks.repartitionById(parts, F.col("dst"))
+    return out.sortWithinPartitions("dst", "sub") if subs > 1 else out
+
+
+def _mark(parts: int, subs: int):
     """Step 1, first half: batches of (doc_id, text) to blocks for the fragments."""
 
     def send(docs, sets, number):
@@ -132,7 +169,7 @@ def _mark(parts: int):
         ids = np.array([d or 0 for d, _, _ in docs], "<i8").tobytes()
         nulls = np.array([d is None for d, _, _ in docs], np.uint8).tobytes()
         rest = b"".join(k + n.to_bytes(8, "little") for _, k, n in docs)
-        rows = [(number % parts, 0, ids, nulls, rest)]
+        rows = [(number % parts, 0, 0, ids, nulls, rest)]
         keys = list(sets)
         if keys:
             names = np.frombuffer(b"".join(k[:8] for k in keys), "<u8")
@@ -144,20 +181,20 @@ def _mark(parts: int):
             length = np.diff(np.append(at, len(hashes)))
             several = np.repeat(length > 1, length)
             shared = np.bincount(owner[several], minlength=len(keys)).astype("<i8")
-            rows.append((number % parts, 1, names.tobytes(), shared.tobytes(), b""))
+            rows.append((number % parts, 0, 1, names.tobytes(), shared.tobytes(), b""))
             who = np.where(length == 1, owner[at], _NOBODY).astype("<u2")
             one = hashes[at]
             low = (one & np.uint64(0xFFFFFFFF)).astype("<u4")
-            for f, a, b in _slices(one, parts):
+            for f, a, b in _slices(one, parts * subs):
                 used, local = np.unique(who[a:b], return_inverse=True)
                 local = np.where(who[a:b] == _NOBODY, _NOBODY, local).astype("<u2")
-                rows.append((f, 2, names[used[used != _NOBODY]].tobytes(), low[a:b].tobytes(), local.tobytes()))
+                rows.append((f // subs, f % subs, 2, names[used[used != _NOBODY]].tobytes(), low[a:b].tobytes(), local.tobytes()))
         return _blocks(rows)
 
     def run(batches):
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId()
+        number, limit = TaskContext.get().partitionId(), _size(parts, subs)
         docs, sets, size = [], {}, 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -168,7 +205,7 @@ def _mark(parts: int):
                 if len(own) and key not in sets:
                     sets[key] = own
                     size += len(own)
-                if size >= BATCH or len(docs) >= 50_000:
+                if size >= limit or len(docs) >= 50_000:
                     yield send(docs, sets, number)
                     docs, sets, size, number = [], {}, 0, number + 1
         if docs:
@@ -178,10 +215,15 @@ def _mark(parts: int):
 
 
 def _count(batches):
-    """Step 1, second half: one fragment's blocks to MARKS: documents, and shared shingles per class."""
+    """Step 1, second half: the blocks of fragments to MARKS: documents, and shared shingles per class."""
+    for own in _in_turn(batches):
+        yield from _count_one(own)
+
+
+def _count_one(batches):
     names, lows, owners, base = [], [], [], 0
     for batch in batches:
-        for kind, a, b, c in zip(*(batch.column(k) for k in range(1, 5)), strict=True):
+        for kind, a, b, c in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
             kind, a, b, c = kind.as_py(), a.as_py(), b.as_py(), c.as_py()
             if kind == 0:
                 n = len(b)
@@ -243,7 +285,7 @@ def _sets(batches):
             )
 
 
-def _segments(parts: int):
+def _segments(parts: int, subs: int):
     """Step 2: (cid, n, hashes) batches to blocks of segments."""
 
     def send(rows):
@@ -254,19 +296,19 @@ def _segments(parts: int):
         order = np.argsort(hashes, kind="stable")
         hashes, owner = hashes[order], owner[order]
         out = []
-        for f, a, b in _slices(hashes, parts):
+        for f, a, b in _slices(hashes, parts * subs):
             used, local = np.unique(owner[a:b], return_inverse=True)
             head = np.stack([cids[used], sizes[used]]).tobytes()
-            out.append((f, 0, head, hashes[a:b].tobytes(), local.astype("<u4").tobytes()))
+            out.append((f // subs, f % subs, 0, head, hashes[a:b].tobytes(), local.astype("<u4").tobytes()))
         return _blocks(out)
 
     def run(batches):
-        rows, size = [], 0
+        rows, size, limit = [], 0, _size(parts, subs)
         for batch in batches:
             for cid, n, raw in zip(*(batch.column(k) for k in range(3)), strict=True):
                 rows.append((cid.as_py(), n.as_py(), np.frombuffer(raw.as_buffer(), "<u8")))
                 size += len(rows[-1][2])
-                if size >= BATCH:
+                if size >= limit:
                     yield send(rows)
                     rows, size = [], 0
         if rows:
@@ -275,19 +317,17 @@ def _segments(parts: int):
     return run
 
 
-def _frequencies(parts: int):
-    """One fragment: its shingles that several classes hold, with their frequencies, as blocks by class."""
+def _frequencies(parts: int, subs: int):
+    """Of each fragment the shingles that several classes hold, with their frequencies, as blocks by class."""
 
-    def run(batches):
+    def one(batches):
         heads, hashes, owners, base = [], [], [], 0
         for batch in batches:
-            for a, b, c in zip(*(batch.column(k) for k in (2, 3, 4)), strict=True):
+            for a, b, c in zip(*(batch.column(k) for k in (3, 4, 5)), strict=True):
                 heads.append(np.frombuffer(a.as_py(), "<i8").reshape(2, -1))
                 hashes.append(np.frombuffer(b.as_py(), "<u8"))
                 owners.append(np.frombuffer(c.as_py(), "<u4").astype(np.int64) + base)
                 base += heads[-1].shape[1]
-        if not hashes:
-            return
         head, value, owner = np.concatenate(heads, axis=1), np.concatenate(hashes), np.concatenate(owners)
         order = np.argsort(value, kind="stable")
         value, owner = value[order], owner[order]
@@ -296,30 +336,38 @@ def _frequencies(parts: int):
         df = np.repeat(length, length)
         keep = df > 1
         value, owner, df = value[keep], owner[keep], df[keep].astype("<u4")
-        to = head[0, owner] % parts
+        to = head[0, owner] % (parts * subs)
         order = np.argsort(to, kind="stable")
         value, owner, df, to = value[order], owner[order], df[order], to[order]
         at = _runs(to)
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(to)], strict=True):
             used, local = np.unique(owner[a:b], return_inverse=True)
             who = local.astype("<u4").tobytes() + df[a:b].tobytes()
-            yield _blocks([(int(to[a]), 0, head[:, used].tobytes(), value[a:b].tobytes(), who)])
+            f = int(to[a])
+            yield _blocks([(f // subs, f % subs, 0, head[:, used].tobytes(), value[a:b].tobytes(), who)])
+
+    def run(batches):
+        for own in _in_turn(batches):
+            yield from one(own)
 
     return run
 
 
 def _prefixes(batches):
     """Blocks of some classes, from all fragments -> (h, cid, n) for the shared shingles of their prefixes."""
+    for own in _in_turn(batches):
+        yield from _prefixes_one(own)
+
+
+def _prefixes_one(batches):
     heads, hashes, whos, base = [], [], [], 0
     for batch in batches:
-        for a, b, c in zip(*(batch.column(k) for k in (2, 3, 4)), strict=True):
+        for a, b, c in zip(*(batch.column(k) for k in (3, 4, 5)), strict=True):
             heads.append(np.frombuffer(a.as_py(), "<i8").reshape(2, -1))
             hashes.append(np.frombuffer(b.as_py(), "<u8"))
             who = np.frombuffer(c.as_py(), "<u4").reshape(2, -1).astype(np.int64)
             whos.append(np.stack([who[0] + base, who[1]]))
             base += heads[-1].shape[1]
-    if not hashes:
-        return
     (cids, sizes), value, (owner, df) = np.concatenate(heads, axis=1), np.concatenate(hashes), np.concatenate(whos, axis=1)
     cid, first, dense = np.unique(cids, return_index=True, return_inverse=True)
     n, owner = sizes[first], dense[owner]
@@ -434,37 +482,63 @@ def _overlaps(group: pa.Table) -> pa.Table:
     return pa.table({"x": xs, "nx": nxs, **dict(zip(("ys", "ns", "cs", "parts"), lists, strict=True))})
 
 
+def _classes(batches):
+    """Rows of batches sorted by x as tables of whole classes with about BATCH pairs."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, n = batch.column("x").to_numpy(), pc.list_value_length(batch.column("ys")).to_numpy(zero_copy_only=False)
+        at = _runs(x)
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(x)], strict=True):
+            if held and size >= BATCH and x[a] != last:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(batch.slice(a, b - a))
+            size, last = size + int(n[a:b].sum()), x[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _summed(batches):
-    """Partial overlaps, all of a class in one partition -> (x, y) of the links; one for each component of y."""
-    found = [b for b in batches if b.num_rows]
-    if not found:
-        return
-    rows = pa.Table.from_batches(found)
-    row, y, ny, comp = _unpack(rows)
-    x, nx, part = rows.column("x").to_numpy()[row], rows.column("nx").to_numpy()[row], _flat(rows.column("parts"))
-    order = np.lexsort((y, x))
-    x, y, nx, ny, comp, part = (c[order] for c in (x, y, nx, ny, comp, part))
-    at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-    shared = np.add.reduceat(part, at)
-    at = at[7 * shared >= 3 * (nx[at] + ny[at])]
-    x, y, comp = x[at], y[at], comp[at]
-    order = np.lexsort((y, comp, x))
-    x, y, comp = x[order], y[order], comp[order]
-    first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (comp[1:] != comp[:-1])))) if len(x) else np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first])], names=["x", "y"])
-
-
-def _needed(buckets: int):
+    """Partial overlaps, sorted by x -> (x, y) of the links; one for each component of y."""
+    for rows in _classes(batches):
+        row, y, ny, comp = _unpack(rows)
+        x, nx, part = rows.column("x").to_numpy()[row], rows.column("nx").to_numpy()[row], _flat(rows.column("parts"))
+        order = np.lexsort((y, x))
+        x, y, nx, ny, comp, part = (c[order] for c in (x, y, nx, ny, comp, part))
+        at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        shared = np.add.reduceat(part, at)
+        at = at[7 * shared >= 3 * (nx[at] + ny[at])]
+        x, y, comp = x[at], y[at], comp[at]
+        order = np.lexsort((y, comp, x))
+        x, y, comp = x[order], y[order], comp[order]
+        first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (comp[1:] != comp[:-1])))) if len(x) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first])], names=["x", "y"])
+
+
+def _needed(batches):
     """The classes each bucket needs the segments of, once for each batch."""
+    for batch in batches:
+        row, y, _, _ = _unpack(batch)
+        x, bucket = batch.column("x").to_numpy(), batch.column("bucket").to_numpy()
+        pairs = np.unique(np.stack([np.concatenate([x, y]), np.concatenate([bucket, bucket[row]])]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["cid", "bucket"])
 
-    def run(batches):
-        for batch in batches:
-            row, y, _, _ = _unpack(batch)
-            x, bucket = batch.column("x").to_numpy(), batch.column("bucket").to_numpy()
-            pairs = np.unique(np.stack([np.concatenate([x, y]), np.concatenate([bucket, bucket[row]])]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["cid", "bucket"])
 
-    return run
+def _in_buckets(pairs: DataFrame, path: str) -> DataFrame:
+    """``pairs`` with ``bucket``: of about BUCKET * FRAGMENTS shingles, and as many numbers of pairs.
+
+    Classes that look for the same ones go together, by the smallest of these. A group beyond a
+    bucket's size is cut by a hash.
+    """
+    room = FRAGMENTS * BUCKET
+    pairs = pairs.withColumns({"hub": F.array_min("ys"), "weight": F.col("nx") + 4 * F.size("ys")})
+    groups = stored(pairs.groupBy("hub").agg(F.sum("weight").alias("weight")), f"{path}_groups")
+    buckets = max(1, -(-int(groups.agg(F.sum("weight")).first()[0] or 0) // room))
+    large = groups.where(F.col("weight") > room).select("hub", F.ceil(F.col("weight") / room).alias("cuts"))
+    cut = F.pmod(F.xxhash64("x"), F.coalesce("cuts", F.lit(1)))
+    return pairs.join(large, "hub", "left").withColumn("bucket", F.pmod(F.xxhash64("hub", cut), F.lit(buckets))).drop("hub", "weight", "cuts")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, parts: int, path: str) -> DataFrame:
@@ -472,16 +546,14 @@ def verified(pairs: DataFrame, sets: DataFrame, parts: int, path: str) -> DataFr
 
     sets: cid, n, hashes.
     """
-    tokens = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-tokens // (FRAGMENTS * BATCH)))
-    dealt = pairs.withColumn("bucket", F.pmod(F.xxhash64("x"), F.lit(buckets)))
-    need = dealt.mapInArrow(_needed(buckets), "cid long, bucket long").distinct()
+    dealt = _in_buckets(pairs, path)
+    need = dealt.mapInArrow(_needed, "cid long, bucket long").distinct()
     segments = sets.select("cid", "hashes").join(need, "cid").select("cid", "bucket", "hashes").mapInArrow(_cells, CELL)
     cells = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: F.col("bucket") * FRAGMENTS + f)
     none = [F.lit(None).cast("binary").alias(k) for k in ("cids", "sizes", "hashes")]
     asked = dealt.select(F.explode(cells).alias("cell"), *(k for k, _ in _PAIRS), *none)
     sums = segments.unionByName(asked).groupBy("cell").applyInArrow(_overlaps, f"{PAIRS}, parts array<long>")
-    return stored(sums.repartition(parts, "x").mapInArrow(_summed, "x long, y long"), path)
+    return stored(sums.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(_summed, "x long, y long"), path)
 
 
 def _inside(nx, ny):
@@ -534,20 +606,13 @@ def _match(batches):
         xs, nxs, lists = _by_class(x[at], nx[at], (y[at], ny[at], comp[at], m))
         return pa.RecordBatch.from_arrays([pa.array(xs), pa.array(nxs), *lists], names=["x", "nx", "ys", "ns", "cs", "ms"])
 
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    table = pa.Table.from_batches(rows)
-    h, a, b, side, cid, n, comp, members = (table.column(k).to_numpy() for k in range(8))
-    order = np.lexsort((cid, side, b, a, h))
-    h, a, b, side, cid, n, comp, members = (c[order] for c in (h, a, b, side, cid, n, comp, members))
-    new = (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(np.concatenate(([True], new)))
     found, size = [], 0
-    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(h)], strict=True):
-        mid = lo + int(np.searchsorted(side[lo:hi], 1))
-        for start in range(lo, mid, 1000):
-            xs, ys = slice(start, min(start + 1000, mid)), slice(mid, hi)
+    for cell in _whole_cells(batches):
+        _, _, _, side, cid, n, comp, members = (cell.column(k).to_numpy() for k in range(8))
+        mid, hi = int(np.searchsorted(side, 1)), len(side)
+        step = max(1, BATCH // max(1, hi - mid))
+        for start in range(0, mid, step):
+            xs, ys = slice(start, min(start + step, mid)), slice(mid, hi)
             less = members[xs, None] < members[None, ys]
             less |= (members[xs, None] == members[None, ys]) & (comp[xs, None] < comp[None, ys])
             less &= 4 * np.minimum(n[xs, None], n[None, ys]) >= 3 * np.maximum(n[xs, None], n[None, ys])
@@ -562,21 +627,36 @@ def _match(batches):
         yield send(found)
 
 
+def _whole_cells(batches):
+    """Tables of the rows of one cell (h, a, b) each, from batches sorted by cell and side."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
+        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
+            if held and tuple(key[lo]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = tuple(key[lo])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _chosen(batches):
-    """All counts of a class in one partition -> PAIRS with enough shared prefix shingles."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    table = pa.Table.from_batches(rows)
-    row, y, ny, comp = _unpack(table)
-    x, nx, m = table.column("x").to_numpy()[row], table.column("nx").to_numpy()[row], _flat(table.column("ms"))
-    order = np.lexsort((y, x))
-    x, nx, y, ny, comp, m = (c[order] for c in (x, nx, y, ny, comp, m))
-    at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-    m = np.add.reduceat(m, at)
-    at = at[m >= _inside(nx[at], ny[at])]
-    xs, nxs, lists = _by_class(x[at], nx[at], (y[at], ny[at], comp[at]))
-    yield pa.RecordBatch.from_arrays([pa.array(xs), pa.array(nxs), *lists], names=[k for k, _ in _PAIRS])
+    """Counts, sorted by x -> PAIRS with enough shared prefix shingles."""
+    for table in _classes(batches):
+        row, y, ny, comp = _unpack(table)
+        x, nx, m = table.column("x").to_numpy()[row], table.column("nx").to_numpy()[row], _flat(table.column("ms"))
+        order = np.lexsort((y, x))
+        x, nx, y, ny, comp, m = (c[order] for c in (x, nx, y, ny, comp, m))
+        at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        m = np.add.reduceat(m, at)
+        at = at[m >= _inside(nx[at], ny[at])]
+        xs, nxs, lists = _by_class(x[at], nx[at], (y[at], ny[at], comp[at]))
+        yield pa.RecordBatch.from_arrays([pa.array(xs), pa.array(nxs), *lists], names=[k for k, _ in _PAIRS])
 
 
 def _across(named: DataFrame, parts: int) -> DataFrame:
@@ -590,27 +670,34 @@ def _across(named: DataFrame, parts: int) -> DataFrame:
     rest = ["cid", "n", "component", "members"]
     x = named.select("h", salt.alias("a"), each.alias("b"), F.lit(0).alias("side"), *rest)
     y = named.select("h", each.alias("a"), salt.alias("b"), F.lit(1).alias("side"), *rest)
-    matched = x.unionByName(y.select(*x.columns)).repartition(parts, "h", "a", "b").mapInArrow(_match, f"{PAIRS}, ms array<long>")
-    return matched.repartition(parts, "x").mapInArrow(_chosen, PAIRS)
+    cells = x.unionByName(y.select(*x.columns)).repartition(parts, "h", "a", "b").sortWithinPartitions("h", "a", "b", "side", "cid")
+    matched = cells.mapInArrow(_match, f"{PAIRS}, ms array<long>")
+    return matched.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(_chosen, PAIRS)
+
+
+def fragments(rows: DataFrame) -> tuple[int, int]:
+    """(partitions, fragments in each) for texts of these bytes, which are counted."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // FRAGMENT_BYTES)
+    parts = max(shuffle_parts(rows.sparkSession), min(n, MAX_PARTS))
+    return parts, max(1, -(-n // parts))
 
 
-def link_rows(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def link_rows(docs: DataFrame, parts: int | None = None, subs: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, key, component for every row of ``docs``; see link_documents.
 
     key: of the row's set; component: a name of its group, null for a row without a set.
     """
     with small_batches(docs.sparkSession):
-        return _link_rows(docs, parts)
+        return _link_rows(docs, parts, subs)
 
 
-def _link_rows(docs: DataFrame, parts: int | None) -> DataFrame:
+def _link_rows(docs: DataFrame, parts: int | None, subs: int | None) -> DataFrame:
     spark = docs.sparkSession
     work = shared_dir(spark, "ngrams")
-    parts = parts or shuffle_parts(spark)
     rows = id_and_text(docs)
-    marks = stored(
-        rows.mapInArrow(_mark(parts), BLOCK).repartitionById(parts, F.col("dst")).mapInArrow(_count, MARKS), f"{work}/marks"
-    )
+    parts, subs = (parts, subs or 1) if parts else fragments(rows)
+    marks = stored(_dealt(rows.mapInArrow(_mark(parts, subs), BLOCK), parts, subs).mapInArrow(_count, MARKS), f"{work}/marks")
     members = marks.where("key is not null").select("doc_id", "n", "key", "id")
     shared = marks.where("key is null").groupBy("id").agg(F.sum("shared").alias("shared"))
     classes = members.where("n > 0").groupBy("key").agg(
@@ -619,7 +706,7 @@ def _link_rows(docs: DataFrame, parts: int | None) -> DataFrame:
     alive = stored(classes.join(shared, "id").where(4 * F.col("shared") >= 3 * F.col("n")).select("key", "doc"), f"{work}/alive")
     texts = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63))))
     wanted = alive.select("doc")
-    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted.hint("shuffle_hash")
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted.hint("merge")
     found = texts.join(wanted, "doc", "left_semi").select("text").mapInArrow(_sets, "key string, n long, hashes binary")
     # an id with several texts brings others along, repeated rows bring copies
     found = stored(found.join(alive.select("key"), "key", "left_semi").withColumn("cid", F.monotonically_increasing_id()), f"{work}/found")
@@ -628,15 +715,9 @@ def _link_rows(docs: DataFrame, parts: int | None) -> DataFrame:
     if found.count() > first.count():
         sets = stored(found.join(first.select("cid"), "cid", "left_semi"), f"{work}/sets")
 
-    prefixes = stored(
-        sets.select("cid", "n", "hashes")
-        .mapInArrow(_segments(parts), BLOCK)
-        .repartitionById(parts, F.col("dst"))
-        .mapInArrow(_frequencies(parts), BLOCK)
-        .repartitionById(parts, F.col("dst"))
-        .mapInArrow(_prefixes, "h long, cid long, n long"),
-        f"{work}/prefixes",
-    )
+    by_fragment = _dealt(sets.select("cid", "n", "hashes").mapInArrow(_segments(parts, subs), BLOCK), parts, subs)
+    by_class = _dealt(by_fragment.mapInArrow(_frequencies(parts, subs), BLOCK), parts, subs)
+    prefixes = stored(by_class.mapInArrow(_prefixes, "h long, cid long, n long"), f"{work}/prefixes")
     links, named = None, prefixes.withColumns({"component": F.col("cid"), "members": F.lit(1).cast("long")})
     for r in range(ROUNDS):
         near = stored(_hub_pairs(named, r, f"{work}/hubs{r}"), f"{work}/near{r}")
@@ -672,16 +753,17 @@ def _link_rows(docs: DataFrame, parts: int | None) -> DataFrame:
     return members.where("n > 0").join(info, "key").select(names).unionByName(alone.select(names))
 
 
-def link_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def link_documents(docs: DataFrame, parts: int | None = None, subs: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (``doc_id``, ``text``).
 
     Two documents link when their sets' Jaccard similarity is at least 3/4, compared in integers.
     Null and empty texts and texts of white space have no set and link with nothing: their
     component is their own id. Rows with the same id and repeated rows are rows of their own; of
-    a component with null ids the smallest other id counts (null if there is none). An empty
-    table gives no rows.
+    a component with null ids the smallest other id counts (null if there is none). Texts of any
+    length are taken whole, other columns are not looked at, and an empty table gives no rows.
+    parts, subs: partitions, and fragments in each, instead of as many as the texts' bytes ask for.
     """
-    return link_rows(docs, parts).select("doc_id", "n_shingles", "component_id")
+    return link_rows(docs, parts, subs).select("doc_id", "n_shingles", "component_id")
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -702,7 +784,8 @@ def keep_one(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     Rows without a set all stay. Texts are not shuffled where the ids to drop are few enough to
     broadcast. Rows whose id is null or not theirs alone are told apart by their sets: of such
-    rows in one group one stays.
+    rows in one group one stays. Null and empty texts have no set, texts of any length are
+    compared whole, all columns of a row stay with it, and an empty table gives no rows.
     """
     spark = docs.sparkSession
     work = shared_dir(spark, "keep")
@@ -714,7 +797,7 @@ def keep_one(docs: DataFrame, parts: int | None = None) -> DataFrame:
     if n_shared:
         drop = drop.unionByName(shared.where("doc_id is not null")).distinct()
     drop = stored(drop.withColumnRenamed("doc_id", "dropped"), f"{work}/drop")
-    gone = F.broadcast(drop) if drop.count() <= SMALL else drop.hint("shuffle_hash")
+    gone = F.broadcast(drop) if drop.count() <= SMALL else drop.hint("merge")
     kept = docs.join(gone, docs["doc_id"] == gone["dropped"], "left_anti")
     if not n_shared:
         return kept
@@ -734,8 +817,6 @@ def keep_one(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return kept.unionByName(chosen.select("row.*"))
 
 
-
-
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 

@@ -788,9 +788,12 @@ def brute_components(rows):
     return sorted(((str(i), len(s), str(low.get(find(k)) if s else i)) for k, (i, s) in enumerate(sets)))
 
 
-@pytest.mark.parametrize(("rounds", "hubs", "crowd", "small"), [(ngram_join.ROUNDS, ngram_join.HUBS, ngram_join.CROWD, ngram_join.SMALL), (1, 1, 2, 0)])
-def test_ngram_join_against_brute_force(spark, monkeypatch, rounds, hubs, crowd, small):
-    for name, value in (("ROUNDS", rounds), ("HUBS", hubs), ("CROWD", crowd), ("SMALL", small)):
+@pytest.mark.parametrize(
+    ("rounds", "hubs", "crowd", "small", "batch", "bucket", "subs"),
+    [(ngram_join.ROUNDS, ngram_join.HUBS, ngram_join.CROWD, ngram_join.SMALL, ngram_join.BATCH, ngram_join.BUCKET, 1), (1, 1, 2, 0, 50, 20, 3)],
+)
+def test_ngram_join_against_brute_force(spark, monkeypatch, rounds, hubs, crowd, small, batch, bucket, subs):
+    for name, value in (("ROUNDS", rounds), ("HUBS", hubs), ("CROWD", crowd), ("SMALL", small), ("BATCH", batch), ("BUCKET", bucket)):
         monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(8)
     passage = [f"p{i}" for i in range(40)]
@@ -809,11 +812,58 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, rounds, hubs, crowd,
         k = rng.randrange(len(prior))
         rows.append((len(rows) + 100, " ".join([*prior[:k], "x" + str(len(rows)), *prior[k + 1 :]])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "'k' AS key", "1 AS id", "2 AS h")
-    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.link_documents(df, parts=5).collect())
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.link_documents(df, parts=5, subs=subs).collect())
     assert got == brute_components(rows)
     assert ngram_join.link_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10**6])
+def test_steps_on_pairs_hold_whole_classes(monkeypatch, batch):
+    """However few pairs are held at once and however the rows are cut into batches, the sums are the same."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "BATCH", batch)
+    rng = random.Random(11)
+    rows = [(x, 20, [y, y + 1], [20, 20], [rng.randint(0, 3), 9], [rng.randint(0, 9), rng.randint(0, 9)]) for x in sorted(rng.choices(range(12), k=60)) for y in [rng.randint(20, 24)]]
+    names = ["x", "nx", "ys", "ns", "cs"]
+    comp = {}
+    rows = [(x, nx, ys, ns, [comp.setdefault(y, c) for y, c in zip(ys, cs, strict=True)], n) for x, nx, ys, ns, cs, n in rows]
+    total = {}
+    for x, _, ys, _, _, n in rows:
+        for y, k in zip(ys, n, strict=True):
+            total[x, y] = total.get((x, y), 0) + k
+
+    def batches(last):
+        for lo in range(0, 60, 13):
+            cols = list(zip(*rows[lo : lo + 13], strict=True))
+            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*names, last])
+
+    found = {(r["x"], r["y"]) for b in ngram_join._summed(batches("parts")) for r in b.to_pylist()}
+    linked = {}
+    for (x, y), n in sorted(total.items()):
+        if 7 * n >= 3 * 40:
+            linked.setdefault((x, comp[y]), y)
+    assert found == {(x, y) for (x, _), y in linked.items()}
+    chosen = {(r["x"], y) for b in ngram_join._chosen(batches("ms")) for r in b.to_pylist() for y in r["ys"]}
+    assert chosen == {k for k, n in total.items() if n >= ngram_join._inside(np.int64(20), np.int64(20))}
+    cells = [(h, a, b, side, h * 100 + a * 10 + b + 1000 * side + i, 20, h * 7 + i + 50 * side, 1 + i % 2) for h in range(4) for a in range(2) for b in range(2) for side in (0, 1) for i in range(3)]
+    fields = ["h", "a", "b", "side", "cid", "n", "component", "members"]
+    cut = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*cells[lo : lo + 5], strict=True)], names=fields) for lo in range(0, len(cells), 5)]
+    got = sorted((r["x"], y, m) for b in ngram_join._match(cut) for r in b.to_pylist() for y, m in zip(r["ys"], r["ms"], strict=True))
+    want = sorted((p[4], q[4], 1) for p in cells for q in cells if p[:3] == q[:3] and p[3] == 0 and q[3] == 1 and (p[7], p[6]) < (q[7], q[6]))
+    assert got == want
+
+
+def test_fragments_follow_the_bytes(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "é" * 500)] * 10, "doc_id long, text string")  # 10,000 bytes
+    assert ngram_join.fragments(rows) == (4, 1) and ngram_join.fragments(rows.limit(0)) == (4, 1)
+    monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", 1000)
+    assert ngram_join.fragments(rows) == (10, 1)
+    monkeypatch.setattr(ngram_join, "MAX_PARTS", 5)
+    assert ngram_join.fragments(rows) == (5, 2)
+
+
 @needs_data
 def test_op10_over_its_table(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
@@ -906,7 +956,7 @@ def test_list_lengths_in_a_fresh_interpreter():
     code = (
         "import pyarrow as pa; from plumbline.llm.ngram_join import _needed, _overlaps; "
         "rows = pa.RecordBatch.from_pydict({'x': [1], 'nx': [5], 'ys': [[2, 3]], 'ns': [[5, 5]], 'cs': [[2, 3]], 'bucket': [0]}); "
-        "print(next(_needed(1)([rows])).column(0).to_pylist()); "
+        "print(next(_needed([rows])).column(0).to_pylist()); "
         "none = pa.array([None], pa.binary()); "
         "print(_overlaps(pa.table({'cell': [0], 'x': [1], 'nx': [5], 'ys': [[2]], 'ns': [[5]], 'cs': [[2]], 'cids': none, 'sizes': none, 'hashes': none})).num_rows)"
     )
