@@ -847,7 +847,7 @@ def test_steps_on_pairs_hold_whole_classes(monkeypatch, batch):
     assert found == {(x, y) for (x, _), y in linked.items()}
     chosen = {(r["x"], y) for b in ngram_join._chosen(batches("ms")) for r in b.to_pylist() for y in r["ys"]}
     assert chosen == {k for k, n in total.items() if n >= ngram_join._inside(np.int64(20), np.int64(20))}
-    cells = [(h, a, b, side, h * 100 + a * 10 + b + 1000 * side + i, 20, h * 7 + i + 50 * side, 1 + i % 2) for h in range(4) for a in range(2) for b in range(2) for side in (0, 1) for i in range(3)]
+    cells = [(h, a, b, side, h * 1000 + a * 100 + b * 10 + 10_000 * side + i, 20, h * 7 + i + 50 * side, 1 + i % 2) for h in range(4) for a in range(2) for b in range(2) for side in (0, 1) for i in range(3)]
     fields = ["h", "a", "b", "side", "cid", "n", "component", "members"]
     cut = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*cells[lo : lo + 5], strict=True)], names=fields) for lo in range(0, len(cells), 5)]
     got = sorted((r["x"], y, m) for b in ngram_join._match(cut) for r in b.to_pylist() for y, m in zip(r["ys"], r["ms"], strict=True))
