@@ -34,6 +34,8 @@ class or one cell.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -139,20 +141,16 @@ def _size(parts: int, subs: int) -> int:
 
 
 def _in_turn(batches):
-    """The rows of sorted batches (dst, sub, ...), all rows of a fragment at a time."""
-    held, now = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
-        for a, b in zip(at := _runs(key), [*at[1:].tolist(), len(key)], strict=True):
-            if held and key[a] != now:
-                yield held
-                held = []
-            now = key[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield held
+    """The batches of sorted rows (dst, sub, ...), those of each fragment by themselves; to be read in this order."""
+
+    def cut():
+        for batch in batches:
+            key = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
+            for a, b in zip(at := _runs(key).tolist(), [*at[1:], len(key)], strict=True):
+                yield int(key[a]), batch.slice(a, b - a)
+
+    for _, own in itertools.groupby(cut(), lambda x: x[0]):
+        yield (batch for _, batch in own)
 
 
 def _dealt(blocks: DataFrame, parts: int, subs: int) -> DataFrame:
