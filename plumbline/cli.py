@@ -25,8 +25,9 @@ USAGE = """Usage: python -m plumbline [--calibrate]
   --calibrate  measure how far correct and wrong retrievals are apart; asks no generator
   --help, -h   this text
 
-PLUMBLINE_GENERATOR names the generator as module:function; PLUMBLINE_EMBEDDER the embedder
-(default: the offline lexical one). Both may stand in .env, too."""
+PLUMBLINE_GENERATOR names the generator as module:function; or PLUMBLINE_GENERATION_URL, _KEY and
+_MODEL name a message service. PLUMBLINE_EMBEDDER names the embedder; or PLUMBLINE_EMBEDDING_URL,
+_KEY and _MODEL name a service (default: the offline lexical one). All may stand in .env, too."""
 
 
 @dataclass
@@ -72,17 +73,19 @@ def main(o: Options) -> int:
         o.out(f"unknown arguments: {', '.join(unknown)}\n\n{USAGE}")
         return SETUP_ERROR
     env = environment.merge_environment(o.env, environment.read_dotenv(o.dotenv))
-    if not calibrating and o.generator is None:
+    has = lambda name: bool(env.get(name, "").strip())
+    if not calibrating and o.generator is None and not has("PLUMBLINE_GENERATION_URL"):
         values, problems = environment.resolve_keys(["PLUMBLINE_GENERATOR"], env)
         if problems:
             o.out("\n".join(problems))
             return SETUP_ERROR
     try:
-        embedder = o.embedder or (_load(env["PLUMBLINE_EMBEDDER"]) if env.get("PLUMBLINE_EMBEDDER", "").strip() else models.hash_embedder)
-        generator = None if calibrating else o.generator or _load(values["PLUMBLINE_GENERATOR"])
+        service = (lambda: models.http_embedder(env)) if has("PLUMBLINE_EMBEDDING_URL") else (lambda: models.hash_embedder)
+        embedder = o.embedder or (_load(env["PLUMBLINE_EMBEDDER"].strip()) if has("PLUMBLINE_EMBEDDER") else service())
+        generator = None if calibrating else o.generator or (_load(env["PLUMBLINE_GENERATOR"].strip()) if has("PLUMBLINE_GENERATOR") else models.http_generator(env))
         spark = o.spark or SparkSession.builder.appName("plumbline").getOrCreate()
         questions = evaluate.load_question_set(spark, o.questions).persist()
-        chunks = corpus.load_corpus(spark, o.corpus or os.path.join(os.path.dirname(o.questions) or ".", "corpus")).drop("pos")
+        chunks = corpus.load_corpus(spark, o.corpus or os.path.join(os.path.dirname(o.questions) or ".", "corpus")).drop("pos", "ord")
         index = _index(chunks, embedder)
         asked = models.embed_with_usage(questions.withColumn("question_id", F.col("pos").cast("long")), "question", embedder, "query").withColumnRenamed("vector", "query").persist()
         if calibrating:

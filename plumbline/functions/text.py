@@ -38,8 +38,8 @@ def is_blank(c: Column) -> Column:
 
 
 def json_quote(c: Column) -> Column:
-    """The text as a JSON string literal."""
-    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1)
+    """The text as a JSON string literal; null for null."""
+    return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1))
 
 
 def snippet(c: Column, limit: int = 80) -> Column:
@@ -48,9 +48,8 @@ def snippet(c: Column, limit: int = 80) -> Column:
 
 def fnv1a(c: Column) -> Column:
     """32-bit FNV-1a of an ASCII text."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.ascii(F.substring(c, i, F.lit(1))).cast("long"))
-    codes = F.when(F.length(c) > 0, codes).otherwise(F.array().cast("array<long>"))
-    step = lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
+    step = lambda h, x: (h.bitwiseXOR(F.ascii(x).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
+    codes = F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
     return F.aggregate(codes, F.lit(2166136261).cast("long"), step)
 
 
@@ -135,11 +134,3 @@ def pad_right(c: Column, width: Column) -> Column:
 
 def pad_left(c: Column, width: Column) -> Column:
     return F.concat(F.repeat(F.lit(" "), F.greatest(width - F.length(c), F.lit(0)).cast("int")), c)
-
-
-def hash_terms(c: Column) -> Column:
-    """Terms of the offline embedder: every token, and every pair of neighbours."""
-    tokens = F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
-    ones = F.transform(tokens, lambda t: F.concat(F.lit("1:"), t))
-    pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat(F.lit("2:"), a, F.lit(" "), b))
-    return F.concat(ones, F.filter(pairs, lambda p: p.isNotNull()))

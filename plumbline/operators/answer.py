@@ -9,6 +9,7 @@ from plumbline.functions.text import fixed, json_quote
 from plumbline.operators import contradict, generation, retrieve, verify
 from plumbline.policy import DEFAULT_K, SIMILARITY_FLOOR
 from plumbline.sources.models import Generate, generate
+from plumbline.sources.shared import shared_dir, stored
 
 
 def decide(n_above: Column, problem: Column, n_claims: Column, n_verified: Column, contradicts: Column) -> Column:
@@ -28,16 +29,20 @@ def answer_questions(
 
     questions: question_id, question, query. index: the chunk columns, chunk_id and vector. Only
     questions with a chunk above the floor reach the generator, and each of them once: ``store``
-    keeps a DataFrame and returns it (default: persist), so that later steps read its answers.
+    keeps a DataFrame and returns it, so that later steps read its answers. By default it is
+    written to the shared folder, where a lost executor does not lose it: asked again, a generator
+    may say something else, and steps would mix two answers.
     ``allowed`` says which pairs of question_id and chunk_id may be hits (default: all). A failing generator fails the run; it is never a refusal.
     """
-    store = store or (lambda df: df.persist())
+    if store is None:
+        folder, names = shared_dir(questions.sparkSession, "answers"), iter(("hits", "raw", "verdicts"))
+        store = lambda df: stored(df, f"{folder}/{next(names)}")
     hits = store(retrieve.partition_by_floor(retrieve.search(questions, index, k, allowed), floor))
     chunks = index.drop("vector")
     full = hits.join(chunks, "chunk_id").join(questions.select("question_id", "question"), "question_id")
-    shown = store(retrieve.shown_chunks(full))
+    shown = retrieve.shown_chunks(full)
     raw = store(generate(generation.render_prompts(shown), generator))
-    parsed = store(generation.parse_claims(raw))
+    parsed = generation.parse_claims(raw)
     verdicts = store(verify.verify(generation.claim_rows(parsed), shown))
     good = verdicts.where("reason is null")
     clash = contradict.detect(good, shown).withColumn("contradicts", F.lit(True))

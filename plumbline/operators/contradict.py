@@ -9,15 +9,16 @@ from plumbline.functions.text import content_words, json_quote, measurements
 from plumbline.policy import MIN_SUBJECT_OVERLAP
 
 
-def first_pairs(values: DataFrame, subjects: DataFrame, key: str = "question_id") -> DataFrame:
+def first_pairs(values: DataFrame, key: str = "question_id") -> DataFrame:
     """The first disagreeing pair of each group, in the order of claims i < j and their values a, b.
 
-    values: key, pos (of the claim), at (order of the value in the claim), docId, magnitude, units
-    and any other columns, which come back as structs ``a`` and ``b``. subjects: key, pos, words.
-    Two values disagree when their claims share two subject words, their documents and magnitudes
-    (as text) differ and they have a unit in common; ``unit`` is the first of a's units.
+    values: key, pos (of the claim), words (of the claim's subject), at (order of the value in the
+    claim), docId, magnitude, units and any other columns, which come back as structs ``a`` and
+    ``b``. Two values disagree when their claims share two subject words, their documents and
+    magnitudes (as text) differ and they have a unit in common; ``unit`` is the first of a's units.
+    Both sides of the join are the same rows by the same key, so they are shuffled once.
     """
-    rows = values.join(subjects, [key, "pos"]).select(key, F.struct("*").alias("v"))
+    rows = values.select(key, F.struct("*").alias("v"))
     a, b = rows.select(key, F.col("v").alias("a")), rows.select(key, F.col("v").alias("b"))
     pairs = a.join(b, key).where(
         (F.col("a.pos") < F.col("b.pos"))
@@ -52,7 +53,7 @@ def detect(verified: DataFrame, shown: DataFrame) -> DataFrame:
         "question_id", "pos", F.struct("q", "m").alias("at"), "chunk.docId", "chunk.docTitle", "chunk.version", "chunk.effectiveDate",
         "measured.magnitude", "measured.units", F.col("measured.text").alias("value"), "citations", "chunkId", "quote",
     )
-    return first_pairs(values, subjects)
+    return first_pairs(values.join(subjects, ["question_id", "pos"]))
 
 
 def describe_position(p: str):

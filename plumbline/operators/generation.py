@@ -6,19 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import fixed, snippet, trim
+from plumbline.operators.verify import PHRASES
 
-SYSTEM_PROMPT = """Use only the passages in the user message; you know nothing else about the subject.
+#: Fixed value: the reply's wire format.
+REPLY = '{"claims": [{"text": string, "status": "stated" | "inferred", "citations": [string], "supportingQuotes": [{"chunkId": string, "quote": string}]}]}'
 
-Reply with one JSON object and nothing around it:
-{"claims": [{"text": string, "status": "stated" | "inferred", "citations": [string], "supportingQuotes": [{"chunkId": string, "quote": string}]}]}
-
-One assertion per claim. "stated": one passage says it; cite exactly that one. "inferred": it follows from two or more passages; cite them all.
-Cite only ids that are shown, exactly as shown. Quote every cited passage, character by character.
-Passages that don't support an answer: return {"claims": []}. Passages that disagree: a claim for each; don't choose."""
+#: The reply format, what a claim is, and every check it will go through, in the words of the checks themselves.
+SYSTEM_PROMPT = "\n".join(
+    [
+        "You answer a question from the passages that come with it, as claims that a program verifies.",
+        f"Your whole reply is one JSON object: {REPLY}",
+        "A claim is one sentence that can be true or false. It is stated if a passage says it, inferred if it takes several passages together.",
+        "The program knows the passages, character by character, and nothing else. It drops a claim that",
+        *(f"- {phrase}" for phrase in PHRASES.values()),
+        'If no claim would be left, reply {"claims": []}. If passages contradict each other, make a claim of each side.',
+    ]
+)
 
 
 def render_prompts(shown: DataFrame) -> DataFrame:
-    """question_id, system, user from shown chunks: question_id, question, rank, score and the chunk columns."""
+    """question_id, system, user from shown chunks: question_id, question, rank, score and the chunk columns.
+
+    The labels of the user message are fixed values: generators, and replies recorded for them,
+    read passages by these lines.
+    """
     line = F.struct(
         "rank",
         F.concat_ws(
@@ -32,10 +43,10 @@ def render_prompts(shown: DataFrame) -> DataFrame:
         ).alias("body"),
     )
     rows = shown.groupBy("question_id", "question").agg(F.array_sort(F.collect_list(line)).alias("all"))
-    block = lambda x, i: F.concat(F.lit("[passage "), (i + 1).cast("string"), F.lit("/"), F.size("all").cast("string"), F.lit("]\n"), x["body"])
+    block = lambda x, i: F.concat(F.lit("--- chunk "), (i + 1).cast("string"), F.lit(" of "), F.size("all").cast("string"), F.lit(" ---\n"), x["body"])
     user = F.concat(
-        F.lit("Question: "), "question", F.lit("\n\nPassages, "), F.size("all").cast("string"),
-        F.lit(" in all, each cited by its chunkId:\n\n"), F.array_join(F.transform("all", block), "\n\n"),
+        F.lit("Question: "), "question", F.lit("\n\nRetrieved chunks ("), F.size("all").cast("string"),
+        F.lit("). Cite by the exact chunkId shown.\n\n"), F.array_join(F.transform("all", block), "\n\n"),
     )
     return rows.select("question_id", F.lit(SYSTEM_PROMPT).alias("system"), user.alias("user"))
 

@@ -1,4 +1,8 @@
-"""Text reports and JSON artifacts of a run; the only place rows become Python values."""
+"""Text reports and JSON artifacts of a run; the only place rows become Python values.
+
+Columns of a report are headed by the names of the artifact's fields, so that a figure that is
+read in one can be looked up in the other.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ def results_rows(scores: DataFrame) -> DataFrame:
     label = F.coalesce(*[F.when(F.col("category") == c, F.lit(name)) for c, (name, _) in GATE.items()])
     status = F.when(F.col("passed"), "PASS").when(F.col("headline"), "HEADLINE").otherwise("FAIL")
     rows = scores.select("pos", status.alias("a"), F.col("id").alias("b"), label.alias("c"), F.col("note").alias("n"))
-    heads = {"a": "STATUS", "b": "QUESTION", "c": "CATEGORY"}
+    heads = {"a": "status", "b": "question", "c": "category"}
     widths = rows.agg(*[F.greatest(F.max(F.length(k)), F.lit(len(h))).alias(f"w{k}") for k, h in heads.items()])
     cells = [pad_right(F.col(k), F.col(f"w{k}")) for k in heads]
     return rows.crossJoin(F.broadcast(widths)).select("pos", F.rtrim(F.concat_ws("  ", *cells)).alias("head"), F.concat_ws("  ", *cells, "n").alias("line"))  # widths: one row
@@ -37,7 +41,7 @@ def usd(x: float) -> str:
 def usage_report(steps: list[dict], total: dict) -> str:
     """steps: dicts with label, the counters and cost_usd; the first is the index build."""
     cells = lambda r: [r["label"], *(str(r[k]) for k in ("embedding_tokens", "input_tokens", "output_tokens", "latency_ms")), usd(r["cost_usd"])]
-    head = ["QUESTION", "EMBEDDED", "PROMPTED", "GENERATED", "MS", "USD"]
+    head = ["label", "embedding_tokens", "input_tokens", "output_tokens", "latency_ms", "cost_usd"]  # as in the artifact
     rows = _table(head, [*map(cells, steps), cells(total | {"label": "TOTAL"})], {0})
     return "\n".join(["USAGE", "", *rows[:-1], rows[1], rows[-1], "", f"  prices as of {PRICES_AS_OF}"])
 
@@ -52,7 +56,7 @@ def gate_report(scores: DataFrame, categories: DataFrame, usage: str | None = No
     if heads:
         out.append("\n".join([f"HEADLINE FAILURES: {len(heads)}", "", *(f"  {i}. [{r['failure']}] {r['id']}: {r['note']}" for i, r in enumerate(heads, 1))]))
     lines = [[("PASS" if r["passed"] else "HEADLINE" if r["headline"] else "FAIL"), r["id"], GATE[r["category"]][0], r["note"]] for r in rows]
-    out.append("\n".join(_table(["STATUS", "QUESTION", "CATEGORY", "NOTE"], lines, {0, 1, 2, 3})))
+    out.append("\n".join(_table(["status", "question", "category", "note"], lines, {0, 1, 2, 3})))
     out.append("\n".join(["GATE", "", *(f"  {g['label']:<26} {g['passed']}/{g['total']}  {g['rate']:.1%} of {g['threshold']:.1%} required: {'MET' if g['met'] else 'NOT MET'}" for g in gates)]))
     if failed:
         out.append("\n".join([f"VIOLATIONS: {len(failed)}", "", *(f"  {i}. {r['id']} [{r['failure']}] {r['note']}" for i, r in enumerate(failed, 1))]))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import cosine, dot
+from plumbline.functions.text import cosine, dot, once
 from plumbline.policy import DEFAULT_K, SIMILARITY_FLOOR
 
 #: Query rows that may be broadcast; more are met block by block.
@@ -26,6 +26,45 @@ def for_every_row(few: DataFrame) -> DataFrame:
     return few.repartition(-(-n // BROADCAST_QUERIES)).hint("shuffle_replicate_nl")
 
 
+#: Words of a window by which a quote is looked for, and window hashes that may be broadcast.
+ANCHOR, BROADCAST_ANCHORS = 3, 500_000
+
+
+def _with_windows(rows: DataFrame, text: str, inner: bool) -> DataFrame:
+    """``rows`` with ``windows``: hashes of every ANCHOR words in a row, or null for too few words.
+
+    inner: without the first and last word, which may be parts of words.
+    """
+    rows = once(rows, words=F.split(text, r"\s+"))  # once for a text, not for each window
+    n = F.size("words")
+    low, high = (F.lit(1), n - ANCHOR - 1) if inner else (F.lit(0), n - ANCHOR)
+    window = lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(ANCHOR)])
+    return rows.withColumn("windows", F.when(high >= low, F.transform(F.sequence(low, high), window))).drop("words")
+
+
+def containing(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """doc_id, item_id for every row of ``docs`` (doc_id, text) and every quote (item_id, quote) that its text contains as it is.
+
+    A quote is found by one window of words inside it, the one with the smallest hash: a text that
+    contains the quote has the window, too. Documents are met by hash, only ids and hashes take
+    part, and a text is compared with the quotes whose window it has. Quotes too short for a
+    window meet every text. Null ids, texts and quotes are in no pair.
+    """
+    quotes = quotes.where("item_id is not null and quote is not null").select("item_id", "quote")
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    anchors = _with_windows(quotes, "quote", True).select("item_id", "quote", F.array_min("windows").alias("h"))
+    few = anchors.where("h is not null").select("h", "item_id")
+    few = F.broadcast(few) if few.count() <= BROADCAST_ANCHORS else few
+    held = _with_windows(docs, "text", False).select("doc_id", F.explode("windows").alias("h"))
+    likely = held.join(few, "h").select("doc_id", "item_id").distinct()
+    found = docs.join(likely, "doc_id").join(anchors.select("item_id", "quote"), "item_id")
+    short = anchors.where("h is null").select("item_id", "quote")
+    pairs = found.select("doc_id", "text", "item_id", "quote")
+    if not short.isEmpty():
+        pairs = pairs.unionByName(docs.join(for_every_row(short)).select("doc_id", "text", "item_id", "quote"))
+    return pairs.where(F.contains("text", "quote")).select("doc_id", "item_id")
+
+
 def check_dimension(index: DataFrame) -> int:
     """The one length of the index's vectors, 0 for an empty index; an error if they differ."""
     low, high = index.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()

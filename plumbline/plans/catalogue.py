@@ -134,6 +134,13 @@ def hash_embed(spark, d):
     return models.hash_embedding(_table(spark, d, "documents"), "doc_id", "text")
 
 
+@_query("""
+SELECT doc_id, md5(to_json(CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END)::VARCHAR) AS digest FROM documents
+""")
+def snippets(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.md5(fn.snippet(F.col("text")).cast("binary")).alias("digest"))
+
+
 @_query("""
 WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN value / 1e4 WHEN 2 THEN value / 3e10 ELSE 0 END AS x FROM events),
 s AS (SELECT event_id, x, printf('%.6f', x) AS six, printf('%.2e', x) AS ex FROM t)
@@ -167,6 +174,15 @@ def h2_chunks(spark, d):
     return corpus.sections(corpus.parse(docs)).select("chunkId", "docId", "docTitle", "sectionHeading", "version", "text")
 
 
+@_query("""
+WITH c AS (SELECT conv_id, turn, 'conv-' || conv_id || '#turn-' || turn || '-' || lower(role) AS "chunkId" FROM conversations)
+SELECT "chunkId", row_number() OVER (ORDER BY 'conv-' || conv_id || '.md', turn) - 1 AS ord FROM c
+""")
+def document_order(spark, d):
+    docs = _conversation_documents(spark, d).select("name", F.concat("head", F.lit("\n"), "body").alias("source"))
+    return corpus.in_document_order(corpus.sections(corpus.parse(docs))).select("chunkId", "ord")
+
+
 _ERRORS = (
     "missing-frontmatter", "unterminated-frontmatter", "malformed-frontmatter-line", "unknown-key", "duplicate-key", "missing-key",
     "id-filename-mismatch", "preamble-text", "no-sections", "empty-slug", "slug-collision", "empty-section",
@@ -290,8 +306,8 @@ def _shown(spark, d, floor) -> DataFrame:
 @_query(f"""
 WITH {_SCORES},
 b AS (SELECT question_id, rank, count(*) OVER (PARTITION BY question_id) AS n, vec_id, label, chunk_id, score FROM h WHERE score >= 0.3)
-SELECT question_id, md5('Question: What is like vector ' || question_id || '?' || chr(10) || chr(10) || 'Passages, ' || max(n) || ' in all, each cited by its chunkId:'
-  || chr(10) || chr(10) || string_agg('[passage ' || rank || '/' || n || ']' || chr(10) || 'chunkId: ' || chunk_id || chr(10) || 'document: Vector ' || vec_id
+SELECT question_id, md5('Question: What is like vector ' || question_id || '?' || chr(10) || chr(10) || 'Retrieved chunks (' || max(n) || '). Cite by the exact chunkId shown.'
+  || chr(10) || chr(10) || string_agg('--- chunk ' || rank || ' of ' || n || ' ---' || chr(10) || 'chunkId: ' || chunk_id || chr(10) || 'document: Vector ' || vec_id
   || ' (vector, version 1.0, effective 2024-01-01)' || chr(10) || 'section: Label ' || label || chr(10) || 'similarity: ' || printf('%.4f', score) || chr(10) || 'text:' || chr(10)
   || 'The group of the store holds ' || vec_id || ' items.', chr(10) || chr(10) ORDER BY rank)) AS digest
 FROM b GROUP BY question_id
@@ -351,6 +367,18 @@ def verify_first_reason(spark, d):
     return _verdicts(spark, d).select(F.col("question_id").alias("doc_id"), F.col("reason.kind").alias("kind"), F.col("reason.chunkId").alias("chunk"))
 
 
+_SAID = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{p}'" for k, p in verify.PHRASES.items()) + " END"
+
+
+@_query(f"""
+WITH k AS (SELECT doc_id, {_KIND} AS kind FROM documents)
+SELECT doc_id, CASE WHEN kind = 'malformed-claim' THEN 'a claim ' ELSE 'the claim ' || to_json(CASE WHEN doc_id % 12 = 2 THEN ' ' || chr(10) ELSE 'claim ' || doc_id END) || ' ' END
+  || {_SAID} || coalesce(': ' || {_CHUNK}, '') AS message FROM k WHERE kind IS NOT NULL
+""")
+def verify_messages(spark, d):
+    return _verdicts(spark, d).where("reason is not null").select(F.col("question_id").alias("doc_id"), F.col("reason.message").alias("message"))
+
+
 @_query(f"WITH k AS (SELECT doc_id, {_KIND} AS kind FROM documents) SELECT doc_id, CASE WHEN kind IN {_SHAPES} THEN kind END AS kind FROM k")
 def verify_shape(spark, d):
     raw = _raw_claims(spark, d).select(F.col("doc_id").alias("question_id"), "raw")
@@ -385,8 +413,8 @@ def citations_not_retrieved(spark, d):
 @_query("SELECT item_id, count(doc_id) AS n, coalesce(min(doc_id), -1) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def quote_containment(spark, d):
     quotes = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = _table(spark, d, "documents").select("doc_id", "text")
-    found = docs.join(retrieve.for_every_row(quotes), F.contains("text", "quote")).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    found = retrieve.containing(_table(spark, d, "documents").select("doc_id", "text"), quotes)
+    found = found.groupBy("item_id").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("first_doc"))
     return quotes.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first_doc", F.lit(-1)).alias("first_doc"))
 
 
@@ -444,9 +472,9 @@ def contradiction_first(spark, d):
     quote = F.concat(_text(_long("l_quantity")), F.lit(" "), unit, F.lit(" shipped"))
     subject = F.when(F.col("l_partkey") % 5 == 0, "A short note").otherwise("The delivery batch note")
     lines = _table(spark, d, "lineitem").select("l_orderkey", F.row_number().over(order).alias("pos"), _long("l_suppkey").alias("docId"), quote.alias("quote"), subject.alias("subject"))
-    values = lines.select("l_orderkey", "pos", "docId", F.posexplode(fn.measurements(F.col("quote"))).alias("at", "m")).select("l_orderkey", "pos", "docId", "at", "m.magnitude", "m.units")
-    subjects = lines.select("l_orderkey", "pos", fn.content_words(F.col("subject")).alias("words"))
-    found = contradict.first_pairs(values, subjects, "l_orderkey")
+    words = fn.content_words(F.col("subject")).alias("words")
+    values = lines.select("l_orderkey", "pos", "docId", words, F.posexplode(fn.measurements(F.col("quote"))).alias("at", "m"))
+    found = contradict.first_pairs(values.select("l_orderkey", "pos", "docId", "words", "at", "m.magnitude", "m.units"), "l_orderkey")
     return found.select(
         "l_orderkey", "unit", _long("a.pos").alias("i"), _long("b.pos").alias("j"), F.col("a.docId").alias("doc_a"), F.col("b.docId").alias("doc_b"),
         F.col("a.magnitude").alias("magnitude_a"), F.col("b.magnitude").alias("magnitude_b"),
@@ -514,6 +542,24 @@ def answer_decision_low_floor(spark, d):
     return _decision(spark, d, 0.35)
 
 
+@_query(_decision_sql(0.35, """,
+g AS (SELECT *, 'The group of the store holds ' || vec_id || ' items.' AS t, 'The group of the store holds what ' || chunk_id || ' says.' AS claim FROM
+  (SELECT question_id, vec_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE vec_id <> question_id) WHERE rank <= 6),
+p AS (SELECT question_id, rank, '"' || vec_id || ' items" in Vector ' || vec_id || ' (v' || vec_id || '), version 1.0, effective 2024-01-01; cited as ' || chunk_id
+        || '; quoted from ' || chunk_id || ': "' || t || '"' AS said FROM g),
+b AS (SELECT question_id, max(CASE WHEN rank = 1 THEN printf('%.4f', score) || ', of ' || chunk_id END) AS best, string_agg(chunk_id, ', ' ORDER BY rank) FILTER (score >= 0.35) AS ids,
+        max(CASE WHEN rank = 1 THEN '[quote-not-in-chunk] the claim "' || claim || '" quotes what the chunk does not contain: ' || chunk_id END) AS dropped FROM g GROUP BY question_id)
+SELECT x.question_id, reason, CASE reason
+  WHEN 'no-relevant-documents' THEN 'nothing reached the floor of 0.3500 for "What is like vector ' || x.question_id || '?"; the best score was ' || best || '; the generator was not asked'
+  WHEN 'no-claims-produced' THEN CASE WHEN x.question_id // 20 % 5 = 0 THEN 'the generator returned no claims' ELSE 'the response is no valid JSON; raw response: "I do not know."' END || '; shown: ' || ids
+  WHEN 'claims-failed-verification' THEN 'all claims failed verification: ' || dropped
+  WHEN 'contradictory-sources' THEN 'two documents disagree, in items. First: ' || p1.said || '. Second: ' || p2.said END AS detail
+FROM x JOIN b USING (question_id) LEFT JOIN p p1 ON p1.question_id = x.question_id AND p1.rank = 1 LEFT JOIN p p2 ON p2.question_id = x.question_id AND p2.rank = 2
+WHERE reason IS NOT NULL"""))
+def answer_details(spark, d):
+    return _answers(spark, d, 0.35).where("kind = 'refused'").select("question_id", "reason", "detail")
+
+
 @_query(_decision_sql(0.35, "SELECT question_id FROM x WHERE n > 0"))
 def generator_gate(spark, d):
     return models.generate(generation.render_prompts(_shown(spark, d, 0.35)), stand_in_generator).select("question_id")
@@ -592,14 +638,11 @@ def results_table(spark, d):
 
 
 def _samples(spark, d) -> DataFrame:
-    v = _table(spark, d, "embeddings").select(_long("vec_id").alias("vec_id"), "label")
-    groups = v.groupBy("label").agg(F.collect_list(F.concat(F.lit("v"), _text("vec_id"), F.lit("#label-"), _text("label"))).alias("expected"))
-    truth = _questions(spark, d).join(groups, "label").select(
-        "question_id", F.when(F.col("label") >= 8, "refused-no-documents").otherwise("answered").alias("outcome"), "expected"
-    )
-    scores = retrieve.pair_scores(_questions(spark, d), _index(spark, d))
-    own = F.col("question_id") == _long(F.regexp_extract("chunk_id", "^v([0-9]+)#", 1))
-    return calibrate.label(scores.where(~own), truth).withColumn("score", F.round("score", 6))
+    """A chunk is expected by the questions with its label; the label stands in its id."""
+    outcome = F.when(F.col("label") >= 8, "refused-no-documents").otherwise("answered")
+    truth = _questions(spark, d).select("question_id", outcome.alias("outcome"), _text("label").alias("label"))
+    scores = retrieve.pair_scores(_questions(spark, d), _index(spark, d)).where(_not_own())
+    return calibrate.label(scores, truth, F.substring_index("chunk_id", "#label-", -1) == F.col("label")).withColumn("score", F.round("score", 6))
 
 
 _SAMPLES = f"""WITH {_SCORES},

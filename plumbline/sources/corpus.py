@@ -139,22 +139,45 @@ def sections(parsed: DataFrame) -> DataFrame:
     )
 
 
+def in_document_order(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``ord``, from 0, in the order of file names and of sections in a file.
+
+    Rows are dealt into ranges of that order and numbered inside them; only a count for each range
+    comes to the driver.
+    """
+    order = [F.concat("docId", F.lit(".md")), F.col("pos")]
+    ranged = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).persist()
+    counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for part in sorted(counts):
+        before[part], total = total, total + counts[part]
+    if not before:
+        ranged.unpersist()
+        return chunks.withColumn("ord", F.lit(0).cast("long"))
+    starts = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))  # the number inside the partition
+    return ranged.withColumn("ord", F.element_at(starts, F.col("_part").cast("long")) + at).drop("_part", "_at")
+
+
 def _checked(parsed: DataFrame) -> DataFrame:
+    """The sections; an error if a document has one, the first by name. Parsed documents are kept for both and let go."""
     parsed = parsed.persist()
-    bad = parsed.where("error is not null").orderBy("name").select("name", "error").first()
-    if bad:
+    try:
+        bad = parsed.where("error is not null").agg(F.min_by(F.struct("name", "error"), "name").alias("bad")).first()["bad"]
+        if bad:
+            raise ChunkError(bad["error"], bad["name"])
+        return in_document_order(sections(parsed))
+    finally:
         parsed.unpersist()
-        raise ChunkError(bad["error"], bad["name"])
-    return sections(parsed)
 
 
 def load_document(spark: SparkSession, path: str) -> DataFrame:
-    """The sections of one file."""
+    """The sections of one file, with their order ``ord``."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
     text = spark.read.text(path, wholetext=True).select(F.lit(name).alias("name"), F.col("value").alias("source"))
     return _checked(parse(text))
 
 
 def load_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """The sections of a whole folder; one bad document fails it, the first by name."""
+    """The sections of a whole folder in document order (``ord``); one bad document fails it, the first by name."""
     return _checked(parse(read_files(spark, folder)))

@@ -3,36 +3,86 @@
 An embedder maps (list of texts, kind) to vectors of one length, in order; a generator maps
 (system prompt, user prompt) to a text. Both run inside ``mapInPandas``, batch by batch. The
 result of a generator must be stored before it is used twice, so that it is asked once.
+``http_embedder`` and ``http_generator`` are such callables over HTTP, from settings.
 """
 
 from __future__ import annotations
 
+import http.client
+import json
 import time
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import fnv1a, hash_terms
 from plumbline.policy import HASH_DIMENSIONS
+from plumbline.sources.environment import resolve_keys
 
 Embed = Callable[[list[str], str], Sequence[Sequence[float]]]
 Generate = Callable[[str, str], str]
 
 
 class EmbeddingError(RuntimeError):
-    pass
+    """kind: transport, http-status, malformed-response or vector-count-mismatch."""
+
+    def __init__(self, kind: str, message: str, status: int | None = None):
+        super().__init__(message)
+        self.kind, self.status = kind, status
+
+    def __reduce__(self):
+        return type(self), (self.kind, str(self), self.status)
 
 
 class GenerationError(RuntimeError):
     """kind: transport, model-refusal, truncated or empty-response."""
 
-    def __init__(self, kind: str, message: str):
+    def __init__(self, kind: str, message: str, status: int | None = None):
         super().__init__(message)
-        self.kind = kind
+        self.kind, self.status = kind, status
+
+    def __reduce__(self):
+        return type(self), (self.kind, str(self), self.status)
+
+
+class TransportError(RuntimeError):
+    """A request that got no answer. It names neither the request nor its headers, which hold a key."""
+
+
+@dataclass
+class JsonPost:
+    """POST of a JSON body; returns (status, parsed body), the body None where it is no JSON.
+
+    The key goes into the bearer header and nowhere else; further headers are the service's own.
+    ``timeout`` (seconds) bounds connecting and each read. A plain object, so that executors get it
+    as it is.
+    """
+
+    url: str
+    key: str = field(repr=False)
+    headers: dict[str, str] = field(default_factory=dict, repr=False)
+    timeout: float = 60.0
+
+    def __call__(self, body: dict) -> tuple[int, object]:
+        head = {"authorization": f"Bearer {self.key}", "content-type": "application/json", **self.headers}
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), head, method="POST")
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                status, raw = answer.status, answer.read()
+        except urllib.error.HTTPError as e:  # its body is not ours and may echo the request
+            return e.code, None
+        except (OSError, http.client.HTTPException, ValueError):
+            raise TransportError("the request could not be completed") from None
+        try:
+            return status, json.loads(raw)
+        except ValueError:
+            return status, None
 
 
 def read_embedding_response(body: object, n: int) -> tuple[list[list[float]], int]:
@@ -42,16 +92,18 @@ def read_embedding_response(body: object, n: int) -> tuple[list[list[float]], in
     and a value that is no finite number are errors. A missing usage counts as 0.
     """
     data = body.get("data") if isinstance(body, dict) else None
-    if not isinstance(data, list) or len(data) != n:
-        raise EmbeddingError(f"expected {n} embeddings")
+    if not isinstance(data, list):
+        raise EmbeddingError("malformed-response", "the response has no list of embeddings")
+    if len(data) != n:
+        raise EmbeddingError("vector-count-mismatch", f"expected {n} embeddings, got {len(data)}")
     out: list[list[float] | None] = [None] * n
     for entry in data:
         i, vector = (entry.get("index"), entry.get("embedding")) if isinstance(entry, dict) else (None, None)
         if not isinstance(i, int) or isinstance(i, bool) or not 0 <= i < n or out[i] is not None:
-            raise EmbeddingError("an index is missing, repeated or out of range")
+            raise EmbeddingError("malformed-response", "an index is missing, repeated or out of range")
         good = isinstance(vector, list) and vector and all(isinstance(x, int | float) and not isinstance(x, bool) and np.isfinite(x) for x in vector)
         if not good:
-            raise EmbeddingError(f"embedding {i} is not a list of finite numbers")
+            raise EmbeddingError("malformed-response", f"embedding {i} is not a list of finite numbers")
         out[i] = [float(x) for x in vector]
     usage = body.get("usage")
     tokens = usage.get("total_tokens") if isinstance(usage, dict) else None
@@ -60,7 +112,7 @@ def read_embedding_response(body: object, n: int) -> tuple[list[list[float]], in
 
 @dataclass
 class HttpEmbedder:
-    """Embedder over HTTP; ``post`` sends a JSON body and returns (status, parsed body)."""
+    """Embedder over HTTP; ``post`` (a JsonPost, say) sends a JSON body and returns (status, parsed body)."""
 
     post: Callable[[dict], tuple[int, object]]
     model: str
@@ -73,13 +125,35 @@ class HttpEmbedder:
         if not texts:
             return [], {"tokens": 0, "calls": 0, "ms": 0}
         began = time.monotonic()
-        status, body = self.post({"input": texts, "model": self.model, "input_type": kind})
+        try:
+            status, body = self.post({"input": texts, "model": self.model, "input_type": kind})
+        except TransportError:
+            raise EmbeddingError("transport", "the embedding request could not be completed") from None
         if not 200 <= status < 300:
-            raise EmbeddingError(f"the embedding service answered with status {status}")
+            raise EmbeddingError("http-status", f"the embedding service answered with status {status} to {len(texts)} texts", status)
         vectors, tokens = read_embedding_response(body, len(texts))
         return vectors, {"tokens": tokens, "calls": 1, "ms": round((time.monotonic() - began) * 1000)}
 
 
+@dataclass
+class MessageService:
+    """``send`` of a MessageGenerator over HTTP: one user message, the reply's text blocks and what was used."""
+
+    post: Callable[[dict], tuple[int, object]]
+
+    def __call__(self, request: dict) -> tuple[str, list[str], dict]:
+        body = {k: request[k] for k in ("model", "max_tokens", "system")} | {"messages": [{"role": "user", "content": request["user"]}]}
+        status, reply = self.post(body)
+        if not 200 <= status < 300:
+            raise GenerationError("transport", f"the request failed with status {status}", status)
+        if not isinstance(reply, dict) or not isinstance(reply.get("content"), list):
+            raise GenerationError("transport", "the reply has no content")
+        blocks = [b["text"] for b in reply["content"] if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str)]
+        usage = reply.get("usage") if isinstance(reply.get("usage"), dict) else {}
+        count = lambda v: v if isinstance(v, int) and not isinstance(v, bool) else 0
+        return reply.get("stop_reason") or "", blocks, {k: count(usage.get(k)) for k in ("input_tokens", "output_tokens")}
+
+
 @dataclass
 class MessageGenerator:
     """Generator over a message service; ``send`` maps a request to (stop reason, text blocks, usage)."""
@@ -96,7 +170,8 @@ class MessageGenerator:
         try:
             stop, blocks, usage = self.send({"model": self.model, "max_tokens": self.max_tokens, "system": system, "user": user})
         except Exception as e:  # the message may hold a key: only the status goes on
-            raise GenerationError("transport", f"the request failed with status {getattr(e, 'status', 'unknown')}") from None
+            status = getattr(e, "status", None)
+            raise GenerationError("transport", f"the request failed with status {status or 'unknown'}", status) from None
         row = {"input": usage.get("input_tokens", 0), "output": usage.get("output_tokens", 0), "ms": round((time.monotonic() - began) * 1000)}
         if stop in ("refusal", "max_tokens"):
             raise GenerationError("model-refusal" if stop == "refusal" else "truncated", f"generation stopped: {stop}")
@@ -106,6 +181,27 @@ class MessageGenerator:
         return text, row
 
 
+def _service(prefix: str, env: Mapping[str, str]) -> tuple[JsonPost, str]:
+    names = [f"{prefix}_URL", f"{prefix}_KEY", f"{prefix}_MODEL"]
+    values, problems = resolve_keys(names, env)
+    if problems:
+        raise ValueError("; ".join(problems))
+    url, key, model = (values[n] for n in names)
+    headers = json.loads((env.get(f"{prefix}_HEADERS") or "").strip() or "{}")
+    return JsonPost(url, key, headers, float((env.get(f"{prefix}_TIMEOUT") or "").strip() or 60)), model
+
+
+def http_embedder(env: Mapping[str, str]) -> HttpEmbedder:
+    """From PLUMBLINE_EMBEDDING_URL, _KEY and _MODEL, and perhaps _HEADERS (a JSON object) and _TIMEOUT (seconds)."""
+    return HttpEmbedder(*_service("PLUMBLINE_EMBEDDING", env))
+
+
+def http_generator(env: Mapping[str, str]) -> MessageGenerator:
+    """From PLUMBLINE_GENERATION_URL, _KEY and _MODEL, and perhaps _HEADERS (a JSON object) and _TIMEOUT (seconds)."""
+    post, model = _service("PLUMBLINE_GENERATION", env)
+    return MessageGenerator(MessageService(post), model)
+
+
 def embed(rows: DataFrame, text: str, embedder: Embed, kind: str) -> DataFrame:
     """``rows`` with ``vector`` (array of doubles) from an embedder; batches are the calls."""
     import pyspark.sql.types as T
@@ -117,7 +213,7 @@ def embed(rows: DataFrame, text: str, embedder: Embed, kind: str) -> DataFrame:
             texts = pdf[text].tolist()
             vectors = embedder(texts, kind) if texts else []
             if len(vectors) != len(texts):
-                raise EmbeddingError(f"expected {len(texts)} embeddings, got {len(vectors)}")
+                raise EmbeddingError("vector-count-mismatch", f"expected {len(texts)} embeddings, got {len(vectors)}")
             yield pdf.assign(vector=[list(map(float, v)) for v in vectors])
 
     return rows.mapInPandas(run, schema)
@@ -139,7 +235,7 @@ def embed_with_usage(rows: DataFrame, text: str, embedder: Embed, kind: str) ->
             told = getattr(embedder, "with_usage", None)
             vectors, row = told(texts, kind) if told else (embedder(texts, kind) if texts else [], {})
             if len(vectors) != len(texts):
-                raise EmbeddingError(f"expected {len(texts)} embeddings, got {len(vectors)}")
+                raise EmbeddingError("vector-count-mismatch", f"expected {len(texts)} embeddings, got {len(vectors)}")
             first = [1] + [0] * (len(texts) - 1) if texts else []
             used = {f"embedding_{k}": [row.get(k, 0) * f for f in first] for k in ("tokens", "ms")}
             yield pdf.assign(vector=[list(map(float, v)) for v in vectors], **used)
@@ -163,29 +259,77 @@ def generate(prompts: DataFrame, generator: Generate) -> DataFrame:
     return prompts.mapInPandas(run, "question_id long, raw string, input_tokens long, output_tokens long, generation_ms long")
 
 
+def fnv1a_of(raw: bytes) -> int:
+    """32-bit FNV-1a."""
+    h = 2166136261
+    for c in raw:
+        h = ((h ^ c) * 16777619) & 0xFFFFFFFF
+    return h
+
+
+_PRIME, _MASK = np.uint64(16777619), np.uint64(0xFFFFFFFF)
+#: FNV-1a after the mark of a token, and after that of a pair of neighbours.
+_ONE, _TWO = np.uint64(fnv1a_of(b"1:")), np.uint64(fnv1a_of(b"2:"))
+
+
+def _hash_on(state: np.ndarray, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """FNV-1a states after the bytes of a token each, all tokens' k-th bytes at once."""
+    state, live = state.copy(), np.flatnonzero(length > 0)
+    k = 0
+    while len(live):
+        state[live] = ((state[live] ^ raw[start[live] + k]) * _PRIME) & _MASK
+        k += 1
+        live = live[length[live] > k]
+    return state
+
+
+def hash_weights(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, bucket, weight) of lower-case UTF-8 texts, in order.
+
+    Term frequencies of tokens (runs of a-z and 0-9) and of neighbours, by FNV-1a modulo 512.
+    """
+    raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    word = ((raw >= 97) & (raw <= 122)) | ((raw >= 48) & (raw <= 57))
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+    start, length = edges[::2], edges[1::2] - edges[::2]
+    text = np.searchsorted(np.cumsum([1 + len(t) for t in texts]), start, "right")
+    big = raw.astype(np.uint64)
+    one = _hash_on(np.full(len(start), _ONE), big, start, length)
+    first = np.flatnonzero(text[1:] == text[:-1])
+    two = _hash_on(np.full(len(first), _TWO), big, start[first], length[first])
+    two = _hash_on(((two ^ np.uint64(32)) * _PRIME) & _MASK, big, start[first + 1], length[first + 1])
+    at = np.concatenate([text, text[first]]) * HASH_DIMENSIONS + (np.concatenate([one, two]) % np.uint64(HASH_DIMENSIONS)).astype(np.int64)
+    found, n = np.unique(at, return_counts=True)
+    return found // HASH_DIMENSIONS, found % HASH_DIMENSIONS, n.astype(float)
+
+
 def hash_embedding(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, bucket, weight of the offline lexical embedder, without Python.
+    """key, bucket, weight of the offline lexical embedder for every row, without a shuffle.
 
-    Term frequencies of tokens and neighbours, hashed by FNV-1a modulo 512. Equal terms are
-    counted before hashing, so each distinct term of a document is hashed once.
+    Whole batches of texts are hashed at once; a null or empty text has no buckets. Lower-casing
+    is the JVM's.
     """
-    terms = rows.select(F.col(key), F.explode(hash_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    bucket = (fnv1a(F.col("term")) % HASH_DIMENSIONS).alias("bucket")
-    return terms.select(key, bucket, "n").groupBy(key, "bucket").agg(F.sum("n").cast("double").alias("weight"))
+    import pyspark.sql.types as T
+
+    rows = rows.select(F.col(key), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    schema = T.StructType([rows.schema[0], T.StructField("bucket", T.LongType()), T.StructField("weight", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                at, bucket, weight = hash_weights([t.as_buffer().to_pybytes() for t in part.column(1)])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(bucket), pa.array(weight)], names=[key, "bucket", "weight"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def hash_vector(text: str) -> list[float]:
     """The offline embedder for the callable seam."""
-    import re
-
-    tokens = [t for t in re.split("[^a-z0-9]+", text.lower()) if t]
-    out = [0.0] * HASH_DIMENSIONS
-    for term in [*(f"1:{t}" for t in tokens), *(f"2:{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False))]:
-        h = 2166136261
-        for c in term.encode():
-            h = ((h ^ c) * 16777619) & 0xFFFFFFFF
-        out[h % HASH_DIMENSIONS] += 1
-    return out
+    out = np.zeros(HASH_DIMENSIONS)
+    _, bucket, weight = hash_weights([text.lower().encode("utf-8", "surrogatepass")])
+    out[bucket] = weight
+    return out.tolist()
 
 
 def hash_embedder(texts: list[str], kind: str) -> list[list[float]]:

@@ -1,6 +1,12 @@
 """Operators on small invented documents: sources, errors, verification, answers, the gate, the command line."""
 
+import contextlib
+import http.server
 import json
+import re
+import threading
+import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +15,7 @@ from plumbline import cli
 from plumbline.functions import text as fn
 from plumbline.operators import answer, contradict, evaluate, generation, report, retrieve, usage, verify
 from plumbline.plans import catalogue
-from plumbline.sources import corpus, environment, models
+from plumbline.sources import corpus, environment, models, shared
 
 DOC = "---\nid: {0}\ntitle: {1}\ndocType: policy\neffectiveDate: 2024-01-01\nversion: 1.0\n---\n"
 CORPUS = {
@@ -90,10 +96,120 @@ def test_scalars(spark):
         value(spark, fn.cosine(v(1), v(1, 1)))
 
 
-def test_hash_embedding_is_the_callable_one(spark):
-    text = "Zone c, zone C! and more"
-    got = {r["bucket"]: r["weight"] for r in models.hash_embedding(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t").collect()}
-    assert got == {i: w for i, w in enumerate(models.hash_vector(text)) if w}
+def plain_hash_vector(text):
+    tokens = [t for t in re.split("[^a-z0-9]+", text.lower()) if t]
+    out = {}
+    for term in [*(f"1:{t}" for t in tokens), *(f"2:{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False))]:
+        bucket = models.fnv1a_of(term.encode()) % 512
+        out[bucket] = out.get(bucket, 0.0) + 1
+    return out
+
+
+def test_hash_embedding_against_a_plain_one(spark):
+    texts = ["Zone c, zone C! and more", "", None, "a", "İK é漢x9", "word " * 3000, "Zone c, zone C! and more", "x" * 5000 + " y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").selectExpr("*", "1 AS bucket", "2 AS text")
+    got = {}
+    for r in models.hash_embedding(rows, "k", "t").collect():
+        got.setdefault(r["k"], {})[r["bucket"]] = r["weight"]
+    for i, t in enumerate(texts):
+        assert got.get(i, {}) == plain_hash_vector(t or "") == {i: w for i, w in enumerate(models.hash_vector(t or "")) if w}
+    assert models.hash_embedding(rows.limit(0), "k", "t").count() == 0
+    assert models.fnv1a_of(b"a") == 3826002220
+
+
+class Service(http.server.BaseHTTPRequestHandler):
+    """A local stand-in for an embedding and a message service; the path says how it goes wrong."""
+
+    seen: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["content-length"])))
+        self.seen.append((self.path, self.headers["authorization"], self.headers["x-own"], body))
+        if self.path == "/slow":
+            time.sleep(2)
+        status = 500 if self.path == "/broken" else 200
+        if "messages" in body:
+            stop = {"/refuse": "refusal", "/long": "max_tokens"}.get(self.path, "end_turn")
+            reply = {"content": [{"type": "text", "text": "a"}, {"type": "other"}, {"type": "text", "text": "b"}], "stop_reason": stop, "usage": {"input_tokens": 5, "output_tokens": "x"}}
+        else:
+            data = [{"index": i, "embedding": [float(len(x)), 1.0]} for i, x in enumerate(body["input"])]
+            reply = {"data": data[::-1][(self.path == "/short") :], "usage": {"total_tokens": 9}}
+        raw = b"no json" if self.path == "/garbled" else json.dumps(reply).encode()
+        if self.path == "/broken":
+            raw = str(self.headers).encode()  # a service that echoes the key
+        with contextlib.suppress(OSError):  # the client may have gone
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(raw)
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture(scope="module")
+def service():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def settings(prefix, url, **more):
+    return {f"{prefix}_URL": url, f"{prefix}_KEY": "key-123", f"{prefix}_MODEL": "m", f"{prefix}_HEADERS": '{"x-own": "1"}', f"{prefix}_TIMEOUT": "1", **more}
+
+
+def test_embedding_over_http(spark, service):
+    make = lambda path: models.http_embedder(settings("PLUMBLINE_EMBEDDING", service + path))
+    vectors, used = make("/")(["a", "bcd"], "query"), make("/").with_usage(["a"], "document")[1]
+    assert vectors == [[1.0, 1.0], [3.0, 1.0]] and (used["tokens"], used["calls"]) == (9, 1)
+    assert Service.seen[0] == ("/", "Bearer key-123", "1", {"input": ["a", "bcd"], "model": "m", "input_type": "query"})
+    assert "key-123" not in repr(make("/"))
+    n = len(Service.seen)
+    assert make("/")([], "query") == [] and len(Service.seen) == n
+    for path, kind, status in (("/broken", "http-status", 500), ("/garbled", "malformed-response", None), ("/short", "vector-count-mismatch", None), ("/slow", "transport", None)):
+        with pytest.raises(models.EmbeddingError) as e:
+            make(path)(["a", "b"], "query")
+        assert (e.value.kind, e.value.status) == (kind, status) and "key-123" not in str(e.value)
+    with pytest.raises(models.EmbeddingError) as e:
+        models.http_embedder(settings("PLUMBLINE_EMBEDDING", "http://127.0.0.1:9/"))(["a"], "query")
+    assert e.value.kind == "transport"
+    with pytest.raises(ValueError, match="PLUMBLINE_EMBEDDING_KEY is set but empty"):
+        models.http_embedder(settings("PLUMBLINE_EMBEDDING", "u", PLUMBLINE_EMBEDDING_KEY=" "))
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(1, 6)], "id long, t string")
+    assert {r["id"]: r["vector"] for r in models.embed(rows, "t", make("/"), "document").collect()} == {i: [float(i), 1.0] for i in range(1, 6)}
+
+
+def test_generation_over_http(service):
+    make = lambda path: models.http_generator(settings("PLUMBLINE_GENERATION", service + path))
+    text, used = make("/").with_usage("sys", "usr")
+    assert text == "ab" and (used["input"], used["output"]) == (5, 0)
+    assert Service.seen[-1][3] == {"model": "m", "max_tokens": 16_000, "system": "sys", "messages": [{"role": "user", "content": "usr"}]}
+    for path, kind, status in (("/refuse", "model-refusal", None), ("/long", "truncated", None), ("/broken", "transport", 500), ("/garbled", "transport", None), ("/slow", "transport", None)):
+        with pytest.raises(models.GenerationError) as e:
+            make(path)("s", "u")
+        assert (e.value.kind, e.value.status) == (kind, status) and "key-123" not in str(e.value)
+
+
+def test_the_prompt_names_every_check():
+    assert all(f"- {phrase}\n" in generation.SYSTEM_PROMPT for phrase in verify.PHRASES.values())
+
+
+@pytest.mark.parametrize(("named", "master", "want"), [("file:/shared", "spark://host:7077", "file:/shared/plumbline-x-"), (None, "local[4]", "file:/"), (None, "spark://host:7077", None), (None, "local-cluster[2,1,512]", None)])
+def test_shared_folder(spark, named, master, want):
+    sc = SimpleNamespace(master=master, _jvm=spark.sparkContext._jvm, _jsc=spark.sparkContext._jsc)
+    session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default: named))
+    if want:
+        assert shared.shared_dir(session, "x").startswith(want)
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_dir(session, "x")
+
+
+def test_document_order(spark, folder):
+    rows = corpus.load_corpus(spark, folder).orderBy("ord").collect()
+    assert [(r["ord"], r["chunkId"]) for r in rows] == list(
+        enumerate(["lamp-returns#return-window", "lamp-returns#fees", "store-handbook#return-window", "store-handbook#opening", "wire-care#cleaning"])
+    )
 
 
 def test_embedding_response():
@@ -265,6 +381,19 @@ def test_more_questions_than_a_broadcast_holds(spark, monkeypatch):
     assert sorted(retrieve.search(q, i, 3).collect()) == best
 
 
+def test_quotes_are_found_wherever_they_stand(spark, monkeypatch):
+    words = [f"w{i % 17}{chr(97 + i % 5)}" for i in range(90)]
+    docs = [(1, " ".join(words)), (1, "other"), (2, "x" + "\n".join(words) + "y"), (3, " ".join(words[3:70])), (4, None), (None, " ".join(words)), (5, ""), (6, "a b"), (7, "w1b")]
+    quotes = [" ".join(words[5:30]), "w1b", "4e w5a w6b w7", " ".join(words[60:80]), "\n".join(words[1:9]), "", None, "no such words are in any of them", "b", words[5] + "  " + words[6] + " x y z"]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS h", "2 AS quote").drop("quote", "h")
+    q = spark.createDataFrame(list(enumerate(quotes)), "item_id long, quote string")
+    want = sorted((i, k) for i, t in docs for k, x in enumerate(quotes) if i is not None and t is not None and x is not None and x in t)
+    assert len(want) > 20
+    for bound in (retrieve.BROADCAST_ANCHORS, 0):
+        monkeypatch.setattr(retrieve, "BROADCAST_ANCHORS", bound)
+        assert sorted(tuple(r) for r in retrieve.containing(d, q).collect()) == want
+
+
 def test_more_quotes_than_a_broadcast_holds(spark, tmp_path):
     spark.createDataFrame([(1, "says quote 7. and quote 10001."), (2, "quote 7."), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     quotes = spark.range(10_003).select(F.col("id").alias("item_id"), F.concat(F.lit("quote "), F.col("id"), F.lit(".")).alias("text"))
