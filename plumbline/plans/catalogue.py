@@ -440,7 +440,7 @@ def parse_claims(spark, d):
 
 
 @_query("""
-WITH t AS (SELECT doc_id, 'see d' || doc_id || '#part-one, d' || (doc_id % 7) || '#b; d' || doc_id || '#part-one. ' || left(coalesce(text, ''), 200) AS detail FROM documents),
+WITH t AS (SELECT doc_id, 'see d' || doc_id || '#part-one, d' || (doc_id % 7) || '#b; d' || doc_id || '#part-one. ' || coalesce(text, '') AS detail FROM documents),
 i AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(detail, '[a-z0-9]+(?:-[a-z0-9]+)*#[a-z0-9]+(?:-[a-z0-9]+)*'))) AS ids FROM t)
 SELECT doc_id, array_to_string(ids, ',') AS chunk_ids, array_to_string(list_sort(list_distinct(list_transform(ids, lambda x: split_part(x, '#', 1)))), ',') AS doc_ids FROM i
 """)
@@ -518,7 +518,7 @@ def _answers(spark, d, floor) -> DataFrame:
 def _decision_sql(floor: float, select: str) -> str:
     return f"""
 WITH {_SCORES},
-r AS (SELECT question_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE vec_id % 20 <> 0),
+r AS (SELECT question_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE vec_id <> question_id),
 a AS (SELECT question_id, count(*) FILTER (score >= {floor} AND rank <= 6) AS n, question_id // 20 % 5 AS way FROM r GROUP BY question_id),
 x AS (SELECT question_id, n, CASE WHEN n = 0 THEN 'no-relevant-documents' WHEN way IN (0, 1) THEN 'no-claims-produced' WHEN way = 2 THEN 'claims-failed-verification'
         WHEN way = 3 AND n > 1 THEN 'contradictory-sources' END AS reason FROM a)
