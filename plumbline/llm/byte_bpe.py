@@ -115,7 +115,8 @@ def codec(path: str, pattern: str) -> Codec:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode every text; digests of ids and decoded bytes per row (DIGESTS).
 
-    Null text is empty (0 tokens, the digests of nothing); null ids and repeated rows stay.
+    Null text is empty (0 tokens, the digests of nothing); null ids and repeated rows stay; texts
+    of any length are encoded whole; other columns are not looked at; an empty table gives no rows.
     """
 
     def run(batches):

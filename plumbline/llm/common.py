@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.shared import shared_dir, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
+__all__ = ["id_and_text", "shared_dir", "shuffle_parts", "small_batches", "stored", "table"]
 
-    Where the session names none (tests on one machine), a temporary folder is used. A path
-    without a scheme is one of the default file system.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_plumbline_shared", None)
-    if not base:
-        base = sc._plumbline_shared = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    path = sc._jvm.org.apache.hadoop.fs.Path(base)
-    base = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"{base.rstrip('/')}/plumbline-{tag}-{uuid.uuid4().hex[:12]}"
 
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: cuts lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

@@ -147,8 +147,10 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """ROWS for every row of ``docs`` (``doc_id``, ``text``).
 
     Null text counts as empty. The order is by doc_id, null ids first, rows with the same id by
-    their text; the next of the last row is the first one (of a single row, itself). An empty
-    table gives no rows.
+    their text; the next of the last row is the first one (of a single row, itself). A text
+    without words has the fingerprint of nothing: its likeness to another such text is 1, to any
+    other text 0. Texts of any length are taken whole, other columns are not looked at, and an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = id_and_text(docs)

@@ -83,7 +83,13 @@ def _scan(batches):
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
-    return spark.read.schema(ROW).parquet(ledger)
+    """The rows of a ledger, each (blob, rule version) once: two scans at a time may both have appended it."""
+    return spark.read.schema(ROW).parquet(ledger).dropDuplicates(["blob", "rule_version"])
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 def scan(docs: DataFrame, ledger: str) -> DataFrame:
@@ -91,11 +97,13 @@ def scan(docs: DataFrame, ledger: str) -> DataFrame:
 
     Null text is the empty blob, which has no findings. Null ids, repeated ids and repeated rows
     stay rows of their own: a doc_id with several texts is a path with several versions. An empty
-    table gives no rows and leaves the ledger as it was.
+    table gives no rows and leaves the ledger as it was. Texts of any length are searched whole,
+    and other columns are not looked at.
     """
     spark = docs.sparkSession
     work = shared_dir(spark, "secrets")
-    spark.createDataFrame([], ROW).write.mode("append").parquet(ledger)  # so that it can be read
+    if not _exists(spark, ledger):
+        spark.createDataFrame([], ROW).write.mode("append").parquet(ledger)  # so that it can be read
     texts = id_and_text(docs).withColumn("blob", F.sha2("text", 256)).withColumn("path", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     paths = stored(texts.select("doc_id", "path", "blob"), f"{work}/paths")
     known = read_ledger(spark, ledger).where(F.col("rule_version") == RULES_VERSION).select("blob")
@@ -108,9 +116,8 @@ def scan(docs: DataFrame, ledger: str) -> DataFrame:
         new = texts.join(F.broadcast(paths.select(keys).join(todo, keys, "left_anti")), keys, "left_anti")
     else:
         new = texts.join(todo.hint("shuffle_hash"), keys, "left_semi")
-    found = new.select("blob", "text").mapInArrow(_scan, ROW).dropDuplicates(["blob"])
     if n_todo:
-        found.write.mode("append").parquet(ledger)
+        new.select("blob", "text").mapInArrow(_scan, ROW).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
     rows = read_ledger(spark, ledger).where(F.col("rule_version") == RULES_VERSION)
     return paths.select("doc_id", "blob").join(rows, "blob")
 

@@ -263,8 +263,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
 def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (``doc_id``, ``text``).
 
-    Null text counts as empty and gets a score like any other; repeated rows stay. Without
-    labels all scores are 0; with labels of one class only they are its value.
+    Null text counts as empty and gets a score like any other; null ids and repeated rows stay;
+    texts of any length are read whole; other columns are not looked at. Without labels all scores
+    are 0; with labels of one class only they are its value. An empty table gives no rows.
     """
     learned, n1, n0, trained = fit(docs, labels, max_rows)
 
@@ -287,7 +288,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns, read once and not shuffled."""
+    """The rows of ``docs`` that score below the threshold, with all their columns, not shuffled.
+
+    Null text counts as empty and is scored like any other; a row with a null id is scored, but
+    never learned from; repeated rows have equal scores and stay or go together; texts of any
+    length are read whole; without labels all rows stay; an empty table gives no rows.
+    """
     learned, n1, n0, trained = fit(docs, labels, max_rows)
     at = docs.columns.index("text")
 

@@ -128,7 +128,8 @@ def judge_urls(pages: DataFrame, is_listed, rules=RULES, max_bits: int = MAX_BIT
 
     ``is_listed``: a host column -> whether the block list has it. A url without a fitting rule is
     blocked if its host is listed. Null urls and urls without ``://`` have an empty host and path,
-    which no rule and no list has: allow. Repeated rows stay; an empty table gives no rows.
+    which no rule and no list has: allow. Null ids and repeated rows stay; urls of any length are
+    judged whole; other columns are not looked at; an empty table gives no rows.
     """
     url = F.col("url")
     rows = pages.select(pages["page_id"], host_of(url).alias("host"), path_of(url).alias("path"))

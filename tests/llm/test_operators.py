@@ -645,6 +645,38 @@ def test_ledger_scans_only_what_is_new(spark, edge, empty, monkeypatch):
     assert secret_scans.scan(empty, ledger).count() == 0
 
 
+METHOD = [
+    ("pem", "-----BEGIN RSA PRIVATE KEY-----"), ("jwt", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"), ("code_host", "ghp_" + "a1B2" * 9), ("chat", "xoxb-0123456789-abc"),
+    ("api", "AIza" + "aB3_-" * 7), ("url_login", "://user:secret1@"),
+]
+
+
+@pytest.mark.parametrize(("kind", "secret"), METHOD)
+def test_secrets_of_the_method(kind, secret):
+    for text in (secret, f"see {secret} here", f"é漢 {secret}", secret + " " + secret):
+        own = [s for s in secret_scans.find_secrets(text) if s[1] == kind]
+        assert own == [(m.start(), kind, m.end()) for m in re.finditer(re.escape(secret), text)]
+    assert not [s for s in secret_scans.find_secrets(secret[:-8]) if s[1] == kind]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*(s for _, s in METHOD), "AKIA", "eyJ", "ghp_", "://", "a:b@", "-----BEGIN ", "PRIVATE KEY-----", "xoxb-", " ", "\n", "0123456789abcdef", "é"]), max_size=8).map("".join))
+def test_all_secret_spans_against_plain_searches(text):
+    base = [(a, kind, b) for a, kind, b in brute_spans(text, SECRETS)]
+    more = [(m.start(), kind, m.end()) for kind, p in secret_scans.EXTRA.items() for m in re.finditer(p.pattern, text)]
+    order = list(secret_scans.ORDER)
+    assert secret_scans.find_secrets(text) == sorted(base + more, key=lambda s: (s[0], order.index(s[1]), s[2]))
+
+
+def test_a_pair_that_is_twice_in_the_ledger_counts_once(spark, edge):
+    ledger = shared_dir(spark, "ledger")
+    want = sorted(map(str, secret_scans.scan(edge, ledger).collect()))
+    spark.read.schema(secret_scans.ROW).parquet(ledger).write.mode("append").parquet(ledger)  # as a second scan at the same time
+    files = len(spark.read.parquet(ledger).inputFiles())
+    assert sorted(map(str, secret_scans.scan(edge, ledger).collect())) == want
+    assert len(spark.read.parquet(ledger).inputFiles()) == files  # a scan of nothing new adds no file
+
+
 @needs_data
 def test_op9_over_its_table(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
@@ -671,6 +703,56 @@ def test_fingerprints_follow_edits(spark):
     assert (s.sketch(" ".join(many)) == s.sketch(" ".join(many))).all()
 
 
+def plain_sketch(text):
+    """Order MinHash one sketch and one element at a time, with integers; only the hash functions are the operator's."""
+    m32, m64 = 2**32 - 1, 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 33)) * 0xFF51AFD7ED558CCD) & m64
+        x = ((x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53) & m64
+        return x ^ (x >> 33)
+
+    def word(w):
+        raw = w.encode()
+        return zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1], len(raw)) | 1
+
+    words = []
+    for w in text.split():
+        words += [w] if len(w) <= order_minhash.LONG else [w[i : i + order_minhash.PIECE] for i in range(0, len(w), order_minhash.PIECE)]
+    k = order_minhash.K
+    spans = [words[i : i + k] for i in range(max(1, len(words) - k + 1))] if words else []
+    weights = [int(w) for w in order_minhash._weights]
+    kmers = [mix(sum(word(w) * c for w, c in zip(s, weights, strict=False)) & m64) for s in spans]
+    seen, elements = {}, []
+    for h in kmers:
+        n = seen[h] = seen.get(h, -1) + 1
+        elements.append(h if not n else mix((h + n * 0x9E3779B97F4A7C15) & m64))
+    out = []
+    for x, y in zip(order_minhash._xor.ravel().tolist(), order_minhash._mul.ravel().tolist(), strict=True):
+        def value(e, x=x, y=y):
+            v = ((e >> 32 ^ x) * y) & m32
+            return ((v ^ (v >> 15)) * 0x846CA68B) & m32
+
+        chosen = sorted(sorted(range(len(elements)), key=lambda i: (value(elements[i]), i))[: order_minhash.LENGTH])
+        h = len(chosen)
+        for i in chosen:
+            h = mix(((h * 0x9E3779B97F4A7C15) + kmers[i]) & m64)
+        out.append((h >> 32) | 1 if chosen else 0)
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "cd", "é", "漢字" * 30, "x" * 33, "word", "The"]), max_size=40).map(" ".join))
+def test_sketches_against_a_plain_one(text):
+    assert order_minhash.Sketcher().sketch(text).tolist() == plain_sketch(text)
+
+
+def test_a_long_sketch_against_a_plain_one():
+    rng = random.Random(12)
+    text = " ".join(f"w{rng.randint(0, 3000)}" for _ in range(20_000))  # several blocks of columns
+    assert order_minhash.Sketcher().sketch(text).tolist() == plain_sketch(text)
+
+
 @pytest.mark.parametrize("parts", [1, 2, 7])
 def test_edited_texts(spark, edge, empty, parts):
     rows = order_minhash.fingerprint_edits(edge, parts).collect()
@@ -706,7 +788,7 @@ def test_urls(spark, max_bits):
     urls = [
         None, "", "no scheme", "http://A.ORG", "http://a.org/", "https://x.Example.org/es/1?q", "http://example.org/en/1#x", "http://example.org/en/2", "http://com/fr/", "http://a.com/de/x",
         "http://badexample.org/es/", "http://É.net/x", "ftp://net", "http://h.net?x://y", "http://h.net/a", "http://h.net/a", "://", "http://k.net#/fr/",
-    ] + [f"http://host{i}.net/p" for i in range(300)]
+    ] + [f"http://host{i}.net/p" for i in range(300)] + ["http://" + "a." * 30_000 + "org/" + "x/" * 50_000 + "?" + "q" * 100_000, "http://" + "b" * 200_000]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'h' AS host", "1 AS level")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge_urls(rows, url_filters.stand_in_list, max_bits=max_bits).collect()}
     for i, u in enumerate(urls):
@@ -741,6 +823,83 @@ def test_trees_and_calibration():
     assert (np.diff(m.calibrated(np.linspace(-5, 5, 99))) >= 0).all()
 
 
+def plain_trees(x, y, rounds, depth, rate, cuts):
+    """Boosting by trying every feature and cut on every node's own rows."""
+    score = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - p, p * (1 - p)
+        nodes = [np.arange(len(y))]
+        for _ in range(depth):
+            below = []
+            for rows in nodes:
+                best, parts = 1e-9, (rows, rows[:0])
+                for j, own in enumerate(cuts):
+                    for c in own:
+                        a, b = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                        gain = sum(s * g[r].sum() ** 2 / (h[r].sum() + 1) for s, r in ((1, a), (1, b), (-1, rows)))
+                        if gain > best + 1e-12:
+                            best, parts = gain, (a, b)
+                below += parts
+            nodes = below
+        for rows in nodes:
+            score[rows] += rate * g[rows].sum() / (h[rows].sum() + 1)
+    return score
+
+
+def test_trees_against_every_split():
+    from plumbline.llm import boosting
+
+    rng = np.random.default_rng(13)
+    x = rng.integers(0, 6, (150, 4)).astype(float) + np.array([0, 10, 20, 30])
+    y = (rng.random(150) < 1 / (1 + np.exp(-(x[:, 0] - 2.5) * (x[:, 1] - 12.3)))).astype(float)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])) for j in range(4)]
+    got = boosting.fit_trees(x, y, rounds=6, depth=2, rate=0.3).raw(x)
+    assert np.allclose(got, plain_trees(x, y, 6, 2, 0.3, cuts))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 1)), min_size=1, max_size=30))
+def test_isotonic_fit_against_its_definition(rows):
+    """The fitted value is the largest over beginnings of the smallest over ends of the mean between them."""
+    from plumbline.llm import boosting
+
+    at = sorted({a for a, _ in rows})
+    labels = [[b for a, b in rows if a == x] for x in at]
+    mean = lambda i, j: (lambda v: sum(v) / len(v))([b for own in labels[i : j + 1] for b in own])
+    want = [max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    fit = boosting.fit_isotonic(np.array([a for a, _ in rows], float), np.array([b for _, b in rows], float))
+    levels = sorted(set(np.round(want, 12)))
+    assert np.allclose(fit.to, levels)
+    centre = [np.mean([a for a, own, w in zip(at, labels, want, strict=True) for _ in own if round(w, 12) == v]) for v in levels]
+    assert np.allclose(fit.at, centre)
+
+
+def plain_features(text):
+    words = [re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in text.lower().split()]
+    hits = [i for i, w in enumerate(words) if w in toxicity.LEXICON]
+    you = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    gaps = [min(abs(i - j) for j in you) for i in hits] if you else []
+    letters = max(1, sum(c.isascii() and c.isalpha() or ord(c) >= 127 for c in text))
+    upper = [c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text]
+    n = len(words)
+    return {
+        "words": np.log1p(n), "hits": len(hits), "hit_rate": len(hits) / n, "hit_chars": sum(len(words[i]) for i in hits) / len(text), "distinct_hits": len({words[i] for i in hits}),
+        "second": len(you), "second_rate": len(you) / n, "near_hits": sum(g <= toxicity.NEAR for g in gaps), "nearest": min([1000, *gaps]), "upper_rate": sum(upper) / letters,
+        "shout_rate": sum(a and b for a, b in zip(upper, upper[1:], strict=False)) / (len(text) - 1) if len(text) > 1 else 0, "bang_rate": text.count("!") / len(text),
+        "question_rate": text.count("?") / len(text), "digit_rate": sum(c in "0123456789" for c in text) / len(text), "stretched_rate": sum(bool(re.search(r"([^\W\d_])\1\1", w)) for w in words) / n,
+    }
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["you", "idiot", "Idiot!", "MORON", "the", "dein", "1d10t", "so", "stuuupid", "?", "!!", "é", "é漢", "A B", "12", "\n", "word,"]), min_size=1, max_size=25).map(" ".join))
+def test_features_against_plain_ones(text):
+    if text.split():
+        got = dict(zip(toxicity.NAMES, toxicity.Reader({}, 0, 0)(text), strict=True))
+        for k, v in plain_features(text).items():
+            assert got[k] == pytest.approx(v), k
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(1, 0), (7, 1), (7, None), (None, 1), (2, 0)], "doc_id long, toxic int")
     rows = toxicity.score_documents(edge, labels).collect()
@@ -882,6 +1041,7 @@ def test_one_of_each_group_stays(spark, edge, empty):
         [("1", "a b c d e f"), ("None", "z y"), ("3", ""), ("3", ""), ("None", "None"), ("5", "q w e r t y u"), ("5", "other text here now ok yes"), ("7", "all of these words are mine")]
     )
     assert ngram_join.keep_one(edge).columns == edge.columns and ngram_join.keep_one(empty).count() == 0
+    assert sorted(len(r["text"] or "") for r in ngram_join.keep_one(edge).collect()) == sorted(len(t or "") for _, t, _ in EDGE)  # whole texts, and none is a copy
 
 
 # Registration and the pipeline
