@@ -88,8 +88,10 @@ def main(o: Options) -> int:
         chunks = corpus.load_corpus(spark, o.corpus or os.path.join(os.path.dirname(o.questions) or ".", "corpus")).drop("pos", "ord")
         index = _index(chunks, embedder)
         asked = models.embed_with_usage(questions.withColumn("question_id", F.col("pos").cast("long")), "question", embedder, "query").withColumnRenamed("vector", "query").persist()
+        folder = o.corpus or os.path.join(os.path.dirname(o.questions) or ".", "corpus")
+        run = {"generatedAt": o.now(), "embedder": _name(embedder), "generator": _name(generator), "corpusDir": folder, "chunkCount": index.count(), "k": o.k, "threshold": o.floor}
         if calibrating:
-            return _calibrate(o, asked, index)
+            return _calibrate(o, asked, index, run, hasattr(embedder, "with_usage"))
         results = answer.answer_questions(asked.select("question_id", "question", "query"), index.drop("embedding_tokens", "embedding_ms"), generator, o.k, o.floor).persist()
         scores = evaluate.score(asked, results).persist()
         categories = evaluate.gate(scores).persist()
@@ -101,31 +103,35 @@ def main(o: Options) -> int:
             steps = {"steps": steps, "totals": usage.totals(found.drop("cost_usd")).first().asDict()}
             told = report.usage_report(steps["steps"], steps["totals"])
         text = report.gate_report(scores, categories, told)
-        moment = o.now()
-        run = {"generatedAt": moment, "chunkCount": index.count(), "k": o.k, "threshold": o.floor}
         artifact = report.gate_artifact(scores, categories, run, steps)
     except Exception as e:  # a partial run reports nothing and writes nothing
         o.out(f"the run failed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
         return SETUP_ERROR
     o.out(text)
-    _write(o, artifact, "eval", moment)
+    _write(o, artifact, "eval", run["generatedAt"])
     return PASS if artifact["verdict"] == "PASS" else GATE_FAILED
 
 
-def _calibrate(o: Options, asked: DataFrame, index: DataFrame) -> int:
+def _name(part) -> str | None:
+    """Of an embedder or generator: its model, or what it is called; never a key."""
+    return part and (getattr(part, "model", None) or getattr(part, "__name__", None) or type(part).__name__)
+
+
+def _calibrate(o: Options, asked: DataFrame, index: DataFrame, run: dict, metered: bool) -> int:
     truth = asked.select("question_id", "outcome", F.col("expectedChunkIds").alias("expected"))
     samples = calibrate.label(retrieve.pair_scores(asked, index), truth).persist()
     sides, apart = calibrate.distribution(samples).collect(), calibrate.separation(samples).first()
     lists = [f(samples).collect() for f in (calibrate.boundary_lowest_correct, calibrate.boundary_highest_wrong)]
     refused = calibrate.must_refuse_ceiling(samples).orderBy(F.desc("score"), "question_id", "chunk_id").collect()
-    o.out(report.calibration_report(sides, apart, *lists, refused, o.floor))
-    moment = o.now()
-    rows = lambda found: [r.asDict(True) for r in found]
-    artifact = {
-        "schemaVersion": report.SCHEMA_VERSION, "generatedAt": moment, "currentThreshold": o.floor, "distributions": rows(sides), "separation": apart.asDict(),
-        "boundary": {"lowestCorrect": rows(lists[0]), "highestWrong": rows(lists[1])}, "mustRefuse": rows(refused),
-    }
-    _write(o, artifact, "calibration", moment)
+    samples.unpersist()
+    found = (sides, apart, *lists, refused, o.floor)
+    o.out(report.calibration_report(*found))
+    used = None
+    if metered:
+        sums = [F.sum("embedding_tokens").alias("embedding_tokens"), F.count_if(F.col("embedding_ms") > 0).alias("embedding_calls"), F.sum("embedding_ms").alias("latency_ms")]
+        both = [rows.agg(*sums).first() for rows in (index, asked)]
+        used = {k: sum(r[k] or 0 for r in both) for k in ("embedding_tokens", "embedding_calls", "latency_ms")}
+    _write(o, report.calibration_artifact(*found, run, used), "calibration", run["generatedAt"])
     return PASS
 
 

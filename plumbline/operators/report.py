@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import pad_right
 from plumbline.operators.calibrate import describe
-from plumbline.policy import GATE, HEADLINE_KINDS, PRICES_AS_OF, SCHEMA_VERSION
+from plumbline.policy import EMBEDDING_USD_PER_MILLION, GATE, HEADLINE_KINDS, INPUT_USD_PER_MILLION, OUTPUT_USD_PER_MILLION, PRICES_AS_OF, SCHEMA_VERSION
 
 
 def results_rows(scores: DataFrame) -> DataFrame:
@@ -82,7 +82,17 @@ def calibration_report(sides: list, separation, lowest: list, highest: list, ref
     return "\n".join(out)
 
 
+#: Said in every artifact, so that one that is read alone says what its numbers decide.
+HEADLINE_RULE = "An answer to a question that had to be refused comes first in a report, before the table, whatever the rates are."
+FLOOR_NOTE = "The floor is a committed constant of the code. This file measures where it could be; it does not move it."
+PRICES = {"embeddingPerMillion": EMBEDDING_USD_PER_MILLION, "inputPerMillion": INPUT_USD_PER_MILLION, "outputPerMillion": OUTPUT_USD_PER_MILLION, "asOf": PRICES_AS_OF}
+
+
 def gate_artifact(scores: DataFrame, categories: DataFrame, run: dict, usage: dict | None = None) -> dict:
+    """What a run decided, with the policy and the prices it was decided by; usage is None if nothing was measured.
+
+    run: generatedAt, embedder, generator, corpusDir, chunkCount, k and threshold.
+    """
     rows = [r.asDict(True) for r in sorted(scores.collect(), key=lambda r: r["pos"])]
     gates = [r.asDict(True) for r in sorted(categories.collect(), key=lambda r: r["ord"])]
     failed = sorted((r for r in rows if not r["passed"]), key=lambda r: (not r["headline"], r["pos"]))
@@ -90,13 +100,37 @@ def gate_artifact(scores: DataFrame, categories: DataFrame, run: dict, usage: di
         "schemaVersion": SCHEMA_VERSION,
         "verdict": "PASS" if all(g["met"] for g in gates) else "FAIL",
         "run": run,
-        "policy": {"categories": {c: {"label": a, "threshold": b} for c, (a, b) in GATE.items()}, "headlineFailureKinds": list(HEADLINE_KINDS)},
+        "policy": {
+            "categories": {c: {"label": a, "threshold": b} for c, (a, b) in GATE.items()}, "headlineFailureKinds": list(HEADLINE_KINDS), "headlineRule": HEADLINE_RULE,
+        },
         "categories": gates,
         "headlineViolations": [r for r in failed if r["headline"]],
         "violations": failed,
         "questions": rows,
         "totals": {"questions": len(rows), "passed": sum(r["passed"] for r in rows)},
-        "usage": usage,
+        "usage": usage and usage | {"pricing": PRICES},
+    }
+
+
+def calibration_artifact(sides: list, separation, lowest: list, highest: list, refused: list, floor: float, run: dict, usage: dict | None = None) -> dict:
+    """What a calibration measured; arguments as of ``calibration_report``. Single scores are left out, they can be made again.
+
+    usage: embedding_tokens, embedding_calls and latency_ms.
+    """
+    rows = lambda found: [r.asDict(True) for r in found]
+    side = {r["correct"]: {k: v for k, v in r.asDict().items() if k != "correct"} for r in sides}
+    ceiling = max((r["score"] for r in refused), default=None)
+    return {
+        "schemaVersion": SCHEMA_VERSION,
+        "run": run,
+        "correct": side.get(True),
+        "wrong": side.get(False),
+        "separation": separation.asDict(),
+        "boundary": {"lowestCorrect": rows(lowest), "highestWrong": rows(highest)},
+        "mustRefuse": {"ceiling": ceiling, "best": rows(refused)},
+        "currentThreshold": floor,
+        "thresholdNote": FLOOR_NOTE,
+        "usage": usage and usage | {"cost_usd": usage["embedding_tokens"] / 1e6 * EMBEDDING_USD_PER_MILLION, "pricing": PRICES},
     }
 
 

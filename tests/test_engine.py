@@ -11,7 +11,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline import cli
+from plumbline import cli, replay
 from plumbline.functions import text as fn
 from plumbline.operators import answer, contradict, evaluate, generation, report, retrieve, usage, verify
 from plumbline.plans import catalogue
@@ -449,6 +449,7 @@ def test_metered_run_scores_like_a_plain_one(spark, folder, tmp_path):
         found[name] = json.loads((to / "eval-latest.json").read_text())
     assert found["plain"]["usage"] is None and found["plain"]["questions"] == found["metered"]["questions"]
     total = found["metered"]["usage"]["totals"]
+    assert found["metered"]["usage"]["pricing"]["asOf"] == report.PRICES_AS_OF
     assert (total["embedding_tokens"], total["input_tokens"], total["output_tokens"]) == (80, 200, 40)  # one question is below the floor
 
 
@@ -474,13 +475,41 @@ def test_command_line(spark, folder, tmp_path, generator, code):
     assert cli.main(cli.Options([], generator=generator, **options)) == code
     assert (results / "eval-latest.json").exists() == (code < 2)
     if code == 0:
-        assert json.loads((results / "eval-latest.json").read_text())["verdict"] == "PASS"
+        told = json.loads((results / "eval-latest.json").read_text())
+        assert told["verdict"] == "PASS" and told["policy"]["headlineRule"] and told["policy"]["categories"]["answered"]["threshold"] == 0.8
+        assert set(told["run"]) == {"generatedAt", "embedder", "generator", "corpusDir", "chunkCount", "k", "threshold"}
         assert cli.main(cli.Options(["--calibrate"], **options)) == 0 and "CALIBRATION" in out[-1]
+        told = json.loads((results / "calibration-latest.json").read_text())
+        assert set(told) == {"schemaVersion", "run", "correct", "wrong", "separation", "boundary", "mustRefuse", "currentThreshold", "thresholdNote", "usage"}
+        assert told["correct"]["n"] + told["wrong"]["n"] == 15 and told["mustRefuse"]["ceiling"] == told["separation"]["highest_must_refuse"] and told["usage"] is None
     assert cli.main(cli.Options(["--what"], **options)) == 2
     assert cli.main(cli.Options([], **options)) == 2  # no generator is named
     assert cli.main(cli.Options(["--help"], **options)) == 0
 
 
+def test_wrap_and_difference():
+    assert replay.wrap("a bb  ccc\n dddd", 6) == "a bb\nccc\ndddd" and replay.wrap("x" * 9, 4, "  ") == "  " + "x" * 9 and replay.wrap(" ") == ""
+    assert replay.difference("same", "same") is None
+    told = replay.difference("one two", "one tWo").split("\n")
+    assert told == ["expected one two", "     got one tWo", " " * len("expected one t") + "^ character 5"]
+    assert replay.difference("ab", "abc").endswith("character 2")
+    out = []
+    checks = replay.Checks(out.append)
+    assert checks.equal({"b": 1, "a": [2]}, {"a": [2], "b": 1}, "same") and not checks.equal(1, 2, "other") and not checks.that(False, "no")
+    assert checks.failures == 2 and out[0] == "  [ok] same" and out[1] == "  [FAIL] other"
+
+
+def test_replay(spark, folder, tmp_path):
+    index = models.embed(corpus.load_corpus(spark, folder).drop("pos", "ord"), "text", models.hash_embedder, "document").withColumn("chunk_id", F.col("chunkId"))
+    asked = models.embed(spark.createDataFrame([(1, "Clean copper wire with vinegar")], "question_id long, question string"), "question", models.hash_embedder, "query").withColumnRenamed("vector", "query")
+    out, response = [], {"claims": [claim("Vinegar cleans.", citations=("wire-care#cleaning",), quotes=(("wire-care#cleaning", "vinegar"),)), claim("No.", citations=("x#y",), quotes=())]}
+    path = tmp_path.parent / f"{tmp_path.name}-f.json"
+    path.write_text(json.dumps({"$provenance": {"kind": "hand-written"}, "response": response}))
+    checks = replay.Checks(out.append)
+    row = replay.replay(asked, index, str(path), {"kind": "answered", "reason": None}, checks, floor=0.3)
+    assert checks.failures == 0 and len(row["claims"]) == 1 and row["rejected"][0]["reason"]["kind"] == "chunk-not-retrieved"
+
+
 def test_fixture_files(tmp_path):
     p = tmp_path / "f.json"
     p.write_text(json.dumps({"$provenance": {}, "response": {"claims": []}}))
