@@ -145,7 +145,8 @@ def write_shards(
     """Encode ``docs`` (``doc_id``, ``text``) and write shards below ``folder``; returns the manifest.
 
     Rows go to shards by ranges of doc_id, nulls first; rows with the same doc_id are ordered by
-    a hash of their text, which also splits a doc_id that many rows share. Null text is empty: a
+    a hash of their text, which also splits a doc_id that many rows share, and repeated rows, which
+    may change places, are split by where they came from. Null text is empty: a
     record of the end id alone. An empty table gives a manifest without shards; texts of any
     length are written whole, and other columns are not looked at. ``specials``: whether strings
     of special tokens in a text give their ids, see ``tokenization``.
@@ -193,8 +194,8 @@ def write_shards(
 
     stats = (
         id_and_text(docs)
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(shards or shuffle_parts(spark), F.col("doc_id").asc_nulls_first(), "tie")
+        .withColumns({"tie": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+        .repartitionByRange(shards or shuffle_parts(spark), F.col("doc_id").asc_nulls_first(), "tie", "at")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
         .select("doc_id", "text")
         .mapInArrow(run, "shard long, records long, nulls long, ids long, low long, high long")

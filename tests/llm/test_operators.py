@@ -293,6 +293,15 @@ def test_token_files(spark, edge, empty):
     assert token_files.read_records(missing, m).count() == 0
 
 
+def test_one_key_does_not_fill_a_shard(spark):
+    rows = spark.createDataFrame([(7 if i % 3 else i, "same text" if i % 3 else str(i)) for i in range(3000)], "doc_id long, text string").repartition(4)
+    m = token_files.write_shards(rows, shared_dir(spark, "t"), "word", P.path("word_bpe_49k.json"), end_id=2, shards=6)
+    assert max(s["records"] for s in m["shards"]) < 1000
+    got = token_files.read_records(rows.select("doc_id"), m).collect()
+    assert len(got) == 3000 and sum(r["doc_id"] == 7 for r in got) == 2000
+    assert sorted(r["start"] for r in got) == np.cumsum([0, *(r["n_tokens"] for r in sorted(got, key=lambda r: r["start"]))]).tolist()[:-1]
+
+
 @needs_data
 def test_op2_over_its_table(spark):
     docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
