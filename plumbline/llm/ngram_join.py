@@ -12,8 +12,8 @@ fragments are summed:
 2. *Frequencies.* The remaining classes' shingles are counted exactly per fragment; by the order
    (frequency, hash) the prefix of a set is so long that two sets that link share a shingle of
    their prefixes. Frequent shingles come last, so they seldom are in a prefix.
-3. *Candidates*, without all pairs of a group: in two rounds, every class with a few hubs of its
-   prefix shingles. The links found make components; then, only for shingles whose classes are in
+3. *Candidates*, without all pairs of a group: in two rounds (one, if few pairs are left after
+   it), every class with a few hubs of its prefix shingles. The links found make components; then, only for shingles whose classes are in
    several components, all pairs across components that share as many prefix shingles as sets that
    link must. A link between two classes is thus found, or both are in one component by other
    links already.
@@ -57,6 +57,8 @@ FRAGMENT_BYTES, MAX_PARTS = 2**26, 2**16
 FRAGMENTS, BUCKET = 4, 250_000
 #: Rounds of joining classes by hubs, and the hubs of a shingle in each. The round after them is exact.
 ROUNDS, HUBS = 2, 6
+#: Pairs of classes of a shared shingle, by their count, that the exact round takes on without a further hub round.
+FEW_PAIRS = 10_000_000
 #: Classes of one shingle that meet in one task at most.
 CROWD = 20_000
 MEMO = 200_000
@@ -730,7 +732,10 @@ def _link_rows(docs: DataFrame, parts: int | None, subs: int | None) -> DataFram
             own.withColumns({"component": F.coalesce("component", "cid"), "members": F.coalesce("members", F.lit(1))}), f"{work}/named{r}"
         )
         mixed = own.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("k")).where("a < b").select("h", "k")
-        named = stored(own.join(stored(mixed, f"{work}/mixed{r}"), "h"), f"{work}/left{r}")
+        mixed = stored(mixed, f"{work}/mixed{r}")
+        named = stored(own.join(mixed, "h"), f"{work}/left{r}")
+        if (mixed.agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0) <= FEW_PAIRS:
+            break
     across = stored(_across(named, parts), f"{work}/across")
     more = verified(across, sets, parts, f"{work}/more_links")
     comps = connected_components(

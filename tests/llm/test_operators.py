@@ -957,11 +957,11 @@ def brute_components(rows):
 
 
 @pytest.mark.parametrize(
-    ("rounds", "hubs", "crowd", "small", "batch", "bucket", "subs"),
-    [(ngram_join.ROUNDS, ngram_join.HUBS, ngram_join.CROWD, ngram_join.SMALL, ngram_join.BATCH, ngram_join.BUCKET, 1), (1, 1, 2, 0, 50, 20, 3)],
+    ("rounds", "hubs", "crowd", "small", "batch", "bucket", "subs", "few"),
+    [(ngram_join.ROUNDS, ngram_join.HUBS, ngram_join.CROWD, ngram_join.SMALL, ngram_join.BATCH, ngram_join.BUCKET, 1, 0), (2, 1, 2, 0, 50, 20, 3, ngram_join.FEW_PAIRS)],
 )
-def test_ngram_join_against_brute_force(spark, monkeypatch, rounds, hubs, crowd, small, batch, bucket, subs):
-    for name, value in (("ROUNDS", rounds), ("HUBS", hubs), ("CROWD", crowd), ("SMALL", small), ("BATCH", batch), ("BUCKET", bucket)):
+def test_ngram_join_against_brute_force(spark, monkeypatch, rounds, hubs, crowd, small, batch, bucket, subs, few):
+    for name, value in (("FEW_PAIRS", few), ("ROUNDS", rounds), ("HUBS", hubs), ("CROWD", crowd), ("SMALL", small), ("BATCH", batch), ("BUCKET", bucket)):
         monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(8)
     passage = [f"p{i}" for i in range(40)]
