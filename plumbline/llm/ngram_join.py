@@ -51,8 +51,11 @@ WORDS = 5
 SMALL = 200_000
 #: Shingles a batch may hold before it is sent, and pairs that are held at once.
 BATCH = 1_000_000
-#: Bytes of text whose shingles make up one fragment, and partitions the fragments are dealt to at most.
-FRAGMENT_BYTES, MAX_PARTS = 2**26, 2**16
+#: Bytes of text whose shingles make up one fragment; as many fragments as let a batch have some
+#: shingles for each, beyond which they grow (200 MB of text at 100 TB); partitions they are dealt to.
+FRAGMENT_BYTES, MAX_FRAGMENTS, MAX_PARTS = 2**23, 2**19, 2**16
+#: Shingles of a fragment that are sorted at once.
+PIECE = 2_000_000
 #: Fragments in which candidate pairs are verified, and shingles of a bucket of pairs that meet in each.
 FRAGMENTS, BUCKET = 4, 250_000
 #: Rounds of joining classes by hubs, and the hubs of a shingle in each. The round after them is exact.
@@ -221,7 +224,7 @@ def _count(batches):
 
 
 def _count_one(batches):
-    names, lows, owners, base = [], [], [], 0
+    names, blocks, base = [], [], 0
     for batch in batches:
         for kind, a, b, c in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
             kind, a, b, c = kind.as_py(), a.as_py(), b.as_py(), c.as_py()
@@ -244,15 +247,26 @@ def _count_one(batches):
             elif kind == 1:
                 yield _shared(np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8"))
             else:
-                own = np.frombuffer(c, "<u2").astype(np.int64)
-                owners.append(np.where(own == _NOBODY, -1, own + base))
-                lows.append(np.frombuffer(b, "<u4"))
+                blocks.append((np.frombuffer(b, "<u4"), np.frombuffer(c, "<u2"), base))
                 names.append(np.frombuffer(a, "<i8"))
                 base += len(names[-1])
-    if lows:
-        names, which = np.unique(np.concatenate(names), return_inverse=True)
+    if not base:  # no class with a shingle that only it has in its batch
+        return
+    names, which = np.unique(np.concatenate(names), return_inverse=True)
+    shared = np.zeros(len(names), np.int64)
+    pieces = -(-sum(len(low) for low, _, _ in blocks) // PIECE)
+    for piece in range(pieces):
+        lows, owners = [], []
+        for low, own, start in blocks:
+            if pieces > 1:
+                mine = low % np.uint32(pieces) == piece
+                low, own = low[mine], own[mine]
+            nobody = own == _NOBODY
+            lows.append(low)
+            owners.append(np.where(nobody, -1, which[np.where(nobody, 0, own.astype(np.int64) + start)]))
         low, owner = np.concatenate(lows), np.concatenate(owners)
-        owner = np.where(owner < 0, -1, which[owner])
+        if not len(low):
+            continue
         order = np.argsort(low, kind="stable")
         low, owner = low[order], owner[order]
         at = _runs(low)
@@ -260,7 +274,8 @@ def _count_one(batches):
         # held by two classes, or by some that another batch has counted among its own
         mixed = (length > 1) & (np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at))
         own = owner[np.repeat(mixed, length)]
-        yield _shared(names, np.bincount(own[own >= 0], minlength=len(names)))
+        shared += np.bincount(own[own >= 0], minlength=len(names))
+    yield _shared(names, shared)
 
 
 def _shared(names: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -678,7 +693,7 @@ def _across(named: DataFrame, parts: int) -> DataFrame:
 def fragments(rows: DataFrame) -> tuple[int, int]:
     """(partitions, fragments in each) for texts of these bytes, which are counted."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // FRAGMENT_BYTES)
+    n = min(-(-size // FRAGMENT_BYTES), MAX_FRAGMENTS)
     parts = max(shuffle_parts(rows.sparkSession), min(n, MAX_PARTS))
     return parts, max(1, -(-n // parts))
 

@@ -1023,6 +1023,37 @@ def test_steps_on_pairs_hold_whole_classes(monkeypatch, batch):
     assert got == want
 
 
+def test_a_fragment_is_counted_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    own = rng.integers(0, 40, (5, 300)).astype("<u2")
+    own[rng.random(own.shape) < 0.1] = ngram_join._NOBODY
+    low = rng.integers(0, 600, (5, 300)).astype("<u4")
+    names = [np.arange(40, dtype="<i8") * 3 + i for i in range(5)]
+    rows = [(0, 0, 2, names[i].tobytes(), low[i].tobytes(), own[i].tobytes()) for i in range(5)]
+    want = None
+    for piece in (10**6, 700, 10):
+        monkeypatch.setattr(ngram_join, "PIECE", piece)
+        (found,) = ngram_join._count([ngram_join._blocks(rows[:2]), ngram_join._blocks(rows[2:])])
+        got = dict(zip(found.column("id").to_pylist(), found.column("shared").to_pylist(), strict=True))
+        want = want or got
+        assert got == want and len(got) > 100
+    held = {}
+    for i in range(5):
+        for value, o in zip(low[i].tolist(), own[i].tolist(), strict=True):
+            held.setdefault(value, []).append(-1 if o == ngram_join._NOBODY else int(names[i][o]))
+    plain = {}
+    for own in held.values():
+        if len(set(own)) > 1:
+            for o in own:
+                if o >= 0:
+                    plain[o] = plain.get(o, 0) + 1
+    assert got == plain and isinstance(found, pa.RecordBatch)
+    nobody = np.full(3, ngram_join._NOBODY, "<u2").tobytes()
+    assert list(ngram_join._count([ngram_join._blocks([(0, 0, 2, b"", low[0][:3].tobytes(), nobody)])])) == []
+
+
 def test_fragments_follow_the_bytes(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "é" * 500)] * 10, "doc_id long, text string")  # 10,000 bytes
     assert ngram_join.fragments(rows) == (4, 1) and ngram_join.fragments(rows.limit(0)) == (4, 1)
@@ -1030,6 +1061,9 @@ def test_fragments_follow_the_bytes(spark, monkeypatch):
     assert ngram_join.fragments(rows) == (10, 1)
     monkeypatch.setattr(ngram_join, "MAX_PARTS", 5)
     assert ngram_join.fragments(rows) == (5, 2)
+    monkeypatch.setattr(ngram_join, "MAX_FRAGMENTS", 7)
+    monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", 1)
+    assert ngram_join.fragments(rows) == (5, 2)
 
 
 @needs_data
