@@ -59,9 +59,7 @@ def _load(name: str):
 
 
 def _index(chunks: DataFrame, embedder: models.Embed) -> DataFrame:
-    rows = models.embed_with_usage(chunks, "text", embedder, "document").withColumn("chunk_id", F.col("chunkId")).persist()
-    retrieve.check_dimension(rows)
-    return rows
+    return models.embed_with_usage(chunks, "text", embedder, "document").withColumn("chunk_id", F.col("chunkId"))
 
 
 def main(o: Options) -> int:
@@ -79,25 +77,33 @@ def main(o: Options) -> int:
         if problems:
             o.out("\n".join(problems))
             return SETUP_ERROR
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        """Kept until the run ends."""
+        kept.append(df.persist())
+        return kept[-1]
+
     try:
         service = (lambda: models.http_embedder(env)) if has("PLUMBLINE_EMBEDDING_URL") else (lambda: models.hash_embedder)
         embedder = o.embedder or (_load(env["PLUMBLINE_EMBEDDER"].strip()) if has("PLUMBLINE_EMBEDDER") else service())
         generator = None if calibrating else o.generator or (_load(env["PLUMBLINE_GENERATOR"].strip()) if has("PLUMBLINE_GENERATOR") else models.http_generator(env))
         spark = o.spark or SparkSession.builder.appName("plumbline").getOrCreate()
-        questions = evaluate.load_question_set(spark, o.questions).persist()
+        questions = keep(evaluate.load_question_set(spark, o.questions))
         chunks = corpus.load_corpus(spark, o.corpus or os.path.join(os.path.dirname(o.questions) or ".", "corpus")).drop("pos", "ord")
-        index = _index(chunks, embedder)
-        asked = models.embed_with_usage(questions.withColumn("question_id", F.col("pos").cast("long")), "question", embedder, "query").withColumnRenamed("vector", "query").persist()
+        index = keep(_index(chunks, embedder))
+        retrieve.check_dimension(index)
+        asked = keep(models.embed_with_usage(questions.withColumn("question_id", F.col("pos").cast("long")), "question", embedder, "query").withColumnRenamed("vector", "query"))
         folder = o.corpus or os.path.join(os.path.dirname(o.questions) or ".", "corpus")
         run = {"generatedAt": o.now(), "embedder": _name(embedder), "generator": _name(generator), "corpusDir": folder, "chunkCount": index.count(), "k": o.k, "threshold": o.floor}
         if calibrating:
             return _calibrate(o, asked, index, run, hasattr(embedder, "with_usage"))
-        results = answer.answer_questions(asked.select("question_id", "question", "query"), index.drop("embedding_tokens", "embedding_ms"), generator, o.k, o.floor).persist()
-        scores = evaluate.score(asked, results).persist()
-        categories = evaluate.gate(scores).persist()
+        results = keep(answer.answer_questions(asked.select("question_id", "question", "query"), index.drop("embedding_tokens", "embedding_ms"), generator, o.k, o.floor))
+        scores = keep(evaluate.score(asked, results))
+        categories = keep(evaluate.gate(scores))
         steps, told = None, None
         if hasattr(embedder, "with_usage") or hasattr(generator, "with_usage"):
-            found = usage.of_run(index, asked, results).persist()
+            found = keep(usage.of_run(index, asked, results))
             names = {r["question_id"]: r["id"] for r in asked.select("question_id", "id").collect()}
             steps = [r.asDict() | {"label": names.get(r["question_id"], "(index build)")} for r in found.orderBy("pos").collect()]
             steps = {"steps": steps, "totals": usage.totals(found.drop("cost_usd")).first().asDict()}
@@ -107,6 +113,9 @@ def main(o: Options) -> int:
     except Exception as e:  # a partial run reports nothing and writes nothing
         o.out(f"the run failed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
         return SETUP_ERROR
+    finally:
+        for df in kept:
+            df.unpersist()
     o.out(text)
     _write(o, artifact, "eval", run["generatedAt"])
     return PASS if artifact["verdict"] == "PASS" else GATE_FAILED

@@ -75,7 +75,7 @@ def validate_question_sets(sets: DataFrame) -> DataFrame:
 def load_question_set(spark: SparkSession, path: str) -> DataFrame:
     """pos and the fields of QUESTION of one file; raises for a bad one."""
     source = spark.read.text(path, wholetext=True).select(F.lit(0).alias("set_id"), F.col("value").alias("source"))
-    checked = validate_question_sets(source).persist()
+    checked = validate_question_sets(source)  # one file; read again for its questions
     error = checked.select("error").first()
     if error is None or error["error"]:
         raise QuestionSetError(error["error"] if error else "not-json")

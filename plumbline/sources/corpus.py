@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import is_blank, once, slugify, trim, trim_end
 from plumbline.policy import FRONTMATTER_KEYS
+from plumbline.sources.shared import shared_dir, stored
 
 CHUNK = ("chunkId", "docId", "docTitle", "docType", "effectiveDate", "version", "sectionHeading", "text")
 
@@ -142,19 +143,17 @@ def sections(parsed: DataFrame) -> DataFrame:
 def in_document_order(chunks: DataFrame) -> DataFrame:
     """``chunks`` with ``ord``, from 0, in the order of file names and of sections in a file.
 
-    Rows are dealt into ranges of that order and numbered inside them; only a count for each range
-    comes to the driver.
+    Rows are dealt into ranges of that order, numbered inside them and written to the shared
+    folder, so that the ranges stay what they are; only a count for each range comes to the driver.
     """
     order = [F.concat("docId", F.lit(".md")), F.col("pos")]
-    ranged = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).persist()
+    ranged = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    ranged = stored(ranged, shared_dir(chunks.sparkSession, "sections"))
     counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     before, total = {}, 0
     for part in sorted(counts):
         before[part], total = total, total + counts[part]
-    if not before:
-        ranged.unpersist()
-        return chunks.withColumn("ord", F.lit(0).cast("long"))
-    starts = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
+    starts = F.create_map(*[F.lit(x).cast("long") for kv in (before or {0: 0}).items() for x in kv])
     at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))  # the number inside the partition
     return ranged.withColumn("ord", F.element_at(starts, F.col("_part").cast("long")) + at).drop("_part", "_at")
 
