@@ -51,9 +51,10 @@ WORDS = 5
 SMALL = 200_000
 #: Shingles a batch may hold before it is sent, and pairs that are held at once.
 BATCH = 1_000_000
-#: Bytes of text whose shingles make up one fragment; as many fragments as let a batch have some
-#: shingles for each, beyond which they grow (200 MB of text at 100 TB); partitions they are dealt to.
-FRAGMENT_BYTES, MAX_FRAGMENTS, MAX_PARTS = 2**23, 2**19, 2**16
+#: Bytes of text whose shingles make up one fragment: a class has a row of counts for each fragment, so
+#: smaller ones make more rows. As many fragments at most as let a batch have some shingles for each,
+#: beyond which they grow (200 MB of text at 100 TB); partitions they are dealt to.
+FRAGMENT_BYTES, MAX_FRAGMENTS, MAX_PARTS = 2**26, 2**19, 2**16
 #: Shingles of a fragment that are sorted at once.
 PIECE = 2_000_000
 #: Fragments in which candidate pairs are verified, and shingles of a bucket of pairs that meet in each.
