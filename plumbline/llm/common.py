@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.sources.shared import shared_dir, stored
 
-__all__ = ["id_and_text", "shared_dir", "shuffle_parts", "small_batches", "stored", "table"]
+__all__ = ["id_and_text", "shared_dir", "shuffle_parts", "small_batches", "stored", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     )
 
 
+def utf8(texts: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of a column of texts without nulls."""
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
