@@ -20,8 +20,9 @@ fragments are summed:
 4. *Overlaps.* The candidates' segments are intersected per fragment, and the partial overlaps
    are summed per pair and compared with the threshold in integers.
 
-Segments travel as packed binary blocks, a row for each batch and fragment, so rows and their
-cost don't grow with single shingles. In a batch a shingle is sent once, however many of its
+Segments travel as packed binary blocks, a row for each batch and fragment, and counts as blocks
+of classes, so rows and their cost don't grow with single shingles or with the fragments of a
+class. In a batch a shingle is sent once, however many of its
 documents hold it.
 
 How many fragments there are follows from the counted bytes of the texts, so a fragment does not
@@ -51,10 +52,11 @@ WORDS = 5
 SMALL = 200_000
 #: Shingles a batch may hold before it is sent, and pairs that are held at once.
 BATCH = 1_000_000
-#: Bytes of text whose shingles make up one fragment: a class has a row of counts for each fragment, so
-#: smaller ones make more rows. As many fragments at most as let a batch have some shingles for each,
-#: beyond which they grow (200 MB of text at 100 TB); partitions they are dealt to.
-FRAGMENT_BYTES, MAX_FRAGMENTS, MAX_PARTS = 2**26, 2**19, 2**16
+#: Bytes of text whose shingles make up one fragment. As many fragments at most as let a batch have some
+#: shingles for each, beyond which they grow (200 MB of text at 100 TB); partitions they are dealt to.
+FRAGMENT_BYTES, MAX_FRAGMENTS, MAX_PARTS = 2**23, 2**19, 2**16
+#: Partitions that sum the classes' counts at most, and counts that are merged at once in each.
+MAX_SUMS, SUMMED_AT_ONCE = 2**12, 4_000_000
 #: Shingles of a fragment that are sorted at once.
 PIECE = 2_000_000
 #: Fragments in which candidate pairs are verified, and shingles of a bucket of pairs that meet in each.
@@ -127,8 +129,9 @@ def _slices(hashes: np.ndarray, n: int):
 
 BLOCK = "dst int, sub int, kind int, a binary, b binary, c binary"
 _BLOCK = pa.schema([("dst", pa.int32()), ("sub", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-MARKS = "doc_id long, n long, key string, id long, shared long"
-_MARKS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("id", pa.int64()), ("shared", pa.int64())])
+#: A document with its set's size, key and number, or a block of numbers and counts.
+MARKS = "doc_id long, n long, key string, id long, dst int, names binary, counts binary"
+_MARKS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("id", pa.int64()), ("dst", pa.int32()), ("names", pa.binary()), ("counts", pa.binary())])
 
 
 def _blocks(rows: list[tuple]) -> pa.RecordBatch:
@@ -218,14 +221,18 @@ def _mark(parts: int, subs: int):
     return run
 
 
-def _count(batches):
-    """Step 1, second half: the blocks of fragments to MARKS: documents, and shared shingles per class."""
-    for own in _in_turn(batches):
-        yield from _count_one(own)
+def _count(sums: int):
+    """Step 1, second half: the blocks of fragments to MARKS: documents, and shared shingles of classes in blocks."""
+
+    def run(batches):
+        for own in _in_turn(batches):
+            yield from _count_one(own, sums)
+
+    return run
 
 
-def _count_one(batches):
-    names, blocks, base = [], [], 0
+def _count_one(batches, sums: int):
+    names, blocks, base, counted = [], [], 0, []
     for batch in batches:
         for kind, a, b, c in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
             kind, a, b, c = kind.as_py(), a.as_py(), b.as_py(), c.as_py()
@@ -241,18 +248,24 @@ def _count_one(batches):
                         pa.array(size),
                         pa.array([keys[32 * i : 32 * i + 32] for i in range(n)], pa.string()),
                         pa.array(first),
-                        pa.nulls(n, pa.int64()),
+                        *(pa.nulls(n, f.type) for f in list(_MARKS)[4:]),
                     ],
                     schema=_MARKS,
                 )
             elif kind == 1:
-                yield _shared(np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8"))
+                counted.append((np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")))
             else:
                 blocks.append((np.frombuffer(b, "<u4"), np.frombuffer(c, "<u2"), base))
                 names.append(np.frombuffer(a, "<i8"))
                 base += len(names[-1])
-    if not base:  # no class with a shingle that only it has in its batch
-        return
+    if base:
+        counted.append(_counts(names, blocks))
+    if counted:
+        yield from _shared(*_added(counted), sums)
+
+
+def _counts(names: list[np.ndarray], blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the classes in a fragment's blocks, and how many of their shingles there others hold, too."""
     names, which = np.unique(np.concatenate(names), return_inverse=True)
     shared = np.zeros(len(names), np.int64)
     pieces = -(-sum(len(low) for low, _, _ in blocks) // PIECE)
@@ -276,14 +289,45 @@ def _count_one(batches):
         mixed = (length > 1) & (np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at))
         own = owner[np.repeat(mixed, length)]
         shared += np.bincount(own[own >= 0], minlength=len(names))
-    yield _shared(names, shared)
+    return names, shared
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts with each number once, ascending, its counts summed."""
+    names, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    names, which = np.unique(names, return_inverse=True)
+    return names, np.bincount(which, counts, len(names)).astype("<i8")
+
+
+def _shared(names: np.ndarray, counts: np.ndarray, sums: int):
+    """Numbers and counts above zero as blocks for the partitions that sum them."""
+    names, counts = names[counts > 0], counts[counts > 0]
+    to = names % sums
+    order = np.argsort(to, kind="stable")
+    names, counts, to = names[order], counts[order], to[order]
+    at = _runs(to)
+    if not len(at):
+        return
+    ends = np.append(at[1:], len(to)).tolist()
+    packed = ([c[a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=True)] for c in (names, counts))
+    nothing = [pa.nulls(len(at), f.type) for f in list(_MARKS)[:4]]
+    yield pa.RecordBatch.from_arrays([*nothing, pa.array(to[at], pa.int32()), *(pa.array(c, pa.binary()) for c in packed)], schema=_MARKS)
 
 
-def _shared(names: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    names, n = names[n > 0], n[n > 0].astype(np.int64)
-    k = len(n)
-    nothing = [pa.nulls(k, f.type) for f in list(_MARKS)[:3]]
-    return pa.RecordBatch.from_arrays([*nothing, pa.array(names, pa.int64()), pa.array(n)], schema=_MARKS)
+def _sums(batches):
+    """Blocks of numbers and counts, all those of a number in one task -> (id, shared)."""
+    held, size = [], 0
+    for batch in batches:
+        for names, counts in zip(*(batch.column(k) for k in range(2)), strict=True):
+            held.append((np.frombuffer(names.as_py(), "<i8"), np.frombuffer(counts.as_py(), "<i8")))
+            size += len(held[-1][0])
+            if size >= SUMMED_AT_ONCE:
+                held = [_added(held)]
+                size = 0
+    if held:
+        names, counts = _added(held)
+        for lo in range(0, len(names), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in (names, counts)], names=["id", "shared"])
 
 
 def _sets(batches):
@@ -713,9 +757,11 @@ def _link_rows(docs: DataFrame, parts: int | None, subs: int | None) -> DataFram
     work = shared_dir(spark, "ngrams")
     rows = id_and_text(docs)
     parts, subs = (parts, subs or 1) if parts else fragments(rows)
-    marks = stored(_dealt(rows.mapInArrow(_mark(parts, subs), BLOCK), parts, subs).mapInArrow(_count, MARKS), f"{work}/marks")
+    sums = min(max(shuffle_parts(spark), parts // 16), MAX_SUMS)
+    marks = stored(_dealt(rows.mapInArrow(_mark(parts, subs), BLOCK), parts, subs).mapInArrow(_count(sums), MARKS), f"{work}/marks")
     members = marks.where("key is not null").select("doc_id", "n", "key", "id")
-    shared = marks.where("key is null").groupBy("id").agg(F.sum("shared").alias("shared"))
+    blocks = marks.where("key is null").select("names", "counts", "dst").repartitionById(sums, F.col("dst"))
+    shared = blocks.mapInArrow(_sums, "id long, shared long")
     classes = members.where("n > 0").groupBy("key").agg(
         F.min("id").alias("id"), F.min("n").alias("n"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("doc"), F.min("doc_id").alias("low")
     )

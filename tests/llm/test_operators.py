@@ -1035,8 +1035,12 @@ def test_a_fragment_is_counted_in_pieces(monkeypatch):
     want = None
     for piece in (10**6, 700, 10):
         monkeypatch.setattr(ngram_join, "PIECE", piece)
-        (found,) = ngram_join._count([ngram_join._blocks(rows[:2]), ngram_join._blocks(rows[2:])])
-        got = dict(zip(found.column("id").to_pylist(), found.column("shared").to_pylist(), strict=True))
+        (found,) = ngram_join._count(3)([ngram_join._blocks(rows[:2]), ngram_join._blocks(rows[2:])])
+        assert found.column("dst").to_pylist() == [0, 1, 2]
+        blocks = pa.RecordBatch.from_arrays([found.column("names"), found.column("counts")], names=["names", "counts"])
+        monkeypatch.setattr(ngram_join, "SUMMED_AT_ONCE", piece)
+        twice = list(ngram_join._sums([blocks, blocks]))  # as of two fragments
+        got = {r["id"]: r["shared"] // 2 for b in twice for r in b.to_pylist()}
         want = want or got
         assert got == want and len(got) > 100
     held = {}
@@ -1051,7 +1055,7 @@ def test_a_fragment_is_counted_in_pieces(monkeypatch):
                     plain[o] = plain.get(o, 0) + 1
     assert got == plain and isinstance(found, pa.RecordBatch)
     nobody = np.full(3, ngram_join._NOBODY, "<u2").tobytes()
-    assert list(ngram_join._count([ngram_join._blocks([(0, 0, 2, b"", low[0][:3].tobytes(), nobody)])])) == []
+    assert list(ngram_join._count(1)([ngram_join._blocks([(0, 0, 2, b"", low[0][:3].tobytes(), nobody)])])) == []
 
 
 def test_fragments_follow_the_bytes(spark, monkeypatch):
