@@ -3,33 +3,40 @@ weighs the labelers, and a span classifier learned from the weighed votes decide
 
 Four kinds of base spans are given by patterns and always stay: email, ip, card, phone. Wider
 patterns propose further candidates: spelled-out addresses, plain phone numbers, id and account
-numbers, names of persons and streets. Regex, checksum, gazetteer, context and shape labelers vote
-on every candidate (1 personal, 2 not, 0 no vote). Over the whole corpus the votes are counted by
-pattern: a table bounded by kinds and labelers, not by the corpus. EM over that table estimates,
-without any labels, how often each labeler is right, and gives every pattern a probability.
-
-The classifier sees other things than the labelers vote by: the span's length and digits, what
-stands right before and after it, the shape of the word before, and other candidates nearby. It is
-a logistic model of these and the kind, fitted to the mean probability of all candidates that look
+numbers, names of persons and streets. So do near misses of the base kinds: what looks like one
+but fails its rule, such as a run of sixteen digits that is no card by its checksum. Regex, checksum,
+gazetteer, context and shape labelers vote on every candidate (1 personal, 2 not, 0 no vote).
+Over the whole corpus the votes are counted by pattern: a table bounded by kinds and labelers, not
+by the corpus. EM over that table estimates, without any labels, how often each labeler is right,
+and gives every pattern a probability.
+
+The classifier sees nothing that a labeler votes by: the span's length and digits, what stands
+right before and after it, the shape of the word before, and other candidates nearby. It is a
+logistic model of these and the kind, fitted to the mean probability of all candidates that look
 alike, again a bounded table; a candidate it puts at 0.5 or more is a span.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_and_text, shared_dir, stored, table
 
 BASE = ("email", "ip", "card", "phone")
 WIDE = ("email_words", "phone_plain", "id_number", "iban", "name", "street")
-ORDER = {k: i for i, k in enumerate(BASE + WIDE)}
+#: Near misses of the base kinds.
+NEAR = ("email_like", "ip_like", "card_like", "phone_like")
+ORDER = {k: i for i, k in enumerate(BASE + WIDE + NEAR)}
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -59,11 +66,16 @@ _street = re.compile(
     rf"|\b[0-9]{{1,4}}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai) (?:(?:de|du|des|la|le|les) |[ld]['’]){{0,3}}{_W}(?: {_W}){{0,2}}"
     rf"|\b(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino) (?:(?:de|del|la|las|los|el) ){{0,3}}{_W}(?: {_W}){{0,2}},? (?:n[.º°]{{0,2}} ?)?[0-9]{{1,4}}\b"
 ).finditer
-_may_street = re.compile(
-    "Street|St\\b|R(?:oa)?d\\b|Ave|Lane|Ln\\b|Drive|B(?:ou)?le?va?r?d|Court|Square|Terrace|stra(?:ß|ss)e|str\\.|weg |platz |allee |gasse "
-    "| (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai) |Calle |Avenida |Avda\\.|Plaza |Paseo |Camino "
-).search
-
+#: One of these is in every match of a pattern; looking for them is much faster than the pattern.
+_IN_STREETS = (
+    " St", " Road", " Rd", " Ave", " Lane", " Ln", " Drive", " Boulevard", " Blvd", " Court", " Square", " Terrace", "straße", "strasse", "str.", "weg ", "platz ", "allee ", "gasse ",
+    " rue ", " avenue ", " boulevard ", " place ", " chemin ", " allée ", " impasse ", " quai ", "Calle ", "Avenida ", "Avda.", "Plaza ", "Paseo ", "Camino ",
+)
+_IN_TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Sr", "Señor")
+_IN_INTRODUCTIONS = ("y name is", "ame:", "Dear", "dear", "igned", "egards", "heiße", "ein Name ist", "appelle", "llamo", "nombre es")
+
+#: Sizes of a card number's groups of digits.
+CARD_GROUPS = ((12,), (13,), (14,), (15,), (16,), (19,), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
 CARD_STARTS = ("4", "51", "52", "53", "54", "55", "34", "37", "36", "38", "6011", "65", "35", "22", "23", "24", "25", "26", "27")
 
 
@@ -88,6 +100,13 @@ class Gazetteers:
     )
 
 
+    @classmethod
+    def read(cls, path: str) -> Gazetteers:
+        """From a JSON object of lists by field; a field that it lacks keeps its short list. The file is read on the driver and goes to every task."""
+        with open(path, encoding="utf-8") as f:
+            return cls(**{k: frozenset(v) for k, v in json.load(f).items()})
+
+
 GAZETTEERS = Gazetteers()
 #: Capitalised words that are no part of a name.
 NO_NAMES = frozenset(
@@ -107,7 +126,7 @@ _postcode = re.compile(r"(?<![0-9])[0-9]{5}(?![0-9])").search
 
 LABELERS = ("pattern", "check", "gazetteer", "context", "shape")
 #: What the classifier sees, with the number of values each feature has.
-FEATURES = {"size": 4, "digits": 4, "before": 4, "after": 4, "prior": 4, "company": 2, "check": 2, "listed": 2}
+FEATURES = {"size": 4, "digits": 4, "before": 4, "after": 4, "prior": 4, "company": 2}
 CANDIDATE = "struct<kind:string,start:int,stop:int,votes:int,look:int>"
 FOUND = f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, candidates array<{CANDIDATE}>"
 
@@ -134,24 +153,54 @@ def _emails(text: str):
         at = text.find("@", at + 1)
 
 
-def base_spans(text: str) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of the base kinds, by start and then kind."""
-    out = [(a, "email", b) for a, b in _emails(text)] if "@" in text else []
+_handle = re.compile(r"[A-Za-z0-9-]+(?![A-Za-z0-9.-]|\.[A-Za-z0-9-])").match
+
+
+def _base_and_near(text: str) -> tuple[list, list]:
+    """(start, kind, end) of the base kinds, by start and then kind, and of their near misses."""
+    out, near = [], []
+    if "@" in text:
+        out += [(a, "email", b) for a, b in _emails(text)]
+        at = text.find("@")
+        while at >= 0:  # a name and a host without a dot
+            start = at
+            while start > max(0, at - 64) and text[start - 1] in _local:
+                start -= 1
+            if start < at and (m := _handle(text, at + 1)):
+                near.append((start, "email_like", m.end()))
+            at = text.find("@", at + 1)
     if _digit(text):
-        out += [(m.start(), "ip", m.end()) for m in _ip(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        for m in _ip(text):
+            good = all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))
+            (out if good else near).append((m.start(), "ip" if good else "ip_like", m.end()))
         for m in _card(text):
             if m.end() - m.start() >= 12:
                 digits = m[0].replace(" ", "").replace("-", "")
                 if 12 <= len(digits) <= 19 and luhn(digits):
                     out.append((m.start(), "card", m.end()))
+                elif 12 <= len(digits) <= 22:
+                    near.append((m.start(), "card_like", m.end()))
         if "+" in text:
-            out += [(m.start(), "phone", m.end()) for m in _phone(text) if 9 <= sum(map(str.isdigit, m[0])) <= 15]
-    return sorted(out, key=lambda s: (s[0], ORDER[s[1]]))
+            for m in _phone(text):
+                n = sum(map(str.isdigit, m[0]))
+                if 9 <= n <= 15:
+                    out.append((m.start(), "phone", m.end()))
+                elif 7 <= n <= 18:
+                    near.append((m.start(), "phone_like", m.end()))
+    return sorted(out, key=lambda s: (s[0], ORDER[s[1]])), near
+
+
+def base_spans(text: str) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of the base kinds, by start and then kind."""
+    return _base_and_near(text)[0]
 
 
 def _names(text: str, gazetteers: Gazetteers) -> list[tuple[int, int]]:
     """Words after a title or an introduction, and capitalised words of which the first is a given name."""
-    found = [m.span(1) for find in (_titled, _introduced) for m in find(text)]
+    found = []
+    for find, marks in ((_titled, _IN_TITLES), (_introduced, _IN_INTRODUCTIONS)):
+        if any(m in text for m in marks):
+            found += [m.span(1) for m in find(text)]
     found += [m.span() for m in _capitals(text) if m[0].split(" ", 1)[0] in gazetteers.given_names]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
@@ -165,7 +214,7 @@ def _wide_spans(text: str, gazetteers: Gazetteers) -> list[tuple[int, str, int]]
     if _digit(text):
         for kind, find in (("phone_plain", _phone_plain), ("id_number", _id_number), ("iban", _iban)):
             out += [(m.start(), kind, m.end()) for m in find(text)]
-        if _may_street(text):
+        if any(m in text for m in _IN_STREETS):
             out += [(m.start(), "street", m.end()) for m in _street(text)]
     if "dot" in text.lower():
         out += [(m.start(), "email_words", m.end()) for m in _email_words(text)]
@@ -177,45 +226,53 @@ def _iban_ok(raw: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def _judged(kind: str, raw: str, digits: str, around: str, gazetteers: Gazetteers) -> tuple[bool, bool]:
-    """(check, listed): whether the span is valid by its kind's own rules, and whether a gazetteer has its part."""
-    if kind.startswith("email"):
-        end = re.split(r"[.\s]", raw.lower().rstrip(")]"))[-1]
-        return len(raw) <= 254 and ".." not in raw, end in gazetteers.mail_ends
-    if kind == "ip":
+def _judged(kind: str, raw: str, digits: str, around: str, gazetteers: Gazetteers) -> tuple[int, int, int]:
+    """Votes of the pattern, check and gazetteer labelers: is the span written as its kind is, valid by the kind's own rule, and is its part in a list?
+
+    Lists of names and places never hold all there are, so these can vote for a span only.
+    """
+    say = lambda good: 1 if good else 2
+    base = kind.removesuffix("_like")
+    if base in ("email", "email_words"):
+        end = re.split(r"[.@\s]", raw.lower().rstrip(")]"))[-1]
+        return say(end.isalpha() and kind != "email_like"), say(len(raw) <= 254 and ".." not in raw and kind != "email_like"), say(end in gazetteers.mail_ends)
+    if base == "ip":
         parts = raw.split(".")
-        return not any(len(p) > 1 and p[0] == "0" for p in parts), parts[0] not in ("0", "255")
-    if kind == "card":
-        return luhn(digits), digits.startswith(CARD_STARTS) and len(digits) in (13, 14, 15, 16, 19)
+        low = all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
+        return say(all(len(p) <= 3 for p in parts)), say(low and not any(len(p) > 1 and p[0] == "0" for p in parts)), say(low and parts[0] not in ("0", "255"))
+    if base == "card":
+        groups = tuple(map(len, re.split("[ -]", raw)))
+        return say(groups in CARD_GROUPS), say(luhn(digits) and len(digits) <= 19), say(digits.startswith(CARD_STARTS) and len(digits) in (13, 14, 15, 16, 19))
+    if base == "phone":
+        return say(raw.count("(") == raw.count(")") <= 1 and "  " not in raw), say(9 <= len(digits) <= 15), 0 if digits[:1] != "1" else say(len(digits) == 11 and digits[1] not in "01")
     if kind == "iban":
-        return _iban_ok(raw), raw[:2] in gazetteers.iban_lands
+        return say(" " not in raw or all(len(g) == 4 for g in raw.split(" ")[:-1])), say(_iban_ok(raw)), say(raw[:2] in gazetteers.iban_lands)
     if kind == "id_number":
-        return digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000", digits[0] != "9"
+        return 0, say(digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000"), say(digits[0] != "9")
     if kind == "name":
         words = raw.split(" ")
-        return len(set(words)) == len(words) and not NO_NAMES & {*words}, words[0] in gazetteers.given_names and raw not in gazetteers.places
+        return 0, say(len(set(words)) == len(words) and not NO_NAMES & {*words}), int(words[0] in gazetteers.given_names and raw not in gazetteers.places)
     if kind == "street":
-        return digits.strip("0") != "", any(p in around for p in gazetteers.places) or bool(_postcode(around))
+        return 1, say(digits.strip("0") != ""), int(any(p in around for p in gazetteers.places) or bool(_postcode(around)))
     national = digits[-10:]
-    return len(national) == 10, national[:1] not in ("0", "1") and national[3:6] != "000"
+    return int(len(set(re.sub("[0-9()]", "", raw).strip())) <= 1), say(len(national) == 10), say(national[:1] not in ("0", "1") and national[3:6] != "000")
 
 
-def votes(kind: str, raw: str, digits: str, around: str, edges: bool, check: bool, listed: bool) -> int:
+def votes(kind: str, raw: str, digits: str, around: str, edges: bool, judged: tuple[int, int, int]) -> int:
     """Votes of the LABELERS on a candidate as base-3 digits."""
     positive, negative = {"name": (POSITIVE_NAME, NEGATIVE_NAME), "street": (POSITIVE_STREET, NEGATIVE)}.get(kind, (POSITIVE, NEGATIVE))
     good, bad = bool(positive(around)), bool(negative(around))
-    varied = len(set(digits)) >= 4 if kind not in ("name", "street") and digits else len(set(raw)) >= 4
+    written = kind.startswith("email") or kind in ("name", "street")
+    varied = len(set(raw if written or not digits else digits)) >= 4
     all_votes = (
-        1 if kind in BASE or kind == "street" else 0,
-        1 if check else 2,
-        1 if listed else 0,
+        *judged,
         1 if good and not bad else 2 if bad and not good else 0,
         2 if not edges or not varied else 1 if re.search("[ ().@-]", raw) else 0,
     )
     return sum(v * 3**i for i, v in enumerate(all_votes))
 
 
-def look(text: str, start: int, stop: int, digits: str, company: bool, check: bool, listed: bool) -> int:
+def look(text: str, start: int, stop: int, digits: str, company: bool) -> int:
     """The FEATURES of a candidate as one number."""
     before, after, size = text[start - 1 : start], text[stop : stop + 1], stop - start
     side = lambda c, marks: 0 if not c or c in "\n\r" else 1 if c.isspace() else 2 if c in marks else 3
@@ -227,7 +284,7 @@ def look(text: str, start: int, stop: int, digits: str, company: bool, check: bo
         side(before, "([{<\"'«“„:=,;"),
         side(after, ")]}>\"'»”“.,:;!?"),
         0 if not word else 1 if word.islower() else 2 if word[0].isupper() else 3,
-        company, check, listed,
+        company,
     )
     out = 0
     for v, n in zip(values, FEATURES.values(), strict=True):
@@ -241,17 +298,18 @@ def _may_hold(text: str) -> bool:
 
 
 def candidates(text: str, gazetteers: Gazetteers = GAZETTEERS) -> tuple[list, list]:
-    """(base spans, all candidates as CANDIDATE); wide ones that touch a base span are left out."""
-    base = base_spans(text) if _may_hold(text) else []
+    """(base spans, all candidates as CANDIDATE); wide ones that touch a base span are left out, and near misses that touch any other."""
+    base, near = _base_and_near(text) if _may_hold(text) else ([], [])
     spans = list(base)
-    wide = sorted(_wide_spans(text, gazetteers), key=lambda s: (s[0], ORDER[s[1]]))
-    if wide:
-        ends = np.maximum.accumulate([b for _, _, b in base]).tolist() if base else []
-        starts = [a for a, _, _ in base]
-        for a, kind, b in wide:
-            k = bisect_right(starts, b - 1)
-            if not k or ends[k - 1] <= a:
-                spans.append((a, kind, b))
+    for more in (_wide_spans(text, gazetteers), near):
+        if more:
+            held = sorted(spans)
+            ends = np.maximum.accumulate([b for _, _, b in held]).tolist() if held else []
+            starts = [a for a, _, _ in held]
+            for a, kind, b in sorted(more, key=lambda s: (s[0], ORDER[s[1]])):
+                k = bisect_right(starts, b - 1)
+                if not k or ends[k - 1] <= a:
+                    spans.append((a, kind, b))
     places = sorted(a for a, _, _ in spans)
     out = []
     for a, kind, b in spans:
@@ -260,8 +318,8 @@ def candidates(text: str, gazetteers: Gazetteers = GAZETTEERS) -> tuple[list, li
         around = text[max(0, a - 40) : a] + " " + text[b : b + 20]
         edges = not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum())
         company = bisect_left(places, b + 100) - bisect_left(places, a - 100) > 1
-        check, listed = _judged(kind, raw, digits, text[max(0, a - 40) : a] + " " + text[b : b + 40], gazetteers)
-        out.append((kind, a, b, votes(kind, raw, digits, around, edges, check, listed), look(text, a, b, digits, company, check, listed)))
+        judged = _judged(kind, raw, digits, text[max(0, a - 40) : a] + " " + text[b : b + 40], gazetteers)
+        out.append((kind, a, b, votes(kind, raw, digits, around, edges, judged), look(text, a, b, digits, company)))
     return base, out
 
 
@@ -271,8 +329,6 @@ def joined(spans) -> str:
 
 def extract(docs: DataFrame, gazetteers: Gazetteers = GAZETTEERS) -> DataFrame:
     """FOUND: base counts, base spans as text, and the candidates of every row of ``docs``."""
-    import pyspark.sql.types as T
-
     schema = T._parse_datatype_string(FOUND)
 
     def run(batches):
@@ -419,7 +475,7 @@ def mask_text(text: str, learned: Classifier, gazetteers: Gazetteers = GAZETTEER
 
 
 def redact(docs: DataFrame, gazetteers: Gazetteers = GAZETTEERS) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind, and ``n_chars``, where there, set to the new length.
+    """``docs`` with every span in ``text`` replaced by its kind, and ``n_chars``, where it is there as a number, set to the new length.
 
     Null texts stay null; empty texts, and texts of any length without a span, are returned as
     they are. Null ids, repeated rows and all other columns stay; an empty table gives no rows.
@@ -429,7 +485,9 @@ def redact(docs: DataFrame, gazetteers: Gazetteers = GAZETTEERS) -> DataFrame:
     found = stored(extract(docs, gazetteers), shared_dir(docs.sparkSession, "pii"))
     learned = fit(found)
     names = docs.columns
-    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    at = names.index("text")
+    counted = "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, T.NumericType)
+    size = names.index("n_chars") if counted else None
 
     def run(batches):
         for batch in batches:
@@ -440,7 +498,9 @@ def redact(docs: DataFrame, gazetteers: Gazetteers = GAZETTEERS) -> DataFrame:
                 cols[at] = pa.array(new, cols[at].type)
                 if size is not None:
                     lengths = zip(old, new, cols[size].to_pylist(), strict=True)
-                    cols[size] = pa.array([n if a == b else len(b) for a, b, n in lengths], cols[size].type)
+                    kind = cols[size].type
+                    number = Decimal if pa.types.is_decimal(kind) else float if pa.types.is_floating(kind) else int
+                    cols[size] = pa.array([n if a == b else number(len(b)) for a, b, n in lengths], kind)
                 batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
             yield batch
 

@@ -605,6 +605,95 @@ def test_all_spans_against_a_plain_computation(spark):
     assert sorted(r["text"] or "" for r in pii.redact(df).collect()) == sorted(pii.mask_text(t or "", learned) for t in texts)
 
 
+def test_near_misses_are_candidates_that_labelers_vote_against():
+    text = "mail root@localhost, host 300.1.2.3, card 4111 1111 1111 1112, phone +123 4567, real a@b.com"
+    base, found = pii.candidates(text)
+    assert [text[a:b] for a, _, b in base] == ["a@b.com"]
+    assert {c[0]: text[c[1] : c[2]] for c in found if c[0] not in pii.BASE} == {
+        "email_like": "root@localhost", "ip_like": "300.1.2.3", "card_like": "4111 1111 1111 1112", "phone_like": "+123 4567"
+    }
+    assert all(2 in [c[3] // 3**i % 3 for i in range(5)] for c in found if c[0] in pii.NEAR)
+    # a number inside a base or a wider span is no near miss of its own
+    assert not [c for c in pii.candidates("IBAN DE89 3704 0044 0532 0130 00, +1 (202) 555-0143")[1] if c[0] in pii.NEAR]
+
+
+def test_classifier_sees_nothing_that_labelers_vote_by():
+    """Another checksum, list or context changes votes, not what the classifier sees."""
+    for a, b in (("4111 1111 1111 1112", "4111 1111 1111 1113"), ("see (212) 555-0101", "see (012) 555-0101")):
+        (x,), (y,) = ([c for c in pii.candidates(f"then {t} came")[1]] for t in (a, b))
+        assert x[3] != y[3] or x[0] == "card_like"
+        assert x[4] == y[4]
+    near, far = (pii.candidates(f"{w} his own thing is (212) 555-0101 now")[1][0] for w in ("call", "order"))
+    assert near[3] != far[3] and near[4] == far[4]
+
+
+def planted_personal(rng, n):
+    """Texts with personal data and look-alikes, and the spans that are personal."""
+    pick = lambda x: x[rng.integers(len(x))]
+    d = lambda k, low=0: "".join(str(rng.integers(low if i == 0 else 0, 10)) for i in range(k))
+    given, family = ["Anna", "Peter", "María", "John", "Claire"], ["Berg", "Miller", "Garza", "Stone", "Dubois"]
+
+    def iban():
+        body = f"{d(4, 1)}{d(4)}{d(4)}{d(4)}{d(2)}"
+        check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+        s = f"DE{check:02d}{body}"
+        return " ".join(s[i : i + 4] for i in range(0, len(s), 4))
+
+    def bad_card():
+        while pii.luhn(s := d(16, 1)):
+            pass
+        return s
+
+    yes = [
+        ("name", lambda: ("my name is ", f"{pick(given)} {pick(family)}")), ("phone_plain", lambda: ("call me at ", f"({rng.integers(2, 10)}{d(2)}) {rng.integers(2, 10)}{d(2)}-{d(4)}")),
+        ("iban", lambda: ("my account is ", iban())), ("email_words", lambda: ("write to ", f"{pick(given).lower()}{d(2)} at example dot com")),
+        ("id_number", lambda: ("my social number ", f"{rng.integers(100, 600)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}")),
+    ]
+    no = [
+        lambda: ("order ", bad_card()), lambda: ("version ", f"{rng.integers(256, 999)}.{d(1)}.{d(2)}.{d(1)}"), lambda: ("commit of ", f"user{d(1)}@host{d(1)}"),
+        lambda: ("build ", f"+{d(3, 1)} {d(4)}"), lambda: ("invoice ", bad_card()), lambda: ("serial ", f"+{d(1, 1)}-{d(6)}"),
+    ]
+    for _ in range(n):
+        text, spans = "it is said here that ", []
+        for _ in range(3):
+            kind, (lead, raw) = (k := pick(yes))[0], k[1]()
+            if rng.random() < 0.5:
+                kind, (lead, raw) = None, pick(no)()
+            text += lead
+            if kind:
+                spans.append(f"{kind}:{len(text)}:{len(text) + len(raw)}")
+            text += raw + " and then some words without anything in them follow here so that nothing is near, "
+        yield text, spans
+
+
+def test_planted_personal_data_is_told_from_look_alikes(spark):
+    rows = list(planted_personal(np.random.default_rng(3), 600))
+    got = pii.detect(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    found = {(r["doc_id"], s) for r in got for s in r["spans"].split(",") if s and s.split(":")[0] not in pii.BASE}
+    want = {(i, s) for i, (_, spans) in enumerate(rows) for s in spans}
+    assert len(want) > 700 and len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.9 * len(found)
+    others = [c for t, _ in rows for c in pii.candidates(t)[1] if c[0] in pii.NEAR]
+    assert len(others) > 600  # look-alikes that were candidates and were turned down
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,2)", "double", "int"])
+def test_redaction_with_any_kind_of_length(spark, kind):
+    rows = spark.createDataFrame([(1, "mail a@b.com now"), (2, "nothing"), (3, None)], "doc_id long, text string").selectExpr("*", f"cast(7 AS {kind}) AS n_chars")
+    got = {r["doc_id"]: (r["text"], str(r["n_chars"])) for r in pii.redact(rows).collect()}
+    if kind == "string":
+        assert got[1] == ("mail [EMAIL] now", "7")
+    else:
+        assert got[1][0] == "mail [EMAIL] now" and float(got[1][1]) == 16 and float(got[2][1]) == 7
+
+
+def test_gazetteers_from_a_file(tmp_path):
+    path = tmp_path / "lists.json"
+    path.write_text('{"given_names": ["Zyx"], "places": ["Wvu Town"]}')
+    own = pii.Gazetteers.read(str(path))
+    assert own.given_names == {"Zyx"} and own.mail_ends == pii.GAZETTEERS.mail_ends
+    assert [c[0] for c in pii.candidates("then Zyx Wvu came", own)[1]] == ["name"]
+
+
 def test_pii_edges(spark, edge, empty):
     rows = pii.detect(edge).collect()
     assert len(rows) == len(EDGE)
