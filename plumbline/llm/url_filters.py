@@ -6,9 +6,11 @@ the third, and so on until nothing passes wrongly. Since the levels were built a
 distinct key of the corpus, the number of levels a key passes tells exactly whether it is
 listed: an odd number means listed.
 
-A level is an array of 64-bit words, read by scalar subqueries, so probing needs no join. Its
-size is known from the counted keys before it is built and bounded by ``max_bits``; a larger
-list is probed by an equi-join on the key instead.
+A level is an array of 64-bit words. Its size is known from the counted keys before it is built
+and bounded by about ``max_bits``: the keys are cut by a hash into as many parts as that takes, each with
+a cascade of its own. A single cascade is read by scalar subqueries, so probing needs no join. Of
+several, a row meets the words of its part by a join on the part's number: by a broadcast while
+all of them are small enough for it, which is known, else by a salted join.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import shared_dir, shuffle_parts, stored, table
 
 #: (host, path prefix, verdict)
 RULES = (
@@ -29,8 +31,8 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Bits of one level at most: 1 MB.
-MAX_BITS = 2**23
+#: Bits of one level of a part, about: 1 MB. Bytes of the levels of all parts that are broadcast at most.
+MAX_BITS, BROADCAST_BYTES = 2**23, 2**26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = "://([^/?#]*)([^?#]*)"
 
@@ -58,41 +60,62 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 @dataclass
 class Cascade:
-    """Levels as (table of one row with the words, number of bits, hashes); or the listed keys to join."""
+    """Levels as (table of part and words, number of bits, hashes), a row for each part."""
 
+    parts: int = 1
     levels: list[tuple[DataFrame, int, int]] = field(default_factory=list)
-    joined: DataFrame | None = None
+
+    def part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(self.parts)).cast("int")
 
     @staticmethod
-    def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
+    def positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
         return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(hashes)]
 
+    def with_words(self, rows: DataFrame, key: Column, levels=None) -> DataFrame:
+        """``rows`` with the words of each key's part, where there are several; a row without a key has none."""
+        chosen = list(range(len(self.levels)) if levels is None else levels)
+        if self.parts == 1 or not chosen:
+            return rows
+        words = None
+        for i in chosen:
+            own = self.levels[i][0].select(F.col("part").alias("_part"), F.col("words").alias(f"_words{i}"))
+            words = own if words is None else words.join(own, "_part")
+        rows = rows.withColumn("_part", self.part(key))
+        if self.parts * sum(self.levels[i][1] for i in chosen) // 8 <= BROADCAST_BYTES:
+            return rows.join(F.broadcast(words), "_part", "left")
+        # the parts are few: each is met in several places, and a row goes to one of them
+        salts = -(-4 * shuffle_parts(rows.sparkSession) // self.parts)
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+        words = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return rows.join(words, ["_part", "_salt"], "left")
+
     def passes(self, key: Column, level: int) -> Column:
-        words, bits, hashes = self.levels[level]
+        """Whether a key passes a level, for rows ``with_words``."""
+        table, bits, hashes = self.levels[level]
+        words = table.select("words").scalar() if self.parts == 1 else F.col(f"_words{level}")
         out = F.lit(True)
-        for at in self._positions(key, level, bits, hashes):
-            word = F.get(words.scalar(), F.shiftright(at, 6).cast("int"))
-            out = out & (F.getbit(word, (at % 64).cast("int")) == 1)
+        for at in self.positions(key, level, bits, hashes):
+            out = out & (F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1)
         return out
 
     def listed(self, key: Column) -> Column:
-        """Whether a key of the universe is listed."""
+        """Whether a key of the universe is listed, for rows ``with_words``."""
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
             out = F.when(self.passes(key, level), out).otherwise(F.lit(level % 2 == 1))
         return out
 
 
-def _words(keys: DataFrame, level: int, bits: int, hashes: int) -> DataFrame:
-    """One row with the level's bits as an array of longs."""
-    at = keys.select(F.explode(F.array(*Cascade._positions(F.col("key"), level, bits, hashes))).alias("at"))
-    ones = at.select(
-        F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits")
-    )
-    none = keys.sparkSession.range(-(-bits // 64)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-    full = ones.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    row = full.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all"))
-    return row.select(F.transform("all", lambda x: x["bits"]).alias("words"))
+def _words(keys: DataFrame, level: int, bits: int, hashes: int, parts: int) -> DataFrame:
+    """A row for each part with the level's bits of its keys (part, key) as an array of longs."""
+    at = keys.select("part", F.explode(F.array(*Cascade.positions(F.col("key"), level, bits, hashes))).alias("at"))
+    ones = at.select("part", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits"))
+    size = -(-bits // 64)
+    none = keys.sparkSession.range(size * parts).select(F.floor(F.col("id") / size).cast("int").alias("part"), (F.col("id") % size).alias("word"), F.lit(0).cast("long").alias("bits"))
+    full = ones.unionByName(none).groupBy("part", "word").agg(F.bit_or("bits").alias("bits"))
+    rows = full.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all"))
+    return rows.select("part", F.transform("all", lambda x: x["bits"]).alias("words"))
 
 
 def build_cascade(keys: DataFrame, first_rate: float = 1 / 64, rate: float = 1 / 16, max_bits: int = MAX_BITS) -> Cascade:
@@ -103,24 +126,23 @@ def build_cascade(keys: DataFrame, first_rate: float = 1 / 64, rate: float = 1 /
     """
     spark = keys.sparkSession
     folder = shared_dir(spark, "cascade")
-    keys = stored(
-        keys.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("is_listed").alias("is_listed")), f"{folder}/keys"
-    )
-    out, alive = Cascade(), keys
+    keys = stored(keys.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("is_listed").alias("is_listed")), f"{folder}/keys")
+    hashes = [max(1, round(-math.log2(r))) for r in (first_rate, rate)]
+    n = keys.where("is_listed").count()
+    out = Cascade(parts=max(1, math.ceil(n * hashes[0] / math.log(2) / max_bits)))
+    alive = keys.withColumn("part", out.part(F.col("key")))
     while True:
         level = len(out.levels)
-        own = level % 2 == 0  # this level encodes the listed keys
-        n = alive.where(F.col("is_listed") == own).count()
-        if not n:
+        own = F.col("is_listed") == (level % 2 == 0)  # whether this level encodes a key
+        most = alive.where(own).groupBy("part").count().agg(F.max("count")).first()[0] or 0
+        if not most:
             return out
-        hashes = max(1, round(-math.log2(rate if level else first_rate)))
-        bits = max(64, math.ceil(n * hashes / math.log(2)))
-        if bits > max_bits:
-            return Cascade(joined=keys.where("is_listed").select("key"))
-        words = stored(_words(alive.where(F.col("is_listed") == own), level, bits, hashes), f"{folder}/level{level}")
-        out.levels.append((words, bits, hashes))
+        k = hashes[min(level, 1)]
+        bits = max(64, math.ceil(most * k / math.log(2)))
+        out.levels.append((stored(_words(alive.where(own), level, bits, k, out.parts), f"{folder}/level{level}"), bits, k))
         # those that pass wrongly, and the keys that must be told from them
-        alive = alive.where((F.col("is_listed") == own) | out.passes(F.col("key"), level))
+        rest = out.with_words(alive, F.col("key"), [level]).where(own | out.passes(F.col("key"), level)).select("key", "is_listed", "part")
+        alive = rest if out.parts == 1 else stored(rest, f"{folder}/alive{level}")
 
 
 def judge_urls(pages: DataFrame, is_listed, rules=RULES, max_bits: int = MAX_BITS) -> DataFrame:
@@ -136,12 +158,8 @@ def judge_urls(pages: DataFrame, is_listed, rules=RULES, max_bits: int = MAX_BIT
     hosts = rows.where("host != ''").select(F.col("host").alias("key")).distinct()
     cascade = build_cascade(hosts.withColumn("is_listed", is_listed(F.col("key"))), max_bits=max_bits)
     rule, said = longest_rule(F.col("host"), F.col("path"), rules)
-    if cascade.joined is None:
-        listed = (F.col("host") != "") & cascade.listed(F.col("host"))
-    else:
-        rows = rows.join(cascade.joined.select(F.col("key").alias("host"), F.lit(True).alias("in_list")), "host", "left")
-        listed = F.coalesce(F.col("in_list"), F.lit(False))
-    return rows.select(
+    listed = (F.col("host") != "") & F.coalesce(cascade.listed(F.col("host")), F.lit(False))
+    return cascade.with_words(rows, F.col("host")).select(
         "page_id",
         "host",
         "path",

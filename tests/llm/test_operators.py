@@ -881,8 +881,10 @@ def test_op6_over_its_table(spark):
 # URLs
 
 
-@pytest.mark.parametrize("max_bits", [url_filters.MAX_BITS, 64])
-def test_urls(spark, max_bits):
+@pytest.mark.parametrize(("max_bits", "room"), [(url_filters.MAX_BITS, 2**26), (64, 2**26), (64, 0)])
+def test_urls(spark, monkeypatch, max_bits, room):
+    """In one cascade, and in several by a hash of the host: broadcast, and by a salted join."""
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", room)
     urls = [
         None, "", "no scheme", "http://A.ORG", "http://a.org/", "https://x.Example.org/es/1?q", "http://example.org/en/1#x", "http://example.org/en/2", "http://com/fr/", "http://a.com/de/x",
         "http://badexample.org/es/", "http://É.net/x", "ftp://net", "http://h.net?x://y", "http://h.net/a", "http://h.net/a", "://", "http://k.net#/fr/",
