@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.shared import shared_dir, stored
 
-__all__ = ["id_and_text", "shared_dir", "shuffle_parts", "small_batches", "stored", "table", "utf8"]
+__all__ = ["id_and_text", "parts_for", "shared_dir", "shuffle_parts", "small_batches", "stored", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def parts_for(rows: DataFrame, part_bytes: int) -> int:
+    """Partitions for the texts of ``rows``: as many as the session's, or more where the counted bytes ask for them."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_parts(rows.sparkSession), -(-size // part_bytes))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000):
     """Arrow batches of so many rows at most while texts are read, which bounds the memory of both sides."""

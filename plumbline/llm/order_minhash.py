@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, shuffle_parts, table
+from .common import id_and_text, parts_for, table
 
 K, LENGTH, SKETCHES = 2, 2, 64
 #: Words longer than this are cut into pieces of PIECE code points, for scripts without spaces.
 LONG, PIECE = 32, 8
 COLUMNS = 8192
 MEMO = 150_000
+#: Bytes of text that make up a range of documents, about, and ranges at most: their bounds are part of the plan.
+RANGE_BYTES, MAX_RANGES = 2**28, 10_000
 ROWS = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
@@ -152,9 +154,8 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     other text 0. Texts of any length are taken whole, other columns are not looked at, and an
     empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = id_and_text(docs)
-    n = max(1, min(parts or shuffle_parts(spark), 10_000))
+    n = max(1, min(parts or parts_for(rows, RANGE_BYTES), MAX_RANGES))
     fractions = [i / n for i in range(1, n)] or [0.5]
     stats = rows.agg(
         F.min("doc_id").alias("low"),

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, shared_dir, shuffle_parts, table
+from .common import id_and_text, parts_for, shared_dir, shuffle_parts, table
 from .tokenization import encoder
 
 LEVELS = 48
 MAGIC = b"TOKIDX1\n"
+#: Bytes of text that make up a shard, about.
+SHARD_BYTES = 2**28
 RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
 
 
@@ -144,14 +146,14 @@ def write_shards(
 ) -> dict:
     """Encode ``docs`` (``doc_id``, ``text``) and write shards below ``folder``; returns the manifest.
 
-    Rows go to shards by ranges of doc_id, nulls first; rows with the same doc_id are ordered by
+    Rows go to shards by ranges of doc_id, nulls first, as many as the session's partitions or as the
+    counted bytes ask for; rows with the same doc_id are ordered by
     a hash of their text, which also splits a doc_id that many rows share, and repeated rows, which
     may change places, are split by where they came from. Null text is empty: a
     record of the end id alone. An empty table gives a manifest without shards; texts of any
     length are written whole, and other columns are not looked at. ``specials``: whether strings
     of special tokens in a text give their ids, see ``tokenization``.
     """
-    spark = docs.sparkSession
     dtype = f"<u{id_bytes}"
 
     def run(batches):
@@ -174,16 +176,17 @@ def write_shards(
             nulls += ids.null_count
             keys.append(ids.drop_null().to_numpy(zero_copy_only=False))
             for lo in range(0, batch.num_rows, 500):
-                for raw in enc.encode(texts[lo : lo + 500].to_pylist()):
-                    if narrow:
-                        raw = np.frombuffer(raw, "<u4").astype(dtype).tobytes()
+                found = enc.encode(texts[lo : lo + 500].to_pylist())
+                if narrow:
+                    found = [np.frombuffer(raw, "<u4").astype(dtype).tobytes() for raw in found]
+                for raw in found:
                     out.write(raw + end)
-                    lengths.append(len(raw) // id_bytes + 1)
+                lengths.append(np.array([len(raw) // id_bytes + 1 for raw in found], np.int64))
         if out is None:
             return
         out.close()
-        keys = np.concatenate(keys)
-        starts = np.concatenate(([0], np.cumsum(np.array(lengths, dtype=np.int64))))
+        keys, lengths = np.concatenate(keys), np.concatenate(lengths)
+        starts = np.concatenate(([0], np.cumsum(lengths)))
         with fs.open_output_stream(f"{name}.idx.{attempt}") as f:
             ShardIndex.build(keys, nulls, starts).save(f)
         for end_name in ("bin", "idx"):
@@ -192,10 +195,11 @@ def write_shards(
         row = {"shard": part, "records": len(lengths), "nulls": nulls, "ids": int(starts[-1]), "low": low, "high": high}
         yield pa.RecordBatch.from_pylist([row], schema=pa.schema([(k, pa.int64()) for k in row]))
 
+    rows = id_and_text(docs)
     stats = (
-        id_and_text(docs)
+        rows
         .withColumns({"tie": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
-        .repartitionByRange(shards or shuffle_parts(spark), F.col("doc_id").asc_nulls_first(), "tie", "at")
+        .repartitionByRange(shards or parts_for(rows, SHARD_BYTES), F.col("doc_id").asc_nulls_first(), "tie", "at")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
         .select("doc_id", "text")
         .mapInArrow(run, "shard long, records long, nulls long, ids long, low long, high long")
@@ -286,7 +290,7 @@ def read_records(keys: DataFrame, manifest: dict) -> DataFrame:
         keys.select(keys[keys.columns[0]].cast("long").alias("key"))
         .mapInArrow(routed, "key long, shard long")
         .distinct()
-        .repartitionByRange(shuffle_parts(spark), "shard", "key")
+        .repartitionByRange(max(shuffle_parts(spark), len(shards)), "shard", "key")
         .sortWithinPartitions("shard", "key")
         .mapInArrow(fetched, RECORDS)
     )
