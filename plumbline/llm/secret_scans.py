@@ -115,7 +115,7 @@ def scan(docs: DataFrame, ledger: str) -> DataFrame:
     elif n_all - n_todo <= SMALL:
         new = texts.join(F.broadcast(paths.select(keys).join(todo, keys, "left_anti")), keys, "left_anti")
     else:
-        new = texts.join(todo.hint("shuffle_hash"), keys, "left_semi")
+        new = texts.join(todo.hint("merge"), keys, "left_semi")
     if n_todo:
         new.select("blob", "text").mapInArrow(_scan, ROW).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
     rows = read_ledger(spark, ledger).where(F.col("rule_version") == RULES_VERSION)
