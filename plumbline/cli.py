@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import answer, calibrate, evaluate, report, retrieve, usage
 from plumbline.policy import DEFAULT_K, SIMILARITY_FLOOR
 from plumbline.sources import corpus, environment, models
+from plumbline.sources.shared import scratch, shared_dir, stored
 
 PASS, GATE_FAILED, SETUP_ERROR = 0, 1, 2
 USAGE = """Usage: python -m plumbline [--calibrate]
@@ -27,7 +28,8 @@ USAGE = """Usage: python -m plumbline [--calibrate]
 
 PLUMBLINE_GENERATOR names the generator as module:function; or PLUMBLINE_GENERATION_URL, _KEY and
 _MODEL name a message service. PLUMBLINE_EMBEDDER names the embedder; or PLUMBLINE_EMBEDDING_URL,
-_KEY and _MODEL name a service (default: the offline lexical one). All may stand in .env, too."""
+_KEY and _MODEL name a service (default: the offline lexical one). PLUMBLINE_LEDGER names a folder,
+shared with all executors, that keeps vectors and replies from run to run. All may stand in .env, too."""
 
 
 @dataclass
@@ -58,11 +60,12 @@ def _load(name: str):
     return getattr(importlib.import_module(module), attribute)
 
 
-def _index(chunks: DataFrame, embedder: models.Embed) -> DataFrame:
-    return models.embed_with_usage(chunks, "text", embedder, "document").withColumn("chunk_id", F.col("chunkId"))
+def _index(chunks: DataFrame, embedder: models.Embed, ledger: str | None) -> DataFrame:
+    return models.embed_with_usage(chunks, "text", embedder, "document", ledger).withColumn("chunk_id", F.col("chunkId"))
 
 
 def main(o: Options) -> int:
+    """Runs as the arguments say. Tables of the run are removed in the end; a ledger that is named stays."""
     calibrating, wants_help, unknown = parse_args(o.argv)
     if wants_help:
         o.out(USAGE)
@@ -77,7 +80,14 @@ def main(o: Options) -> int:
         if problems:
             o.out("\n".join(problems))
             return SETUP_ERROR
+    spark = o.spark or SparkSession.builder.appName("plumbline").getOrCreate()
+    with scratch(spark):
+        return _run(o, spark, env, calibrating)
+
+
+def _run(o: Options, spark: SparkSession, env: Mapping[str, str], calibrating: bool) -> int:
     kept: list[DataFrame] = []
+    has = lambda name: bool(env.get(name, "").strip())
 
     def keep(df: DataFrame) -> DataFrame:
         """Kept until the run ends."""
@@ -88,17 +98,18 @@ def main(o: Options) -> int:
         service = (lambda: models.http_embedder(env)) if has("PLUMBLINE_EMBEDDING_URL") else (lambda: models.hash_embedder)
         embedder = o.embedder or (_load(env["PLUMBLINE_EMBEDDER"].strip()) if has("PLUMBLINE_EMBEDDER") else service())
         generator = None if calibrating else o.generator or (_load(env["PLUMBLINE_GENERATOR"].strip()) if has("PLUMBLINE_GENERATOR") else models.http_generator(env))
-        spark = o.spark or SparkSession.builder.appName("plumbline").getOrCreate()
         questions = keep(evaluate.load_question_set(spark, o.questions))
         chunks = corpus.load_corpus(spark, o.corpus or os.path.join(os.path.dirname(o.questions) or ".", "corpus")).drop("pos", "ord")
-        index = keep(_index(chunks, embedder))
+        kept_calls = env.get("PLUMBLINE_LEDGER", "").strip().rstrip("/")
+        vectors, replies = (f"{kept_calls}/{x}" if kept_calls else None for x in ("vectors", "replies"))
+        index = keep(_index(chunks, embedder, vectors))
         retrieve.check_dimension(index)
-        asked = keep(models.embed_with_usage(questions.withColumn("question_id", F.col("pos").cast("long")), "question", embedder, "query").withColumnRenamed("vector", "query"))
+        asked = keep(models.embed_with_usage(questions.withColumn("question_id", F.col("pos").cast("long")), "question", embedder, "query", vectors).withColumnRenamed("vector", "query"))
         folder = o.corpus or os.path.join(os.path.dirname(o.questions) or ".", "corpus")
-        run = {"generatedAt": o.now(), "embedder": _name(embedder), "generator": _name(generator), "corpusDir": folder, "chunkCount": index.count(), "k": o.k, "threshold": o.floor}
+        run = {"generatedAt": o.now(), "embedder": models.model_name(embedder), "generator": models.model_name(generator), "corpusDir": folder, "chunkCount": index.count(), "k": o.k, "threshold": o.floor}
         if calibrating:
             return _calibrate(o, asked, index, run, hasattr(embedder, "with_usage"))
-        results = keep(answer.answer_questions(asked.select("question_id", "question", "query"), index.drop("embedding_tokens", "embedding_ms"), generator, o.k, o.floor))
+        results = keep(answer.answer_questions(asked.select("question_id", "question", "query"), index, generator, o.k, o.floor, ledger=replies))
         scores = keep(evaluate.score(asked, results))
         categories = keep(evaluate.gate(scores))
         steps, told = None, None
@@ -121,18 +132,14 @@ def main(o: Options) -> int:
     return PASS if artifact["verdict"] == "PASS" else GATE_FAILED
 
 
-def _name(part) -> str | None:
-    """Of an embedder or generator: its model, or what it is called; never a key."""
-    return part and (getattr(part, "model", None) or getattr(part, "__name__", None) or type(part).__name__)
-
-
 def _calibrate(o: Options, asked: DataFrame, index: DataFrame, run: dict, metered: bool) -> int:
     truth = asked.select("question_id", "outcome", F.col("expectedChunkIds").alias("expected"))
-    samples = calibrate.label(retrieve.pair_scores(asked, index), truth).persist()
-    sides, apart = calibrate.distribution(samples).collect(), calibrate.separation(samples).first()
-    lists = [f(samples).collect() for f in (calibrate.boundary_lowest_correct, calibrate.boundary_highest_wrong)]
-    refused = calibrate.must_refuse_ceiling(samples).orderBy(F.desc("score"), "question_id", "chunk_id").collect()
-    samples.unpersist()
+    samples = calibrate.label(retrieve.pair_scores(asked, index), truth)  # never kept: a pair for each question and chunk
+    sides = calibrate.distribution(samples).collect()
+    few = stored(calibrate.decisive(samples), shared_dir(asked.sparkSession, "decisive"))
+    apart = calibrate.separation(few).first()
+    lists = [f(few).collect() for f in (calibrate.boundary_lowest_correct, calibrate.boundary_highest_wrong)]
+    refused = calibrate.must_refuse_ceiling(few).orderBy(F.desc("score"), "question_id", "chunk_id").collect()
     found = (sides, apart, *lists, refused, o.floor)
     o.out(report.calibration_report(*found))
     used = None

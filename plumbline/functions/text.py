@@ -20,6 +20,19 @@ def once(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
 
 
+def with_first_repeat(df: DataFrame, **places: str) -> DataFrame:
+    """``df`` with the place, from 0, of the first element of an array column that is equal to an earlier one, or null.
+
+    places: new column = name of the array. Values are sorted with their places and neighbours are
+    compared, so a long array costs no more than its sort. Nulls are no repeats.
+    """
+    for name, array in places.items():
+        df = once(df, _sorted=F.array_sort(F.transform(array, lambda k, i: F.struct(k.alias("k"), i.alias("i")))))
+        later = lambda p, j: F.when((j > 0) & (F.get("_sorted", j - 1)["k"] == p["k"]), p["i"])
+        df = once(df, **{name: F.array_min(F.transform("_sorted", later))}).drop("_sorted")
+    return df
+
+
 def slugify(c: Column) -> Column:
     """Lower case; runs of anything but a-z and 0-9 become one hyphen; none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), r"\A-+|-+\z", "")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import is_blank
+from plumbline.functions.text import is_blank, once, with_first_repeat
 from plumbline.operators.generation import kind_of, strict_json
 from plumbline.policy import GATE, HEADLINE_KINDS, OUTCOMES
+from plumbline.sources.shared import numbered
 
 QUESTION = "struct<id:string,question:string,outcome:string,expectedChunkIds:array<string>,contradictionDocIds:array<string>,rationale:string>"
 #: Fixed value: a chunk id inside a text.
@@ -36,13 +37,12 @@ def validate_question_sets(sets: DataFrame) -> DataFrame:
         return get(q, k, "variant").isNull() | ((kind(a) == "ARRAY") & F.coalesce(F.forall(get(q, k, "array<variant>"), lambda s: (kind(s) == "STRING") & ~is_blank(s.cast("string"))), F.lit(False)))
 
     def problem(q: Column, i: Column) -> Column:
-        ids = F.transform(F.slice("entries", 1, i), lambda o: get(o, "id"))
         expected, sides = (F.coalesce(get(q, k, "array<string>"), F.array().cast("array<string>")) for k in ("expectedChunkIds", "contradictionDocIds"))
         outcome = F.when(kind(get(q, "outcome", "variant")) == "STRING", get(q, "outcome"))
         return (
             F.when(kind(q) != "OBJECT", "malformed-question")
             .when(~text_ok(q, "id"), "malformed-question")
-            .when(F.array_contains(ids, get(q, "id")), "duplicate-id")
+            .when(i == F.col("again"), "duplicate-id")
             .when(~text_ok(q, "question") | ~text_ok(q, "rationale"), "malformed-question")
             .when(~F.coalesce(outcome.isin(*OUTCOMES), F.lit(False)), "unknown-outcome")
             .when(~strings_ok(q, "expectedChunkIds") | ~strings_ok(q, "contradictionDocIds"), "malformed-question")
@@ -55,7 +55,9 @@ def validate_question_sets(sets: DataFrame) -> DataFrame:
         lists = [F.coalesce(get(q, k, "array<string>"), F.array().cast("array<string>")).alias(k) for k in ("expectedChunkIds", "contradictionDocIds")]
         return F.struct(*[get(q, k).alias(k) for k in ("id", "question", "outcome")], *lists, get(q, "rationale").alias("rationale"))
 
-    rows = sets.withColumn("v", strict_json(F.coalesce("source", F.lit("")))).withColumn("entries", entries)
+    rows = once(sets, v=strict_json(F.coalesce("source", F.lit(""))))
+    rows = once(rows, entries=entries)
+    rows = with_first_repeat(once(rows, ids=F.transform("entries", lambda q: get(q, "id"))), again="ids")
     corpus = F.when(kind(get(v, "corpusDir", "variant")) == "STRING", get(v, "corpusDir"))
     first = F.get(F.filter(F.transform("entries", problem), lambda k: k.isNotNull()), F.lit(0))
     error = (
@@ -102,7 +104,11 @@ def failure_kind(outcome: Column, kind: Column, chunk_ids: Column, doc_ids: Colu
 
 
 def score(questions: DataFrame, results: DataFrame) -> DataFrame:
-    """pos, id, category, passed, failure, headline, note and what was observed, for each question.
+    """pos, id, category, passed, failure, headline, note, message and what was observed, for each question.
+
+    missing: what the question wants named and the result doesn't name: expected chunks, or the
+    documents of a contradiction. extra: what an answer cites beyond that, which is no failure.
+    note: the observed evidence in one line; message: the failure with it, null if it passed.
 
     questions: pos, question_id and the fields of QUESTION. results: of answer_questions.
     """
@@ -111,19 +117,20 @@ def score(questions: DataFrame, results: DataFrame) -> DataFrame:
     rows = rows.withColumns({"chunk_ids": chunk_ids}).withColumn("doc_ids", doc_ids)
     failure = failure_kind(*(F.col(c) for c in ("outcome", "kind", "chunk_ids", "doc_ids", "expectedChunkIds", "contradictionDocIds")))
     rows = rows.withColumn("failure", failure)
-    lack = lambda want, have: F.array_join(F.filter(want, lambda w: ~F.array_contains(F.col(have), w)), ", ")
+    rest = lambda a, b: F.filter(a, lambda x: ~F.array_contains(b, x))  # noqa: E731  (repeats stay)
+    none = F.array().cast("array<string>")
+    outcome, answered = F.col("outcome"), F.col("kind") == "answered"
+    wanted = F.when(outcome == "answered", F.col("expectedChunkIds")).when(outcome == "refused-contradiction", F.col("contradictionDocIds")).otherwise(none)
+    rows = rows.withColumn("wanted", F.coalesce(wanted, none)).withColumn("named", F.when(outcome == "refused-contradiction", F.col("doc_ids")).otherwise(F.col("chunk_ids")))
+    rows = rows.withColumns({"missing": rest(F.col("wanted"), F.col("named")), "extra": F.when(answered, rest(F.col("named"), F.col("wanted"))).otherwise(none)})
     n = F.coalesce(F.size("claims"), F.lit(0)).cast("string")
-    note = (
-        F.when(F.col("failure").isin(*HEADLINE_KINDS), F.concat(F.lit("answered with "), n, F.lit(" claim(s); had to refuse")))
-        .when(F.col("failure") == "missing-contradiction-source", F.concat(F.lit("refused ("), "reason", F.lit("), missing "), lack("contradictionDocIds", "doc_ids")))
-        .when(F.col("failure") == "over-refusal", F.concat(F.lit("refused ("), "reason", F.lit("); the corpus answers this")))
-        .when(F.col("failure") == "missing-citation", F.concat(F.lit("answered, missing "), lack("expectedChunkIds", "chunk_ids")))
-        .when(F.col("kind") == "refused", F.concat(F.lit("refused ("), "reason", F.lit(")")))
-        .otherwise("answered with all required citations")
-    )
+    part = lambda what, ids: F.when(F.size(ids) > 0, F.concat(F.lit(f"{what}: "), F.array_join(ids, ", ")))
+    # one line of evidence for every result, whatever the rule that it met
+    note = F.concat_ws("; ", F.concat_ws(": ", "kind", "reason"), F.when(answered, F.concat(F.lit("claims: "), n)), part("missing", "missing"), part("extra", "extra"))
+    message = F.when(F.col("failure").isNotNull(), F.concat("failure", F.lit(" in "), "id", F.lit(" (wanted: "), "outcome", F.lit("; got: "), note, F.lit(")")))
     return rows.select(
         "pos", "question_id", "id", F.col("outcome").alias("category"), F.col("failure").isNull().alias("passed"), "failure",
-        F.coalesce(F.col("failure").isin(*HEADLINE_KINDS), F.lit(False)).alias("headline"), note.alias("note"),
+        F.coalesce(F.col("failure").isin(*HEADLINE_KINDS), F.lit(False)).alias("headline"), note.alias("note"), message.alias("message"), "missing", "extra",
         "kind", "reason", n.cast("long").alias("n_claims"), F.coalesce(F.size("rejected"), F.lit(0)).cast("long").alias("n_rejected"), "chunk_ids", "doc_ids",
     )
 
@@ -147,8 +154,6 @@ def verdict(categories: DataFrame) -> DataFrame:
 
 
 def violations(scores: DataFrame) -> DataFrame:
-    """Failed questions with ``ord``: headline failures first, then in question order."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc("headline"), F.asc("pos"))
-    return scores.where(~F.col("passed")).withColumn("ord", F.row_number().over(order))
+    """Failed questions with ``ord`` from 1: headline failures first, then in question order."""
+    failed = scores.where(~F.col("passed"))
+    return numbered(failed, [F.desc("headline"), F.asc("pos")], "ord").withColumn("ord", F.col("ord") + 1)

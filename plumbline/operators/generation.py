@@ -24,31 +24,38 @@ SYSTEM_PROMPT = "\n".join(
 )
 
 
-def render_prompts(shown: DataFrame) -> DataFrame:
-    """question_id, system, user from shown chunks: question_id, question, rank, score and the chunk columns.
+def prompt_of(question: Column, shown: Column) -> Column:
+    """The user message for a question and its shown chunks: an array of structs in rank order, with score and the chunk columns.
 
-    The labels of the user message are fixed values: generators, and replies recorded for them,
-    read passages by these lines.
+    Its labels are fixed values: generators, and replies recorded for them, read passages by these
+    lines.
     """
-    line = F.struct(
-        "rank",
-        F.concat_ws(
+
+    def block(c: Column, i: Column) -> Column:
+        return F.concat_ws(
             "\n",
-            F.concat(F.lit("chunkId: "), "chunkId"),
-            F.concat(F.lit("document: "), "docTitle", F.lit(" ("), "docType", F.lit(", version "), "version", F.lit(", effective "), "effectiveDate", F.lit(")")),
-            F.concat(F.lit("section: "), "sectionHeading"),
-            F.concat(F.lit("similarity: "), fixed(F.col("score"), 4)),
+            F.concat(F.lit("--- chunk "), (i + 1).cast("string"), F.lit(" of "), F.size(shown).cast("string"), F.lit(" ---")),
+            F.concat(F.lit("chunkId: "), c["chunkId"]),
+            F.concat(F.lit("document: "), c["docTitle"], F.lit(" ("), c["docType"], F.lit(", version "), c["version"], F.lit(", effective "), c["effectiveDate"], F.lit(")")),
+            F.concat(F.lit("section: "), c["sectionHeading"]),
+            F.concat(F.lit("similarity: "), fixed(c["score"], 4)),
             F.lit("text:"),
-            F.col("text"),
-        ).alias("body"),
-    )
-    rows = shown.groupBy("question_id", "question").agg(F.array_sort(F.collect_list(line)).alias("all"))
-    block = lambda x, i: F.concat(F.lit("--- chunk "), (i + 1).cast("string"), F.lit(" of "), F.size("all").cast("string"), F.lit(" ---\n"), x["body"])
-    user = F.concat(
-        F.lit("Question: "), "question", F.lit("\n\nRetrieved chunks ("), F.size("all").cast("string"),
-        F.lit("). Cite by the exact chunkId shown.\n\n"), F.array_join(F.transform("all", block), "\n\n"),
-    )
-    return rows.select("question_id", F.lit(SYSTEM_PROMPT).alias("system"), user.alias("user"))
+            c["text"],
+        )
+
+    head = F.concat(F.lit("Question: "), question, F.lit("\n\nRetrieved chunks ("), F.size(shown).cast("string"), F.lit("). Cite by the exact chunkId shown.\n\n"))
+    return F.concat(head, F.array_join(F.transform(shown, block), "\n\n"))
+
+
+#: The columns of a shown chunk.
+SHOWN = ("rank", "score", "chunkId", "docId", "docTitle", "docType", "version", "effectiveDate", "sectionHeading", "text")
+
+
+def render_prompts(shown: DataFrame) -> DataFrame:
+    """question_id, system, user from shown chunks, a row each: question_id, question and SHOWN."""
+    listed = F.array_sort(F.collect_list(F.struct(*SHOWN)))
+    rows = shown.groupBy("question_id", "question").agg(listed.alias("all"))
+    return rows.select("question_id", F.lit(SYSTEM_PROMPT).alias("system"), prompt_of(F.col("question"), F.col("all")).alias("user"))
 
 
 #: The opening and closing line of a fenced block.
@@ -80,14 +87,15 @@ def kind_of(v: Column) -> Column:
 
 
 def parse_claims(responses: DataFrame) -> DataFrame:
-    """question_id, problem, claims (array of variants, unchecked) of (question_id, raw); null raw counts as empty."""
+    """``responses`` with problem and claims (array of variants, unchecked) in place of raw; null raw counts as empty."""
+    others = [c for c in responses.columns if c != "raw"]
     raw = F.coalesce("raw", F.lit(""))
     claims = F.when(
         (kind_of(F.col("parsed")) == "OBJECT") & (kind_of(F.try_variant_get("parsed", "$.claims", "variant")) == "ARRAY"),
         F.try_variant_get("parsed", "$.claims", "array<variant>"),
     )
     # unnested from arrays: a filter on the result, moved below, must not repeat the parse for each use
-    rows = responses.select("question_id", "raw", F.explode(F.array(strip_fence(raw))).alias("source"))
+    rows = responses.select(*others, "raw", F.explode(F.array(strip_fence(raw))).alias("source"))
     rows = rows.select("*", F.explode(F.array(strict_json(F.col("source")))).alias("parsed"))
     rows = rows.select("*", F.explode(F.array(claims)).alias("claims"))
     told = F.concat(F.lit("; raw response: "), snippet(raw, 200))
@@ -97,7 +105,7 @@ def parse_claims(responses: DataFrame) -> DataFrame:
         .when(kind_of(F.col("parsed")) != "OBJECT", F.concat(F.lit("the response is no object"), told))
         .when(F.col("claims").isNull(), F.concat(F.lit("the response has no list of claims"), told))
     )
-    return rows.select("question_id", problem.alias("problem"), "claims")
+    return rows.select(*others, problem.alias("problem"), "claims")
 
 
 def claim_rows(parsed: DataFrame) -> DataFrame:
@@ -106,13 +114,13 @@ def claim_rows(parsed: DataFrame) -> DataFrame:
     return typed_claims(rows)
 
 
-def typed_claims(rows: DataFrame) -> DataFrame:
-    """``claim`` (variant) replaced by well_formed, text, status, citations, quotes."""
-    get = lambda k, t: F.try_variant_get("claim", k, t)
+def typed_claim(claim: Column) -> Column:
+    """struct<well_formed, text, status, citations, quotes> of a claim (variant)."""
+    get = lambda k, t: F.try_variant_get(claim, k, t)
     is_string = lambda v: kind_of(v) == "STRING"
     citations, quotes = get("$.citations", "array<variant>"), get("$.supportingQuotes", "array<variant>")
     good = (
-        (kind_of(F.col("claim")) == "OBJECT")
+        (kind_of(claim) == "OBJECT")
         & is_string(get("$.text", "variant"))
         & is_string(get("$.status", "variant"))
         & get("$.status", "string").isin("stated", "inferred")
@@ -134,5 +142,10 @@ def typed_claims(rows: DataFrame) -> DataFrame:
     }
     right = F.struct(*[c.cast(t).alias(k) for k, (c, t) in fields.items()])
     wrong = F.struct(*[F.lit(None if k != "well_formed" else False).cast(t).alias(k) for k, (_, t) in fields.items()])
+    return F.when(good, right).otherwise(wrong)
+
+
+def typed_claims(rows: DataFrame) -> DataFrame:
+    """``claim`` (variant) replaced by well_formed, text, status, citations, quotes."""
     # unnested from an array, so that later uses of a field don't repeat the checks
-    return rows.select("question_id", "pos", F.inline(F.array(F.when(good, right).otherwise(wrong))))
+    return rows.select("question_id", "pos", F.inline(F.array(typed_claim(F.col("claim")))))

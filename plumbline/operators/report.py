@@ -1,7 +1,9 @@
 """Text reports and JSON artifacts of a run; the only place rows become Python values.
 
-Columns of a report are headed by the names of the artifact's fields, so that a figure that is
-read in one can be looked up in the other.
+Parts and columns of a report are headed by the names of the artifact's fields, so that a figure
+that is read in one can be looked up in the other. Every question's row comes to the driver, for a
+report as for an artifact: both are for sets of some 100,000 questions; of larger ones the table of
+scores is the result.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def usage_report(steps: list[dict], total: dict) -> str:
     cells = lambda r: [r["label"], *(str(r[k]) for k in ("embedding_tokens", "input_tokens", "output_tokens", "latency_ms")), usd(r["cost_usd"])]
     head = ["label", "embedding_tokens", "input_tokens", "output_tokens", "latency_ms", "cost_usd"]  # as in the artifact
     rows = _table(head, [*map(cells, steps), cells(total | {"label": "TOTAL"})], {0})
-    return "\n".join(["USAGE", "", *rows[:-1], rows[1], rows[-1], "", f"  prices as of {PRICES_AS_OF}"])
+    return "\n".join(["usage", "", *rows[:-1], rows[1], rows[-1], "", f"  prices as of {PRICES_AS_OF}"])
 
 
 def gate_report(scores: DataFrame, categories: DataFrame, usage: str | None = None) -> str:
@@ -54,30 +56,30 @@ def gate_report(scores: DataFrame, categories: DataFrame, usage: str | None = No
     heads = [r for r in failed if r["headline"]]
     out = []
     if heads:
-        out.append("\n".join([f"HEADLINE FAILURES: {len(heads)}", "", *(f"  {i}. [{r['failure']}] {r['id']}: {r['note']}" for i, r in enumerate(heads, 1))]))
+        out.append("\n".join([f"headlineViolations: {len(heads)}", "", *(f"  {i}. {r['message']}" for i, r in enumerate(heads, 1))]))
     lines = [[("PASS" if r["passed"] else "HEADLINE" if r["headline"] else "FAIL"), r["id"], GATE[r["category"]][0], r["note"]] for r in rows]
     out.append("\n".join(_table(["status", "question", "category", "note"], lines, {0, 1, 2, 3})))
-    out.append("\n".join(["GATE", "", *(f"  {g['label']:<26} {g['passed']}/{g['total']}  {g['rate']:.1%} of {g['threshold']:.1%} required: {'MET' if g['met'] else 'NOT MET'}" for g in gates)]))
+    out.append("\n".join(["categories", "", *(f"  {g['label']:<26} {g['passed']}/{g['total']}  {g['rate']:.1%} of {g['threshold']:.1%} required: {'MET' if g['met'] else 'NOT MET'}" for g in gates)]))
     if failed:
-        out.append("\n".join([f"VIOLATIONS: {len(failed)}", "", *(f"  {i}. {r['id']} [{r['failure']}] {r['note']}" for i, r in enumerate(failed, 1))]))
+        out.append("\n".join([f"violations: {len(failed)}", "", *(f"  {i}. {r['message']}" for i, r in enumerate(failed, 1))]))
     if usage:
         out.append(usage)
     passed = sum(r["passed"] for r in rows)
-    out.append(f"VERDICT: {'PASS' if all(g['met'] for g in gates) else 'FAIL'} ({passed}/{len(rows)} questions passed)")
+    out.append(f"verdict: {'PASS' if all(g['met'] for g in gates) else 'FAIL'} ({passed}/{len(rows)} questions passed)")
     return "\n\n".join(out)
 
 
 def calibration_report(sides: list, separation, lowest: list, highest: list, refused: list, floor: float) -> str:
     """sides: rows of ``distribution``; separation: its row; the others: rows of samples."""
     show = lambda x: "n/a" if x is None or x != x else f"{x:.4f}"
-    out = ["CALIBRATION OF THE FLOOR", ""]
+    out = ["calibration", ""]
     for r in sorted(sides, key=lambda r: not r["correct"]):
         stats = "  ".join(f"{k} {show(r[k])}" for k in ("min", "p05", "median", "p95", "max", "mean"))
         out.append(f"  {'correct' if r['correct'] else 'wrong':<8} n={r['n']:<6} {stats}")
     out += ["", f"  current floor {show(floor)} (unchanged by this report)"]
     out += [f"  {k.replace('_', ' ')}: {show(separation[k])}" for k in ("lowest_correct", "highest_wrong", "highest_must_refuse", "suggested_floor", "suggested_must_refuse_floor")]
     out += ["", f"  {describe(separation)}"]
-    for title, rows in (("LOWEST CORRECT", lowest), ("HIGHEST WRONG", highest), ("BEST OF EACH MUST-REFUSE QUESTION", refused)):
+    for title, rows in (("boundary.lowestCorrect", lowest), ("boundary.highestWrong", highest), ("mustRefuse.best", refused)):
         out += ["", f"  {title}", *(f"    {i:>2}. {r['score']:.4f}  {r['question_id']}  {r['chunk_id']}" for i, r in enumerate(rows, 1)), *([] if rows else ["    (none)"])]
     return "\n".join(out)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import is_blank, snippet
+from plumbline.functions.text import is_blank, once, snippet
 from plumbline.policy import REJECTION_KINDS
 
 #: What is said of each kind.
@@ -38,9 +38,15 @@ def _get_first(items: Column) -> Column:
     return F.get(items, F.lit(0))
 
 
-def shape_problem() -> Column:
-    """struct<kind, chunkId>: first problem of a claim by itself (columns well_formed, text, status, citations, quotes), or null."""
-    cites, quotes, status = F.col("citations"), F.col("quotes"), F.col("status")
+def _fields(claim: Column | None):
+    """The fields of a claim: of a struct, or the columns of their names."""
+    return (lambda k: F.col(k)) if claim is None else (lambda k: claim[k])
+
+
+def shape_problem(claim: Column | None = None) -> Column:
+    """struct<kind, chunkId>: first problem of a claim by itself (well_formed, text, status, citations, quotes), or null."""
+    field = _fields(claim)
+    cites, quotes, status = field("citations"), field("quotes"), field("status")
     repeated = _get_first(F.filter(cites, lambda c, i: F.array_contains(F.slice(cites, 1, i), c)))
 
     def bad(q: Column) -> Column:
@@ -52,8 +58,8 @@ def shape_problem() -> Column:
 
     first_bad = _get_first(F.filter(F.transform(quotes, bad), lambda r: r.isNotNull()))
     return (
-        F.when(~F.col("well_formed"), _problem("malformed-claim"))
-        .when(is_blank(F.col("text")), _problem("empty-claim-text"))
+        F.when(~field("well_formed"), _problem("malformed-claim"))
+        .when(is_blank(field("text")), _problem("empty-claim-text"))
         .when(F.size(cites) == 0, _problem("empty-citations"))
         .when(F.size(F.array_distinct(cites)) < F.size(cites), _problem("duplicate-citation", repeated))
         .when((status == "stated") & (F.size(cites) != 1), _problem("stated-claim-multiple-citations"))
@@ -62,10 +68,11 @@ def shape_problem() -> Column:
     )
 
 
-def content_problem(shown: str = "shown") -> Column:
+def content_problem(shown: Column, claim: Column | None = None) -> Column:
     """struct<kind, chunkId>: first problem of a well-shaped claim against ``shown`` (map of chunk id to text), or null."""
-    cites, quotes = F.col("citations"), F.col("quotes")
-    known = F.coalesce(F.col(shown), F.create_map().cast("map<string,string>"))
+    field = _fields(claim)
+    cites, quotes = field("citations"), field("quotes")
+    known = F.coalesce(shown, F.create_map().cast("map<string,string>"))
     absent = F.transform(F.filter(cites, lambda c: ~F.map_contains_key(known, c)), lambda c: _problem("chunk-not-retrieved", c))
     wrong = F.filter(quotes, lambda q: ~F.coalesce(F.contains(F.try_element_at(known, q["chunkId"]), q["quote"]), F.lit(False)))
     wrong = F.transform(wrong, lambda q: _problem("quote-not-in-chunk", q["chunkId"]))
@@ -74,13 +81,47 @@ def content_problem(shown: str = "shown") -> Column:
     return _get_first(F.concat(absent, wrong, bare))
 
 
-def _with_message(problem: Column) -> Column:
+def with_message(problem: Column, text: Column) -> Column:
+    """struct<kind, message, chunkId> of a problem of the claim with this text, or null."""
     said = F.element_at(F.create_map(*[F.lit(v) for kv in PHRASES.items() for v in kv]), problem["kind"])
-    name = F.coalesce(F.concat(F.lit("the claim "), snippet(F.col("text")), F.lit(" ")), F.lit("a claim "))
+    name = F.coalesce(F.concat(F.lit("the claim "), snippet(text), F.lit(" ")), F.lit("a claim "))
     chunk = F.coalesce(F.concat(F.lit(": "), problem["chunkId"]), F.lit(""))
     return F.when(problem.isNotNull(), F.struct(problem["kind"].alias("kind"), F.concat(name, said, chunk).alias("message"), problem["chunkId"].alias("chunkId")))
 
 
+def first_of_each(shown: Column) -> Column:
+    """Shown chunks (array of structs in rank order) without later ones of the same id."""
+    return F.filter(shown, lambda s, i: ~F.exists(F.slice(shown, 1, i), lambda o: o["chunkId"] == s["chunkId"]))
+
+
+def text_by_id(shown: Column) -> Column:
+    """map of chunk id to text of shown chunks with distinct ids."""
+    return F.map_from_entries(F.transform(shown, lambda s: F.struct(s["chunkId"], s["text"])))
+
+
+def verify_row(rows: DataFrame, claims: str, shown: str) -> DataFrame:
+    """``rows`` with a field ``reason`` in each claim of the array ``claims``, null where verified; nothing is joined or shuffled.
+
+    shown: the array of the chunks that were shown to the row's generator, in rank order and with
+    distinct ids. The checks' order is fixed, and a claim's first problem is its reason.
+    """
+    others = [c for c in rows.columns if c != claims]
+    rows = once(rows, known=text_by_id(F.col(shown)))
+
+    def problem(c: Column) -> Column:
+        shape = shape_problem(c)
+        return F.struct(c.alias("claim"), shape.alias("shape"), F.when(shape.isNull(), content_problem(F.col("known"), c)).alias("content"))
+
+    rows = once(rows, checked=F.transform(claims, problem))
+    fields = [f.name for f in rows.schema[claims].dataType.elementType]
+
+    def told(x: Column) -> Column:
+        c = x["claim"]
+        return F.struct(*[c[k].alias(k) for k in fields], with_message(F.coalesce(x["shape"], x["content"]), c["text"]).alias("reason"))
+
+    return once(rows.select(*others, "checked"), **{claims: F.transform("checked", told)}).drop("checked")
+
+
 def verify(claims: DataFrame, shown: DataFrame) -> DataFrame:
     """``claims`` with ``reason``, null where verified.
 
@@ -88,16 +129,15 @@ def verify(claims: DataFrame, shown: DataFrame) -> DataFrame:
     A question's shown chunks are few, so they are one map; of a repeated id the first counts.
     The checks' order is fixed, and a claim's first problem is its reason.
     """
-    first = F.filter(F.col("all"), lambda s, i: ~F.exists(F.slice("all", 1, i), lambda o: o["chunkId"] == s["chunkId"]))
     maps = (
         shown.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunkId", "text"))).alias("all"))
-        .select("question_id", F.map_from_entries(F.transform(first, lambda s: F.struct(s["chunkId"], s["text"]))).alias("shown"))
+        .select("question_id", text_by_id(first_of_each(F.col("all"))).alias("shown"))
     )
     return (
         claims.join(maps, "question_id", "left")
         .withColumn("problem", shape_problem())
-        .withColumn("problem", F.when(F.col("problem").isNotNull(), F.col("problem")).otherwise(content_problem()))
-        .withColumn("reason", _with_message(F.col("problem")))
+        .withColumn("problem", F.when(F.col("problem").isNotNull(), F.col("problem")).otherwise(content_problem(F.col("shown"))))
+        .withColumn("reason", with_message(F.col("problem"), F.col("text")))
         .drop("problem", "shown")
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as fn
 from plumbline.operators import answer, calibrate, contradict, evaluate, generation, report, retrieve, usage, verify
+from plumbline.operators import quotes as quotes_in
 from plumbline.policy import GATE, MIN_SUBJECT_OVERLAP, REJECTION_KINDS, SIMILARITY_FLOOR, STOPWORDS
 from plumbline.sources import corpus, models
 
@@ -243,9 +244,13 @@ def _not_own() -> Column:
     return F.col("question_id") != _long(F.regexp_extract("chunk_id", "^v([0-9]+)#", 1))
 
 
+#: A vector is no hit of the question that it is.
+_APART = ("question_id", "vec_id")
+
+
 def _hits(spark, d, k=6) -> DataFrame:
     """Top hits of each question; a question's own vector would be its best hit, so it is left out first."""
-    return retrieve.search(_questions(spark, d), _index(spark, d), k, _not_own())
+    return retrieve.search(_questions(spark, d), _index(spark, d), k, _APART)
 
 
 _SCORES = """
@@ -286,10 +291,8 @@ def cosine_topk(spark, d):
 
 @_query(f"WITH {_SCORES} SELECT question_id, chunk_id, rank FROM h")
 def cosine_topk_blocks(spark, d):
-    index = _index(spark, d)
-    found = retrieve.search_blocks(_questions(spark, d), index, 7)  # with the question's own vector
-    own = F.col("question_id") == _long(F.regexp_extract("chunk_id", "^v([0-9]+)#", 1))
-    return retrieve.top_k(found.drop("rank").where(~own), 6).select("question_id", "chunk_id", _long("rank").alias("rank"))
+    found = retrieve.search_blocks(_questions(spark, d), _index(spark, d), 6, 1000, _APART)
+    return found.select("question_id", "chunk_id", _long("rank").alias("rank"))
 
 
 @_query(f"WITH {_SCORES} SELECT question_id, chunk_id, rank, score >= {SIMILARITY_FLOOR} AS above FROM h")
@@ -413,7 +416,7 @@ def citations_not_retrieved(spark, d):
 @_query("SELECT item_id, count(doc_id) AS n, coalesce(min(doc_id), -1) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def quote_containment(spark, d):
     quotes = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    found = retrieve.containing(_table(spark, d, "documents").select("doc_id", "text"), quotes)
+    found = quotes_in.containing(_table(spark, d, "documents").select("doc_id", "text"), quotes)
     found = found.groupBy("item_id").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("first_doc"))
     return quotes.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first_doc", F.lit(-1)).alias("first_doc"))
 
@@ -511,8 +514,7 @@ def stand_in_generator(system: str, user: str) -> str:
 
 def _answers(spark, d, floor) -> DataFrame:
     # an own vector as the best hit would make every question answerable
-    index = _index(spark, d).drop("vec_id", "label")
-    return answer.answer_questions(_questions(spark, d).drop("label"), index, stand_in_generator, floor=floor, allowed=_not_own())
+    return answer.answer_questions(_questions(spark, d), _index(spark, d), stand_in_generator, floor=floor, apart=_APART)
 
 
 def _decision_sql(floor: float, select: str) -> str:
@@ -601,6 +603,25 @@ def score_questions(spark, d):
     return _scores(spark, d).select("id", "category", "passed", "failure", "headline")
 
 
+_CITED = "['d' || doc_id || '#a', 'd' || doc_id || '#b']"
+
+
+@_query(f"""
+WITH {_TRUTH},
+e AS (SELECT *, CASE WHEN category = 'answered' THEN list_distinct(['d' || doc_id || '#a', CASE WHEN doc_id % 5 = 0 THEN 'd' || doc_id || '#c' ELSE 'd' || doc_id || '#a' END])
+        WHEN category = 'refused-contradiction' THEN ['d' || doc_id, 'e' || doc_id] ELSE [] END AS wanted,
+      CASE WHEN category = 'refused-contradiction' THEN CASE WHEN refused AND doc_id % 2 = 1 THEN ['d' || doc_id, 'e' || doc_id] ELSE ['d' || doc_id] END
+        WHEN refused THEN CASE WHEN doc_id % 2 = 1 THEN ['d' || doc_id || '#a', 'e' || doc_id || '#b'] ELSE ['d' || doc_id || '#a'] END ELSE {_CITED} END AS named FROM (SELECT *, doc_id % 3 = 0 AS refused FROM v)),
+m AS (SELECT *, array_to_string(list_sort(list_filter(wanted, lambda x: NOT list_contains(named, x))), ', ') AS missing,
+      CASE WHEN refused THEN '' ELSE array_to_string(list_sort(list_filter(named, lambda x: NOT list_contains(wanted, x))), ', ') END AS extra FROM e)
+SELECT 'q' || doc_id AS id, missing, extra, CASE WHEN failure IS NOT NULL THEN failure || ' in q' || doc_id || ' (wanted: ' || category || '; got: ' ||
+  CASE WHEN refused THEN 'refused: no-claims-produced' ELSE 'answered; claims: 1' END || CASE WHEN missing <> '' THEN '; missing: ' || missing ELSE '' END
+  || CASE WHEN extra <> '' THEN '; extra: ' || extra ELSE '' END || ')' END AS message FROM m
+""")
+def score_evidence(spark, d):
+    return _scores(spark, d).select("id", F.array_join("missing", ", ").alias("missing"), F.array_join("extra", ", ").alias("extra"), "message")
+
+
 @_query(f"WITH {_TRUTH} SELECT row_number() OVER (ORDER BY headline DESC, doc_id) AS ord, 'q' || doc_id AS id, failure FROM v WHERE failure IS NOT NULL")
 def violations_ordered(spark, d):
     return evaluate.violations(_scores(spark, d)).select(_long("ord").alias("ord"), "id", "failure")
@@ -666,24 +687,24 @@ def score_distribution(spark, d):
 SELECT a AS lowest_correct, b AS highest_wrong, r AS highest_must_refuse, a > b AS separable, a > r AS must_refuse_separable,
        round(CASE WHEN a > b THEN (a + b) / 2 END, 6) AS suggested_floor, round(CASE WHEN a > r THEN (a + r) / 2 END, 6) AS suggested_must_refuse_floor FROM x""")
 def separation(spark, d):
-    row = calibrate.separation(_samples(spark, d))
+    row = calibrate.separation(calibrate.decisive(_samples(spark, d)))
     return row.withColumns({k: F.round(k, 6) for k in ("suggested_floor", "suggested_must_refuse_floor")})
 
 
 @_query(_SAMPLES + "SELECT question_id, chunk_id, score FROM c WHERE correct ORDER BY score, question_id, chunk_id LIMIT 3")
 def boundary_lowest_correct(spark, d):
-    return calibrate.boundary_lowest_correct(_samples(spark, d)).select("question_id", "chunk_id", "score")
+    return calibrate.boundary_lowest_correct(calibrate.decisive(_samples(spark, d))).select("question_id", "chunk_id", "score")
 
 
 @_query(_SAMPLES + "SELECT question_id, chunk_id, score FROM c WHERE NOT correct ORDER BY score DESC, question_id, chunk_id LIMIT 5")
 def boundary_highest_wrong(spark, d):
-    return calibrate.boundary_highest_wrong(_samples(spark, d)).select("question_id", "chunk_id", "score")
+    return calibrate.boundary_highest_wrong(calibrate.decisive(_samples(spark, d))).select("question_id", "chunk_id", "score")
 
 
 @_query(_SAMPLES + """SELECT question_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS n
 FROM c WHERE outcome = 'refused-no-documents') WHERE n = 1""")
 def must_refuse_ceiling(spark, d):
-    return calibrate.must_refuse_ceiling(_samples(spark, d)).select("question_id", "chunk_id", "score")
+    return calibrate.must_refuse_ceiling(calibrate.decisive(_samples(spark, d))).select("question_id", "chunk_id", "score")
 
 
 # Usage
@@ -749,3 +770,109 @@ def question_set_validate(spark, d):
     source = F.when(n == 0, F.concat(body, F.lit("}"))).when(n == 1, F.concat(F.lit("["), body, F.lit("]"))).when(n == 4, F.lit('{"corpusDir": "docs"}')).otherwise(body)
     rows = evaluate.validate_question_sets(_table(spark, d, "documents").select(_long("doc_id").alias("set_id"), source.alias("source")))
     return rows.select("set_id", "error", F.coalesce(_long(F.size("questions")), F.lit(0)).alias("n"))
+
+# Precedence: several defects at a time. The SQL lists those that are there with their ranks and takes the least.
+
+
+def _ranked(defects: list[tuple[str, str]]) -> str:
+    """SQL: the kind of the first of (kind, condition) whose condition holds."""
+    listed = ", ".join(f"CASE WHEN {when} THEN {{'rank': {i}, 'kind': '{kind}'}} END" for i, (kind, when) in enumerate(defects))
+    return f"list_min(list_filter([{listed}], lambda x: x IS NOT NULL)).kind"
+
+
+_CLAIM_DEFECTS = _ranked([
+    ("malformed-claim", "m = 0"), ("empty-claim-text", "b = 0"), ("empty-citations", "c = 1"), ("duplicate-citation", "c = 2"), ("stated-claim-multiple-citations", "c = 3"),
+    ("inferred-claim-single-citation", "c = 4"), ("empty-quote", "q IN (1, 6)"), ("quote-for-uncited-chunk", "q IN (2, 7)"), ("chunk-not-retrieved", "c = 5"), ("quote-not-in-chunk", "q = 3"),
+    ("citation-without-quote", "q = 4 OR c = 6"),
+])
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, doc_id % 4 AS m, doc_id // 4 % 4 AS b, doc_id // 16 % 7 AS c, doc_id // 112 % 8 AS q FROM documents),
+k AS (SELECT *, {_CLAIM_DEFECTS} AS kind FROM d)
+SELECT doc_id, kind FROM k
+""")
+def verify_precedence(spark, d):
+    docs = _table(spark, d, "documents").select(_long("doc_id").alias("doc_id"))
+    m, b, c, q = (F.floor(F.col("doc_id") / n) % k for n, k in ((1, 4), (4, 4), (16, 7), (112, 8)))
+    end, all_, other = (F.concat(F.lit("d"), _text("doc_id"), F.lit(f"#{s}")) for s in ("end", "all", "none"))
+    cited = F.when(c == 5, other).otherwise(end)
+    cites = (
+        F.when(c == 1, F.array().cast("array<string>")).when(c == 2, F.array(end, end)).when(c.isin(3, 6), F.array(end, all_)).otherwise(F.array(cited))
+    )
+    quote = lambda i, t: F.struct(i.alias("chunkId"), F.lit(t).alias("quote"))
+    foreign = F.concat(F.lit("x"), other)
+    # 6 and 7: two bad quotes, of which the first in order counts; an uncited and blank one is blank
+    quotes = (
+        F.when(q == 1, F.array(quote(cited, " "))).when(q == 2, F.array(quote(foreign, "End"))).when(q == 3, F.array(quote(cited, "end~~")))
+        .when(q == 4, F.array().cast("array<struct<chunkId:string,quote:string>>")).when(q == 6, F.array(quote(foreign, "\t"), quote(foreign, "x")))
+        .when(q == 7, F.array(quote(foreign, "End"), quote(cited, ""))).otherwise(F.array(quote(cited, "End")))
+    )
+    claim = F.struct(
+        F.when(b == 0, "\n ").otherwise("claim").alias("text"), F.when(m == 0, "guess").when(c.isin(2, 4, 6), "inferred").otherwise("stated").alias("status"),
+        cites.alias("citations"), quotes.alias("supportingQuotes"),
+    )
+    raw = docs.select(F.col("doc_id").alias("question_id"), F.to_json(F.struct(F.array(claim).alias("claims"))).alias("raw"))
+    chunk = lambda rank, i: F.struct(F.lit(rank).alias("rank"), i.alias("chunkId"), F.concat(F.lit("End of "), _text("doc_id")).alias("text"))
+    shown = docs.select(F.col("doc_id").alias("question_id"), F.inline(F.array(chunk(1, end), chunk(2, all_))))
+    found = verify.verify(generation.claim_rows(generation.parse_claims(raw)), shown)
+    return found.select(F.col("question_id").alias("doc_id"), F.col("reason.kind").alias("kind"))
+
+
+_DOCUMENT_DEFECTS = _ranked([
+    ("missing-frontmatter", "f = 1"), ("unterminated-frontmatter", "f = 2"), ("malformed-frontmatter-line", "f IN (3, 9)"), ("unknown-key", "f IN (4, 7)"), ("duplicate-key", "f IN (5, 8)"),
+    ("missing-key", "f = 6"), ("id-filename-mismatch", "i = 1"), ("preamble-text", "p = 1"), ("no-sections", "s = 1"), ("empty-slug", "s IN (2, 5)"), ("empty-section", "s = 3"), ("slug-collision", "s = 4"),
+])
+
+
+@_query(f"""
+WITH d AS (SELECT DISTINCT conv_id, conv_id % 10 AS f, conv_id // 10 % 2 AS p, conv_id // 20 % 6 AS s, conv_id // 120 % 2 AS i FROM conversations)
+SELECT 'conv-' || conv_id AS name, {_DOCUMENT_DEFECTS} AS error FROM d
+""")
+def chunk_error_precedence(spark, d):
+    docs = _conversation_documents(spark, d)
+    f, p, s, i = (F.floor(F.col("conv_id") / n) % k for n, k in ((1, 10), (10, 2), (20, 6), (120, 2)))
+    version = lambda to: F.regexp_replace("head", "version: 1.0\n", to)
+    head = (
+        F.when(f == 1, F.concat(F.lit("\n"), version("version 1.0\n"))).when(f == 2, F.regexp_replace(version("bad: line\n"), "---\n$", "")).when(f == 3, version("version:  \nversion: 1\n"))
+        .when(f == 4, version("author: x\nno key\n")).when(f == 5, version("title: again\nauthor: x\n")).when(f == 6, version("")).when(f == 7, version("author: x\ntitle: again\n"))
+        .when(f == 8, version("version: 1\nversion: 2\n= 3\n")).when(f == 9, version("= 3\n")).otherwise(F.col("head"))
+    )
+    head = F.when(i == 1, F.regexp_replace(head, "id: conv", "id: other")).otherwise(head)
+    body = F.when(s == 1, F.lit("")).otherwise(F.col("body"))
+    more = (
+        F.when(s == 2, "\n## ++\n\nx\n## Late\n\n").when(s == 3, "\n## Late\n\n## ++\n\nx\n").when(s == 4, "\n## Again\n\nx\n## again!\n\n")
+        .when(s == 5, "\n## ++\n\n## ++\n\n").otherwise("")
+    )
+    source = F.concat(head, F.when(p == 1, "before\n").otherwise(""), body, more)
+    return corpus.parse(docs.select("name", source.alias("source"))).select(F.regexp_replace("name", r"\.md$", "").alias("name"), "error")
+
+
+_SET_DEFECTS = _ranked([
+    ("not-json", "a = 4"), ("missing-corpus-dir", "a IN (1, 3)"), ("missing-questions-array", "a = 2"), ("malformed-question", "e IN (2, 6)"), ("unknown-outcome", "e IN (1, 5)"),
+    ("malformed-chunk-id", "e = 3"), ("missing-expected-chunk-ids", "e = 4"), ("duplicate-id", "g IN (2, 3)"), ("missing-contradiction-doc-ids", "g = 1"),
+])
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, doc_id % 5 AS a, doc_id // 5 % 7 AS e, doc_id // 35 % 4 AS g FROM documents)
+SELECT doc_id AS set_id, {_SET_DEFECTS} AS error FROM d
+""")
+def question_set_precedence(spark, d):
+    a, e, g = (F.floor(F.col("doc_id") / n) % k for n, k in ((1, 5), (5, 7), (35, 4)))
+    entry = lambda i, question, outcome, expected, sides: F.concat(
+        F.lit('{"id": "'), i, F.lit('", "question": '), question, F.lit(', "rationale": "Because.", "outcome": "'), outcome,
+        F.lit('", "expectedChunkIds": '), expected, F.lit(', "contradictionDocIds": '), sides, F.lit("}"),
+    )
+    first = entry(
+        F.when(e == 6, " ").otherwise("q"), F.when(e == 2, "5").otherwise('"What?"'), F.when(e.isin(1, 2, 5, 6), "maybe").otherwise("answered"),
+        F.when(e.isin(3, 5), '["nohash"]').when(e == 4, "[]").otherwise('["a#b"]'), F.lit('["a"]'),
+    )
+    second = entry(
+        F.when(g.isin(2, 3), "q").otherwise("other"), F.when(g == 2, "5").otherwise('"Why?"'), F.when(g == 3, "maybe").otherwise("refused-contradiction"),
+        F.lit("[]"), F.when(g == 1, '["a"]').when(g == 2, '["a", 5]').otherwise('["a", "b"]'),
+    )
+    listed = F.when(a.isin(2, 3), "").otherwise(F.concat(first, F.lit(", "), second))
+    source = F.concat(F.lit('{"corpusDir": '), F.when(a.isin(1, 3), '" "').otherwise('"docs"'), F.lit(', "questions": ['), listed, F.lit("]}"), F.when(a == 4, "}").otherwise(""))
+    rows = evaluate.validate_question_sets(_table(spark, d, "documents").select(_long("doc_id").alias("set_id"), source.alias("source")))
+    return rows.select("set_id", "error")

@@ -6,12 +6,15 @@ nothing is shuffled until sections become rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import is_blank, once, slugify, trim, trim_end
+from plumbline.functions.text import is_blank, once, slugify, trim, trim_end, with_first_repeat
 from plumbline.policy import FRONTMATTER_KEYS
-from plumbline.sources.shared import shared_dir, stored
+from plumbline.sources.ledger import file_system
+from plumbline.sources.shared import numbered, qualified, shared_dir, stored
 
 CHUNK = ("chunkId", "docId", "docTitle", "docType", "effectiveDate", "version", "sectionHeading", "text")
 
@@ -24,39 +27,92 @@ class ChunkError(ValueError):
         self.kind, self.file = kind, file
 
 
+#: Schemes that executors open by themselves, and files that a task reads, about.
+_OPENED, FILES_PER_TASK = ("file", "hdfs", "s3", "gs"), 2_000
+_FILE = "name string, source string"
+
+
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
+    """name and is_file of every entry of a folder, hidden ones included, listed by one task and written to the shared folder."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for _ in batches:
+            system, path = file_system(folder)
+            found = system.get_file_info(fs.FileSelector(path))
+            for lo in range(0, len(found), 10_000):
+                part = found[lo : lo + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([f.base_name for f in part], pa.string()), pa.array([f.is_file for f in part], pa.bool_())], names=["name", "is_file"])
+
+    listed = spark.range(0, 1, 1, 1).mapInArrow(run, "name string, is_file boolean")
+    return stored(listed, shared_dir(spark, "entries"))
+
+
+def _sources(names: DataFrame, folder: str, n: int) -> DataFrame:
+    """name and source of files of a folder, each read where it is needed."""
+
+    def run(batches):
+        system, path = file_system(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with system.open_input_stream(f"{path}/{name}") as f:
+                    text = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([text], pa.string())], names=["name", "source"])
+
+    return names.repartition(max(1, -(-n // FILES_PER_TASK)), "name").mapInArrow(run, _FILE)
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """name and source of every regular .md file directly in ``folder``; others raise, an empty folder gives no rows."""
+    """name and source of every regular .md file directly in ``folder``; others raise, an empty folder gives no rows.
+
+    Executors list and read; the driver gets counts and the first bad name. A folder whose scheme
+    only Spark's readers know is read by these, whose listing is the driver's.
+    """
+    whole = qualified(spark, folder)
+    if whole.split(":", 1)[0] not in _OPENED:
+        return _read_by_spark(spark, folder)
+    entries = _entries(spark, whole)
+    bad = F.when(~F.col("is_file") | ~F.col("name").endswith(".md"), F.col("name"))
+    n, first = entries.agg(F.count("*"), F.min(bad)).first()
+    if first is not None:
+        raise ChunkError("non-markdown-entry", first)
+    return _sources(entries.select("name"), whole, n)
+
+
+def _read_by_spark(spark: SparkSession, folder: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     listing = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    names = sorted(s.getPath().getName() for s in listing)
-    bad = sorted(s.getPath().getName() for s in listing if not s.isFile() or not s.getPath().getName().endswith(".md"))
+    names = {s.getPath().getName(): s.isFile() for s in listing}
+    # Spark's readers pass over hidden names, so these can't be read here
+    bad = sorted(n for n, is_file in names.items() if not is_file or not n.endswith(".md") or n[0] in "_.")
     if bad:
         raise ChunkError("non-markdown-entry", bad[0])
     if not names:
-        return spark.createDataFrame([], "name string, source string")
-    plain = [str(s.getPath()) for s in listing if s.getPath().getName()[0] not in "_."]
-    schema = "name string, source string"
-    rows = spark.createDataFrame([], schema)
-    if plain:
-        texts = spark.read.text(plain, wholetext=True)
-        name = F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1))
-        rows = texts.select(name.alias("name"), F.col("value").alias("source"))
-    # Spark's readers pass over these even when they are named
-    hidden = [s.getPath() for s in listing if s.getPath().getName()[0] in "_."]
-    fs, io = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.commons.io.IOUtils
-    found = [(p.getName(), io.toString(fs.open(p), "UTF-8")) for p in hidden]
-    return rows.unionByName(spark.createDataFrame(found, schema)) if found else rows
+        return spark.createDataFrame([], _FILE)
+    name = F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1))
+    return spark.read.text([str(s.getPath()) for s in listing], wholetext=True).select(name.alias("name"), F.col("value").alias("source"))
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
-    """pos, start and text of every line of ``source``, one row each, carriage returns kept; start in characters."""
-    each = docs.select("name", F.posexplode(F.split("source", "\n", -1)).alias("pos", "line"))
-    from pyspark.sql import Window
+    """pos, start and text of every line of ``source``, one row each, carriage returns kept; start in characters.
 
-    before = Window.partitionBy("name").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
-    return each.select("name", F.col("pos").cast("long").alias("pos"), start.cast("long").alias("start"), "line")
+    A document's lines are made where it is read, nothing is shuffled; a null source has none.
+    """
+    schema = "name string, pos long, start long, line string"
+
+    def run(batches):
+        for batch in batches:
+            for name, source in zip(batch.column(0), batch.column(1), strict=True):
+                if not source.is_valid:
+                    continue
+                lines = source.as_py().split("\n")
+                starts = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])])
+                cols = [pa.repeat(name, len(lines)), pa.array(np.arange(len(lines))), pa.array(starts, pa.int64()), pa.array(lines, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["name", "pos", "start", "line"])
+
+    return docs.select("name", "source").mapInArrow(run, schema)
 
 
 def _first(kinds: Column) -> Column:
@@ -75,12 +131,12 @@ def parse(docs: DataFrame) -> DataFrame:
     docs = once(docs, block=F.slice("lines", 2, F.greatest(F.col("close") - 1, F.lit(0)).cast("int")))
     pattern = r"\A([A-Za-z][A-Za-z0-9_-]*):[ \t]*(\S.*)\z"
     key = lambda x: F.regexp_extract(x, pattern, 1)
-    docs = once(docs, keys=F.transform("block", key))
+    docs = with_first_repeat(once(docs, keys=F.transform("block", key)), again="keys")
     problem = F.transform(
         "block",
         lambda x, i: F.when(~x.rlike(pattern), "malformed-frontmatter-line")
         .when(~key(x).isin(*FRONTMATTER_KEYS), "unknown-key")
-        .when(F.array_contains(F.slice("keys", 1, i), key(x)), "duplicate-key"),
+        .when(i == F.col("again"), "duplicate-key"),
     )
     front_error = (
         F.when(F.get("lines", F.lit(0)) != "---", "missing-frontmatter")
@@ -106,11 +162,11 @@ def parse(docs: DataFrame) -> DataFrame:
     docs = once(docs, cut=cut)
     section = F.transform("cut", lambda s: F.struct(s["heading"].alias("heading"), slugify(s["heading"]).alias("slug"), s["text"].alias("text")))
     docs = once(docs, sections=section)
-    docs = once(docs, slugs=F.transform("sections", lambda s: s["slug"]))
+    docs = with_first_repeat(once(docs, slugs=F.transform("sections", lambda s: s["slug"])), collides="slugs")
     per_section = F.transform(
         "sections",
         lambda s, i: F.when(s["slug"] == "", "empty-slug")
-        .when(F.array_position("slugs", s["slug"]) <= i, "slug-collision")
+        .when(i == F.col("collides"), "slug-collision")
         .when(s["text"] == "", "empty-section"),
     )
     error = (
@@ -141,21 +197,8 @@ def sections(parsed: DataFrame) -> DataFrame:
 
 
 def in_document_order(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with ``ord``, from 0, in the order of file names and of sections in a file.
-
-    Rows are dealt into ranges of that order, numbered inside them and written to the shared
-    folder, so that the ranges stay what they are; only a count for each range comes to the driver.
-    """
-    order = [F.concat("docId", F.lit(".md")), F.col("pos")]
-    ranged = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    ranged = stored(ranged, shared_dir(chunks.sparkSession, "sections"))
-    counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
-    starts = F.create_map(*[F.lit(x).cast("long") for kv in (before or {0: 0}).items() for x in kv])
-    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))  # the number inside the partition
-    return ranged.withColumn("ord", F.element_at(starts, F.col("_part").cast("long")) + at).drop("_part", "_at")
+    """``chunks`` with ``ord``, from 0, in the order of file names and of sections in a file."""
+    return numbered(chunks, [F.concat("docId", F.lit(".md")), F.col("pos")], "ord")
 
 
 def _checked(parsed: DataFrame) -> DataFrame:

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Mapping
 
 
 def parse_dotenv(source: str) -> dict[str, str]:
-    """KEY=value lines; full-line comments; optional ``export``; one layer of matching quotes goes."""
+    """KEY=value lines, any name before the first ``=``; full-line comments; optional ``export``; one layer of matching quotes goes.
+
+    Lines end at line feeds, perhaps with a carriage return, and at nothing else.
+    """
     out = {}
-    for line in source.splitlines():
-        m = re.match(r"\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=(.*)$", line)
-        if not m or line.lstrip().startswith("#"):
+    for line in map(str.strip, source.split("\n")):
+        if line.startswith("#"):
+            continue
+        name, found, value = line.removeprefix("export ").partition("=")
+        name, value = name.strip(), value.strip()
+        if not found or not name:
             continue
-        value = m[2].strip()
         if len(value) >= 2 and value[0] == value[-1] and value[0] in "\"'":
             value = value[1:-1]
-        out[m[1]] = value
+        out[name] = value
     return out
 
 

@@ -1,8 +1,9 @@
 """The two seams where Python is needed: embedding and generation, as callables of the user.
 
 An embedder maps (list of texts, kind) to vectors of one length, in order; a generator maps
-(system prompt, user prompt) to a text. Both run inside ``mapInPandas``, batch by batch. The
-result of a generator must be stored before it is used twice, so that it is asked once.
+(system prompt, user prompt) to a text. Executors call them and append the replies to a ledger
+(``sources.ledger``), so one text is embedded once and one prompt asked once, also by a task that
+runs again, and a run that is given the ledger of another asks only for what that lacks.
 ``http_embedder`` and ``http_generator`` are such callables over HTTP, from settings.
 """
 
@@ -17,13 +18,14 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.policy import HASH_DIMENSIONS
 from plumbline.sources.environment import resolve_keys
+from plumbline.sources.ledger import ask_once, read
+from plumbline.sources.shared import shared_dir
 
 Embed = Callable[[list[str], str], Sequence[Sequence[float]]]
 Generate = Callable[[str, str], str]
@@ -41,14 +43,14 @@ class EmbeddingError(RuntimeError):
 
 
 class GenerationError(RuntimeError):
-    """kind: transport, model-refusal, truncated or empty-response."""
+    """kind: transport, model-refusal, truncated or empty-response. usage: what a reply used that is then refused."""
 
-    def __init__(self, kind: str, message: str, status: int | None = None):
+    def __init__(self, kind: str, message: str, status: int | None = None, usage: dict | None = None):
         super().__init__(message)
-        self.kind, self.status = kind, status
+        self.kind, self.status, self.usage = kind, status, usage or {}
 
     def __reduce__(self):
-        return type(self), (self.kind, str(self), self.status)
+        return type(self), (self.kind, str(self), self.status, self.usage)
 
 
 class TransportError(RuntimeError):
@@ -101,13 +103,18 @@ def read_embedding_response(body: object, n: int) -> tuple[list[list[float]], in
         i, vector = (entry.get("index"), entry.get("embedding")) if isinstance(entry, dict) else (None, None)
         if not isinstance(i, int) or isinstance(i, bool) or not 0 <= i < n or out[i] is not None:
             raise EmbeddingError("malformed-response", "an index is missing, repeated or out of range")
-        good = isinstance(vector, list) and vector and all(isinstance(x, int | float) and not isinstance(x, bool) and np.isfinite(x) for x in vector)
+        good = isinstance(vector, list) and all(isinstance(x, int | float) and not isinstance(x, bool) and np.isfinite(x) for x in vector)
         if not good:
             raise EmbeddingError("malformed-response", f"embedding {i} is not a list of finite numbers")
         out[i] = [float(x) for x in vector]
     usage = body.get("usage")
     tokens = usage.get("total_tokens") if isinstance(usage, dict) else None
-    return out, tokens if isinstance(tokens, int) and not isinstance(tokens, bool) else 0
+    return out, _count(tokens)
+
+
+def _count(v: object) -> int:
+    """A number of tokens from a reply: 5 and 5.0 are 5; anything else counts as 0."""
+    return int(v) if isinstance(v, int | float) and not isinstance(v, bool) and np.isfinite(v) else 0
 
 
 @dataclass
@@ -150,8 +157,7 @@ class MessageService:
             raise GenerationError("transport", "the reply has no content")
         blocks = [b["text"] for b in reply["content"] if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str)]
         usage = reply.get("usage") if isinstance(reply.get("usage"), dict) else {}
-        count = lambda v: v if isinstance(v, int) and not isinstance(v, bool) else 0
-        return reply.get("stop_reason") or "", blocks, {k: count(usage.get(k)) for k in ("input_tokens", "output_tokens")}
+        return reply.get("stop_reason") or "", blocks, {k: _count(usage.get(k)) for k in ("input_tokens", "output_tokens")}
 
 
 @dataclass
@@ -161,6 +167,7 @@ class MessageGenerator:
     send: Callable[[dict], tuple[str, list[str], dict]]
     model: str
     max_tokens: int = 16_000
+    together: int = 8  # calls of one task at a time
 
     def __call__(self, system: str, user: str) -> str:
         return self.with_usage(system, user)[0]
@@ -174,10 +181,10 @@ class MessageGenerator:
             raise GenerationError("transport", f"the request failed with status {status or 'unknown'}", status) from None
         row = {"input": usage.get("input_tokens", 0), "output": usage.get("output_tokens", 0), "ms": round((time.monotonic() - began) * 1000)}
         if stop in ("refusal", "max_tokens"):
-            raise GenerationError("model-refusal" if stop == "refusal" else "truncated", f"generation stopped: {stop}")
+            raise GenerationError("model-refusal" if stop == "refusal" else "truncated", f"generation stopped: {stop}", usage=row)
         text = "".join(blocks)
         if not text.strip():
-            raise GenerationError("empty-response", "the model returned no text")
+            raise GenerationError("empty-response", "the model returned no text", usage=row)
         return text, row
 
 
@@ -202,61 +209,125 @@ def http_generator(env: Mapping[str, str]) -> MessageGenerator:
     return MessageGenerator(MessageService(post), model)
 
 
-def embed(rows: DataFrame, text: str, embedder: Embed, kind: str) -> DataFrame:
-    """``rows`` with ``vector`` (array of doubles) from an embedder; batches are the calls."""
-    import pyspark.sql.types as T
+def model_name(part) -> str | None:
+    """Of an embedder or generator: its model, or what it is called; never a key."""
+    return part and (getattr(part, "model", None) or getattr(part, "__name__", None) or type(part).__name__)
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
-    def run(batches):
-        for pdf in batches:
-            texts = pdf[text].tolist()
-            vectors = embedder(texts, kind) if texts else []
+#: Texts and characters of one embedding call at most, and prompts whose replies are appended together.
+TEXTS_PER_CALL, CHARACTERS_PER_CALL, PROMPTS_PER_APPEND = 128, 200_000, 16
+_VECTORS = pa.schema([("vector", pa.list_(pa.float64())), ("tokens", pa.int64()), ("ms", pa.int64())])
+_REPLIES = pa.schema([("raw", pa.string()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64()), ("ms", pa.int64())])
+
+
+def _failure(e: Exception) -> dict:
+    """An error as a row; an unknown one is only named, since its message may hold a key."""
+    known = isinstance(e, EmbeddingError | GenerationError)
+    return {"problem": e.kind if known else "error", "message": str(e) if known else f"the call failed: {type(e).__name__}"}
+
+
+def _with_replies(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """``keyed`` (with _key) with _reply, a struct of the reply's columns."""
+    return keyed.join(found.select(F.col("key").alias("_key"), F.struct("*").alias("_reply")), "_key")
+
+
+def _used(column: str) -> Column:
+    """What a call used, on one row of its key and only if this run made it."""
+    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))) == 1
+    return F.when(one & F.col("_reply.new"), F.col(f"_reply.{column}")).otherwise(0)
+
+
+def embed_with_usage(rows: DataFrame, text: str, embedder: Embed, kind: str, ledger: str | None = None, texts_per_call: int = TEXTS_PER_CALL, characters_per_call: int = CHARACTERS_PER_CALL) -> DataFrame:
+    """``rows`` with ``vector`` (array of doubles), and the tokens and ms of each call of this run on one of its rows, 0 on the others.
+
+    Each distinct text (null as empty) is sent once, for a model and kind of it, in calls of at
+    most so many texts and characters; one longer text is a call of its own. ledger: the folder of
+    vectors to read and add to (default: a fresh one in the shared folder). An embedder without
+    ``with_usage`` counts as using nothing; one that is ``free`` has no ledger and runs where the rows are.
+    """
+    if getattr(embedder, "free", False):
+        zero = F.lit(0).cast("long")
+        return _embed_in_place(rows, text, embedder, kind).withColumns({"embedding_tokens": zero, "embedding_ms": zero})
+
+    def call(requests: list[dict]) -> list[dict]:
+        texts = [r["text"] for r in requests]
+        try:
+            told = getattr(embedder, "with_usage", None)
+            vectors, used = told(texts, kind) if told else (embedder(texts, kind), {})
             if len(vectors) != len(texts):
                 raise EmbeddingError("vector-count-mismatch", f"expected {len(texts)} embeddings, got {len(vectors)}")
-            yield pdf.assign(vector=[list(map(float, v)) for v in vectors])
+            out = [{"vector": list(map(float, v)), "tokens": 0, "ms": 0} for v in vectors]
+            out[0] |= {k: used.get(k, 0) for k in ("tokens", "ms")}
+            return out
+        except Exception as e:
+            return [_failure(e) for _ in texts]
 
-    return rows.mapInPandas(run, schema)
+    said = F.coalesce(F.col(text), F.lit(""))
+    keyed = rows.withColumn("_key", F.sha2(F.concat_ws("\n", F.lit(model_name(embedder)), F.lit(kind), said), 256))
+    folder = ledger or shared_dir(rows.sparkSession, "vectors")
+    found = ask_once(keyed.select(F.col("_key").alias("key"), said.alias("text")), folder, _VECTORS, call, texts_per_call, characters_per_call, "text")
+    joined = _with_replies(keyed, found)
+    return joined.select(*rows.columns, "_reply.vector", _used("tokens").alias("embedding_tokens"), _used("ms").alias("embedding_ms"))
 
 
-def embed_with_usage(rows: DataFrame, text: str, embedder: Embed, kind: str) -> DataFrame:
-    """``embed`` with the tokens and ms of each call on its first row, 0 on the others.
+def embed(rows: DataFrame, text: str, embedder: Embed, kind: str, ledger: str | None = None, **limits) -> DataFrame:
+    """``rows`` with ``vector``, see ``embed_with_usage``."""
+    return embed_with_usage(rows, text, embedder, kind, ledger, **limits).drop("embedding_tokens", "embedding_ms")
 
-    An embedder without ``with_usage`` counts as using nothing.
-    """
+
+def _embed_in_place(rows: DataFrame, text: str, embedder: Embed, kind: str) -> DataFrame:
     import pyspark.sql.types as T
 
-    more = [T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("embedding_tokens", T.LongType()), T.StructField("embedding_ms", T.LongType())]
-    schema = T.StructType([*rows.schema.fields, *more])
+    schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for pdf in batches:
-            texts = pdf[text].tolist()
-            told = getattr(embedder, "with_usage", None)
-            vectors, row = told(texts, kind) if told else (embedder(texts, kind) if texts else [], {})
-            if len(vectors) != len(texts):
-                raise EmbeddingError("vector-count-mismatch", f"expected {len(texts)} embeddings, got {len(vectors)}")
-            first = [1] + [0] * (len(texts) - 1) if texts else []
-            used = {f"embedding_{k}": [row.get(k, 0) * f for f in first] for k in ("tokens", "ms")}
-            yield pdf.assign(vector=[list(map(float, v)) for v in vectors], **used)
+            texts = [t or "" for t in pdf[text].tolist()]
+            yield pdf.assign(vector=[list(map(float, v)) for v in (embedder(texts, kind) if texts else [])])
 
     return rows.mapInPandas(run, schema)
 
 
-def generate(prompts: DataFrame, generator: Generate) -> DataFrame:
-    """question_id, raw and what was used for each prompt (question_id, system, user); store it before use.
+def generate(prompts: DataFrame, generator: Generate, ledger: str | None = None) -> DataFrame:
+    """question_id, raw, input_tokens, output_tokens and generation_ms of each prompt (question_id, system, user).
 
-    A generator without ``with_usage`` counts as using nothing.
+    Each distinct prompt is asked once for a model, several at a time if the generator has
+    ``together``. ledger: the folder of replies to read and add to (default: a fresh one in the
+    shared folder). A reply that is refused, cut or empty fails the run, and its row in the ledger
+    has what it used (``generation_usage``); so does any other failure. What an earlier run used
+    counts as 0 here, as does a generator without ``with_usage``.
     """
+    together = getattr(generator, "together", 1)
 
-    def run(batches):
-        for pdf in batches:
+    def one(request: dict) -> dict:
+        try:
             told = getattr(generator, "with_usage", None)
-            found = [told(s, u) if told else (generator(s, u), {}) for s, u in zip(pdf["system"], pdf["user"], strict=True)]
-            used = {f"{to}": [row.get(k, 0) for _, row in found] for k, to in (("input", "input_tokens"), ("output", "output_tokens"), ("ms", "generation_ms"))}
-            yield pd.DataFrame({"question_id": pdf["question_id"], "raw": [raw for raw, _ in found], **used})
+            raw, used = told(request["system"], request["user"]) if told else (generator(request["system"], request["user"]), {})
+            row = {"raw": raw}
+        except Exception as e:
+            row, used = _failure(e), getattr(e, "usage", {})
+        return row | {"input_tokens": used.get("input", 0), "output_tokens": used.get("output", 0), "ms": used.get("ms", 0)}
+
+    def call(requests: list[dict]) -> list[dict]:
+        if together < 2 or len(requests) < 2:
+            return [one(r) for r in requests]
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(together) as pool:
+            return list(pool.map(one, requests))
 
-    return prompts.mapInPandas(run, "question_id long, raw string, input_tokens long, output_tokens long, generation_ms long")
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("system", "user")]
+    keyed = prompts.withColumn("_key", F.sha2(F.concat_ws("\n", F.lit(model_name(generator)), F.sha2(parts[0], 256), parts[1]), 256))
+    folder = ledger or shared_dir(prompts.sparkSession, "replies")
+    found = ask_once(keyed.select(F.col("_key").alias("key"), "system", "user"), folder, _REPLIES, call, PROMPTS_PER_APPEND)
+    used = [_used(c).alias(to) for c, to in (("input_tokens", "input_tokens"), ("output_tokens", "output_tokens"), ("ms", "generation_ms"))]
+    return _with_replies(keyed.select("question_id", "_key"), found).select("question_id", "_reply.raw", *used)
+
+
+def generation_usage(spark: SparkSession, ledger: str) -> DataFrame:
+    """problem, calls, input_tokens, output_tokens and ms of all calls in a ledger of replies; problem is null for good ones."""
+    sums = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "ms")]
+    return read(spark, ledger, _REPLIES).groupBy("problem").agg(F.count("*").alias("calls"), *sums)
 
 
 def fnv1a_of(raw: bytes) -> int:
@@ -273,13 +344,18 @@ _ONE, _TWO = np.uint64(fnv1a_of(b"1:")), np.uint64(fnv1a_of(b"2:"))
 
 
 def _hash_on(state: np.ndarray, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """FNV-1a states after the bytes of a token each, all tokens' k-th bytes at once."""
+    """FNV-1a states after the bytes of a token each, all tokens' k-th bytes at once; the last few long tokens one by one."""
     state, live = state.copy(), np.flatnonzero(length > 0)
     k = 0
-    while len(live):
+    while len(live) > 32:
         state[live] = ((state[live] ^ raw[start[live] + k]) * _PRIME) & _MASK
         k += 1
         live = live[length[live] > k]
+    for i in live.tolist():
+        h = int(state[i])
+        for c in raw[start[i] + k : start[i] + length[i]].tolist():
+            h = ((h ^ c) * 16777619) & 0xFFFFFFFF
+        state[i] = h
     return state
 
 
@@ -334,3 +410,6 @@ def hash_vector(text: str) -> list[float]:
 
 def hash_embedder(texts: list[str], kind: str) -> list[list[float]]:
     return [hash_vector(t) for t in texts]
+
+
+hash_embedder.free = True

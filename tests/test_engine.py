@@ -3,19 +3,25 @@
 import contextlib
 import http.server
 import json
+import math
+import os
 import re
+import subprocess
+import sys
 import threading
 import time
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline import cli, replay
 from plumbline.functions import text as fn
-from plumbline.operators import answer, contradict, evaluate, generation, report, retrieve, usage, verify
+from plumbline.operators import answer, calibrate, contradict, evaluate, generation, report, retrieve, usage, verify
+from plumbline.operators import quotes as quotes_in
 from plumbline.plans import catalogue
-from plumbline.sources import corpus, environment, models, shared
+from plumbline.sources import corpus, environment, ledger, models, shared
 
 DOC = "---\nid: {0}\ntitle: {1}\ndocType: policy\neffectiveDate: 2024-01-01\nversion: 1.0\n---\n"
 CORPUS = {
@@ -51,6 +57,18 @@ def test_scan(spark, folder, tmp_path, name):
     assert e.value.kind == ("non-markdown-entry" if name.endswith("txt") else "missing-frontmatter")
 
 
+def test_a_scan_is_made_by_executors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "FILES_PER_TASK", 4)
+    for i in range(11):
+        (tmp_path / f"{'_.'[i] if i < 2 else ''}d {i}%.md").write_bytes(f"\ufeff{i}\r\nü".encode() + b"\xff")
+    rows = corpus.read_files(spark, str(tmp_path))
+    assert {r["name"]: r["source"] for r in rows.collect()} == {f"{'_.'[i] if i < 2 else ''}d {i}%.md": f"\ufeff{i}\r\nü\ufffd" for i in range(11)}
+    assert rows.rdd.getNumPartitions() == 3 and "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "sub.md").mkdir()
+    with pytest.raises(corpus.ChunkError, match="sub.md: non-markdown-entry"):
+        corpus.read_files(spark, str(tmp_path))
+
+
 def test_one_document(spark, folder):
     assert [r["chunkId"] for r in corpus.load_document(spark, f"{folder}/wire-care.md").collect()] == ["wire-care#cleaning"]
 
@@ -105,6 +123,14 @@ def plain_hash_vector(text):
     return out
 
 
+def test_a_very_long_token_is_hashed_in_no_time():
+    began = time.monotonic()
+    text = "x" * 1_000_000 + " y"
+    at, bucket, weight = models.hash_weights([text.encode(), b"a b"])
+    assert {(i, b): w for i, b, w in zip(at.tolist(), bucket.tolist(), weight.tolist(), strict=True)} == {(n, b): w for n, t in enumerate([text, "a b"]) for b, w in plain_hash_vector(t).items()}
+    assert time.monotonic() - began < 3
+
+
 def test_hash_embedding_against_a_plain_one(spark):
     texts = ["Zone c, zone C! and more", "", None, "a", "İK é漢x9", "word " * 3000, "Zone c, zone C! and more", "x" * 5000 + " y"]
     rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").selectExpr("*", "1 AS bucket", "2 AS text")
@@ -205,6 +231,18 @@ def test_shared_folder(spark, named, master, want):
             shared.shared_dir(session, "x")
 
 
+def test_scratch_folders_are_removed(spark):
+    rows = spark.range(3)
+    with shared.scratch(spark) as outer:
+        shared.stored(rows, shared.shared_dir(spark, "a"))
+        with shared.scratch(spark) as inner:
+            kept = shared.stored(rows, shared.shared_dir(spark, "b"))
+            assert kept.count() == 3 and len(inner) == 1
+        gone, there = (f.removeprefix("file:") for f in (inner[0], outer[0]))
+        assert not os.path.exists(gone) and os.path.exists(there)
+    assert not os.path.exists(there)
+
+
 def test_document_order(spark, folder):
     rows = corpus.load_corpus(spark, folder).orderBy("ord").collect()
     assert [(r["ord"], r["chunkId"]) for r in rows] == list(
@@ -215,6 +253,7 @@ def test_document_order(spark, folder):
 def test_embedding_response():
     good = {"data": [{"index": 1, "embedding": [2]}, {"index": 0, "embedding": [1.5]}], "usage": {"total_tokens": 7}}
     assert models.read_embedding_response(good, 2) == ([[1.5], [2.0]], 7)
+    assert models.read_embedding_response({"data": [{"index": 0, "embedding": []}], "usage": {"total_tokens": 5.0}}, 1) == ([[]], 5)
     for bad in ([], [{"index": 0, "embedding": [1]}] * 2, [{"index": 0, "embedding": [float("nan")]}, {"index": 1, "embedding": [1]}]):
         with pytest.raises(models.EmbeddingError):
             models.read_embedding_response({"data": bad}, 2)
@@ -267,6 +306,18 @@ def test_verification(spark):
     assert verdicts(spark, [c for c, _ in cases], shown) == [want for _, want in cases]
 
 
+def test_rows_with_their_claims_are_verified_like_claims_in_rows(spark):
+    shown = [(1, "a#b", "some words here"), (2, "c#d", "other"), (3, "a#b", "a later text of the same id")]
+    claims = [claim(), claim(text=" "), claim(citations=("n#n",), quotes=()), claim(quotes=(("a#b", "later"),)), claim(quotes=(("z#z", "q"), ("", "q"))), claim(text=None), claim(quotes=())]
+    raw = spark.createDataFrame([(1, json.dumps({"claims": claims})), (2, json.dumps({"claims": []}))], "question_id long, raw string")
+    flat = spark.createDataFrame([(1, *s) for s in shown], "question_id long, rank int, chunkId string, text string")
+    want = [r["reason"] for r in verify.verify(generation.claim_rows(generation.parse_claims(raw)), flat).orderBy("pos").collect()]
+    rows = generation.parse_claims(raw).withColumn("claims", F.transform("claims", generation.typed_claim))
+    rows = rows.withColumn("shown", F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(c).alias("chunkId"), F.lit(t).alias("text")) for r, c, t in shown]))
+    got = {r["question_id"]: r["claims"] for r in verify.verify_row(rows.withColumn("shown", verify.first_of_each(F.col("shown"))), "claims", "shown").collect()}
+    assert [c["reason"] for c in got[1]] == want and [w and w["kind"] for w in want].count(None) == 1 and got[2] == []
+
+
 @pytest.mark.parametrize(
     ("raw", "ok"),
     [
@@ -299,6 +350,31 @@ def test_contradictions(spark):
         assert contradiction(spark, *known_limit) is None
 
 
+def test_first_pair_against_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for key in range(60):
+        for pos in range(rng.integers(1, 7)):
+            for at in range(rng.integers(1, 3)):
+                rows.append((key, pos, at, f"d{rng.integers(3)}", str(rng.integers(3)), [["days"], ["days", "weeks"], ["euros"]][rng.integers(3)], [["lamp", "return"], ["lamp", "return", "window"], ["wire"]][rng.integers(3)]))
+    schema = "key long, pos int, at int, docId string, magnitude string, units array<string>, words array<string>"
+    got = {r["key"]: (r["a"]["pos"], r["b"]["pos"], r["a"]["at"], r["b"]["at"], r["unit"]) for r in contradict.first_pairs(spark.createDataFrame(rows, schema), "key").collect()}
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and a[3] != b[3] and a[4] != b[4] and len(set(a[6]) & set(b[6])) >= 2 and (both := [u for u in a[5] if u in b[5]]):
+                want[a[0]] = min(want.get(a[0], (99,)), (a[1], b[1], a[2], b[2], both[0]))
+    assert got == want and len(want) > 20
+
+
+def test_contradictions_are_found_with_one_shuffle(spark, tmp_path):
+    rows = [(1, 1, 1, 1, 5.0, 1.0), (1, 1, 2, 2, 7.0, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalogue.contradiction_first(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and found.count() == 1
+
+
 def grounded(system, user):
     import re
 
@@ -325,13 +401,143 @@ def test_answers(spark, folder):
     assert {"lamp-returns#return-window", "store-handbook#return-window"} <= set(__import__("re").findall(evaluate.CHUNK_ID, got[1]["detail"]))
 
 
+class Counted:
+    """A generator and an embedder that write down every call in a file."""
+
+    model = "counted"
+
+    def __init__(self, path, wrong=None):
+        self.path, self.wrong = str(path), wrong
+
+    def told(self, what):
+        with open(self.path, "a") as f:
+            f.write(json.dumps(what) + "\n")
+
+    def calls(self):
+        if not os.path.exists(self.path):
+            return []
+        with open(self.path) as f:
+            return [json.loads(x) for x in f]
+
+    def with_usage(self, a, b):
+        self.told(a if isinstance(a, list) else b)
+        if isinstance(a, list):
+            return [[float(len(t)), 1.0] for t in a], {"tokens": 10 * len(a), "ms": 2}
+        if self.wrong and self.wrong in b:
+            raise models.GenerationError("model-refusal", "generation stopped: refusal", usage={"input": 7, "output": 1, "ms": 3})
+        return f"reply to {b}", {"input": 5, "output": 2, "ms": 1}
+
+
+def prompts(spark, texts):
+    return spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "question_id long, system string, user string")
+
+
+def test_prompts_are_asked_once(spark, tmp_path):
+    service, folder = Counted(tmp_path / "calls"), f"file://{tmp_path}/ledger"
+    first = models.generate(prompts(spark, ["a", "b", "a", ""]), service, folder)
+    got = {r["question_id"]: r for r in first.collect()}
+    first.count()
+    assert sorted(service.calls()) == ["", "a", "b"] and got[2]["raw"] == "reply to a" and len(got) == 4
+    assert sum(r["input_tokens"] for r in got.values()) == 15  # a prompt that stands twice was paid once
+    again = models.generate(prompts(spark, ["b", "c"]), service, folder).collect()
+    assert sorted(service.calls()) == ["", "a", "b", "c"] and sum(r["input_tokens"] for r in again) == 5
+    assert {r["raw"] for r in again} == {"reply to b", "reply to c"}
+    assert models.generate(prompts(spark, []), service, folder).collect() == []
+    other = Counted(tmp_path / "other")
+    other.model = "another model"
+    assert models.generate(prompts(spark, ["a"]), other, folder).count() == 1 and other.calls() == ["a"]
+
+
+def test_a_refused_reply_stands_with_what_it_used(spark, tmp_path):
+    service, folder = Counted(tmp_path / "calls", wrong="bad"), f"file://{tmp_path}/ledger"
+    for _ in range(2):
+        with pytest.raises(ledger.CallFailed, match="refusal") as e:
+            models.generate(prompts(spark, ["good", "bad"]), service, folder)
+        assert e.value.kind == "model-refusal"
+    assert sorted(service.calls()) == ["bad", "good"]
+    used = {r["problem"]: (r["calls"], r["input_tokens"], r["output_tokens"]) for r in models.generation_usage(spark, folder).collect()}
+    assert used == {None: (1, 5, 2), "model-refusal": (1, 7, 1)}
+
+
+def test_usage_of_a_reply_that_is_then_refused():
+    for stop, blocks in (("refusal", ["x"]), ("max_tokens", ["x"]), ("end", [" "])):
+        with pytest.raises(models.GenerationError) as e:
+            models.MessageGenerator(lambda request, r=(stop, blocks): (*r, {"input_tokens": 3, "output_tokens": 4}), "m")("s", "u")
+        assert (e.value.usage["input"], e.value.usage["output"]) == (3, 4)
+
+
+def test_a_broken_connection_is_asked_again(spark, tmp_path):
+    folder, down = f"file://{tmp_path}/ledger", tmp_path / "down"
+    down.write_text("")
+
+    def service(system, user):
+        if os.path.exists(down):
+            raise models.GenerationError("transport", "the request failed with status 503", 503)
+        return "fine"
+
+    with pytest.raises(ledger.CallFailed, match="503"):
+        models.generate(prompts(spark, ["a"]), service, folder)
+    down.unlink()
+    assert models.generate(prompts(spark, ["a"]), service, folder).first()["raw"] == "fine"
+
+
+def test_texts_are_embedded_once_in_calls_of_bounded_size(spark, tmp_path):
+    service, folder = Counted(tmp_path / "calls"), f"file://{tmp_path}/ledger"
+    texts = [f"text {i % 40}" for i in range(60)] + ["long " * 50, None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").selectExpr("*", "1 AS tokens")
+    run = lambda: models.embed_with_usage(rows, "t", service, "document", folder, texts_per_call=8, characters_per_call=100)
+    got = run().collect()
+    assert {r["id"]: r["vector"] for r in got} == {i: [float(len(t or "")), 1.0] for i, t in enumerate(texts)}
+    calls = service.calls()
+    assert sorted(t for c in calls for t in c) == sorted({t or "" for t in texts})
+    assert max(map(len, calls)) <= 8 and all(sum(map(len, c)) <= 100 or len(c) == 1 for c in calls)
+    assert sum(r["embedding_tokens"] for r in got) == 420 and sum(r["embedding_ms"] > 0 for r in got) == len(calls)
+    assert sum(r["embedding_tokens"] for r in run().collect()) == 0 and service.calls() == calls  # the second run sends no text
+    models.embed(rows.limit(1), "t", service, "query", folder).count()
+    assert service.calls()[len(calls) :] == [["text 0"]]  # another kind of vector
+
+
+KILLED = """
+import os, sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from plumbline.sources import models
+spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+models.PROMPTS_PER_APPEND = 1
+
+def service(system, user):
+    with open({calls!r}, "a") as f:
+        f.write(user + "\\n")
+    with open({calls!r}) as f:
+        n = sum(1 for _ in f)
+    if user == "p7" and not os.path.exists({mark!r}):
+        open({mark!r}, "w").close()
+        os._exit(1)  # the worker dies in the middle of its task
+    return "reply " + user
+
+rows = spark.createDataFrame([(i, "s", f"p{{i}}") for i in range(12)], "question_id long, system string, user string")
+got = models.generate(rows, service, {ledger!r})
+assert {{r["raw"] for r in got.collect()}} == {{f"reply p{{i}}" for i in range(12)}}
+"""
+
+
+def test_a_killed_task_asks_only_what_it_has_no_reply_to(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = KILLED.format(repo=repo, calls=str(tmp_path / "calls"), mark=str(tmp_path / "mark"), ledger=f"file://{tmp_path}/ledger")
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": repo})
+    assert done.returncode == 0, done.stderr[-2000:]
+    asked = (tmp_path / "calls").read_text().split()
+    # the call during which it died got no reply, so it is the one that is made again
+    assert os.path.exists(tmp_path / "mark") and sorted(asked) == sorted([*(f"p{i}" for i in range(12)), "p7"])
+
+
 def test_nothing_above_the_floor_asks_no_generator(spark, folder):
     got = ask(spark, folder, ["quantum zebra"], tripwire)
     assert got[0]["reason"] == "no-relevant-documents" and len(got[0]["near_misses"]) == 5
 
 
 def test_a_failing_generator_is_no_refusal(spark, folder):
-    with pytest.raises(Exception, match="must not be asked"):
+    with pytest.raises(ledger.CallFailed, match="the call failed: AssertionError"):
         ask(spark, folder, ["Clean copper wire with vinegar"], tripwire)
 
 
@@ -389,9 +595,22 @@ def test_quotes_are_found_wherever_they_stand(spark, monkeypatch):
     q = spark.createDataFrame(list(enumerate(quotes)), "item_id long, quote string")
     want = sorted((i, k) for i, t in docs for k, x in enumerate(quotes) if i is not None and t is not None and x is not None and x in t)
     assert len(want) > 20
-    for bound in (retrieve.BROADCAST_ANCHORS, 0):
-        monkeypatch.setattr(retrieve, "BROADCAST_ANCHORS", bound)
-        assert sorted(tuple(r) for r in retrieve.containing(d, q).collect()) == want
+    for size in (quotes_in.BLOCK_QUOTES, 4):  # in one block, and in several
+        monkeypatch.setattr(quotes_in, "BLOCK_QUOTES", size)
+        assert sorted(tuple(r) for r in quotes_in.containing(d, q).collect()) == want
+    assert quotes_in.containing(d.limit(0), q).count() == quotes_in.containing(d, q.limit(0)).count() == 0
+
+
+def test_quotes_of_common_words_and_shared_anchors():
+    common = ["of the " * n for n in (1, 2, 5, 40)] + ["the of the of", "of", "x" * 24, "x" * 25 + "y", "ab" * 30, "é漢 " * 12]
+    quoted = common + [f"of the same of the same of the {i} of the same" for i in range(200)]
+    texts = ["of the " * 60, "the of the of the 7 of", "x" * 80 + "y", "abab" * 20, "says of the same of the same of the 7 of the same, too", "", "é漢 " * 13, "q"]
+    for length in (1, 3, 24):
+        finder = quotes_in._Finder(quoted, length)
+        for t in texts:
+            assert finder.inside(t) == [i for i, q in enumerate(quoted) if q in t]
+    shared = quotes_in._Finder(quoted).automaton
+    assert max(len(own) for _, own in shared.values()) < 120  # the parts with a number are not shared
 
 
 def test_more_quotes_than_a_broadcast_holds(spark, tmp_path):
@@ -402,6 +621,66 @@ def test_more_quotes_than_a_broadcast_holds(spark, tmp_path):
     assert len(got) == 10_003 and {k: v for k, v in got.items() if v[0]} == {7: (2, 1), 10001: (1, 1)}
 
 
+def test_percentiles_by_counting(spark):
+    rng = np.random.default_rng(4)
+    sizes = [s * 10.0**k for k in range(-300, 300) for s in (1.0, -1.0)]
+    for values in ([], [0.1] * 7 + [0.2], rng.normal(size=997).tolist(), [1e308, -1e308, 0.0, 5e-324, -5e-324, 1e-300], sizes):
+        rows = spark.createDataFrame([(True, float(v)) for v in values], "correct boolean, score double")
+        got = calibrate.distribution(rows).where("correct").first()
+        assert got["n"] == len(values)
+        want = sorted(map(float, values))
+        for k, share in calibrate.SHARES.items():
+            assert got[k] == want[max(1, math.ceil(share * len(want))) - 1] if values else math.isnan(got[k])
+    wrong = calibrate.distribution(spark.createDataFrame([(False, 2.0), (False, None)], "correct boolean, score double")).where("not correct").first()
+    assert (wrong["n"], wrong["median"], wrong["p95"]) == (1, 2.0, 2.0)
+
+
+def test_a_million_distinct_scores(spark):
+    rows = spark.range(1_000_000).select((F.col("id") % 2 == 0).alias("correct"), (F.sin(F.col("id") * 0.37) + F.col("id") / 1e9).alias("score"))
+    got = {r["correct"]: r for r in calibrate.distribution(rows).collect()}
+    for side in (True, False):
+        want = np.sort([r["score"] for r in rows.where(F.col("correct") == side).select("score").collect()])
+        assert [got[side][k] for k in calibrate.SHARES] == [want[math.ceil(s * len(want)) - 1] for s in calibrate.SHARES.values()]
+
+
+def test_decisive_samples_decide_as_all_do(spark):
+    rng = np.random.default_rng(6)
+    outcomes = ["answered", "refused-no-documents", "refused-contradiction"]
+    rows = [(q, outcomes[q % 3], f"c{c}", float(rng.integers(0, 30)) / 30, bool(q % 3 != 1 and rng.random() < 0.2)) for q in range(12) for c in range(60)]
+    samples = spark.createDataFrame(rows, "question_id long, outcome string, chunk_id string, score double, correct boolean").repartition(5)
+    few = calibrate.decisive(samples)
+    assert few.count() <= 5 * (3 + 5 + 4)
+    for f in (calibrate.separation, calibrate.boundary_lowest_correct, calibrate.boundary_highest_wrong, calibrate.must_refuse_ceiling):
+        assert sorted(map(str, f(few).collect())) == sorted(map(str, f(samples).collect()))
+    assert calibrate.decisive(samples.limit(0)).count() == 0
+    assert calibrate.separation(calibrate.decisive(samples.limit(0))).first()["lowest_correct"] is None
+
+
+def test_first_repeats(spark):
+    rows = spark.createDataFrame([(["a", "b", "a", "b"],), (["a", None, None],), ([],), (None,), (["x", "y", "y", "x"],)], "k array<string>")
+    assert [r["at"] for r in fn.with_first_repeat(rows, at="k").collect()] == [2, None, None, None, 2]
+
+
+def test_long_documents_and_question_sets_take_seconds(spark):
+    source = DOC.format("a", "A") + "".join(f"## S {i}\n\nx\n" for i in range(100_000))
+    began = time.monotonic()
+    for more, error in (("", None), ("## s 7\n\ny\n", "slug-collision")):
+        row = corpus.parse(spark.createDataFrame([("a.md", source + more)], "name string, source string")).select("error", F.size("sections").alias("n")).first()
+        assert (row["error"], row["n"]) == (error, 100_000 + bool(more))
+    q = {"question": "What?", "outcome": "answered", "expectedChunkIds": ["a#b"], "rationale": "r"}
+    for last, error in (("x", None), ("5", "duplicate-id")):
+        body = json.dumps({"corpusDir": "c", "questions": [q | {"id": str(i)} for i in range(10_000)] + [q | {"id": last}]})
+        assert evaluate.validate_question_sets(spark.createDataFrame([(1, body)], "set_id long, source string")).first()["error"] == error
+    assert time.monotonic() - began < 60
+
+
+def test_lines_without_a_shuffle(spark):
+    docs = spark.createDataFrame([("a", "x\r\n\n漢😀y\nz"), ("b", ""), ("c", None)], "name string, source string")
+    rows = corpus.with_lines(docs)
+    assert [tuple(r) for r in rows.collect()] == [("a", 0, 0, "x\r"), ("a", 1, 3, ""), ("a", 2, 4, "漢😀y"), ("a", 3, 8, "z"), ("b", 0, 0, "")]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_gate_of_nothing_passes(spark):
     scores = spark.createDataFrame([], "category string, passed boolean")
     assert evaluate.verdict(evaluate.gate(scores)).first()["passed"]
@@ -420,6 +699,7 @@ def test_usage(spark):
 def test_environment():
     env = environment.parse_dotenv("# c\nexport A='x # y'\nB = \"\"\nC=1\nbad line\n")
     assert env == {"A": "x # y", "B": "", "C": "1"}
+    assert environment.parse_dotenv("my.key-1=a\u2028b\r\nexport  B = 'c'\n=x\n  # d=e\nC=") == {"my.key-1": "a\u2028b", "B": "c", "C": ""}
     assert environment.merge_environment({"A": " ", "C": "2"}, env) == {"A": "x # y", "B": "", "C": "2"}
     values, problems = environment.resolve_keys(["A", "B", "Z"], env)
     assert values == {"A": "x # y"} and len(problems) == 2
@@ -478,7 +758,7 @@ def test_command_line(spark, folder, tmp_path, generator, code):
         told = json.loads((results / "eval-latest.json").read_text())
         assert told["verdict"] == "PASS" and told["policy"]["headlineRule"] and told["policy"]["categories"]["answered"]["threshold"] == 0.8
         assert set(told["run"]) == {"generatedAt", "embedder", "generator", "corpusDir", "chunkCount", "k", "threshold"}
-        assert cli.main(cli.Options(["--calibrate"], **options)) == 0 and "CALIBRATION" in out[-1]
+        assert cli.main(cli.Options(["--calibrate"], **options)) == 0 and out[-1].startswith("calibration")
         told = json.loads((results / "calibration-latest.json").read_text())
         assert set(told) == {"schemaVersion", "run", "correct", "wrong", "separation", "boundary", "mustRefuse", "currentThreshold", "thresholdNote", "usage"}
         assert told["correct"]["n"] + told["wrong"]["n"] == 15 and told["mustRefuse"]["ceiling"] == told["separation"]["highest_must_refuse"] and told["usage"] is None
