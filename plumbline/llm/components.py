@@ -3,7 +3,8 @@
 A large-star step links every larger neighbour of a node to the smallest of its neighbourhood, a
 small-star step does the same for the smaller neighbours and the node itself. Both keep the
 components and shorten paths, so the edges become stars around the smallest node after a number
-of rounds that grows with the logarithm of the longest path. Each step is written to the shared
+of rounds that grows with the logarithm of the longest path. Edges that are such stars already cost
+one count and no round. Each step is written to the shared
 folder: that cuts the lineage, and lets the join of a popular node with its minimum be split,
 since both sides are then plain shuffles.
 """
@@ -42,18 +43,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         f"{path}/0",
     )
 
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def done(e: DataFrame) -> bool:
+        """Whether every node has at most one smaller neighbour, and none that has one is another's."""
+        ends = [e.select(F.col(c).alias("node"), *(F.lit(int(c == k)).alias(k) for k in ("u", "v"))) for c in ("u", "v")]
+        nodes = ends[0].unionByName(ends[1]).groupBy("node").agg(F.sum("u").alias("n"), F.max("v").alias("root"))
+        return not nodes.agg(F.coalesce(F.bool_or((F.col("n") > 1) | (F.col("n") > 0) & (F.col("root") > 0)), F.lit(False))).first()[0]
 
-    seen, step = state(now), 0
-    while seen[0]:
+    step = 0
+    while not done(now):
         step += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         now = _star(now, both, f"{path}/{step}a", large=True)
         now = _star(now, now, f"{path}/{step}b", large=False)
-        was, seen = seen, state(now)
-        if tuple(was) == tuple(seen):
-            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

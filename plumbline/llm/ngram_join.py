@@ -781,12 +781,14 @@ def _link_rows(docs: DataFrame, parts: int | None, subs: int | None) -> DataFram
     by_fragment = _dealt(sets.select("cid", "n", "hashes").mapInArrow(_segments(parts, subs), BLOCK), parts, subs)
     by_class = _dealt(by_fragment.mapInArrow(_frequencies(parts, subs), BLOCK), parts, subs)
     prefixes = stored(by_class.mapInArrow(_prefixes, "h long, cid long, n long"), f"{work}/prefixes")
-    links, named = None, prefixes.withColumns({"component": F.col("cid"), "members": F.lit(1).cast("long")})
+    comps, named = None, prefixes.withColumns({"component": F.col("cid"), "members": F.lit(1).cast("long")})
     for r in range(ROUNDS):
         near = stored(_hub_pairs(named, r, f"{work}/hubs{r}"), f"{work}/near{r}")
         good = verified(near, sets, parts, f"{work}/links{r}")
-        links = good if r == 0 else links.unionByName(good)
-        comps = stored(connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), f"{work}/components{r}")
+        links = good.select(F.col("x").alias("u"), F.col("y").alias("v"))
+        if r:  # the components so far are stars, which say as much as the links that made them
+            links = links.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        comps = stored(connected_components(links), f"{work}/components{r}")
         sized = stored(comps.join(comps.groupBy("component").agg(F.count("*").alias("members")), "component"), f"{work}/sized{r}")
         # only shingles whose classes are in several components can join any
         own = prefixes if r == 0 else named.select("h", "cid", "n")
@@ -801,9 +803,8 @@ def _link_rows(docs: DataFrame, parts: int | None, subs: int | None) -> DataFram
             break
     across = stored(_across(named, parts), f"{work}/across")
     more = verified(across, sets, parts, f"{work}/more_links")
-    comps = connected_components(
-        links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v"))
-    )
+    stars = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    comps = connected_components(stars.unionByName(more.select(F.col("x").alias("u"), F.col("y").alias("v"))))
 
     linked = first.join(comps.select(F.col("node").alias("cid"), "component"), "cid").select("key", "component")
     own = stored(

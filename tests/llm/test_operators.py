@@ -444,6 +444,13 @@ def test_components(spark):
     assert {v for v in parent if any(v in e and e[0] != e[1] and None not in e for e in edges)} == set(got)
 
 
+def test_ties_between_equal_items_go_to_the_first():
+    bins = packing.pack_vectors(np.array([[5, 1, 2]] * 5 + [[5, 1, 1]] * 2), np.array([10, 16, 100]))
+    assert sorted(sum(bins, [])) == list(range(7)) and all(len(b) <= 2 for b in bins)
+    first = [b for b in bins if set(b) <= set(range(5))]
+    assert first[0] == [0, 1] and [b[0] for b in first] == sorted(b[0] for b in first)
+
+
 # Personal data and secrets
 
 
@@ -1000,6 +1007,17 @@ def test_features_against_plain_ones(text):
             assert got[k] == pytest.approx(v), k
 
 
+@needs_data
+def test_held_out_labels_change_no_score(spark):
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.withColumn("toxic", F.when(toxicity.is_held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert turned.join(labels.withColumnRenamed("toxic", "was"), "doc_id").where("toxic != was").count() > 5
+    a, b = (sorted(map(tuple, toxicity.score_documents(docs, x).collect())) for x in (labels, turned))
+    assert a == b
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(1, 0), (7, 1), (7, None), (None, 1), (2, 0)], "doc_id long, toxic int")
     rows = toxicity.score_documents(edge, labels).collect()
