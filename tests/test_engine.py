@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from plumbline import cli, replay
 from plumbline.functions import text as fn
-from plumbline.operators import answer, calibrate, contradict, evaluate, generation, report, retrieve, usage, verify
+from plumbline.operators import answer, calibrate, contradict, evaluate, generation, grid, report, retrieve, usage, verify
 from plumbline.operators import quotes as quotes_in
 from plumbline.plans import catalogue
 from plumbline.sources import corpus, environment, ledger, models, shared
@@ -797,3 +797,69 @@ def test_fixture_files(tmp_path):
     p.write_text(json.dumps({"response": {}}))
     with pytest.raises(ValueError, match="recorded"):
         report.load_fixture(str(p))
+
+
+ODD = [[0.0, 0.0, 0.0], [float("nan"), 1.0, 0.0], [1.0, None, 2.0], None, [1e200, 1.0, -1e200], [3e-170, 1e-170, 0.0], [1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [1.0, 0.0, 0.0], [0.6, 0.8, 0.0]]
+
+
+def odd_sides(spark):
+    rng = np.random.default_rng(9)
+    some = [[float(x) for x in np.round(rng.normal(size=3), 1)] for _ in range(40)]
+    q = [(i, v, ("answered", calibrate.REFUSE, None)[i % 3], [i % 4, None, 9] if i % 5 else None) for i, v in enumerate(ODD + some[:25])]
+    c = [(f"c{i}", v, i % 4 if i % 7 else None, i) for i, v in enumerate(ODD + some)]
+    asked = spark.createDataFrame(q, "question_id long, query array<double>, outcome string, expected array<int>")
+    return asked, spark.createDataFrame(c, "chunk_id string, vector array<double>, key int, own long")
+
+
+@pytest.mark.parametrize("digits", [None, 6, 1])
+def test_scores_of_tiles_are_those_of_the_definition(spark, monkeypatch, digits):
+    monkeypatch.setattr(grid, "CHUNKS", 7)
+    asked, index = odd_sides(spark)
+    score = fn.cosine(F.col("query"), F.col("vector"))
+    want = asked.crossJoin(index).select("question_id", "chunk_id", (score if digits is None else F.round(score, digits)).alias("score"))
+    want = sorted(repr(tuple(r)) for r in want.collect())
+    assert "nan" in str(want) and "None" in str(want)
+    assert sorted(repr(tuple(r)) for r in retrieve.pair_scores(asked, index, digits).collect()) == want
+    monkeypatch.setattr(retrieve, "BROADCAST_QUERIES", 10)
+    monkeypatch.setattr(grid, "BLOCK", 16)
+    assert sorted(repr(tuple(r)) for r in retrieve.pair_scores(asked, index, digits).collect()) == want
+
+
+def test_rounding_is_that_of_spark(spark):
+    halves = [(2 * k + 1) / 2e6 for k in (0, 1, 17, 123456, 499999, 999998)]
+    values = [s * v for h in halves for v in (h, np.nextafter(h, 0), np.nextafter(h, 1)) for s in (1.0, -1.0)] + [0.0, -0.0, 1.0, -1e-9, float("nan")]
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
+    want = [r["v"] for r in rows.select("i", F.round("v", 6).alias("v")).orderBy("i").collect()]
+    assert list(map(repr, grid.half_up(np.array(values), 6).tolist())) == list(map(repr, want))
+
+
+def test_vectors_of_two_sizes_are_an_error(spark):
+    sides = [spark.createDataFrame([("a", v)], f"{a} string, {b} array<double>") for a, b, v in (("question_id", "query", [1.0]), ("chunk_id", "vector", [1.0, 2.0]))]
+    with pytest.raises(Exception, match="vectors of sizes 1 2"):
+        retrieve.pair_scores(*sides).collect()
+
+
+def test_an_index_in_one_file_is_dealt_out_by_its_pairs(spark, monkeypatch):
+    q = spark.range(50).select(F.col("id").alias("question_id"), F.array(F.cos("id")).alias("query"))
+    i = spark.range(0, 400, 1, 1).select(F.col("id").alias("chunk_id"), F.array(F.sin("id")).alias("vector"))
+    monkeypatch.setattr(grid, "PAIRS", 5000)
+    pairs = retrieve.pair_scores(q, i)
+    assert pairs.count() == 20_000 and pairs.rdd.getNumPartitions() == 4
+
+
+@pytest.fixture(scope="module")
+def many_vectors(tmp_path_factory):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    to, x = tmp_path_factory.mktemp("many"), np.random.default_rng(3).normal(size=(24_000, 64)).astype("float32")
+    table = {"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32())), "label": (np.arange(len(x)) * 7 % 10).astype("int32")}
+    pq.write_table(pa.table(table), to / "embeddings.parquet")
+    return str(to)
+
+
+@pytest.mark.parametrize("name", ["cosine_pairs"])
+def test_29_million_pairs_take_seconds(spark, many_vectors, name):
+    began = time.monotonic()
+    catalogue.QUERIES[name](spark, many_vectors).write.format("noop").mode("overwrite").save()
+    assert time.monotonic() - began < 40
