@@ -858,7 +858,7 @@ def many_vectors(tmp_path_factory):
     return str(to)
 
 
-@pytest.mark.parametrize("name", ["cosine_pairs", "calibration_samples"])
+@pytest.mark.parametrize("name", ["cosine_pairs", "calibration_samples", "score_distribution"])
 def test_29_million_pairs_take_seconds(spark, many_vectors, name):
     began = time.monotonic()
     catalogue.QUERIES[name](spark, many_vectors).write.format("noop").mode("overwrite").save()
