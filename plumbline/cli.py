@@ -133,10 +133,9 @@ def _run(o: Options, spark: SparkSession, env: Mapping[str, str], calibrating: b
 
 
 def _calibrate(o: Options, asked: DataFrame, index: DataFrame, run: dict, metered: bool) -> int:
-    truth = asked.select("question_id", "outcome", F.col("expectedChunkIds").alias("expected"))
-    samples = calibrate.label(retrieve.pair_scores(asked, index), truth)  # never kept: a pair for each question and chunk
-    sides = calibrate.distribution(samples).collect()
-    few = stored(calibrate.decisive(samples), shared_dir(asked.sparkSession, "decisive"))
+    pairs = calibrate.Grid(asked.select("question_id", "query", "outcome", F.col("expectedChunkIds").alias("expected")), index)
+    sides = calibrate.distribution_of(pairs).collect()
+    few = stored(calibrate.decisive_of(pairs), shared_dir(asked.sparkSession, "decisive"))
     apart = calibrate.separation(few).first()
     lists = [f(few).collect() for f in (calibrate.boundary_lowest_correct, calibrate.boundary_highest_wrong)]
     refused = calibrate.must_refuse_ceiling(few).orderBy(F.desc("score"), "question_id", "chunk_id").collect()

@@ -847,6 +847,44 @@ def test_an_index_in_one_file_is_dealt_out_by_its_pairs(spark, monkeypatch):
     assert pairs.count() == 20_000 and pairs.rdd.getNumPartitions() == 4
 
 
+def same(*frames):
+    a, b = (sorted(repr(sorted(r.asDict().items())) for r in f.collect()) for f in frames)
+    assert a == b
+
+
+@pytest.mark.parametrize("digits", [None, 6, 1])
+def test_calibration_of_a_grid_is_that_of_its_rows(spark, monkeypatch, digits):
+    asked, index = odd_sides(spark)
+    truth = asked.select("question_id", "outcome", "expected")
+    expected = F.array_contains("expected", F.substring("chunk_id", 2, 9).cast("int") % 4) & (F.substring("chunk_id", 2, 9).cast("int") % 7 != 0)
+    scores = retrieve.pair_scores(asked, index, digits).where("score is not null and 'c' || question_id <> chunk_id")
+    rows = calibrate.label(scores, truth, expected)
+    for tile, most in ((256, 10_000), (6, 10_000), (5, 10)):
+        monkeypatch.setattr(grid, "CHUNKS", tile)
+        monkeypatch.setattr(grid, "BLOCK", 16)
+        monkeypatch.setattr(calibrate, "HELD", 30)
+        monkeypatch.setattr(retrieve, "BROADCAST_QUERIES", most)
+        pairs = calibrate.Grid(asked, index, "key", ("question_id", "own"), digits)
+        same(calibrate.samples(pairs), rows)
+        few = calibrate.decisive_of(pairs)
+        for f in (calibrate.separation, calibrate.boundary_lowest_correct, calibrate.boundary_highest_wrong, calibrate.must_refuse_ceiling):
+            same(f(few), f(rows))
+    got = {r["correct"]: r for r in calibrate.distribution_of(pairs).collect()}
+    for r in calibrate.distribution(rows).collect():
+        assert got[r["correct"]]["n"] == r["n"] > 100
+        own = sorted((x["score"] for x in rows.where(F.col("correct") == r["correct"]).collect()), key=lambda x: (math.isnan(x), x))
+        for k, share in calibrate.SHARES.items():
+            assert repr(got[r["correct"]][k]) == repr(r[k]) == repr(own[math.ceil(share * len(own)) - 1])
+        assert repr(got[r["correct"]]["max"]) == repr(own[-1]) and got[r["correct"]]["min"] == r["min"] == own[0]
+
+
+def test_calibration_of_nothing(spark):
+    asked, index = odd_sides(spark)
+    for pairs in (calibrate.Grid(asked.limit(0), index, "key"), calibrate.Grid(asked, index.limit(0), "key")):
+        assert calibrate.samples(pairs).count() == calibrate.decisive_of(pairs).count() == 0
+        assert [(r["n"], math.isnan(r["mean"])) for r in calibrate.distribution_of(pairs).collect()] == [(0, True), (0, True)]
+
+
 @pytest.fixture(scope="module")
 def many_vectors(tmp_path_factory):
     import pyarrow as pa
@@ -858,7 +896,7 @@ def many_vectors(tmp_path_factory):
     return str(to)
 
 
-@pytest.mark.parametrize("name", ["cosine_pairs", "calibration_samples", "score_distribution"])
+@pytest.mark.parametrize("name", ["cosine_pairs", "calibration_samples", "score_distribution", "boundary_highest_wrong"])
 def test_29_million_pairs_take_seconds(spark, many_vectors, name):
     began = time.monotonic()
     catalogue.QUERIES[name](spark, many_vectors).write.format("noop").mode("overwrite").save()
