@@ -687,7 +687,7 @@ def separation(spark, d):
 
 @_query(_SAMPLES + "SELECT question_id, chunk_id, score FROM c WHERE correct ORDER BY score, question_id, chunk_id LIMIT 3")
 def boundary_lowest_correct(spark, d):
-    return calibrate.boundary_lowest_correct(calibrate.decisive(calibrate.samples(_samples(spark, d)))).select("question_id", "chunk_id", "score")
+    return calibrate.boundary_lowest_correct(calibrate.decisive_of(_samples(spark, d))).select("question_id", "chunk_id", "score")
 
 
 @_query(_SAMPLES + "SELECT question_id, chunk_id, score FROM c WHERE NOT correct ORDER BY score DESC, question_id, chunk_id LIMIT 5")
