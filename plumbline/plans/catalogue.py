@@ -698,7 +698,7 @@ def boundary_highest_wrong(spark, d):
 @_query(_SAMPLES + """SELECT question_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS n
 FROM c WHERE outcome = 'refused-no-documents') WHERE n = 1""")
 def must_refuse_ceiling(spark, d):
-    return calibrate.must_refuse_ceiling(calibrate.decisive(calibrate.samples(_samples(spark, d)))).select("question_id", "chunk_id", "score")
+    return calibrate.must_refuse_ceiling(calibrate.decisive_of(_samples(spark, d))).select("question_id", "chunk_id", "score")
 
 
 # Usage
