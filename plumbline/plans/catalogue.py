@@ -681,7 +681,7 @@ def score_distribution(spark, d):
 SELECT a AS lowest_correct, b AS highest_wrong, r AS highest_must_refuse, a > b AS separable, a > r AS must_refuse_separable,
        round(CASE WHEN a > b THEN (a + b) / 2 END, 6) AS suggested_floor, round(CASE WHEN a > r THEN (a + r) / 2 END, 6) AS suggested_must_refuse_floor FROM x""")
 def separation(spark, d):
-    row = calibrate.separation(calibrate.decisive(calibrate.samples(_samples(spark, d))))
+    row = calibrate.separation(calibrate.decisive_of(_samples(spark, d)))
     return row.withColumns({k: F.round(k, 6) for k in ("suggested_floor", "suggested_must_refuse_floor")})
 
 

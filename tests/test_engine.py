@@ -896,7 +896,7 @@ def many_vectors(tmp_path_factory):
     return str(to)
 
 
-@pytest.mark.parametrize("name", ["cosine_pairs", "calibration_samples", "score_distribution", "boundary_highest_wrong", "boundary_lowest_correct", "must_refuse_ceiling"])
+@pytest.mark.parametrize("name", ["cosine_pairs", "calibration_samples", "score_distribution", "boundary_highest_wrong", "boundary_lowest_correct", "must_refuse_ceiling", "separation"])
 def test_29_million_pairs_take_seconds(spark, many_vectors, name):
     began = time.monotonic()
     catalogue.QUERIES[name](spark, many_vectors).write.format("noop").mode("overwrite").save()
