@@ -94,32 +94,27 @@ MEASUREMENT = r"(\$?\d+(?:,\d{3})*(?:\.\d+)?%?)[ \t]+([A-Za-z]+)(?:[ \t]+([A-Za-
 
 def measurements(c: Column) -> Column:
     """array<struct<magnitude, text, units>> of the measurements in a text that have a unit."""
-    groups = [F.regexp_extract_all(c, F.lit(MEASUREMENT), F.lit(g)) for g in range(4)]
-    stop = F.array(*map(F.lit, STOPWORDS))
+    found = F.regexp_extract_all(c, F.lit(MEASUREMENT), F.lit(0))
+    # blanks stand nowhere but between a number and its words
+    parted = F.transform(found, lambda m: F.struct(m.alias("text"), F.split(F.lower(m), "[ \t]+").alias("parts")))
 
     def one(m: Column) -> Column:
-        first, second = F.lower(m["2"]), F.lower(F.coalesce(m["3"], F.lit("")))
-        units = F.array(
-            F.when(~F.array_contains(stop, first), first),
-            F.when((second != "") & ~F.array_contains(stop, second), second),
-            F.when((second != "") & ~F.array_contains(stop, second), F.concat_ws(" ", first, second)),
-        )
-        return F.struct(
-            normalise_magnitude(m["1"]).alias("magnitude"), trim(m["0"]).alias("text"), F.array_compact(units).alias("units")
-        )
+        first, second = m["parts"][1], F.get(m["parts"], F.lit(2))
+        more = second.isNotNull() & ~second.isin(STOPWORDS)
+        units = F.array(F.when(~first.isin(STOPWORDS), first), F.when(more, second), F.when(more, F.concat_ws(" ", first, second)))
+        return F.struct(normalise_magnitude(m["parts"][0]).alias("magnitude"), m["text"].alias("text"), F.array_compact(units).alias("units"))
 
-    zipped = F.arrays_zip(*[g.alias(str(i)) for i, g in enumerate(groups)])
-    return F.filter(F.transform(zipped, one), lambda m: F.size(m["units"]) > 0)
+    return F.filter(F.transform(parted, one), lambda m: F.size(m["units"]) > 0)
+
+
+#: Fixed value: a word of three or more characters that are not all digits.
+WORD = "(?<![a-z0-9])(?![0-9]+(?![a-z0-9]))[a-z0-9]{3,}"
 
 
 def content_words(c: Column) -> Column:
     """Distinct words of three or more characters that are no stopwords and not all digits."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    words = F.filter(
-        F.split(F.lower(c), "[^a-z0-9]+"),
-        lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w) & ~w.rlike(r"\A[0-9]+\z"),
-    )
-    return F.array_distinct(words)
+    words = F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(STOPWORDS)))
 
 
 def fixed(c: Column, digits: int) -> Column:

@@ -901,3 +901,29 @@ def test_29_million_pairs_take_seconds(spark, many_vectors, name):
     began = time.monotonic()
     catalogue.QUERIES[name](spark, many_vectors).write.format("noop").mode("overwrite").save()
     assert time.monotonic() - began < 40
+
+
+def test_texts_of_claims_are_read_once(spark):
+    rng = np.random.default_rng(2)
+    pieces = ["12", "$1,234.50", "5%", " ", "  ", "\t", "\n", "of", "The", "boxes", "Units", "x", "per", "a1b2", "007", "12ab", "Kg", "é", "-", "1.5", "any"]
+    texts = ["".join(rng.choice(pieces, size=rng.integers(0, 14))) for _ in range(3000)] + ["12 boxes shipped", "12 the boxes", "12 the of", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fn.measurements(F.col("t")).alias("m"), fn.content_words(F.col("t")).alias("w"))
+    got = {r["i"]: r for r in rows.collect()}
+    stop, some = set(fn.STOPWORDS), 0
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i]["m"] is None and got[i]["w"] is None
+            continue
+        want = []
+        for m in re.finditer(fn.MEASUREMENT, t, re.ASCII):
+            first, second = m[2].lower(), (m[3] or "").lower()
+            two = [second, f"{first} {second}"] if second and second not in stop else []
+            if units := [u for u in [first] if u not in stop] + two:
+                want.append((re.sub("[$%,]", "", m[1]), m[0], units))
+        assert [tuple(m) for m in got[i]["m"]] == want
+        assert got[i]["w"] == list(dict.fromkeys(w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) >= 3 and w not in stop and not w.isdigit()))
+        some += len(want)
+    assert some > 100
+    for f in (fn.measurements, fn.content_words):
+        plan = spark.range(1).select(f(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 1 and "rlike" not in plan.lower()
