@@ -885,6 +885,63 @@ def test_calibration_of_nothing(spark):
         assert [(r["n"], math.isnan(r["mean"])) for r in calibrate.distribution_of(pairs).collect()] == [(0, True), (0, True)]
 
 
+def test_rows_by_score_are_all_pairs_once(monkeypatch):
+    import pyarrow as pa
+
+    for name, to in (("QUESTIONS", 16), ("CHUNKS", 7), ("GATHERED", 500), ("SENT", 64)):
+        monkeypatch.setattr(grid, name, to)
+    vectors = ODD + np.round(np.random.default_rng(1).normal(size=(60, 3)), 1).tolist()
+    kind = pa.list_(pa.float64())
+    asked = pa.table({"question_id": range(35), "query": pa.array(vectors[:35], kind)})
+    index = pa.table({"chunk_id": [f"c{i}" for i in range(70)], "vector": pa.array(vectors, kind)})
+    parts, want = [], []
+    for tile in grid.Blocks(asked, 1).tiles(iter([index[:40], index[40:]])):
+        keep = np.add.outer(np.arange(tile.chunks.num_rows), np.arange(tile.questions.num_rows)) % 3 > 0
+        j, i, score, known = grid.scored(tile, keep)
+        parts.append((tile, j, i, score, known, i % 2 == 0))
+        ids = [tile.questions["question_id"].take(pa.array(i)).to_pylist(), tile.chunks["chunk_id"].take(pa.array(j)).to_pylist()]
+        want += zip(*ids, (float(x) if k else None for x, k in zip(score, known, strict=True)), (i % 2 == 0).tolist(), strict=True)
+    row = lambda q, c, j, i, s, f: list(zip(q["question_id"].take(pa.array(i)).to_pylist(), c["chunk_id"].take(pa.array(j)).to_pylist(), s.to_pylist(), f.tolist(), strict=True))
+    got = list(grid.by_score(iter(parts), row))
+    assert len(got) > 20 and max(map(len, got)) == 64
+    assert sorted(map(repr, sum(got, []))) == sorted(map(repr, want))
+    assert [x[:2] for x in want if x[2] is None] and not list(grid.by_score(iter(()), row))
+
+
+def shuffled_bytes(df) -> int:
+    df.collect()
+    nodes, total = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        p = nodes.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            nodes.append(p.plan())
+        elif p.nodeName() == "Exchange":
+            total += p.metrics().apply("shuffleBytesWritten").value()
+        nodes += [p.children().apply(k) for k in range(p.children().size())]
+    return total
+
+
+def test_blocks_that_meet_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(grid, "BLOCK", 100)
+    few = []
+    for n in (500, 1000):
+        vector = lambda k: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda x: F.sin(x * F.col("id") + k))
+        q = spark.range(n).select(F.col("id").alias("question_id"), vector(1).alias("query"))
+        i = spark.range(2 * n).select(F.col("id").alias("chunk_id"), vector(2).alias("vector"))
+
+        def count(few, chunks):
+            import pyarrow as pa
+
+            yield pa.RecordBatch.from_pydict({"n": [sum(few.num_rows * c.num_rows for c in chunks)]})
+
+        pairs = grid.over(q, i, count, "n long", 100)
+        few.append(shuffled_bytes(pairs))
+        assert sum(r["n"] for r in pairs.collect()) == 2 * n * n
+    assert 0 < few[1] < 2.5 * few[0]
+
+
 @pytest.fixture(scope="module")
 def many_vectors(tmp_path_factory):
     import pyarrow as pa
@@ -903,6 +960,18 @@ def test_29_million_pairs_take_seconds(spark, many_vectors, name):
     assert time.monotonic() - began < 40
 
 
+@pytest.mark.parametrize("name", ["calibration_samples"])
+def test_all_pairs_take_few_bytes(spark, tmp_path, name):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(4).normal(size=(10_000, 64)).astype("float32")
+    table = {"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32())), "label": (np.arange(len(x)) * 7 % 10).astype("int32")}
+    pq.write_table(pa.table(table), tmp_path / "embeddings.parquet")
+    catalogue.QUERIES[name](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 6.5 * 500 * len(x)
+
+
 def test_texts_of_claims_are_read_once(spark):
     rng = np.random.default_rng(2)
     pieces = ["12", "$1,234.50", "5%", " ", "  ", "\t", "\n", "of", "The", "boxes", "Units", "x", "per", "a1b2", "007", "12ab", "Kg", "é", "-", "1.5", "any"]
