@@ -960,7 +960,7 @@ def test_29_million_pairs_take_seconds(spark, many_vectors, name):
     assert time.monotonic() - began < 40
 
 
-@pytest.mark.parametrize("name", ["calibration_samples"])
+@pytest.mark.parametrize("name", ["calibration_samples", "cosine_pairs"])
 def test_all_pairs_take_few_bytes(spark, tmp_path, name):
     import pyarrow as pa
     import pyarrow.parquet as pq
